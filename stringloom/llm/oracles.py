@@ -25,6 +25,36 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+
+_ESCAPED = r"regexp_replace(regexp_replace({}, '(<)(\\*)(<SYS>>|</SYS>>|\|endoftext\|>|\|im_start\|>|\|im_end\|>|/s>|s>)', '\1\\\2\3', 'g'), '(\[)(\\*)(INST\]|/INST\])', '\1\\\2\3', 'g')"
+_ROLE = "replace(replace(" + _ESCAPED.format("role") + r", '\', '\\'), chr(10), '\n')"
+
+OP1 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(9 + length({_ROLE}) + length({_ESCAPED.format('text')}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP3 = f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(rule, rule_host, rule_path, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+                                           ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM u JOIN r
+      ON (u.host = rule_host OR ends_with(u.host, '.' || rule_host)) AND starts_with(u.path, rule_path) GROUP BY page_id)
+SELECT u.page_id, u.host, u.path, f.rule,
+       CASE WHEN f.rule IS NOT NULL THEN f.verdict
+            WHEN regexp_matches(lower(u.url), '(^|[^a-z0-9])(adult|betting|casino|escort|porn|sex|torrent|warez|xxx)([^a-z0-9]|$)') THEN 'block'
+            WHEN regexp_matches(u.url, '[?&]utm_source=feed([&#]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM u LEFT JOIN f USING (page_id)
+"""
+
 ORACLES = {
+    "op1_chat_formatting": OP1,
+    "op3_url_filters": OP3,
     "op8_benchmark_decontamination": OP8,
 }

@@ -5,16 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import bpe, chat, decontaminate, token_files, url_rules
 from .shared import table
 
 
+#: The rules that the contract of op3 fixes; of those that fit, the longest wins.
+SITE_RULES = [url_rules.host_rule(*x) for x in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
+
+#: The method's own rules for the other pages: unwanted words, and links from feeds.
+WORD_RULES = [url_rules.word_rule(w) for w in ("adult", "betting", "casino", "escort", "porn", "sex", "torrent", "warez", "xxx")]
+FEED_RULE = url_rules.Rule("feed", "block", r"[?&]utm_source=feed(?=[&#]|\Z)", ("utm", "source", "feed"))
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest_chats(chat.format_chats(turns))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_rules.judge(pages, [*SITE_RULES, *WORD_RULES, FEED_RULE])
+    named = F.when(F.col("rule").isin([r.name for r in SITE_RULES]), F.col("rule"))
+    return judged.select("page_id", url_rules.host(F.col("url")).alias("host"), url_rules.path(F.col("url")).alias("path"), named.alias("rule"), "verdict")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    vocabulary = public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary, drop_text=True)
+    decoded = bpe.decode(encoded, *vocabulary)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    written = token_files.write(table(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"), end=2, width=2)
+    return token_files.read(written).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op3_url_filters": op3_url_filters,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_token_files": op10_token_files,
 }
