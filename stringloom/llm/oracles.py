@@ -53,8 +53,17 @@ SELECT u.page_id, u.host, u.path, f.rule,
 FROM u LEFT JOIN f USING (page_id)
 """
 
+OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 ORACLES = {
     "op1_chat_formatting": OP1,
     "op3_url_filters": OP3,
+    "op5_exact_topk": OP5,
     "op8_benchmark_decontamination": OP8,
 }
