@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, token_files, topk, toxicity, url_rules
+from . import bpe, chat, decontaminate, neardup, ppm, token_files, topk, toxicity, url_rules
 from .shared import hash_mod, table
 
 
@@ -24,6 +24,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(turns))
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_rules.judge(pages, [*SITE_RULES, *WORD_RULES, FEED_RULE])
@@ -59,6 +63,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = hash_mod(F.col("doc_id"), 10)
+    scored = ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold != 0)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -68,10 +78,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_minhash_neardup": op2_minhash_neardup,
     "op3_url_filters": op3_url_filters,
     "op5_exact_topk": op5_exact_topk,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_token_files": op10_token_files,
 }
