@@ -30,7 +30,7 @@ def test_planes_round_trip(kind, width, n):
 
 def test_chunks_equal_whole_texts(library):
     rng, e = random.Random(2), tf.Encoder(PATH)
-    letters = list("abcXYZ019.,!'’\"#<>|-_éÉñß日😀") + [" ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", "　", "́", "̸", "<|endoftext|>", "'s", "İ", "Σ", "ﬁ"]
+    letters = list("abcXYZ019.,.,.,!'’\"#<>|-_éÉñß日😀") + [" ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", "　", "́", "̸", "<|endoftext|>", "'s", "İ", "Σ", "ﬁ"]
     texts = ["", "".join(letters), *("".join(rng.choice(letters) for _ in range(n)) for n in range(1, 60) for _ in range(10))]
     lengths, ids = e.encode(texts, 2)
     want = [[*x.ids, 2] for x in library.encode_batch(texts, add_special_tokens=False)]
