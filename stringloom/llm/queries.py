@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, neardup, ppm, token_files, topk, toxicity, url_rules
+from . import bpe, chat, decontaminate, neardup, ppm, secrets, token_files, topk, toxicity, url_rules
 from .shared import hash_mod, table
 
 
@@ -35,6 +35,13 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", url_rules.host(F.col("url")).alias("host"), url_rules.path(F.col("url")).alias("path"), named.alias("rule"), "verdict")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train(spark)
+    docs = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), forest)
+    found = F.expr("filter(findings, x -> x.score >= 0.5)")
+    return docs.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(found).cast("long").alias("n_secrets"), F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"))).alias("secrets"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, F.col("vec_id") % 50 == 0, 5)
@@ -80,6 +87,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_url_filters": op3_url_filters,
+    "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
