@@ -1,11 +1,370 @@
-"""The registered queries and their SQL."""
+"""The registered queries over whole tables, and for each the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import strings
+from ..operators import parse, search, suffix, suffixient
+from ..session import settle
+from ..sources import texts as sources
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's name as a text and its type and brand as patterns."""
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("seq"))
+
+
+# ------------------------------------------------------------- suffix sorting
+def suffix_array_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffixes(_names(spark, sf_dir)).select("text_id", "rank", "sa")
+
+
+def lcp_bwt_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffixes(_names(spark, sf_dir)).select("text_id", "rank", "lcp", "bwt")
+
+
+def prefix_array_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.prefix_array(suffix.suffixes(suffix.reversed_texts(_names(spark, sf_dir))))
+
+
+def bwt_runs_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.run_counts(suffix.suffixes(_names(spark, sf_dir)))
+
+
+def bwt_run_table_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.runs(suffix.suffixes(_names(spark, sf_dir)))
+
+
+_SUFFIXES = """
+s AS (SELECT p_partkey AS text_id, {text} AS t FROM part WHERE length(p_name) > 0),
+x AS (SELECT text_id, t, unnest(range(0, length(t) + 1)) AS sa FROM s),
+r AS (SELECT text_id, t, sa::INTEGER AS sa, (row_number() OVER w - 1)::INTEGER AS rank, lag(sa) OVER w AS prev FROM x WINDOW w AS (PARTITION BY text_id ORDER BY substr(t, sa + 1))),
+o AS (SELECT text_id, t, rank, sa, CASE WHEN prev IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(0, length(t) + 1), lambda k: k <= length(t) - greatest(sa, prev) AND substr(t, sa + 1, k) = substr(t, prev + 1, k))), 0) END::INTEGER AS lcp,
+      CASE WHEN sa > 0 THEN substr(t, sa, 1) END AS bwt FROM r)
+"""
+_FORWARD, _REVERSED = _SUFFIXES.format(text="p_name"), _SUFFIXES.format(text="reverse(p_name)")
+_RUNS = "n AS (SELECT *, sum(CASE WHEN rank = 0 OR bwt IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY rank) AS run FROM (SELECT *, lag(bwt) OVER (PARTITION BY text_id ORDER BY rank) AS before FROM o))"
+
+
+# ------------------------------------------------------------- suffixient sets
+def suffixient_strings_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    return suffixient.extensions(suffixient.suffixient_set(names), names)
+
+
+def suffixient_chi_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    return suffixient.measures(suffixient.suffixient_set(names), names).select("text_id", "n", "chi", (F.col("n") / F.col("chi")).alias("n_over_chi"))
+
+
+def suffixient_multiplicities_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixient.multiplicities(suffixient.suffixient_set(_names(spark, sf_dir)))
+
+
+def suffixient_positions_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixient.suffixient_set(_names(spark, sf_dir)).select("text_id", "ch", "pos", "lcp")
+
+
+def kmer_context_stats_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    return suffixient.kmer_contexts(suffixient.suffixient_set(names), names, k=3)
+
+
+#: By definition: right-maximal strings with a follower, without the proper suffixes of others.
+_EXTENSIONS = """
+s AS (SELECT p_partkey AS text_id, p_name AS t FROM part WHERE length(p_name) > 0),
+b AS (SELECT text_id, t, unnest(range(0, length(t) + 1)) AS i FROM s),
+c AS (SELECT text_id, t, i, unnest(range(i, length(t) + 1)) AS j FROM b),
+f AS (SELECT text_id, substr(t, i + 1, j - i) AS a, substr(t, j + 1, 1) AS x FROM c),
+m AS (SELECT text_id, a FROM f GROUP BY ALL HAVING count(DISTINCT x) > 1),
+e AS (SELECT DISTINCT f.text_id, f.a || f.x AS extension FROM f JOIN m ON f.text_id = m.text_id AND f.a = m.a WHERE f.x <> ''),
+z AS (SELECT text_id, extension FROM e WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.text_id = e.text_id AND y.extension <> e.extension AND ends_with(y.extension, e.extension)))
+"""
+
+
+# ------------------------------------------------------------- search
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.locate_all(_items(spark, sf_dir), _documents(spark, sf_dir))
+
+
+def exist_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.exist(_items(spark, sf_dir), _found(spark, sf_dir))
+
+
+def count_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.count(_items(spark, sf_dir), _found(spark, sf_dir))
+
+
+def locate_all_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir)
+
+
+def locate_one_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.locate_one(_items(spark, sf_dir), _found(spark, sf_dir))
+
+
+def locate_max_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.locate_max(_found(spark, sf_dir), 2)
+
+
+def toehold_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.toehold(_found(spark, sf_dir), _documents(spark, sf_dir))
+
+
+def verify_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences read back from the texts: how many there are and how many differ."""
+    found = settle(_found(spark, sf_dir), "occurrences")
+    wrong = search.verify(found, _items(spark, sf_dir), _documents(spark, sf_dir)).groupBy("pattern_id").agg(F.count("*").alias("n_wrong"))
+    return found.groupBy("pattern_id").agg(F.count("*").alias("n")).join(wrong, "pattern_id", "left").na.fill(0, ["n_wrong"])
+
+
+_HITS = """
+h AS (SELECT item_id AS pattern_id, doc_id AS text_id, d.text AS t, b.text AS p FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0),
+f AS (SELECT pattern_id, text_id, t, p, unnest(list_filter(range(0, length(t) - length(p) + 1), lambda i: substr(t, i + 1, length(p)) = p))::INTEGER AS pos, length(p)::INTEGER AS len FROM h)
+"""
+
+
+def mems_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.mems(_pairs(spark, sf_dir), "p_partkey", "p_type", "p_name")
+
+
+def longest_prefix_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long a suffix of each type some prefix of the name shares."""
+    return search.longest_prefix(_pairs(spark, sf_dir), "p_partkey", "p_type", "p_name").select("p_partkey", "matched")
+
+
+def owners_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one text: which turn every hundredth position lies in, and how far."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    starts = turns.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
+    totals = turns.groupBy("conv_id").agg(F.sum("n").alias("total")).where("total > 0")
+    places = totals.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(100).cast("long"))).alias("at"))
+    return search.owners(places, starts, "conv_id", "at", "turn", "start")
+
+
+def prefix_search_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many names start with each pair of letters that a name or type starts with."""
+    part = _table(spark, sf_dir, "part")
+    asked = part.select(F.expr("left(p_name, 3)").alias("q")).unionByName(part.select(F.expr("left(p_type, 2)").alias("q")))
+    names = part.select("p_name").distinct()
+    return search.with_prefix(names, "p_name", asked, "q").groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+def keywords_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and brands as one keyword set, without those of the small parts."""
+    part = _table(spark, sf_dir, "part")
+    both = sources.insert(part.select(F.col("p_name").alias("keyword")), part.select(F.col("p_brand").alias("keyword")))
+    return sources.erase(both, part.where("p_size < 10").select(F.col("p_name").alias("keyword")))
+
+
+# ------------------------------------------------------------- scalar operators
+def string_oracle_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, i = F.col("p_type"), F.col("p_name"), F.col("p_partkey").cast("int") % 5
+    tail = strings.lcs_char(a, F.length(a) - 1, b, F.length(b) - 1)
+    return _pairs(spark, sf_dir).select(
+        "p_partkey", strings.extract(b, i).alias("at_i"), strings.display(b, i, i + 3).alias("shown"), strings.lcp(a, i, b, F.lit(0)).alias("lcp"), strings.lcs(a, F.length(a) - 1, b, F.length(b) - 1).alias("lcs"), tail["char"].alias("ended_by")
+    )
+
+
+def dna_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sequences: cleaned, packed into two bits a character, unpacked again."""
+    docs = _documents(spark, sf_dir).withColumn("dna", sources.keep_dna(F.upper(F.coalesce("text", F.lit(""))))).withColumn("blocks", strings.dna_pack(F.col("dna")))
+    again = strings.dna_unpack(F.col("blocks"), F.length("dna"))
+    return docs.select("text_id", F.length("dna").alias("n"), F.size("blocks").alias("n_blocks"), F.get("blocks", F.lit(0)).alias("first_block"), F.md5(again).alias("dna_md5"), strings.is_dna(F.col("text")).alias("was_dna"))
+
+
+def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return _documents(spark, sf_dir).select("text_id", F.md5(sources.strip_newlines(text)).alias("one_line"), F.md5(sources.remove_n(text)).alias("without_n"), F.length(sources.keep_dna(text)).alias("n_dna"), F.md5(sources.drop_last_newline(text)).alias("trimmed"))
+
+
+def replace_n_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("text_id", sources.replace_n(F.upper("text")).alias("replaced"))
+
+
+def sample_patterns_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.sample_patterns(_documents(spark, sf_dir), "text_id", "text", number=3, length=20)
+
+
+def query_stats_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = sources.sample_patterns(_documents(spark, sf_dir), "text_id", "text", number=3, length=20)
+    return sources.query_stats(drawn.select("seq").unionByName(_items(spark, sf_dir).select("seq")))
+
+
+# ------------------------------------------------------------- parses
+def lz77_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("text_id", F.posexplode(parse.lz77(F.col("text"))).alias("ord", "p")).select("text_id", "ord", "p.*")
+
+
+def lz77_roundtrip_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).select("p_partkey", F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_name").alias("t"))
+    return pairs.select("p_partkey", parse.decode(parse.lz77(F.col("t"))).alias("decoded"))
+
+
+def lz_end_roundtrip_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).select("p_partkey", F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_name").alias("t"))
+    return pairs.select("p_partkey", parse.decode(parse.lz_end(F.col("t"))).alias("decoded"))
+
+
+def rlz_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("text_id", F.posexplode(parse.rlz(F.col("text"), F.lit(4))).alias("ord", "p")).select("text_id", "ord", "p.*")
+
+
+def rlz_roundtrip_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reference = F.substring("text", F.lit(1), F.lit(4))
+    return _names(spark, sf_dir).select("text_id", parse.decode_rlz(parse.rlz(F.col("text"), F.lit(4)), reference).alias("decoded"))
+
+
+def pfp_dictionary_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.pfp_dictionary(parse.pfp_phrases(_turns(spark, sf_dir), "text_id", "text", w=5, p=20))
+
+
+def pfp_parse_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = settle(parse.pfp_phrases(_turns(spark, sf_dir), "text_id", "text", w=5, p=20), "phrases")
+    return parse.pfp_parse(phrases, parse.pfp_dictionary(phrases))
+
+
+def pfp_roundtrip_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = settle(parse.pfp_phrases(_turns(spark, sf_dir), "text_id", "text", w=5, p=20), "phrases")
+    dictionary = settle(parse.pfp_dictionary(phrases), "dictionary")
+    return parse.pfp_unparse(parse.pfp_parse(phrases, dictionary), dictionary, w=5)
+
+
+_PFP = """
+c AS (SELECT conv_id * 1000 + turn AS text_id, text AS t FROM conversations WHERE length(text) > 0),
+q AS (SELECT text_id, t, unnest(range(0, length(t) - 4)) AS i FROM c WHERE length(t) >= 5),
+k AS (SELECT text_id, i FROM q WHERE list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 5), lambda j: unicode(substr(t, i + j + 1, 1))::BIGINT)), lambda h, x: (h * 256 + x) % 1999999973) % 20 = 0),
+a AS (SELECT text_id, i AS cut FROM k UNION SELECT text_id, 0 FROM c),
+g AS (SELECT text_id, cut, row_number() OVER w - 1 AS ord, lead(cut) OVER w AS nxt FROM a WINDOW w AS (PARTITION BY text_id ORDER BY cut)),
+f AS (SELECT text_id, ord, substr(t, cut + 1, coalesce(nxt + 5, length(t)) - cut) AS phrase FROM g JOIN c USING (text_id)),
+d AS (SELECT phrase, count(*) AS occ, row_number() OVER (ORDER BY phrase) AS rank FROM f GROUP BY phrase)
+"""
+
+_LZ = """
+WITH RECURSIVE s AS (SELECT p_partkey AS text_id, p_name AS t FROM part WHERE length(p_name) > 0),
+l AS (SELECT text_id, t, -1 AS ord, 0 AS dst, 0 AS src, 0 AS len, '' AS ch, {first} AS i FROM s
+  UNION ALL SELECT text_id, t, ord + 1, i, CASE WHEN k > 0 THEN strpos({source}, substr(t, i + 1, k)) - 1 ELSE 0 END, k, substr(t, i + k + 1, 1), i + k + 1
+  FROM (SELECT text_id, t, ord, i, list_max(list_filter(range(0, {most} + 1), lambda k: contains({source}, substr(t, i + 1, k)))) AS k FROM l WHERE i < length(t)))
+SELECT text_id, ord::INTEGER AS ord, dst::INTEGER AS dst, src::INTEGER AS src, len::INTEGER AS len, ch FROM l WHERE ord >= 0
+"""
+
+_COMMON = "coalesce(list_max(list_filter(range(0, least(length({a}), length({b})) + 1), lambda k: left({a}, k) = left({b}, k))), 0)"
+_TAIL = _COMMON.format(a="reverse(p_type)", b="reverse(p_name)")
+
+ENTRIES: dict[str, tuple[Query, str | None]] = {
+    "suffix_array_part": (suffix_array_part, f"WITH {_FORWARD} SELECT text_id, rank, sa FROM o"),
+    "lcp_bwt_part": (lcp_bwt_part, f"WITH {_FORWARD} SELECT text_id, rank, lcp, bwt FROM o"),
+    "prefix_array_part": (prefix_array_part, f'WITH {_REVERSED} SELECT text_id, rank, (length(t) - sa - 1)::INTEGER AS "end" FROM o WHERE rank > 0'),
+    "bwt_runs_part": (bwt_runs_part, f"WITH {_FORWARD}, {_RUNS} SELECT text_id, max(run)::BIGINT AS runs FROM n GROUP BY text_id"),
+    "bwt_run_table_part": (bwt_run_table_part, f"WITH {_FORWARD}, {_RUNS} SELECT text_id, run::BIGINT AS run, min(bwt) AS ch, min(rank) AS start, count(*) AS length FROM n GROUP BY text_id, run"),
+    "suffixient_strings_part": (suffixient_strings_part, f"WITH {_EXTENSIONS} SELECT text_id, extension FROM z"),
+    "suffixient_chi_part": (suffixient_chi_part, f"WITH {_EXTENSIONS} SELECT text_id, length(t)::INTEGER AS n, count(*) AS chi, length(t) / count(*) AS n_over_chi FROM z JOIN s USING (text_id) GROUP BY text_id, t"),
+    "suffixient_multiplicities_part": (
+        suffixient_multiplicities_part,
+        f"WITH {_EXTENSIONS}, g AS (SELECT text_id, right(extension, 1) AS ch, count(*) AS n FROM z GROUP BY ALL) SELECT text_id, ch, n, coalesce(sum(n) OVER (PARTITION BY text_id ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM g",
+    ),
+    "suffixient_positions_part": (suffixient_positions_part, None),
+    "kmer_context_stats_part": (kmer_context_stats_part, None),
+    "exist_benchmark": (exist_benchmark, f"WITH {_HITS} SELECT item_id AS pattern_id, item_id IN (SELECT pattern_id FROM h) AS found FROM benchmark"),
+    "count_benchmark": (count_benchmark, f"WITH {_HITS}, c AS (SELECT pattern_id, count(*) AS n, count(DISTINCT text_id) AS n_texts FROM f GROUP BY 1) SELECT item_id AS pattern_id, coalesce(n, 0) AS n, coalesce(n_texts, 0) AS n_texts FROM benchmark LEFT JOIN c ON item_id = pattern_id"),
+    "locate_all_benchmark": (locate_all_benchmark, f"WITH {_HITS} SELECT pattern_id, text_id, pos, len FROM f"),
+    "locate_one_benchmark": (
+        locate_one_benchmark,
+        f"WITH {_HITS}, m AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY pattern_id ORDER BY text_id, pos) = 1) SELECT item_id AS pattern_id, text_id, coalesce(pos, -1)::INTEGER AS pos, length(b.text)::INTEGER AS len FROM benchmark b LEFT JOIN m ON item_id = pattern_id",
+    ),
+    "locate_max_benchmark": (locate_max_benchmark, f"WITH {_HITS} SELECT pattern_id, text_id, pos, len FROM f QUALIFY row_number() OVER (PARTITION BY pattern_id ORDER BY text_id, pos) <= 2"),
+    "toehold_benchmark": (toehold_benchmark, f"WITH {_HITS} SELECT pattern_id, text_id, arg_max(pos, substr(t, pos + 1)) AS pos FROM f GROUP BY 1, 2"),
+    "verify_benchmark": (verify_benchmark, f"WITH {_HITS} SELECT pattern_id, count(*) AS n, count(*) FILTER (substr(t, pos + 1, len) <> p) AS n_wrong FROM f GROUP BY 1"),
+    "mems_part": (
+        mems_part,
+        """WITH x AS (SELECT p_partkey, p_type AS p, p_name AS t, unnest(range(1, length(p_type) + 1)) AS i FROM part),
+        m AS (SELECT *, coalesce(list_max(list_filter(range(1, length(p) - i + 2), lambda k: contains(t, substr(p, i, k)))), 0) AS ms FROM x),
+        b AS (SELECT *, lag(ms) OVER (PARTITION BY p_partkey ORDER BY i) AS pm FROM m)
+        SELECT p_partkey, (i - 1)::INTEGER AS start, ms::INTEGER AS len, CASE WHEN ms > 0 THEN strpos(t, substr(p, i, ms)) - 1 ELSE -1 END::INTEGER AS text_pos FROM b WHERE ms = 0 OR pm IS NULL OR pm <= ms""",
+    ),
+    "longest_prefix_part": (
+        longest_prefix_part,
+        f"WITH x AS (SELECT p_partkey, reverse(p_type) AS p, unnest(list_transform(range(1, length(p_name) + 1), lambda e: reverse(left(p_name, e)))) AS r FROM part) SELECT p_partkey, max({_COMMON.format(a='p', b='r')})::INTEGER AS matched FROM x GROUP BY 1",
+    ),
+    "owners_conversations": (
+        owners_conversations,
+        """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations),
+        s AS (SELECT conv_id, turn, n, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t),
+        p AS (SELECT conv_id, unnest(range(0, sum(n)::BIGINT, 100)) AS at FROM t GROUP BY 1 HAVING sum(n) > 0)
+        SELECT p.conv_id, p.at, s.turn, p.at - s.start AS "offset" FROM p ASOF JOIN (SELECT * FROM s WHERE n > 0) s ON p.conv_id = s.conv_id AND p.at >= s.start""",
+    ),
+    "prefix_search_part": (prefix_search_part, "WITH q AS (SELECT left(p_name, 3) AS prefix FROM part UNION SELECT left(p_type, 2) FROM part), n AS (SELECT DISTINCT p_name FROM part) SELECT prefix, count(*) AS n FROM q JOIN n ON starts_with(p_name, prefix) GROUP BY 1"),
+    "keywords_part": (keywords_part, "SELECT p_name AS keyword FROM part UNION SELECT p_brand FROM part EXCEPT SELECT p_name FROM part WHERE p_size < 10"),
+    "string_oracle_part": (
+        string_oracle_part,
+        f"""SELECT p_partkey, CASE WHEN p_partkey % 5 < length(p_name) THEN substr(p_name, p_partkey % 5 + 1, 1) ELSE '' END AS at_i, substr(p_name, p_partkey % 5 + 1, 4) AS shown,
+        {_COMMON.format(a='substr(p_type, p_partkey % 5 + 1)', b='p_name')}::INTEGER AS lcp, {_TAIL}::INTEGER AS lcs,
+        CASE WHEN {_TAIL} < length(p_type) AND {_TAIL} < length(p_name) THEN substr(reverse(p_name), {_TAIL} + 1, 1) END AS ended_by FROM part""",
+    ),
+    "dna_documents": (
+        dna_documents,
+        """WITH d AS (SELECT doc_id AS text_id, text, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS dna FROM documents)
+        SELECT text_id, length(dna)::INTEGER AS n, ((length(dna) + 30) // 31)::INTEGER AS n_blocks,
+        CASE WHEN length(dna) > 0 THEN list_reduce(list_prepend(0::BIGINT, list_transform(string_split(left(dna, 31), ''), lambda c: (strpos('ACGT', c) - 1)::BIGINT)), lambda h, x: h * 4 + x) END AS first_block,
+        md5(dna) AS dna_md5, regexp_full_match(text, '[ACGTacgt]*') AS was_dna FROM d""",
+    ),
+    "clean_documents": (
+        clean_documents,
+        "SELECT doc_id AS text_id, md5(replace(text, chr(10), '')) AS one_line, md5(replace(text, 'N', '')) AS without_n, length(regexp_replace(text, '[^ACGT]', '', 'g'))::INTEGER AS n_dna, md5(regexp_replace(text, '[\\n\\x00]\\z', '')) AS trimmed FROM documents",
+    ),
+    "replace_n_part": (
+        replace_n_part,
+        "SELECT p_partkey AS text_id, list_aggregate(list_transform(string_split(upper(p_name), ''), lambda c, i: CASE WHEN c = 'N' THEN substr('ATCG', ((i - 1) * 7 + (i - 1) // 4) % 4 + 1, 1) ELSE c END), 'string_agg', '') AS replaced FROM part",
+    ),
+    "sample_patterns_documents": (
+        sample_patterns_documents,
+        """WITH d AS (SELECT doc_id AS text_id, text, length(text) - 19 AS room, unnest(range(0, 3)) AS i FROM documents WHERE length(text) >= 20)
+        SELECT text_id, i AS pattern_id, '>pattern' || i AS header, substr(text, ((((text_id % 1000003 * 31 + i * 7919) % 2147483648) * 1103515245 + 12345) % 2147483648 % room)::INTEGER + 1, 20) AS seq FROM d""",
+    ),
+    "query_stats_benchmark": (query_stats_benchmark, "SELECT 3 * (SELECT count(*) FROM documents WHERE length(text) >= 20) + (SELECT count(*) FROM benchmark) AS patterns, (60 * (SELECT count(*) FROM documents WHERE length(text) >= 20) + (SELECT sum(length(text)) FROM benchmark))::BIGINT AS characters"),
+    "lz77_part": (lz77_part, _LZ.format(first="0", source="left(t, i)", most="length(t) - i")),
+    "lz77_roundtrip_part": (lz77_roundtrip_part, "SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_name AS decoded FROM part"),
+    "lz_end_roundtrip_part": (lz_end_roundtrip_part, "SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_name AS decoded FROM part"),
+    "rlz_part": (rlz_part, _LZ.format(first="least(4, length(t))", source="left(t, 4)", most="least(4, length(t) - i)")),
+    "rlz_roundtrip_part": (rlz_roundtrip_part, "SELECT p_partkey AS text_id, p_name AS decoded FROM part"),
+    "pfp_dictionary_turns": (pfp_dictionary_turns, f"WITH {_PFP} SELECT phrase, occ, rank FROM d"),
+    "pfp_parse_turns": (pfp_parse_turns, f"WITH {_PFP} SELECT text_id, ord::INTEGER AS ord, rank FROM f JOIN d USING (phrase)"),
+    "pfp_roundtrip_turns": (pfp_roundtrip_turns, "SELECT conv_id * 1000 + turn AS text_id, text FROM conversations WHERE length(text) > 0"),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in ENTRIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in ENTRIES.items() if sql}
