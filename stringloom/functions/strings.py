@@ -40,7 +40,7 @@ def _match(a: Column, b: Column) -> Column:
     most = F.least(F.length(a), F.length(b))
     start = F.struct(F.lit(0).alias("low"), most.alias("high"))
     steps = F.sequence(F.lit(0), F.ceil(F.log2(most + 2)).cast("int"))
-    return F.when(most.isNotNull(), F.aggregate(steps, start, halve, lambda s: s["low"]))
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(steps, start, halve, lambda s: s["low"]))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

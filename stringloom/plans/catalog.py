@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import parse, search, suffix, suffixient
+from ..operators import fm, index, parse, search, suffix, suffixient
 from ..session import settle
 from ..sources import texts as sources
 
@@ -61,6 +61,25 @@ def bwt_run_table_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.runs(suffix.suffixes(_names(spark, sf_dir)))
 
 
+def lf_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.last_to_first(settle(suffix.suffixes(_names(spark, sf_dir)), "suffixes"))
+
+
+def fm_count_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backward search of the last two letters of each type in the name."""
+    asked = _pairs(spark, sf_dir).select(F.col("p_partkey").alias("pattern_id"), F.col("p_partkey").alias("text_id"), F.expr("right(lower(p_type), 2)").alias("seq"))
+    return fm.backward_count(asked, settle(suffix.suffixes(_names(spark, sf_dir)), "suffixes")).select("pattern_id", "n")
+
+
+def pa_index_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build(_names(spark, sf_dir), "PA").select("text_id", "ord", "ch", "pos", "key")
+
+
+def sa_index_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sA index: entries, and their keys and positions in bytes."""
+    return index.stored_bytes(index.build(_names(spark, sf_dir), "sA"))
+
+
 _SUFFIXES = """
 s AS (SELECT p_partkey AS text_id, {text} AS t FROM part WHERE length(p_name) > 0),
 x AS (SELECT text_id, t, unnest(range(0, length(t) + 1)) AS sa FROM s),
@@ -286,6 +305,13 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "prefix_array_part": (prefix_array_part, f'WITH {_REVERSED} SELECT text_id, rank, (length(t) - sa - 1)::INTEGER AS "end" FROM o WHERE rank > 0'),
     "bwt_runs_part": (bwt_runs_part, f"WITH {_FORWARD}, {_RUNS} SELECT text_id, max(run)::BIGINT AS runs FROM n GROUP BY text_id"),
     "bwt_run_table_part": (bwt_run_table_part, f"WITH {_FORWARD}, {_RUNS} SELECT text_id, run::BIGINT AS run, min(bwt) AS ch, min(rank) AS start, count(*) AS length FROM n GROUP BY text_id, run"),
+    "lf_part": (lf_part, f"WITH {_FORWARD} SELECT a.text_id, a.rank, a.bwt AS ch, b.rank AS lf FROM o a JOIN o b ON a.text_id = b.text_id AND b.sa = a.sa - 1"),
+    "fm_count_part": (fm_count_part, "SELECT p_partkey AS pattern_id, len(list_filter(range(0, length(p_name)), lambda i: substr(p_name, i + 1, 2) = right(lower(p_type), 2)))::BIGINT AS n FROM part"),
+    "pa_index_part": (
+        pa_index_part,
+        f"WITH {_REVERSED}, p AS (SELECT text_id, rank, (length(t) - sa - 1)::INTEGER AS pos, substr(t, sa + 1, 1) AS ch, substr(t, sa + 1, 14) AS key FROM o WHERE rank > 0) SELECT text_id, (row_number() OVER (PARTITION BY text_id ORDER BY ch, rank) - 1)::INTEGER AS ord, ch, pos, key FROM p",
+    ),
+    "sa_index_part": (sa_index_part, None),
     "suffixient_strings_part": (suffixient_strings_part, f"WITH {_EXTENSIONS} SELECT text_id, extension FROM z"),
     "suffixient_chi_part": (suffixient_chi_part, f"WITH {_EXTENSIONS} SELECT text_id, length(t)::INTEGER AS n, count(*) AS chi, length(t) / count(*) AS n_over_chi FROM z JOIN s USING (text_id) GROUP BY text_id, t"),
     "suffixient_multiplicities_part": (
