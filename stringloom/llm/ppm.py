@@ -12,7 +12,8 @@ out once per distinct gram, by joins between the levels, and summed up per docum
 Jobs: the documents are laid down in blocks of about BLOCK_BYTES; every block lists its
 distinct words (as 64-bit hashes) and grams with their counts in training texts; the counts
 are summed over all blocks by a shuffle; the grams' and words' logarithms go back to the
-blocks that asked for them, and each block scores its own documents. So no task and no
+blocks that asked for them, and each block scores its own documents. A word that only one
+block holds needs no answer: that block's own count is the whole one. So no task and no
 broadcast holds the whole model, and what is gathered grows with the corpus.
 
 Words are runs of other than ASCII white space, with A-Z lower-cased; each text is followed
@@ -39,7 +40,7 @@ from .shared import settle
 
 ORDER = 4
 SYMBOLS = 257
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 CHUNK = 1 << 19
 
 WORD, GRAM = 0, 1
@@ -211,11 +212,11 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
     fields = docs.schema.fields
     blocks = lay_down(docs, text, train, block_bytes)
     listed = settle(tally(blocks, text, order), "lm-tally")
-    counts = settle(listed.where("n > 0").groupBy("kind", "code").agg(F.sum("n").alias("c")), "lm-counts")
-    n, v = counts.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = counts.where(F.col("kind") == WORD).select("kind", "code", F.log10(F.col("c") + F.lit(0.1)).alias("value"))
-    asked = listed.where(F.col("kind") == GRAM).select("code").distinct()
-    symbols = gram_scores(counts.where(F.col("kind") == GRAM).select("code", "c"), asked, order)
+    counts = settle(listed.groupBy("kind", "code").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "lm-counts")
+    n, v = counts.where((F.col("kind") == WORD) & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    words = counts.where((F.col("kind") == WORD) & (F.col("c") > 0) & (F.col("blocks") > 1)).select("kind", "code", F.log10(F.col("c") + F.lit(0.1)).alias("value"))
+    every = counts.where(F.col("kind") == GRAM)
+    symbols = gram_scores(every.where("c > 0").select("code", "c"), every.select("code"), order)
     values = words.unionByName(symbols.select(F.lit(GRAM).alias("kind"), "code", "value"))
     answers = listed.select("kind", "code", "block").join(values, ["kind", "code"]).select("block", "kind", "code", "value")
     share = float(np.log10(n + 0.1 * (v + 1))) if n or v else float(np.log10(0.1))
@@ -237,21 +238,35 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             return keys[at] == wanted, values[at]
 
+        batches = [(batch, list(textscan.segments(batch.column(text), textscan.SPACED))) for batch in left.to_batches(max_chunksize=2_000)]
+        train = [batch.column("_train").to_numpy(zero_copy_only=False) for batch, _ in batches]
+        taught = [h[np.repeat(t[a:b], c)] for (_, found), t in zip(batches, train) for a, b, h, c in found]
+        own, own_counts = np.unique(np.concatenate([*taught, np.full(sum(map(np.sum, train)), END, np.uint64)]), return_counts=True)
+
+        def words_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Whether each word is known, and the log10 of its count + 0.1."""
+            have, value = look(WORD, hashes.view(np.int64))
+            if not len(own):
+                return have, np.where(have, value, -1.0)
+            at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+            here = own[at] == hashes
+            return have | here, np.where(have, value, np.log10(np.where(here, own_counts[at], 0) + 0.1))
+
+        (end_known,), (end_value,) = words_of(np.array([END], np.uint64))
         out = []
-        for batch in left.to_batches(max_chunksize=2_000):
+        for batch, found in batches:
             m, column = batch.num_rows, batch.column(text)
-            tokens, in_train, base, total = np.ones(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
-            have, value = look(WORD, np.array([END]))
-            in_train += have[0]
-            base += value[0] if have[0] else -1.0
-            for first, last, hashes, counted in textscan.segments(column, textscan.SPACED):
+            tokens, in_train, base, total = np.ones(m, np.int64), np.full(m, int(end_known)), np.full(m, end_value), np.zeros(m)
+            for first, last, hashes, counted in found:
                 rows = np.repeat(np.arange(len(counted)), counted)
-                have, value = look(WORD, hashes.view(np.int64))
+                have, value = words_of(hashes)
                 tokens[first:last] += counted
                 in_train[first:last] += np.bincount(rows, have, len(counted)).astype(np.int64)
-                base[first:last] += np.bincount(rows, np.where(have, value, -1.0), len(counted))
+                base[first:last] += np.bincount(rows, value, len(counted))
             for first, wanted, counted in grams(column, order):
-                _, value = look(GRAM, wanted)
+                have, value = look(GRAM, wanted)
+                if not have.all():
+                    raise ValueError("a gram of this block was not listed")
                 total[first : first + len(counted)] += np.bincount(np.repeat(np.arange(len(counted)), counted), value, len(counted))
             out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(in_train), pa.array(np.full(m, n)), pa.array(base - tokens * share), pa.array(total)], names=schema.names))
         return pa.Table.from_batches(out)

@@ -40,7 +40,7 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +49,21 @@ def hash_mod(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
+class Remembered(dict):
+    """Values worked out once per key, up to a bounded number; a full memory is emptied."""
+
+    def __init__(self, work_out, most: int):
+        super().__init__()
+        self.work_out, self.most = work_out, most
+
+    def __missing__(self, key):
+        value = self.work_out(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
+
+
 def let(value: Column, body) -> Column:
     """Bind a value once for use inside lambdas.
 
