@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.strings import common_prefix
 from ..session import settle
 from .suffix import range_minima, reversed_texts, suffixes
 
@@ -57,12 +58,23 @@ def extensions(chosen: DataFrame, texts: DataFrame, text_id: str = "text_id", te
 
 
 def index(chosen: DataFrame) -> DataFrame:
-    """(text_id, ord, ch, pos, lcs, len): by character, then co-lexicographic; lcs with the one before in its bucket, len: larger of both neighbours'."""
+    """The set with its place in the order by character, then co-lexicographic (ord), and within its bucket (in_bucket)."""
     bucket = Window.partitionBy("text_id", "ch").orderBy("rank")
     all_of = Window.partitionBy("text_id").orderBy("ch", "rank")
     return chosen.withColumn("ord", F.row_number().over(all_of) - 1).withColumn("in_bucket", F.row_number().over(bucket) - 1)
 
 
+def neighbours(chosen: DataFrame, texts: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
+    """(text_id, ch, rank, pos, lcs, len): common suffix with the entry before in the bucket, and the larger of both neighbours'."""
+    own = texts.select(F.col(text_id).alias("text_id"), F.reverse(F.col(text)).alias("_rev"), F.length(text).alias("_n"))
+    bucket = Window.partitionBy("text_id", "ch").orderBy("rank")
+    before = chosen.withColumn("_prev", F.lag("pos").over(bucket)).join(own, "text_id")
+    tail = lambda c: F.substring("_rev", F.col("_n") - F.col(c), F.col(c) + 1)  # noqa: E731  the prefix up to pos, reversed
+    shared = common_prefix(tail("pos"), tail("_prev"))
+    lcs = before.select("text_id", "ch", "rank", "pos", F.coalesce(shared, F.lit(0)).alias("lcs"))
+    return lcs.withColumn("len", F.greatest("lcs", F.coalesce(F.lead("lcs").over(bucket), F.lit(0))))
+
+
 def multiplicities(chosen: DataFrame) -> DataFrame:
     """(text_id, ch, n, first): entries per last character and the bucket's first place."""
     counts = chosen.groupBy("text_id", "ch").agg(F.count("*").alias("n"))

@@ -75,6 +75,12 @@ def test_suffixient_sets(texts):
     assert [r["pos"] for r in ordered] == [16, 15, 11, 17, 8, 5, 10, 7]
 
 
+def test_neighbours_golden(texts):
+    rows = suffixient.neighbours(suffixient.suffixient_set(texts), texts).where("text_id = 0").orderBy("ch", "rank").collect()
+    assert [r["lcs"] for r in rows] == [0, 2, 1, 0, 1, 0, 2, 2]
+    assert {r["pos"] + 1: r["len"] for r in rows} == {17: 2, 6: 2, 18: 1, 11: 2, 16: 2, 8: 2, 12: 1, 9: 1}
+
+
 def test_algorithm_names(texts):
     with pytest.raises(ValueError):
         suffixient.suffixient_set(texts, algorithm="other")
