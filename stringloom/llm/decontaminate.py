@@ -154,9 +154,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", mask: str = " ", **kw) -> DataFrame:
-    """Each document with its hit words cut out of the text (a run of words becomes the mask).
+    """Each document with its hit words, and what stands before each of them, replaced by the mask.
 
-    The text is cut at word borders of the original, so what is not hit stays byte for byte.
+    Everything else stays byte for byte.
     """
     out = scan(docs, benchmark, text=text, found="_found", **kw)
     word = r"[a-z0-9A-Z\x{80}-\x{10FFFF}]+"
