@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Remembered pieces, halves and boundary pairs per worker; a full memory is emptied.
-REMEMBERED = 250_000
+from .shared import Remembered
+
+#: Remembered halves, boundary pairs and windows, and pieces, per worker; a full memory is emptied.
+REMEMBERED, PIECES = 250_000, 600_000
 
 #: Texts over so many characters are split into pieces lazily, in runs of RUN pieces.
 LONG_TEXT, RUN = 1_000_000, 100_000
@@ -49,40 +51,60 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.halves: dict[bytes, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.windows: dict[bytes, tuple[int, ...]] = {}
+        self.pieces = Remembered(self.piece, PIECES)
 
     def merge(self, data: bytes) -> tuple[int, ...]:
-        """Plain merging of the lowest-ranked neighbours; only for short windows."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
+        """Plain merging of the lowest-ranked neighbours; only for short windows, which are remembered."""
+        got = self.windows.get(data)
+        if got is not None:
+            return got
+        parts, rank = [data[i : i + 1] for i in range(len(data))], self.ranks.get
         while len(parts) > 1:
-            best, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
+            best, at = None, 0
+            left = parts[0]
+            for i in range(1, len(parts)):
+                right = parts[i]
+                r = rank(left + right)
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+                left = right
+            if best is None:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+            parts[at - 1 : at + 1] = [parts[at - 1] + parts[at]]
+        got = tuple([self.ranks[p] for p in parts])
+        if len(data) <= 32:
+            if len(self.windows) >= REMEMBERED:
+                self.windows.clear()
+            self.windows[data] = got
+        return got
 
-    def compatible(self, left: int, right: int) -> bool:
+    def pair(self, left: int, right: int) -> tuple[int, ...]:
+        """The encoding of two tokens' joined bytes: the two themselves if they are compatible."""
         got = self.pairs.get((left, right))
         if got is None:
             if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
-            got = self.pairs[left, right] = self.merge(self.tokens[left] + self.tokens[right]) == (left, right)
+            got = self.pairs[left, right] = self.merge(self.tokens[left] + self.tokens[right])
         return got
 
+    def compatible(self, left: int, right: int) -> bool:
+        return self.pair(left, right) == (left, right)
+
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the joined bytes of two encodings."""
-        if not left or not right or self.compatible(left[-1], right[0]):
+        if not left or not right:
             return left + right
         i = j = 1
+        window = self.pair(left[-1], right[0])
         while True:
-            window = self.merge(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j])))
             fits_left = i == len(left) or self.compatible(left[-i - 1], window[0])
             fits_right = j == len(right) or self.compatible(window[-1], right[j])
             if fits_left and fits_right:
                 return left[: len(left) - i] + window + right[j:]
             i, j = (i if fits_left else min(2 * i, len(left))), (j if fits_right else min(2 * j, len(right)))
+            window = self.merge(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j])))
 
     def reduce(self, data: bytes) -> tuple[int, ...]:
         """Encode halves recursively and join them."""
@@ -98,17 +120,11 @@ class Codec:
                 self.halves[data] = got
         return got
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        got = self.pieces.get(text)
-        if got is None:
-            data = text.encode()
-            whole = self.ranks.get(data)  # a piece that is a token is that token
-            got = self.reduce(data) if whole is None else (whole,)
-            if len(text) <= 64:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[text] = got
-        return got
+    def piece(self, text: str) -> bytes:
+        """The ids of a piece as 32-bit integers."""
+        data = text.encode()
+        whole = self.ranks.get(data)  # a piece that is a token is that token
+        return np.array(self.reduce(data) if whole is None else (whole,), np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if len(text) <= LONG_TEXT:
@@ -118,8 +134,7 @@ class Codec:
         return np.concatenate([self._ids(run) for run in runs])
 
     def _ids(self, pieces: list[str]) -> np.ndarray:
-        known = self.pieces.get
-        return np.fromiter(chain.from_iterable(known(p) or self.piece(p) for p in pieces), np.int32)
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= 4096:
