@@ -271,4 +271,4 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
             out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(in_train), pa.array(np.full(m, n)), pa.array(base - tokens * share), pa.array(total)], names=schema.names))
         return pa.Table.from_batches(out)
 
-    return blocks.withColumnRenamed("_block", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("_block").cogroup(answers.withColumnRenamed("block", "_block").groupBy("_block")).applyInArrow(run, schema)

@@ -67,7 +67,7 @@ def sample(seed, n):
 @pytest.mark.parametrize("seed,nobody", [(1, False), (2, False), (3, True)])
 def test_matches_brute_force(spark, seed, nobody):
     texts = sample(seed, 60) + ["same text again"] * 3
-    df = spark.createDataFrame([(i, t if t or i % 2 else None, i) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens_old int").repartition(3)
+    df = spark.createDataFrame([(i, t if t or i % 2 else None, i) for i, t in enumerate(texts)], "doc_id long, text string, block int").repartition(3)
     fold = hash_mod(F.col("doc_id"), 10)
     train = F.lit(False) if nobody else fold != 0
     got = {r["doc_id"]: r for r in ppm.score(df.withColumn("tr", train), F.col("tr"), order=ORDER, block_bytes=700).collect()}
