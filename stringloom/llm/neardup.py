@@ -47,7 +47,7 @@ MAX_DISTANCE = 26
 #: A second signature of FINE parts of 4 bits, two to a byte, tells pairs across components
 #: apart before they are listed: at a similarity of 0.8, 13/16 of its parts agree, and fewer
 #: than FINE_LEAST do for one pair in ten million.
-FINE = 768
+FINE = 2048
 FINE_LEAST = int(FINE * (13 / 16) - 5.2 * (FINE * 13 / 16 * 3 / 16) ** 0.5)
 
 #: Members of a block when the pairs across components are listed.
@@ -161,7 +161,7 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """Of pairs (a, id_a, b, id_b) the links (a, b): 100 * intersection >= percent * union, on the full sets."""
-    ids = settle(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "pair-ids")
+    ids = settle(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b"))).distinct(), "pair-ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(few, "id", "left_semi")
     one, two = (texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
