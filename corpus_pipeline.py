@@ -43,7 +43,7 @@ def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     vocabulary = public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), *vocabulary), *vocabulary)
+    both = bpe.encode(docs.select("doc_id", "lang", "source", "text"), *vocabulary, decoded="decoded")
     same = F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

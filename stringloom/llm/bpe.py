@@ -8,7 +8,7 @@ compatible the halves are simply concatenated; else a window of boundary tokens
 anew and grows on either side until its outer borders are compatible, which proves that the
 tokens outside it stay. Decoding concatenates the tokens' bytes up the same kind of tree.
 
-Pieces and halves repeat, so their encodings are remembered in each Python worker, up to a
+Pieces and halves repeat, so their encodings are remembered while a task runs, up to a
 bounded number. Documents never leave their row: no shuffle.
 
 Defined cases: null and empty texts give no ids and decode to no bytes; ids that are null
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .shared import Remembered
 
-#: Remembered halves, boundary pairs and windows, and pieces, per worker; a full memory is emptied.
-REMEMBERED, PIECES = 250_000, 600_000
+#: Remembered halves, boundary pairs and windows, and pieces, per task; a full memory is emptied.
+REMEMBERED, PIECES = 150_000, 400_000
 
 #: Texts over so many characters are split into pieces lazily, in runs of RUN pieces.
 LONG_TEXT, RUN = 1_000_000, 100_000
@@ -55,6 +55,11 @@ class Codec:
         self.windows: dict[bytes, tuple[int, ...]] = {}
         self.pieces = Remembered(self.piece, PIECES)
 
+    def forget(self) -> None:
+        """Empty all memories: the Python worker may go on to other work."""
+        for memory in (self.halves, self.pairs, self.windows, self.pieces):
+            memory.clear()
+
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Plain merging of the lowest-ranked neighbours; only for short windows, which are remembered."""
         got = self.windows.get(data)
@@ -158,23 +163,29 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", drop_text: bool = False) -> DataFrame:
-    """The rows with a column of token ids (array of int) last; an older column of that name is replaced."""
-    source = docs
+def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", drop_text: bool = False, decoded: str | None = None) -> DataFrame:
+    """The rows with a column of token ids (array of int) last; an older column of that name is replaced.
+
+    With `decoded`, a binary column of what the ids decode to follows, from the same pass.
+    """
 
     def run(batches):
         own = codec(path, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                rows = [own.encode(x) if x else np.empty(0, np.int32) for x in batch.column(text).to_pylist()]
-                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
-                yield _with_column(batch.drop_columns([text]) if drop_text else batch, ids, values)
-
-    kept = T.StructType([f for f in source.schema.fields if not (drop_text and f.name == text)])
-    schema = T.StructType([f for f in kept.fields if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return source.mapInArrow(run, schema)
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    rows = [own.encode(x) if x else np.empty(0, np.int32) for x in batch.column(text).to_pylist()]
+                    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
+                    out = _with_column(batch.drop_columns([text]) if drop_text else batch, ids, values)
+                    yield _with_column(out, decoded, pa.array([own.decode(r) for r in rows], pa.binary())) if decoded else out
+        finally:
+            own.forget()
+
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
+    kept = [f for f in docs.schema.fields if not (drop_text and f.name == text) and f.name not in (ids, decoded)]
+    return docs.mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -51,10 +51,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     vocabulary = public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary, drop_text=True)
-    decoded = bpe.decode(encoded, *vocabulary)
+    both = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary, drop_text=True, decoded="decoded")
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

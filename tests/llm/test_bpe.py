@@ -43,6 +43,12 @@ def test_frame_round_trip(spark, library):
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
+def test_one_pass(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    for r in bpe.encode(df, PATH, public.PATTERN, decoded="decoded").collect():
+        assert bytes(r["decoded"]) == (r["text"] or "").encode()
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(df, PATH, public.PATTERN), PATH, public.PATTERN).collect() == []
