@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle, shared_dir
+from .shared import Remembered, settle, shared_dir
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
@@ -173,46 +173,29 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
         self.model = self.tokenizer.model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
+        self.known = Remembered(self.ids, REMEMBERED)  # ids as little-endian unsigned 32-bit integers
 
     def chunks(self, text: str) -> list[str]:
         text = text if BEYOND_LATIN.search(text) else text.lower()
         # str.split() also takes 0x1C-0x1F for white space, the tokenizer doesn't
         return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else _split(text)
 
-    def learn(self, chunks: set[str]) -> None:
-        other, known, tokenize, letters = [], self.known, self.model.tokenize, self.bytes.pre_tokenize_str
-        for c in chunks:
-            stem = c[:-1] if c[-1] in ".," else c
-            if PLAIN.fullmatch(stem):
-                ids = known.get(stem)
-                if ids is None:
-                    found = tokenize(stem if stem.isascii() else letters(stem)[0][0])
-                    ids = known[stem] = np.array([t.id for t in found], "<u4").tobytes()
-                if len(stem) < len(c):
-                    known[c] = ids + self.stop(c[-1])
-            else:
-                other.append(c)
-        for i in range(0, len(other), 10_000):
-            part = other[i : i + 10_000]
-            known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-
-    def stop(self, mark: str) -> bytes:
-        if mark not in self.known:
-            self.known[mark] = np.array([t.id for t in self.model.tokenize(mark)], "<u4").tobytes()
-        return self.known[mark]
+    def ids(self, chunk: str) -> bytes:
+        """The ids of a chunk that isn't remembered."""
+        stem = chunk[:-1] if chunk[-1] in ".," else chunk
+        if len(stem) < len(chunk) and PLAIN.fullmatch(stem):
+            return self.known[stem] + self.word(chunk[-1])
+        if PLAIN.fullmatch(chunk):
+            return self.word(chunk if chunk.isascii() else self.bytes.pre_tokenize_str(chunk)[0][0])
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, shown: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of the texts, each followed by the end id."""
-        rows = [self.chunks(x) if x else [] for x in texts]
-        here = set(chain.from_iterable(rows))
-        new = here - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = here
-        self.learn(new)
-        known, last = self.known.__getitem__, np.array([end], "<u4").tobytes()
-        packed = [b"".join(map(known, row)) + last for row in rows]
+        known, last = self.known.__getitem__, end.to_bytes(4, "little")
+        packed = [b"".join(map(known, self.chunks(x))) + last if x else last for x in texts]
         lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         return lengths, np.frombuffer(b"".join(packed), "<u4")
 
@@ -270,6 +253,8 @@ def filesystem(uri: str):
     """The file system of a shared folder and the path in it."""
     from pyarrow import fs
 
+    if uri.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
 
 
