@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringloom.llm import bpe, decontaminate, neardup, secrets, toxicity
-from stringloom.llm.shared import hash_mod, settle, table
+from stringloom.llm.shared import hash_mod, settle, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects; it learns from four fifths of the labels."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(hash_mod(F.col("doc_id"), 5) != 0)
     return toxicity.reject(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    small_batches(spark)
     return neardup.keep_one(docs, k=5, percent=80)
 
 
@@ -42,6 +44,7 @@ def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether decoding the ids gives the text back."""
     import public_tokenizers as public
 
+    small_batches(spark)
     vocabulary = public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN
     both = bpe.encode(docs.select("doc_id", "lang", "source", "text"), *vocabulary, decoded="decoded")
     same = F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")
