@@ -178,6 +178,16 @@ def longest_prefix_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.longest_prefix(_pairs(spark, sf_dir), "p_partkey", "p_type", "p_name").select("p_partkey", "matched")
 
 
+def mems_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal exact matches of the whole benchmark texts in the documents."""
+    return search.mems_in(_items(spark, sf_dir), _documents(spark, sf_dir))
+
+
+def longest_prefix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long a suffix of each benchmark text some prefix of a document shares."""
+    return search.longest_prefix_in(_items(spark, sf_dir), mems_documents(spark, sf_dir))
+
+
 def owners_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as one text: which turn every hundredth position lies in, and how far."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))
@@ -214,6 +224,16 @@ def string_oracle_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def string_oracle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal match of a benchmark text read back: the common prefix from its start and the common suffix up to its end."""
+    found = mems_documents(spark, sf_dir).where("len > 0").join(_items(spark, sf_dir), "pattern_id").join(_documents(spark, sf_dir), "text_id")
+    a, i, b, j = F.col("seq"), F.col("start"), F.col("text"), F.col("text_pos")
+    tail = strings.lcs_char(a, i + F.col("len") - 1, b, j + F.col("len") - 1)
+    return found.select(
+        "pattern_id", "start", "len", strings.extract(b, j).alias("at_i"), strings.display(b, j, j + 3).alias("shown"), strings.lcp(a, i, b, j).alias("lcp"), tail["lcs"].alias("lcs"), tail["char"].alias("ended_by")
+    )
+
+
 def dna_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sequences: cleaned, packed into two bits a character, unpacked again."""
     docs = _documents(spark, sf_dir).withColumn("dna", sources.keep_dna(F.upper(F.coalesce("text", F.lit(""))))).withColumn("blocks", strings.dna_pack(F.col("dna")))
@@ -341,6 +361,8 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
         longest_prefix_part,
         f"WITH x AS (SELECT p_partkey, reverse(p_type) AS p, unnest(list_transform(range(1, length(p_name) + 1), lambda e: reverse(left(p_name, e)))) AS r FROM part) SELECT p_partkey, max({_COMMON.format(a='p', b='r')})::INTEGER AS matched FROM x GROUP BY 1",
     ),
+    "mems_documents": (mems_documents, None),
+    "longest_prefix_documents": (longest_prefix_documents, None),
     "owners_conversations": (
         owners_conversations,
         """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations),
@@ -356,6 +378,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
         {_COMMON.format(a='substr(p_type, p_partkey % 5 + 1)', b='p_name')}::INTEGER AS lcp, {_TAIL}::INTEGER AS lcs,
         CASE WHEN {_TAIL} < length(p_type) AND {_TAIL} < length(p_name) THEN substr(reverse(p_name), {_TAIL} + 1, 1) END AS ended_by FROM part""",
     ),
+    "string_oracle_documents": (string_oracle_documents, None),
     "dna_documents": (
         dna_documents,
         """WITH d AS (SELECT doc_id AS text_id, text, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS dna FROM documents)
