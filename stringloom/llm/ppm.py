@@ -38,10 +38,12 @@ from pyspark.sql import types as T
 from . import textscan
 from .shared import settle
 
-ORDER = 4
+ORDER = 6
 SYMBOLS = 257
 BLOCK_BYTES = 32 << 20
 CHUNK = 1 << 19
+#: A block's codes are in order, so their differences take less room.
+DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#code": "false"}
 
 WORD, GRAM = 0, 1
 #: Stands for the end token among the word hashes.
@@ -211,7 +213,7 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
     """The rows with n_tokens, n_known, train_tokens, base_score and score last."""
     fields = docs.schema.fields
     blocks = lay_down(docs, text, train, block_bytes)
-    listed = settle(tally(blocks, text, order), "lm-tally")
+    listed = settle(tally(blocks, text, order), "lm-tally", DELTAS)
     counts = settle(listed.groupBy("kind", "code").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "lm-counts")
     n, v = counts.where((F.col("kind") == WORD) & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where((F.col("kind") == WORD) & (F.col("c") > 0) & (F.col("blocks") > 1)).select("kind", "code", F.log10(F.col("c") + F.lit(0.1)).alias("value"))

@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, purpose: str) -> DataFrame:
+def settle(df: DataFrame, purpose: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

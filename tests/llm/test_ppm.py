@@ -103,3 +103,11 @@ def test_long_text_in_runs(monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ppm.score(df, F.lit(True)).collect() == []
+
+
+def test_default_looks_six_bytes_back(spark):
+    texts = ["1abcde2 3abcde4 " * 20] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("tr", F.col("doc_id") > 0)
+    score = lambda **kw: {r["doc_id"]: r["score"] for r in ppm.score(df, F.col("tr"), **kw).collect()}[0]
+    assert score() == pytest.approx(score(order=6), abs=1e-6)
+    assert score() > score(order=4) + 10
