@@ -71,6 +71,12 @@ def fm_count_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.backward_count(asked, settle(suffix.suffixes(_names(spark, sf_dir)), "suffixes")).select("pattern_id", "n")
 
 
+def fm_count_types_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backward search of each whole type in the name."""
+    asked = _pairs(spark, sf_dir).select(F.col("p_partkey").alias("pattern_id"), F.col("p_partkey").alias("text_id"), F.lower("p_type").alias("seq"))
+    return fm.backward_count(asked, settle(suffix.suffixes(_names(spark, sf_dir)), "suffixes")).select("pattern_id", "n")
+
+
 def pa_index_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.build(_names(spark, sf_dir), "PA").select("text_id", "ord", "ch", "pos", "key")
 
@@ -200,6 +206,26 @@ def owners_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.owners(places, starts, "conv_id", "at", "turn", "start")
 
 
+def owners_borders_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one text: the turn and offset of every turn's first and last position."""
+    from pyspark.sql import Window
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    starts = turns.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
+    borders = starts.select("conv_id", F.explode(F.array_distinct(F.array(F.col("start"), F.col("start") + F.col("n") - 1))).alias("at"))
+    return search.owners(borders, starts, "conv_id", "at", "turn", "start")
+
+
+def prefix_search_types_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many names start with each name's first three letters, and with each type as names spell it, whole and its first two letters."""
+    part = _table(spark, sf_dir, "part")
+    kind = F.lower("p_type")
+    asked = part.select(F.expr("left(p_name, 3)").alias("q")).unionByName(part.select(F.explode(F.array(kind, F.substring(kind, 1, 2))).alias("q")))
+    names = part.select("p_name").distinct()
+    return search.with_prefix(names, "p_name", asked, "q").groupBy("prefix").agg(F.count("*").alias("n"))
+
+
 def prefix_search_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many names start with each pair of letters that a name or type starts with."""
     part = _table(spark, sf_dir, "part")
@@ -283,6 +309,26 @@ def rlz_roundtrip_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("text_id", parse.decode_rlz(parse.rlz(F.col("text"), F.lit(4)), reference).alias("decoded"))
 
 
+def _after_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text_id, reference, t): each turn after the first turn of its conversation that has a text."""
+    from pyspark.sql import Window
+
+    turns = _table(spark, sf_dir, "conversations").where("length(text) > 0")
+    first = F.first("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), first.alias("reference"), F.concat(first, "text").alias("t"))
+
+
+def rlz_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns as phrases of their conversation's whole first turn; dst counts in the turn, src in the reference."""
+    phrases = parse.rlz(F.col("t"), F.length("reference"))
+    return _after_reference(spark, sf_dir).select("text_id", F.length("reference").alias("n"), F.posexplode(phrases).alias("ord", "p")).select("text_id", "ord", (F.col("p.dst") - F.col("n")).alias("dst"), "p.src", "p.len", "p.ch")
+
+
+def rlz_roundtrip_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    again = parse.decode_rlz(parse.rlz(F.col("t"), F.length("reference")), F.col("reference"))
+    return _after_reference(spark, sf_dir).select("text_id", F.substring(again, F.length("reference") + 1, F.length(again)).alias("decoded"))
+
+
 def pfp_dictionary_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.pfp_dictionary(parse.pfp_phrases(_turns(spark, sf_dir), "text_id", "text", w=5, p=20))
 
@@ -327,6 +373,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "bwt_run_table_part": (bwt_run_table_part, f"WITH {_FORWARD}, {_RUNS} SELECT text_id, run::BIGINT AS run, min(bwt) AS ch, min(rank) AS start, count(*) AS length FROM n GROUP BY text_id, run"),
     "lf_part": (lf_part, f"WITH {_FORWARD} SELECT a.text_id, a.rank, a.bwt AS ch, b.rank AS lf FROM o a JOIN o b ON a.text_id = b.text_id AND b.sa = a.sa - 1"),
     "fm_count_part": (fm_count_part, "SELECT p_partkey AS pattern_id, len(list_filter(range(0, length(p_name)), lambda i: substr(p_name, i + 1, 2) = right(lower(p_type), 2)))::BIGINT AS n FROM part"),
+    "fm_count_types_part": (fm_count_types_part, "SELECT p_partkey AS pattern_id, len(list_filter(range(0, length(p_name)), lambda i: substr(p_name, i + 1, length(p_type)) = lower(p_type)))::BIGINT AS n FROM part"),
     "pa_index_part": (
         pa_index_part,
         f"WITH {_REVERSED}, p AS (SELECT text_id, rank, (length(t) - sa - 1)::INTEGER AS pos, substr(t, sa + 1, 1) AS ch, substr(t, sa + 1, 14) AS key FROM o WHERE rank > 0) SELECT text_id, (row_number() OVER (PARTITION BY text_id ORDER BY ch, rank) - 1)::INTEGER AS ord, ch, pos, key FROM p",
@@ -371,6 +418,16 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
         SELECT p.conv_id, p.at, s.turn, p.at - s.start AS "offset" FROM p ASOF JOIN (SELECT * FROM s WHERE n > 0) s ON p.conv_id = s.conv_id AND p.at >= s.start""",
     ),
     "prefix_search_part": (prefix_search_part, "WITH q AS (SELECT left(p_name, 3) AS prefix FROM part UNION SELECT left(p_type, 2) FROM part), n AS (SELECT DISTINCT p_name FROM part) SELECT prefix, count(*) AS n FROM q JOIN n ON starts_with(p_name, prefix) GROUP BY 1"),
+    "owners_borders_conversations": (
+        owners_borders_conversations,
+        """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations),
+        s AS (SELECT conv_id, turn, n, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t)
+        SELECT conv_id, start AS at, turn, 0::BIGINT AS "offset" FROM s WHERE n > 0 UNION ALL SELECT conv_id, start + n - 1, turn, n - 1 FROM s WHERE n > 1""",
+    ),
+    "prefix_search_types_part": (
+        prefix_search_types_part,
+        "WITH q AS (SELECT left(p_name, 3) AS prefix FROM part UNION SELECT left(lower(p_type), 2) FROM part UNION SELECT lower(p_type) FROM part), n AS (SELECT DISTINCT p_name FROM part) SELECT prefix, count(*) AS n FROM q JOIN n ON starts_with(p_name, prefix) GROUP BY 1",
+    ),
     "keywords_part": (keywords_part, "SELECT p_name AS keyword FROM part UNION SELECT p_brand FROM part EXCEPT SELECT p_name FROM part WHERE p_size < 10"),
     "string_oracle_part": (
         string_oracle_part,
@@ -405,6 +462,8 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "lz_end_roundtrip_part": (lz_end_roundtrip_part, "SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_name AS decoded FROM part"),
     "rlz_part": (rlz_part, _LZ.format(first="least(4, length(t))", source="left(t, 4)", most="least(4, length(t) - i)")),
     "rlz_roundtrip_part": (rlz_roundtrip_part, "SELECT p_partkey AS text_id, p_name AS decoded FROM part"),
+    "rlz_turns": (rlz_turns, None),
+    "rlz_roundtrip_turns": (rlz_roundtrip_turns, "SELECT conv_id * 1000 + turn AS text_id, text AS decoded FROM conversations WHERE length(text) > 0"),
     "pfp_dictionary_turns": (pfp_dictionary_turns, f"WITH {_PFP} SELECT phrase, occ, rank FROM d"),
     "pfp_parse_turns": (pfp_parse_turns, f"WITH {_PFP} SELECT text_id, ord::INTEGER AS ord, rank FROM f JOIN d USING (phrase)"),
     "pfp_roundtrip_turns": (pfp_roundtrip_turns, "SELECT conv_id * 1000 + turn AS text_id, text FROM conversations WHERE length(text) > 0"),
