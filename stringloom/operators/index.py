@@ -1,4 +1,4 @@
-"""The search index as tables: sA, opt-sA and PA variants, written and read as Parquet; index-mode location.
+"""The search index as tables: sA, opt-sA and PA variants, written and read as Parquet, with a look-up of keys.
 
 sA holds the positions of the suffixient set, opt-sA the same with the group of each entry's
 last KEY characters, PA every prefix. Entries are ordered by character, then
@@ -66,12 +66,28 @@ def stored_bytes(index: DataFrame) -> DataFrame:
     return index.groupBy("text_id").agg(F.count("*").alias("entries"), F.sum(F.octet_length("key") + 8).alias("bytes"))
 
 
-def lookup(index: DataFrame, prefixes: DataFrame, key: int = KEY) -> DataFrame:
-    """(pattern_id, text_id, pos): index entries whose key agrees with the end of each pattern prefix.
+def lookup(index: DataFrame, prefixes: DataFrame, key: int = KEY, texts: DataFrame | None = None) -> DataFrame:
+    """(pattern_id, text_id, pos): an index entry where each pattern prefix ends.
 
     prefixes: (pattern_id, text_id, seq). Bucket look-up by the last character and an as-of
-    step among the keys: the entries just before and just after the reversed pattern.
+    step among the keys: the entries just before and just after the reversed pattern. A
+    prefix longer than the key meets every entry of its key, and the rest is compared with the
+    text (texts: text_id, text), which such prefixes need; the smallest position is given.
     """
+    far = prefixes.where(F.length("seq") > key)
+    if texts is None and far.limit(1).count():
+        raise ValueError(f"prefixes of over {key} characters need the texts")
+    near = _by_key(index, prefixes.where(F.length("seq") <= key), key)
+    if texts is None:
+        return near
+    met = far.select("pattern_id", "text_id", "seq", F.expr(f"reverse(right(seq, {key}))").alias("key")).join(index.select("text_id", "key", "pos"), ["text_id", "key"])
+    start = F.col("pos") + 1 - F.length("seq")
+    whole = met.join(texts.select("text_id", "text"), "text_id").where((start >= 0) & (F.substring("text", start + 1, F.length("seq")) == F.col("seq")))
+    return near.unionByName(whole.groupBy("pattern_id", "text_id").agg(F.min("pos").alias("pos")))
+
+
+def _by_key(index: DataFrame, prefixes: DataFrame, key: int) -> DataFrame:
+    """(pattern_id, text_id, pos) of prefixes no longer than the key."""
     asked = prefixes.where(F.length("seq") > 0).select("pattern_id", "text_id", F.expr(f"right(seq, {key})").alias("_end")).select("pattern_id", "text_id", F.expr("right(_end, 1)").alias("ch"), F.reverse("_end").alias("key"))
     both = index.select("text_id", "ch", "key", "pos", F.lit(None).cast("long").alias("pattern_id")).unionByName(asked.select("text_id", "ch", "key", F.lit(None).cast("int").alias("pos"), F.col("pattern_id").cast("long").alias("pattern_id")))
     w = Window.partitionBy("text_id", "ch").orderBy("key", F.col("pos").isNull())

@@ -61,3 +61,15 @@ def test_points(spark):
     points = spark.createDataFrame([(1, 1), (70, 5), (200, 9)], "x long, y long")
     boxes = spark.createDataFrame([(1, 0, 100, 0, 5), (2, 60, 300, 6, 9)], "box_id long, x0 long, x1 long, y0 long, y1 long")
     assert sorted(tuple(r) for r in fm.points_in(points, boxes).collect()) == [(1, 1, 1), (1, 70, 5), (2, 200, 9)]
+
+
+def test_lookup_compares_the_whole_prefix(spark):
+    text = "x" + "abcdefghijklmnop" + "y" + "abcdefghijklmnop"
+    one = spark.createDataFrame([(0, text)], "text_id long, text string")
+    asked = ["yabcdefghijklmnop", "zabcdefghijklmnop", "xabcdefghijklmnop", "p", "q" * 40, text]
+    rows = spark.createDataFrame([(i, 0, p) for i, p in enumerate(asked)], "pattern_id long, text_id long, seq string")
+    pa = index.build(one, "PA")
+    got = {r["pattern_id"]: r["pos"] for r in index.lookup(pa, rows, texts=one).collect()}
+    assert set(got) == {0, 2, 3, 5} and (got[0], got[2], got[5]) == (33, 16, 33) and text[got[3]] == "p"
+    with pytest.raises(ValueError):
+        index.lookup(pa, rows)
