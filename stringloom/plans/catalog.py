@@ -65,6 +65,23 @@ def lf_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.last_to_first(settle(suffix.suffixes(_names(spark, sf_dir)), "suffixes"))
 
 
+def suffix_array_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffixes(_documents(spark, sf_dir)).select("text_id", "rank", "sa")
+
+
+def lcp_bwt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffixes(_documents(spark, sf_dir)).select("text_id", "rank", "lcp", "bwt")
+
+
+def bwt_runs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.run_counts(suffix.suffixes(_documents(spark, sf_dir)))
+
+
+def suffixient_chi_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return suffixient.measures(suffixient.suffixient_set(docs), docs).select("text_id", "n", "chi", (F.col("n") / F.col("chi")).alias("n_over_chi"))
+
+
 def fm_count_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backward search of the last two letters of each type in the name."""
     asked = _pairs(spark, sf_dir).select(F.col("p_partkey").alias("pattern_id"), F.col("p_partkey").alias("text_id"), F.expr("right(lower(p_type), 2)").alias("seq"))
@@ -372,6 +389,10 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "bwt_runs_part": (bwt_runs_part, f"WITH {_FORWARD}, {_RUNS} SELECT text_id, max(run)::BIGINT AS runs FROM n GROUP BY text_id"),
     "bwt_run_table_part": (bwt_run_table_part, f"WITH {_FORWARD}, {_RUNS} SELECT text_id, run::BIGINT AS run, min(bwt) AS ch, min(rank) AS start, count(*) AS length FROM n GROUP BY text_id, run"),
     "lf_part": (lf_part, f"WITH {_FORWARD} SELECT a.text_id, a.rank, a.bwt AS ch, b.rank AS lf FROM o a JOIN o b ON a.text_id = b.text_id AND b.sa = a.sa - 1"),
+    "suffix_array_documents": (suffix_array_documents, None),
+    "lcp_bwt_documents": (lcp_bwt_documents, None),
+    "bwt_runs_documents": (bwt_runs_documents, None),
+    "suffixient_chi_documents": (suffixient_chi_documents, None),
     "fm_count_part": (fm_count_part, "SELECT p_partkey AS pattern_id, len(list_filter(range(0, length(p_name)), lambda i: substr(p_name, i + 1, 2) = right(lower(p_type), 2)))::BIGINT AS n FROM part"),
     "fm_count_types_part": (fm_count_types_part, "SELECT p_partkey AS pattern_id, len(list_filter(range(0, length(p_name)), lambda i: substr(p_name, i + 1, length(p_type)) = lower(p_type)))::BIGINT AS n FROM part"),
     "pa_index_part": (
