@@ -1,14 +1,15 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams, scanned per document.
 
-The benchmark's windows, once their number has been checked, become one hash table (an
-array of buckets) that is shipped with the plan as a literal; each document's windows
-look themselves up in it without a shuffle, a hash match is verified on the words, and the
-verified windows give hit words, items and spans. Beyond the size bound the windows are
-joined by a shuffle instead. DataFrame functions only.
+The benchmark's windows, once their size in bytes has been checked, become one hash table
+(an array of buckets) that executors build and that reaches every task once, as the value of
+a subquery; each document's windows look themselves up in it without a shuffle, a hash match
+is verified on the words, and the verified windows give hit words, items and spans. Beyond
+the size bound the windows are joined by a shuffle instead. DataFrame functions only.
 
 Defined cases: a null or empty text has no words, no hits and is clean; benchmark rows
 without words give no window; an item whose id is null still marks words but is not
-listed; repeated documents and items are judged one by one; extra columns are kept.
+listed; repeated documents and items are judged one by one; extra columns are kept, but for
+those that have the name of a result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import let, lower_ascii
+from .shared import fresh, let, lower_ascii, settle
 
 #: What separates words: every ASCII character but digits and lower-case letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: The hash table is shipped with the plan up to so many windows; beyond, a shuffle join.
-MAX_BROADCAST_WINDOWS = 200_000
+#: Bytes of the hash table up to which it is shipped to every task; beyond, a shuffle join.
+MAX_TABLE_BYTES = 32 << 20
 
 FOUND = T.StructType(
     [
@@ -48,76 +49,95 @@ def benchmark_windows(benchmark: DataFrame, n: int, item: str = "item_id", text:
     return grams.groupBy(F.size("gram").alias("len"), "gram").agg(F.collect_set("item").alias("items"))
 
 
-def _gram_hash(hashes: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(F.slice(hashes, at, length))
+def _hashed(windows: DataFrame) -> DataFrame:
+    """The windows with the hash h of their words and the words joined by blanks, which no word holds."""
+    return windows.select("len", F.xxhash64(F.transform("gram", lambda x: F.xxhash64(x))).alias("h"), F.array_join("gram", " ").alias("gram"), "items")
 
 
-def _hash_of_words(gram: Column) -> Column:
-    return F.xxhash64(F.transform(gram, lambda x: F.xxhash64(x)))
+def _table(windows: DataFrame, buckets: int) -> DataFrame:
+    """One row with the hash table: an array of buckets, each an array of (h, gram, items)."""
+    filled = windows.groupBy(F.pmod("h", F.lit(buckets)).alias("id")).agg(F.collect_list(F.struct("h", "gram", "items")).alias("es"))
+    every = windows.sparkSession.range(buckets).join(filled, "id", "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("id", "es"))).alias("t")).select(F.transform("t", lambda x: F.coalesce(x["es"], F.array().cast(filled.schema["es"].dataType))))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text: str = "text", item: str = "item_id", item_text: str = "text", found: str = "found", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def _starts(w: Column, size: int) -> Column:
+    return F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text: str = "text", item: str = "item_id", item_text: str = "text", found: str = "found", max_bytes: int = MAX_TABLE_BYTES) -> DataFrame:
     """The documents with a struct column `found`: n_words, spans (at from 1, len) and items.
 
     A window is n consecutive words of an item; an item of fewer words is one window.
     """
-    windows = benchmark_windows(benchmark, n, item, item_text)
-    sizes = {r["len"]: r["c"] for r in windows.groupBy("len").agg(F.count("*").alias("c")).collect()}  # n rows at most
-    if sum(sizes.values()) > max_broadcast:
-        return _scan_by_join(docs, windows, sorted(sizes), text, found)
+    windows = settle(_hashed(benchmark_windows(benchmark, n, item, item_text)), "benchmark-windows")
+    own = F.lit(64) + F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda acc, x: acc + F.octet_length(x) + 16)
+    sizes = {r["len"]: (r["c"], r["b"]) for r in windows.groupBy("len").agg(F.count("*").alias("c"), F.sum(own).alias("b")).collect()}  # n rows at most
     if not sizes:
         none = F.struct(F.size(words(F.col(text))).cast("long").alias("n_words"), F.array().cast(FOUND["spans"].dataType).alias("spans"), F.array().cast("array<string>").alias("items"))
         return docs.withColumn(found, none)
-    buckets = 1 << (2 * sum(sizes.values())).bit_length()
-    slot = F.pmod(_hash_of_words(F.col("gram")), F.lit(buckets)).alias("b")
-    entry = F.struct(_hash_of_words(F.col("gram")).alias("h"), "gram", "items")
-    filled = windows.select(slot, entry.alias("e")).groupBy("b").agg(F.collect_list("e").alias("es"))
-    slots = ["[]"] * buckets
-    for r in filled.select("b", F.to_json("es").alias("es")).collect():  # max_broadcast windows at most
-        slots[r["b"]] = r["es"]
-    lookup = F.from_json(F.lit("[" + ",".join(slots) + "]"), T.ArrayType(filled.schema["es"].dataType))  # folded to one literal
-
-    def of(h: Column) -> Column:
-        return F.element_at(lookup, (F.pmod(h, F.lit(buckets)) + 1).cast("int"))
+    if sum(b for _, b in sizes.values()) > max_bytes:
+        return _scan_by_join(docs, windows, sorted(sizes), text, found)
+    buckets = 1 << (2 * sum(c for c, _ in sizes.values())).bit_length()
 
-    def of_length(w: Column, h: Column, size: int) -> Column:
-        starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
-        at = let(F.transform(starts, lambda i: _gram_hash(h, i, size)), lambda hs: F.filter(starts, lambda i: F.exists(of(hs[i - 1]), lambda e: e["h"] == hs[i - 1])))
-        return F.transform(
-            at,
-            lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.flatten(F.transform(F.filter(of(_gram_hash(h, i, size)), lambda e: e["gram"] == F.slice(w, i, size)), lambda e: e["items"])).alias("items"), F.exists(of(_gram_hash(h, i, size)), lambda e: e["gram"] == F.slice(w, i, size)).alias("ok")),
-        )
+    def record(table: Column) -> Column:
+        def of(h: Column) -> Column:
+            return F.element_at(table, (F.pmod(h, F.lit(buckets)) + 1).cast("int"))
 
-    def all_hits(w: Column, h: Column) -> Column:
-        return F.filter(F.concat(*[of_length(w, h, k) for k in sorted(sizes)]), lambda x: x["ok"])
+        def of_length(w: Column, h: Column, size: int) -> Column:
+            starts = _starts(w, size)
+            hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, size)))
+            at = let(hashes, lambda hs: F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), hs[i - 1].alias("h"))), lambda x: F.exists(of(x["h"]), lambda e: e["h"] == x["h"])))
 
-    def record(w: Column) -> Column:
-        hits = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: all_hits(w, h))
-        return let(
-            hits,
-            lambda x: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                F.array_sort(F.transform(x, lambda y: F.struct(y["at"].alias("at"), y["len"].alias("len")))).alias("spans"),
-                F.array_distinct(F.flatten(F.transform(x, lambda y: y["items"]))).alias("items"),
-            ),
-        )
+            def verified(x: Column) -> Column:
+                same = let(F.array_join(F.slice(w, x["at"], size), " "), lambda gram: F.filter(of(x["h"]), lambda e: e["gram"] == gram))
+                return let(same, lambda es: F.struct(x["at"].alias("at"), F.lit(size).alias("len"), F.flatten(F.transform(es, lambda e: e["items"])).alias("items"), (F.size(es) > 0).alias("ok")))
+
+            return F.filter(F.transform(at, verified), lambda x: x["ok"])
+
+        def hits(w: Column) -> Column:
+            return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(*[of_length(w, h, k) for k in sorted(sizes)]))
+
+        return let(words(F.col(text)), lambda w: let(hits(w), lambda x: _found(F.size(w), x)))
 
-    return docs.withColumn(found, let(words(F.col(text)), record))
+    # the table is the value of a subquery: executors build it, and it reaches the tasks once, beside the plan
+    shipped = fresh(docs, "hash_table")
+    return docs.withColumn(shipped, _table(windows, buckets).scalar()).withColumn(found, let(F.col(shipped), record)).drop(shipped)
+
+
+def _found(n_words: Column, hits: Column) -> Column:
+    """The struct `found` from verified hits (at, len, items)."""
+    return F.struct(
+        n_words.cast("long").alias("n_words"),
+        F.array_sort(F.transform(hits, lambda y: F.struct(y["at"].alias("at"), y["len"].alias("len")))).alias("spans"),
+        F.array_distinct(F.flatten(F.transform(hits, lambda y: y["items"]))).alias("items"),
+    )
 
 
 def _scan_by_join(docs: DataFrame, windows: DataFrame, lengths: list[int], text: str, found: str) -> DataFrame:
-    """For benchmarks beyond the broadcast bound: windows meet by a shuffle on their words."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    """For benchmarks beyond the bound: the windows' hashes meet by a shuffle; hits are verified in the row.
 
-    def starts(w: Column, k: int) -> Column:
-        at = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(k).alias("len"), F.slice(w, i, k).alias("gram")))
+    The rows are written with a number first, so that a task that runs again finds the same numbers.
+    """
+    row, met = fresh(docs, "row_number"), fresh(docs, "met")
+    keyed = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+
+    def of_length(w: Column, h: Column, size: int) -> Column:
+        return F.transform(_starts(w, size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.xxhash64(F.slice(h, i, size)).alias("h")))
+
+    def places(w: Column) -> Column:
+        return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(*[of_length(w, h, k) for k in lengths]))
+
+    grams = keyed.select(F.col(row).alias("row"), F.explode(let(words(F.col(text)), places)).alias("g")).select("row", "g.*")
+    candidates = grams.join(windows, ["len", "h"]).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("at", "len", "gram", "items")).alias(met))
+    joined = keyed.join(candidates, row, "left")
+    none = F.array().cast(candidates.schema[met].dataType)
+
+    def record(w: Column) -> Column:
+        same = F.filter(F.coalesce(met, none), lambda x: x["gram"] == F.array_join(F.slice(w, x["at"], x["len"]), " "))
+        return _found(F.size(w), same)
 
-    grams = keyed.select("_row", F.explode(let(words(F.col(text)), lambda w: F.concat(*[starts(w, k) for k in lengths]))).alias("g")).select("_row", "g.*")
-    hits = grams.join(windows, ["len", "gram"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "len"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    joined = keyed.join(hits.withColumnRenamed("_row", "_hit_row"), F.col("_row") == F.col("_hit_row"), "left")
-    value = F.struct(F.size(words(F.col(text))).cast("long").alias("n_words"), F.coalesce("spans", F.array().cast(FOUND["spans"].dataType)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return joined.withColumn(found, value).select(*docs.columns, found)
+    return joined.withColumn(found, let(words(F.col(text)), record)).select(*[c for c in docs.columns if c != found], found)
 
 
 def hit_words(spans: Column) -> Column:
@@ -132,24 +152,26 @@ def hit_words(spans: Column) -> Column:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, share: int = 20, **kw) -> DataFrame:
-    """Documents with n_words, n_hit, n_items, items and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
-    out = scan(docs, benchmark, n=n, found="_found", **kw).withColumn("_hit", hit_words(F.col("_found.spans")))
+    """Documents with n_words, n_hit, n_items, items, spans and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
+    found, hit = fresh(docs, "found"), fresh(docs, "hit")
+    out = scan(docs, benchmark, n=n, found=found, **kw).withColumn(hit, hit_words(F.col(f"{found}.spans")))
     return out.withColumns(
         {
-            "n_words": F.col("_found.n_words"),
-            "n_hit": F.col("_hit"),
-            "n_items": F.size("_found.items").cast("long"),
-            "items": F.array_sort("_found.items"),
-            "spans": F.col("_found.spans"),
-            "contaminated": (F.col("_hit") > 0) & (share * F.col("_hit") >= F.col("_found.n_words")),
+            "n_words": F.col(f"{found}.n_words"),
+            "n_hit": F.col(hit),
+            "n_items": F.size(f"{found}.items").cast("long"),
+            "items": F.array_sort(f"{found}.items"),
+            "spans": F.col(f"{found}.spans"),
+            "contaminated": (F.col(hit) > 0) & (share * F.col(hit) >= F.col(f"{found}.n_words")),
         }
-    ).drop("_found", "_hit")
+    ).drop(found, hit)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, *, share: int = 20, **kw) -> DataFrame:
     """Without the contaminated documents; every other row is kept as it is."""
-    out = scan(docs, benchmark, found="_found", **{k: v for k, v in kw.items() if k != "share"}).withColumn("_hit", hit_words(F.col("_found.spans")))
-    bad = (F.col("_hit") > 0) & (kw.get("share", 20) * F.col("_hit") >= F.col("_found.n_words"))
+    found, hit = fresh(docs, "found"), fresh(docs, "hit")
+    out = scan(docs, benchmark, found=found, **kw).withColumn(hit, hit_words(F.col(f"{found}.spans")))
+    bad = (F.col(hit) > 0) & (share * F.col(hit) >= F.col(f"{found}.n_words"))
     return out.where(~bad).select(*docs.columns)
 
 
@@ -158,13 +180,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", m
 
     Everything else stays byte for byte.
     """
-    out = scan(docs, benchmark, text=text, found="_found", **kw)
+    found = fresh(docs, "found")
+    out = scan(docs, benchmark, text=text, found=found, **kw)
     word = r"[a-z0-9A-Z\x{80}-\x{10FFFF}]+"
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"([^a-z0-9A-Z\x{80}-\x{10FFFF}]*)(" + word + r"|$)"), 0)
 
     def cut(ps: Column) -> Column:
-        covered = lambda i: F.exists("_found.spans", lambda s: (i + 1 >= s["at"]) & (i + 1 < s["at"] + s["len"]))
+        covered = lambda i: F.exists(f"{found}.spans", lambda s: (i + 1 >= s["at"]) & (i + 1 < s["at"] + s["len"]))
         return F.array_join(F.transform(ps, lambda p, i: F.when(covered(i) & p.rlike(word), F.lit(mask)).otherwise(p)), "")
 
-    cleaned = F.when(F.size("_found.spans") > 0, let(pieces, cut)).otherwise(F.col(text))
+    cleaned = F.when(F.size(f"{found}.spans") > 0, let(pieces, cut)).otherwise(F.col(text))
     return out.withColumn(text, cleaned).select(*docs.columns)

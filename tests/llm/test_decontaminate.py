@@ -37,10 +37,15 @@ def data(spark):
     return items, rows, spark.createDataFrame(rows, "doc_id long, text string, found string, n_hit int"), spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("most", [dc.MAX_BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("most", [dc.MAX_TABLE_BYTES, 0])
 def test_matches_brute_force(data, most):
     items, rows, docs, bench = data
-    got = dc.judge(docs.drop("n_hit"), bench, max_broadcast=most).collect()
+    for name in ("spans", "items", "n_words", "row_number", "met", "hit", "hash_table", "contaminated"):
+        docs = docs.withColumn(name, F.lit(7))
+    got = dc.judge(docs, bench, max_bytes=most)
+    assert sorted(got.columns) == sorted({*docs.columns, "n_items"})
+    got = got.collect()
+    assert all((r["found"], r["row_number"], r["met"], r["hit"], r["hash_table"]) == ("x", 7, 7, 7, 7) for r in got)
     assert len(got) == len(rows)
     by_id = {}
     for r in got:
@@ -70,5 +75,5 @@ def test_spans(spark):
 def test_empty_tables(spark, data):
     _, _, docs, bench = data
     none = spark.createDataFrame([], "item_id long, text string")
-    assert dc.judge(docs.drop("n_hit"), none).where("contaminated or n_hit > 0 or n_items > 0").count() == 0
-    assert dc.judge(docs.drop("n_hit").where(F.lit(False)), bench).collect() == []
+    assert dc.judge(docs, none).where("contaminated or n_hit > 0 or n_items > 0").count() == 0
+    assert dc.judge(docs.where(F.lit(False)), bench).collect() == []
