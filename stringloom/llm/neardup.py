@@ -9,20 +9,25 @@ place (the chunk without that part): CHUNKS * WIDTH keys, and every such pair me
 one of them. A pair of similarity 0.8 misses all keys with a probability below 2e-6.
 
 Equal sets are one class, and only classes are filed. Groups of near copies are not
-expanded into pairs. In each round, the members of a key that are not yet in one component
-are compared with a few pivots; links are confirmed on the full sets; components grow.
-Members of a key that all belong to one component need no more comparison. Only for keys
-that still hold several components, the pairs across components come last, in blocks of a
-bounded number of members, each pair under its first common key, and only those that a
-second, finer signature doesn't rule out.
-
-Links, components and signatures stay in tables; each round is written to the shared folder.
+expanded into pairs: the members of a key are compared with the key's first member, links
+are confirmed on the full sets, and components grow. Members of a key that all belong to one
+component need no more comparison. Members of the other keys are compared across components
+only, inside tasks: the distinct member sets of small keys as they are; of keys with over HOT
+members each class once, in blocks of a bounded size, after a round with two more pivots for
+each such key. What two classes are compared by is a finer sketch of BINS bins, fetched once
+per class and block; keys and blocks carry ids only. Pairs that the sketch doesn't rule out
+are confirmed on the full sets.
+
+Links, components and sketches stay in tables; each round is written to the shared folder,
+and a table is deleted once nothing reads it any more.
 
 Defined cases: words are runs of other than ASCII white space, with A-Z lower-cased; a text
 with fewer words than a shingle is one shingle; a null text or one without words has the
-empty set, is linked with nothing and is its own component; rows with equal doc_id are one
-document for component_id and kept; a null doc_id is never the smallest of others; other
-columns are kept where rows are filtered.
+empty set, is linked with nothing and is its own component; rows are judged one by one, also
+where a doc_id is repeated or null: rows with one doc_id and different texts may be in
+different components; component_id is the smallest doc_id of the component's rows, null where
+none of them has one; keep_one keeps exactly one row of each component (one with the smallest
+doc_id) and every row with the empty set; other columns are kept where rows are filtered.
 """
 
 from __future__ import annotations
@@ -35,30 +40,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .shared import settle
+from .shared import forget, fresh, settle
 
 CHUNKS, WIDTH = 10, 5
 PARTS = CHUNKS * WIDTH
 
-#: Pairs whose signatures differ in more parts are not confirmed: of pairs with a similarity
-#: of 0.8, fewer than one in a million do.
-MAX_DISTANCE = 26
+#: A finer sketch tells pairs apart: a shingle's hash falls in one of BINS bins, a bin's least
+#: hash leaves a code from 1 to 254, an empty bin 0.
+BINS = 1024
 
-#: A second signature of FINE parts of 4 bits, two to a byte, tells pairs across components
-#: apart before they are listed: at a similarity of 0.8, 13/16 of its parts agree, and fewer
-#: than FINE_LEAST do for one pair in ten million.
-FINE = 2048
-FINE_LEAST = int(FINE * (13 / 16) - 5.2 * (FINE * 13 / 16 * 3 / 16) ** 0.5)
+#: A pair is confirmed unless the bins with equal codes are fewer, by so many standard
+#: deviations, than a pair at the wanted similarity has: that loses one pair in ten million.
+DEVIATIONS = 5.2
 
-#: Members of a block when the pairs across components are listed.
-BLOCK = 256
+#: Members of a key up to which it is compared by itself; classes of a block beyond that.
+HOT, BLOCK = 256, 1024
 
-#: Ids up to this number are broadcast to pick texts; beyond, a shuffle join does it.
+#: Ids (of 8 bytes) up to this number are broadcast to pick texts; beyond, a shuffle join does it.
 BROADCAST_IDS = 1_000_000
 
-_FINE_MULTIPLIERS = np.random.default_rng(12).integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Equal halves of two bytes, by their exclusive or.
-_EQUAL_HALVES = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], np.uint8)
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, PARTS + PARTS + 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIERS, _TAGS, _POSITIONS = _SEEDS[:PARTS], _SEEDS[PARTS : 2 * PARTS], _SEEDS[2 * PARTS :]
 
@@ -83,14 +83,26 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (textscan.mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
-def fine_signature(hashes: np.ndarray) -> np.ndarray:
-    """FINE parts of 4 bits, in FINE / 2 bytes."""
-    least = np.empty(FINE, np.uint64)
-    spread = hashes ^ (hashes >> np.uint64(29))
-    for i in range(FINE):
-        least[i] = (spread * _FINE_MULTIPLIERS[i]).min()
-    halves = (textscan.mix(least) >> np.uint64(60)).astype(np.uint8)
-    return halves[0::2] | (halves[1::2] << 4)
+def fine_sketch(hashes: np.ndarray) -> np.ndarray:
+    """BINS codes of one byte, from sorted hashes."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique(hashes >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out[bins.astype(np.int64)] = (hashes[first] >> np.uint64(16)) % np.uint64(254) + np.uint64(1)
+    return out
+
+
+def enough(bins: np.ndarray, percent: int) -> np.ndarray:
+    """Bins with equal codes that a pair with so many filled bins needs."""
+    share = percent / 100
+    return share * bins - DEVIATIONS * np.sqrt(share * (1 - share) * bins)
+
+
+def alike(one: np.ndarray, many: np.ndarray, filled: np.ndarray, percent: int) -> np.ndarray:
+    """Which of many sketches (n x BINS, with so many filled bins each) may reach the similarity with one."""
+    equal = np.count_nonzero(many == np.where(one, one, 255), axis=1)
+    ok = np.flatnonzero(equal >= enough(np.maximum(filled, np.count_nonzero(one)), percent))
+    union = np.count_nonzero(many[ok] | one, axis=1)
+    return ok[equal[ok] >= enough(union, percent)]
 
 
 def identity(hashes: np.ndarray) -> int:
@@ -116,8 +128,13 @@ def keys(signatures: np.ndarray) -> np.ndarray:
     return textscan.mix(out.reshape(-1, PARTS) ^ _TAGS[None, :]).view(np.int64)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Names a row; rows with equal doc_id and text have one name."""
+    return F.xxhash64(doc_id, text)
+
+
 def sketch(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, cls, sig): size, name and signature of each text's set; cls is null for the empty set."""
+    """(doc_id, row, n, cls, sig): size, name and signature of each text's set; cls is null for the empty set."""
 
     def run(batches):
         for batch in batches:
@@ -127,9 +144,10 @@ def sketch(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
                 if len(words):
                     hashes = shingles(words, k)
                     sizes[i], names[i], sigs[i] = len(hashes), identity(hashes), signature(hashes).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(names, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(sizes), pa.array(names, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "row", "n", "cls", "sig"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, cls long, sig binary")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id).cast("long"), F.col(text)).alias("row"), F.col(text).alias("text"))
+    return own.mapInArrow(run, "doc_id long, row long, n long, cls long, sig binary")
 
 
 def file_keys(classes: DataFrame) -> DataFrame:
@@ -145,27 +163,45 @@ def file_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(run, "key long, place short, cls long")
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes those within MAX_DISTANCE, with their representatives' ids."""
-    one = classes.select(F.col("cls").alias("a"), F.col("first_id").alias("id_a"), F.col("sig").alias("sig_a"))
-    two = classes.select(F.col("cls").alias("b"), F.col("first_id").alias("id_b"), F.col("sig").alias("sig_b"))
+def texts_of(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, text) of the rows whose names are in `rows` (row)."""
+    few = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    return docs.select(row_key(F.col(doc_id).cast("long"), F.col(text)).alias("row"), F.col(text).alias("text")).join(few, "row", "left_semi")
+
+
+def refine(classes: DataFrame, docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """(cls, row, fine): the fine sketches of some classes (cls, row), from their representatives' texts."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, PARTS) for c in ("sig_a", "sig_b"))
-            close = pa.array((x != y).sum(axis=1) <= MAX_DISTANCE)
-            yield batch.select(["a", "id_a", "b", "id_b"]).filter(close)
+            rows = batch.column("row").to_pylist()
+            got = [(rows[i], shingles(words, k)) for i, words in textscan.rows(batch.column("text"), textscan.SPACED)]
+            own = [(row, identity(hashes), fine_sketch(hashes).tobytes()) for row, hashes in got if len(hashes)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in own], pa.int64()), pa.array([x[0] for x in own], pa.int64()), pa.array([x[2] for x in own], pa.binary())], names=["cls", "row", "fine"])
+
+    found = texts_of(docs, classes.select("row"), doc_id, text).mapInArrow(run, "cls long, row long, fine binary")
+    return found.dropDuplicates(["cls"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "id_a", "sig_a", "b", "id_b", "sig_b").mapInArrow(run, "a long, id_a long, b long, id_b long")
+
+def near(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes those that the fine sketches allow, with their representatives' rows."""
+    one, two = (fine.select(F.col("cls").alias(x), F.col("row").alias(f"row_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("fine_a", "fine_b"))
+            equal, both = np.count_nonzero((x == y) & (x > 0), axis=1), np.count_nonzero(x | y, axis=1)
+            yield batch.select(["a", "row_a", "b", "row_b"]).filter(pa.array(equal >= enough(both, percent)))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "row_a", "fine_a", "b", "row_b", "fine_b").mapInArrow(run, "a long, row_a long, b long, row_b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Of pairs (a, id_a, b, id_b) the links (a, b): 100 * intersection >= percent * union, on the full sets."""
-    ids = settle(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b"))).distinct(), "pair-ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(few, "id", "left_semi")
-    one, two = (texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    both = pairs.join(one, "id_a").join(two, "id_b")
+    """Of pairs (a, row_a, b, row_b) the links (a, b): 100 * intersection >= percent * union, on the full sets."""
+    rows = settle(pairs.select(F.col("row_a").alias("row")).union(pairs.select(F.col("row_b"))).distinct(), "pair-rows")
+    texts = settle(texts_of(docs, rows, doc_id, text).dropDuplicates(["row"]), "pair-texts")
+    one, two = (texts.select(F.col("row").alias(f"row_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    both = pairs.join(one, "row_a").join(two, "row_b")
 
     def run(batches):
         @lru_cache(maxsize=32)
@@ -183,7 +219,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, doc_id: str
                     linked[i] = 100 * common >= percent * (len(own) + len(other) - common)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long").distinct()
+    links = settle(both.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
+    forget(rows, texts)
+    return links
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -195,21 +233,6 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def refine(classes: DataFrame, docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(cls, fine): the fine signatures of some classes (cls, first_id), from their representatives' texts."""
-    few = F.broadcast(classes) if classes.count() <= BROADCAST_IDS else classes
-    texts = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text")).join(few.select("cls", "first_id"), "first_id")
-
-    def run(batches):
-        for batch in batches:
-            names = batch.column("cls").to_pylist()
-            got = [(names[i], shingles(words, k)) for i, words in textscan.rows(batch.column("text"), textscan.SPACED)]
-            own = [(name, fine_signature(hashes).tobytes()) for name, hashes in got if len(hashes) and identity(hashes) == name]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], names=["cls", "fine"])
-
-    return texts.select("cls", "text").mapInArrow(run, "cls long, fine binary").dropDuplicates(["cls"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the links (a, b) reaches.
 
@@ -223,15 +246,17 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(around, F.col("node") == F.col("x")).select("node", F.col("label").alias("old"), F.least("label", "around").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         moved = settle(lower.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")), "labels")
-        labels = moved.select("node", "label")
+        forget(labels)
+        labels = moved
         if not moved.where("label <> old").limit(1).count():
+            forget(edges)
             return labels
 
 
 def _grow(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels (node, label) after more links; nodes without a label stand for themselves."""
     if labels is None:
-        return components(links)
+        return components(links).select("node", "label")
     lifted = _with_label(_with_label(links, labels, "a"), labels, "b").where(F.col("a_label") != F.col("b_label"))
     roots = components(lifted.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).select(F.col("node").alias("root"), F.col("label").alias("top"))
     known = labels.join(roots, F.col("label") == F.col("root"), "left").select("node", F.coalesce("top", "label").alias("label"))
@@ -245,9 +270,9 @@ def _with_label(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
 
 
 def _open(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (key, place, cls, cls_label) of the keys that hold several components."""
-    own = _with_label(live.select("key", "place", "cls"), labels, "cls")
-    mixed = own.groupBy("key").agg(F.min("cls_label").alias("least"), F.max("cls_label").alias("most")).where("least < most").select("key")
+    """The members (key, cls, cls_label, m) of the keys that hold several components; m: how many the key has."""
+    own = _with_label(live.select("key", "cls"), labels, "cls")
+    mixed = own.groupBy("key").agg(F.min("cls_label").alias("least"), F.max("cls_label").alias("most"), F.min("cls").alias("first"), F.count("*").alias("m")).where("least < most").select("key", "first", "m")
     return own.join(mixed, "key")
 
 
@@ -262,80 +287,132 @@ def _pivot_pairs(members: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
     return pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, classes: DataFrame, refined: DataFrame) -> DataFrame:
-    """All pairs of members of one key in different components that both signatures allow, each under its first common key."""
-    counted = members.groupBy("key").agg(F.count("*").alias("m"))
-    dealt = members.join(counted, "key").withColumn("of", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("of")).cast("int"))
-    full = dealt.join(classes.select("cls", "first_id", "sig").join(refined, "cls"), "cls")
-    blocks = settle(full.groupBy("key", "place", "of", "part").agg(F.collect_list(F.struct("cls", "cls_label", "first_id", "sig", "fine")).alias("rows")), "hamming-blocks")
-    left = blocks.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("of") - 1)))
-    right = blocks.select(F.col("key").alias("key_b"), F.col("part").alias("other"), F.col("rows").alias("rows_b"))
-    met = left.join(right, (F.col("key") == F.col("key_b")) & (left["other"] == right["other"])).select("place", (F.col("part") == left["other"]).alias("same"), "rows", "rows_b")
-
-    def run(batches):
-        for whole in batches:
-            for r in range(whole.num_rows):
-                row = whole.slice(r, 1)
-                place, same = row.column("place")[0].as_py(), row.column("same")[0].as_py()
-                sides = []
-                for c in ("rows", "rows_b"):
-                    s = row.column(c).flatten()
-                    sides.append((s.field("cls").to_numpy(), s.field("cls_label").to_numpy(), s.field("first_id").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(s.field("sig").to_pylist()), np.uint16).reshape(-1, PARTS), np.frombuffer(b"".join(s.field("fine").to_pylist()), np.uint8).reshape(-1, FINE // 2)))
-                (a, la, ia, sa, fa), (b, lb, ib, sb, fb) = sides
-                for at in range(0, len(a), 64):
-                    part = slice(at, at + 64)
-                    errors = (sa[part, None, :] != sb[None, :, :]).reshape(-1, len(b), CHUNKS, WIDTH)
-                    wrong = errors.sum(axis=3)
-                    ok = (wrong.sum(axis=2) <= MAX_DISTANCE) & (la[part, None] != lb[None, :])
-                    first = np.argmax(wrong <= 1, axis=2)
-                    x, y = np.nonzero(ok & (first == place // WIDTH))
-                    in_chunk = errors[x, y, place // WIDTH]
-                    own = np.where(in_chunk.any(axis=1), in_chunk.argmax(axis=1), 0) == place % WIDTH
-                    x, y = x[own] + at, y[own]
-                    if same:
-                        x, y = x[a[x] < b[y]], y[a[x] < b[y]]
-                    alike = [_EQUAL_HALVES[fa[x[i : i + 4096]] ^ fb[y[i : i + 4096]]].sum(axis=1) >= FINE_LEAST for i in range(0, len(x), 4096)]
-                    if alike:
-                        x, y = x[np.concatenate(alike)], y[np.concatenate(alike)]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a[x], ia[x], b[y], ib[y])], names=["a", "id_a", "b", "id_b"])
-
-    return met.mapInArrow(run, "a long, id_a long, b long, id_b long")
-
-
-def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): a row per document.
+def _blocks(members: DataFrame) -> DataFrame:
+    """(home, i, j, part, cls, cls_label): the blocks to compare, i and j in home; part is the one that the class is of.
 
-    component_id is the smallest doc_id that the document reaches over links, itself
-    included; kept says that it is its own.
+    A home is a distinct member set of small keys, in one block, or the classes that large
+    keys connect, each class once, dealt over blocks of about BLOCK.
     """
+    sets = members.where(F.col("m") <= HOT).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cls", "cls_label"))).alias("all"))
+    named = sets.select(F.xxhash64("all").alias("home"), "all").dropDuplicates(["home"])
+    none = F.lit(0).cast("long")
+    small = named.select("home", none.alias("i"), none.alias("j"), none.alias("part"), F.explode("all").alias("x")).select("home", "i", "j", "part", "x.cls", "x.cls_label")
+    large = settle(members.where(F.col("m") > HOT).select("first", "cls", "cls_label").distinct(), "hot-members")
+    homes = components(large.select(F.col("first").alias("a"), F.col("cls").alias("b")).where("a <> b")).select(F.col("node").alias("cls"), F.col("label").alias("home"))
+    each = large.select("cls", "cls_label").distinct().join(homes, "cls")
+    sized = each.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("of"))
+    dealt = each.join(sized, "home").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("of")))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    return small.unionByName(other.select("home", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "cls_label"))
+
+
+def _cross_pairs(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """(a, row_a, b, row_b): pairs that meet under a key, in different components, that the fine sketches allow."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _blocks(members).join(fine, "cls").select("home", "i", "j", "part", "cls", "cls_label", "row", "fine")
+    names = ["home", "i", "j"]
+
+    def compare(block: pa.Table) -> pa.RecordBatch:
+        part, cls, label, row = (block.column(c).to_numpy() for c in ("part", "cls", "cls_label", "row"))
+        # members of one component stand together, the largest first: each is compared with what follows its component
+        _, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((cls, label, -sizes[at]))
+        part, cls, label, row = part[order], cls[order], label[order], row[order]
+        codes = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        filled = np.count_nonzero(codes, axis=1)
+        ends = np.append(np.flatnonzero(label[1:] != label[:-1]) + 1, len(label))
+        across = part.min() != part.max()
+        xs, ys = [], []
+        for x in range(int(ends[-2]) if len(ends) > 1 else 0):
+            end = int(ends[np.searchsorted(ends, x, "right")])
+            ok = end + alike(codes[x], codes[end:], filled[end:], percent)
+            ys.append(ok[part[ok] != part[x]] if across else ok)
+            xs.append(np.full(len(ys[-1]), x))
+        x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
+        x, y = np.where(cls[x] < cls[y], x, y), np.where(cls[x] < cls[y], y, x)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (cls[x], row[x], cls[y], row[y])], names=["a", "row_a", "b", "row_b"])
+
+    def run(batches):
+        wait, last = [], None
+        for batch in batches:
+            homes, i, j = (batch.column(c).to_numpy() for c in names)
+            cuts = [0, *(np.flatnonzero((homes[1:] != homes[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                here = homes[a], i[a], j[a]
+                if here != last and wait:
+                    yield compare(pa.Table.from_batches(wait))
+                    wait = []
+                last = here
+                wait.append(batch.slice(a, b - a))
+        if wait:
+            yield compare(pa.Table.from_batches(wait))
+
+    dealt = blocks.repartition(n, *names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, "a long, row_a long, b long, row_b long").distinct()
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (cls, home, component_id) of all classes; home names the component."""
     sketched = settle(sketch(docs, k, doc_id, text), "sketches")
-    classes = settle(sketched.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig")), "classes")
+    classes = settle(sketched.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.min("sig").alias("sig")), "classes")
     members = file_keys(classes)
     shared = members.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("most")).where("pivot < most").select("key", "pivot")
-    live = settle(members.join(shared, "key"), "keys")
+    live = settle(members.join(shared, "key").select("key", "pivot", "cls"), "keys")
+    apart = settle(live.select("cls").distinct().join(classes.select("cls", "row"), "cls"), "apart")
+    fine = settle(refine(apart, docs, k, doc_id, text), "fine-sketches")
 
     def link(pairs: DataFrame) -> DataFrame:
-        return settle(confirm(settle(pairs, "pairs"), docs, k, percent, doc_id, text), "links")
+        pairs = settle(pairs, "pairs")
+        links = confirm(pairs, docs, k, percent, doc_id, text)
+        forget(pairs)
+        return links
 
     star = live.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    labels = _grow(None, link(near(star, classes)))
-    labels = _grow(labels, link(near(_pivot_pairs(settle(_open(live, labels), "open"), (1, 2)), classes)))
+    labels = _grow(None, link(near(star, fine, percent)))
+    hot = settle(_open(live, labels).where(F.col("m") > HOT), "open")
+    labels = _grow(labels, link(near(_pivot_pairs(hot, (1, 2)), fine, percent)))
     members = settle(_open(live, labels), "open")
-    apart = settle(members.select("cls").distinct().join(classes.select("cls", "first_id"), "cls"), "apart")
-    refined = settle(refine(apart, docs, k, doc_id, text), "refined")
-    labels = _grow(labels, link(_cross_pairs(members, classes, refined)))
+    labels = _grow(labels, link(_cross_pairs(members, fine, percent)))
 
     named = _with_label(classes.select("cls", "first_id"), labels, "cls")
     smallest = named.groupBy("cls_label").agg(F.min("first_id").alias("component_id"))
-    homes = settle(named.join(smallest, "cls_label").select("cls", "component_id"), "homes")
-    out = sketched.select("doc_id", "n", "cls").join(homes, "cls", "left")
-    component = F.coalesce("component_id", "doc_id")
+    homes = settle(named.join(smallest, "cls_label").select("cls", F.col("cls_label").alias("home"), "component_id"), "homes")
+    forget(classes, live, apart, fine, hot, members)
+    return sketched, homes
+
+
+def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): a row per document.
+
+    component_id is the smallest doc_id that the document reaches over links, itself
+    included; kept says that it is its own (all rows with that doc_id and text say so).
+    """
+    sketched, homes = _grouped(docs, k, percent, doc_id, text)
+    out = sketched.select("doc_id", "n", "cls").join(homes.select("cls", "component_id"), "cls", "left")
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", **kw) -> DataFrame:
+def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each group, as they were."""
-    gone = settle(groups(docs, doc_id=doc_id, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "removed")
+    sketched, homes = _grouped(docs, k, percent, doc_id, text)
+    rows = sketched.where(F.col("cls").isNotNull()).join(homes, "cls")
+    first = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row")))
+    chosen = rows.groupBy("home").agg(first.alias("chosen"))
+    judged = settle(rows.join(chosen, "home").groupBy("doc_id", "row").agg(F.min(F.col("row") == F.col("chosen")).alias("stays"), F.count("*").alias("times")), "judged")
+    its_id, its_row = fresh(docs, "judged_id"), fresh(docs, "judged_row")
+    own, name = F.col(doc_id).cast("long"), row_key(F.col(doc_id).cast("long"), F.col(text))
+    same = own.eqNullSafe(F.col(its_id)) & (name == F.col(its_row))
+    named = judged.select(F.col("doc_id").alias(its_id), F.col("row").alias(its_row), "stays", "times")
+    gone = named.where(~F.col("stays") | (F.col("times") > 1)).select(its_id, its_row)
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(few, F.col(doc_id) == F.col("_gone"), "left_anti")
+    out = docs.join(few, same, "left_anti")
+    again = named.where(F.col("stays") & (F.col("times") > 1)).select(its_id, its_row)
+    if not again.limit(1).count():
+        return out
+    # a row that stays and is repeated, doc_id and text alike: any one of its copies
+    copies = docs.join(again, same, "left_semi")
+    once = copies.groupBy(own.alias(its_id), name.alias(its_row)).agg(F.first(F.struct(*docs.columns)).alias("copy"))
+    return out.unionByName(once.select("copy.*"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from stringloom.llm import neardup
@@ -35,6 +36,7 @@ def brute(rows, k):
 @pytest.mark.parametrize("k", [4, 5])
 def test_matches_brute_force(spark, k, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "HOT", 24)
     rng = random.Random(k)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5)))
     texts = [None, "", " \n", "one", "One", "one two", "two one"]
@@ -55,7 +57,33 @@ def test_matches_brute_force(spark, k, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
     kept = neardup.keep_one(df, k=k)
     assert kept.columns == df.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows are judged, not ids: B stays, one X stays, and one row of a group without ids."""
+    a, b, x, y = ("red green blue grey pink gold", "one two three four five six seven", "sun moon star sky rain snow wind", "ash oak elm fir yew box bay")
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (9, x, 4), (9, x, 4), (None, y, 5), (None, y, 5), (None, b, 6), (7, None, 8), (7, "", 9), (7, None, 8), (None, " ", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, judged_id int").repartition(3)
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [rows[0], rows[2], rows[3], rows[5], *rows[8:]]))
+    got = sorted(map(repr, map(tuple, neardup.groups(df).collect())))
+    want = [(3, 2, 3, True), (5, 2, 3, False), (5, 3, 5, True), (9, 3, 9, True), (9, 3, 9, True), (None, 3, None, True), (None, 3, None, True), (None, 3, 5, False), (7, 0, 7, True), (7, 0, 7, True), (7, 0, 7, True), (None, 0, None, True)]
+    assert got == sorted(map(repr, want))
+
+
+def test_sketches_keep_similar_pairs():
+    """Pairs of a similarity of 0.8 are never ruled out; unrelated ones are."""
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 400, 5_000):
+        for _ in range(200):
+            both = np.unique(rng.integers(0, 2**63, 9 * n, dtype=np.uint64) * np.uint64(2))
+            one, two = neardup.fine_sketch(both[np.arange(len(both)) % 9 != 0]), neardup.fine_sketch(both[np.arange(len(both)) % 9 != 4])
+            filled = np.array([np.count_nonzero(two)])
+            assert len(neardup.alike(one, two[None, :], filled, 77)) == 1
+        other = neardup.fine_sketch(np.unique(rng.integers(0, 2**63, 9 * n, dtype=np.uint64) * np.uint64(2)))
+        assert n < 5 or len(neardup.alike(one, other[None, :], np.array([np.count_nonzero(other)]), 80)) == 0
 
 
 def test_no_links_and_empty(spark):
