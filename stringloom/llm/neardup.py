@@ -49,8 +49,9 @@ PARTS = CHUNKS * WIDTH
 #: hash leaves a code from 1 to 254, an empty bin 0.
 BINS = 1024
 
-#: A pair is confirmed unless the bins with equal codes are fewer, by so many standard
-#: deviations, than a pair at the wanted similarity has: that loses one pair in ten million.
+#: The bins' least hashes are a draw without replacement from the union of two sets. A pair is
+#: ruled out if its equal codes are fewer, by so many standard deviations and one, than a pair
+#: at the wanted similarity has: that loses fewer than one such pair in a million.
 DEVIATIONS = 5.2
 
 #: Members of a key up to which it is compared by itself; classes of a block beyond that.
@@ -91,18 +92,22 @@ def fine_sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def enough(bins: np.ndarray, percent: int) -> np.ndarray:
-    """Bins with equal codes that a pair with so many filled bins needs."""
+def enough(bins: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Equal codes that a pair at the wanted similarity has: bins that it fills, and both sets' sizes together."""
     share = percent / 100
-    return share * bins - DEVIATIONS * np.sqrt(share * (1 - share) * bins)
+    union = np.maximum(sizes / (1 + share), bins)
+    left_out = (union - bins) / np.maximum(union - 1, 1)
+    return share * bins - DEVIATIONS * np.sqrt(share * (1 - share) * bins * left_out) - 1
 
 
-def alike(one: np.ndarray, many: np.ndarray, filled: np.ndarray, percent: int) -> np.ndarray:
-    """Which of many sketches (n x BINS, with so many filled bins each) may reach the similarity with one."""
+def alike(one: np.ndarray, n: int, many: np.ndarray, filled: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of many sketches (with so many filled bins, of sets of these sizes) may reach the similarity with one."""
+    bins = np.maximum(filled, np.count_nonzero(one))
+    first = percent / 100 * bins - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) * bins) - 1
     equal = np.count_nonzero(many == np.where(one, one, 255), axis=1)
-    ok = np.flatnonzero(equal >= enough(np.maximum(filled, np.count_nonzero(one)), percent))
+    ok = np.flatnonzero((equal >= first) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
     union = np.count_nonzero(many[ok] | one, axis=1)
-    return ok[equal[ok] >= enough(union, percent)]
+    return ok[equal[ok] >= enough(union, sizes[ok] + n, percent)]
 
 
 def identity(hashes: np.ndarray) -> int:
@@ -170,30 +175,33 @@ def texts_of(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFr
 
 
 def refine(classes: DataFrame, docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(cls, row, fine): the fine sketches of some classes (cls, row), from their representatives' texts."""
+    """(cls, row, n, fine): sizes and fine sketches of some classes (cls, row), from their representatives' texts."""
 
     def run(batches):
         for batch in batches:
             rows = batch.column("row").to_pylist()
             got = [(rows[i], shingles(words, k)) for i, words in textscan.rows(batch.column("text"), textscan.SPACED)]
-            own = [(row, identity(hashes), fine_sketch(hashes).tobytes()) for row, hashes in got if len(hashes)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in own], pa.int64()), pa.array([x[0] for x in own], pa.int64()), pa.array([x[2] for x in own], pa.binary())], names=["cls", "row", "fine"])
+            own = [(identity(hashes), row, len(hashes), fine_sketch(hashes).tobytes()) for row, hashes in got if len(hashes)]
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], kind) for i, kind in enumerate(kinds)], names=["cls", "row", "n", "fine"])
 
-    found = texts_of(docs, classes.select("row"), doc_id, text).mapInArrow(run, "cls long, row long, fine binary")
+    found = texts_of(docs, classes.select("row"), doc_id, text).mapInArrow(run, "cls long, row long, n long, fine binary")
     return found.dropDuplicates(["cls"])
 
 
 def near(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes those that the fine sketches allow, with their representatives' rows."""
-    one, two = (fine.select(F.col("cls").alias(x), F.col("row").alias(f"row_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
+    one, two = (fine.select(F.col("cls").alias(x), F.col("row").alias(f"row_{x}"), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab")
 
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("fine_a", "fine_b"))
             equal, both = np.count_nonzero((x == y) & (x > 0), axis=1), np.count_nonzero(x | y, axis=1)
-            yield batch.select(["a", "row_a", "b", "row_b"]).filter(pa.array(equal >= enough(both, percent)))
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            close = (equal >= enough(both, n + m, percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            yield batch.select(["a", "row_a", "b", "row_b"]).filter(pa.array(close))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "row_a", "fine_a", "b", "row_b", "fine_b").mapInArrow(run, "a long, row_a long, b long, row_b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "row_a", "n_a", "fine_a", "b", "row_b", "n_b", "fine_b").mapInArrow(run, "a long, row_a long, b long, row_b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -300,7 +308,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     large = settle(members.where(F.col("m") > HOT).select("first", "cls", "cls_label").distinct(), "hot-members")
     homes = components(large.select(F.col("first").alias("a"), F.col("cls").alias("b")).where("a <> b")).select(F.col("node").alias("cls"), F.col("label").alias("home"))
     each = large.select("cls", "cls_label").distinct().join(homes, "cls")
-    sized = each.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("of"))
+    sized = settle(each.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("of")), "hot-sizes")
     dealt = each.join(sized, "home").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("of")))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
     return small.unionByName(other.select("home", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "cls_label"))
@@ -308,16 +316,16 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def _cross_pairs(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     """(a, row_a, b, row_b): pairs that meet under a key, in different components, that the fine sketches allow."""
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(members).join(fine, "cls").select("home", "i", "j", "part", "cls", "cls_label", "row", "fine")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _blocks(members).join(fine, "cls").select("home", "i", "j", "part", "cls", "cls_label", "row", "n", "fine")
     names = ["home", "i", "j"]
 
     def compare(block: pa.Table) -> pa.RecordBatch:
-        part, cls, label, row = (block.column(c).to_numpy() for c in ("part", "cls", "cls_label", "row"))
+        part, cls, label, row, n = (block.column(c).to_numpy() for c in ("part", "cls", "cls_label", "row", "n"))
         # members of one component stand together, the largest first: each is compared with what follows its component
         _, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
         order = np.lexsort((cls, label, -sizes[at]))
-        part, cls, label, row = part[order], cls[order], label[order], row[order]
+        part, cls, label, row, n = part[order], cls[order], label[order], row[order], n[order]
         codes = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)[order]
         filled = np.count_nonzero(codes, axis=1)
         ends = np.append(np.flatnonzero(label[1:] != label[:-1]) + 1, len(label))
@@ -325,7 +333,7 @@ def _cross_pairs(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame
         xs, ys = [], []
         for x in range(int(ends[-2]) if len(ends) > 1 else 0):
             end = int(ends[np.searchsorted(ends, x, "right")])
-            ok = end + alike(codes[x], codes[end:], filled[end:], percent)
+            ok = end + alike(codes[x], n[x], codes[end:], filled[end:], n[end:], percent)
             ys.append(ok[part[ok] != part[x]] if across else ok)
             xs.append(np.full(len(ys[-1]), x))
         x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
@@ -349,7 +357,7 @@ def _cross_pairs(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame
         if wait:
             yield compare(pa.Table.from_batches(wait))
 
-    dealt = blocks.repartition(n, *names).sortWithinPartitions(*names)
+    dealt = blocks.repartition(parts, *names).sortWithinPartitions(*names)
     return dealt.mapInArrow(run, "a long, row_a long, b long, row_b long").distinct()
 
 

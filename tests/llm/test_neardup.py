@@ -81,9 +81,9 @@ def test_sketches_keep_similar_pairs():
             both = np.unique(rng.integers(0, 2**63, 9 * n, dtype=np.uint64) * np.uint64(2))
             one, two = neardup.fine_sketch(both[np.arange(len(both)) % 9 != 0]), neardup.fine_sketch(both[np.arange(len(both)) % 9 != 4])
             filled = np.array([np.count_nonzero(two)])
-            assert len(neardup.alike(one, two[None, :], filled, 77)) == 1
+            assert len(neardup.alike(one, 8 * n, two[None, :], filled, np.array([8 * n]), 77)) == 1
         other = neardup.fine_sketch(np.unique(rng.integers(0, 2**63, 9 * n, dtype=np.uint64) * np.uint64(2)))
-        assert n < 5 or len(neardup.alike(one, other[None, :], np.array([np.count_nonzero(other)]), 80)) == 0
+        assert n < 5 or len(neardup.alike(one, 8 * n, other[None, :], np.array([np.count_nonzero(other)]), np.array([8 * n]), 80)) == 0
 
 
 def test_no_links_and_empty(spark):
