@@ -12,7 +12,7 @@ out once per distinct gram, by joins between the levels, and summed up per docum
 Jobs: the documents are laid down in blocks of about BLOCK_BYTES; every block lists its
 distinct words (as 64-bit hashes) and grams with their counts in training texts; the counts
 are summed over all blocks by a shuffle; the grams' and words' logarithms go back to the
-blocks that asked for them, and each block scores its own documents. A word that only one
+blocks that asked for them, packed by block, and each block scores its own documents. A word that only one
 block holds needs no answer: that block's own count is the whole one. So no task and no
 broadcast holds the whole model, and what is gathered grows with the corpus.
 
@@ -22,7 +22,7 @@ by an end token. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1))).
 Defined cases: a null text is empty: it has the end token and the end symbol only; without
 training texts N, V and every c are 0 and the byte model is the even choice; a null doc_id
 falls in a fold as the empty text does; repeated rows are counted and scored each; other
-columns are kept.
+columns are kept, but for those that have the name of a result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .shared import settle
+from .shared import forget, fresh, settle
 
 ORDER = 6
 SYMBOLS = 257
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 40 << 20
 CHUNK = 1 << 19
 #: A block's codes are in order, so their differences take less room.
 DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#code": "false"}
@@ -115,10 +115,9 @@ class _Tally:
         return codes, counts
 
 
-def lay_down(docs: DataFrame, text: str, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows with _train and _block, written to the shared folder."""
-    marked = docs.withColumn("_train", F.coalesce(train, F.lit(False)))
-    schema = T.StructType([*marked.schema.fields, T.StructField("_block", T.LongType())])
+def lay_down(docs: DataFrame, text: str, number: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows with their block's number, written to the shared folder."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(number, T.LongType())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -127,15 +126,15 @@ def lay_down(docs: DataFrame, text: str, train: Column, block_bytes: int = BLOCK
         for batch in batches:
             sizes = batch.column(text).cast(pa.large_string())
             lengths = np.diff(np.frombuffer(sizes.buffers()[1], np.int64, len(sizes) + 1, sizes.offset * 8)) if len(sizes) else np.empty(0, np.int64)
-            number = block + (filled + np.cumsum(lengths) - lengths) // block_bytes
+            block_of = block + (filled + np.cumsum(lengths) - lengths) // block_bytes
             filled += int(lengths.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number.astype(np.int64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block_of.astype(np.int64))], names=schema.names)
 
-    return settle(marked.mapInArrow(run, schema), "lm-blocks")
+    return settle(docs.mapInArrow(run, schema), "lm-blocks")
 
 
-def tally(blocks: DataFrame, text: str, order: int = ORDER) -> DataFrame:
-    """(kind, code, block, n): the distinct words and grams of each block, n: in training texts."""
+def tally(blocks: DataFrame, order: int = ORDER) -> DataFrame:
+    """(kind, code, block, n): the distinct words and grams of each block (block, train, text), n: in training texts."""
 
     def run(batches):
         block, words, symbols = None, _Tally(), _Tally()
@@ -149,7 +148,7 @@ def tally(blocks: DataFrame, text: str, order: int = ORDER) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(codes[part]), pa.array(np.full(m, block, np.int64)), pa.array(counts[part])], names=["kind", "code", "block", "n"])
 
         for whole in batches:
-            numbers = whole.column("_block").to_numpy()
+            numbers = whole.column("block").to_numpy()
             for own in np.unique(numbers):
                 if own != block:
                     if block is not None:
@@ -157,7 +156,7 @@ def tally(blocks: DataFrame, text: str, order: int = ORDER) -> DataFrame:
                     block, words, symbols = int(own), _Tally(), _Tally()
                 where = np.flatnonzero(numbers == own)
                 batch = whole.slice(where[0], len(where))
-                train, column = batch.column("_train").to_numpy(zero_copy_only=False), batch.column(text)
+                train, column = batch.column("train").to_numpy(zero_copy_only=False), batch.column("text")
                 for first, last, hashes, counts in textscan.segments(column, textscan.SPACED):
                     words.add(hashes.view(np.int64), np.repeat(train[first:last], counts))
                 words.add(np.full(len(train), END, np.int64), train)
@@ -166,12 +165,19 @@ def tally(blocks: DataFrame, text: str, order: int = ORDER) -> DataFrame:
         if block is not None:
             yield from out()
 
-    return blocks.select("_block", "_train", text).mapInArrow(run, "kind int, code long, block long, n long")
+    return blocks.mapInArrow(run, "kind int, code long, block long, n long")
 
 
 def gram_scores(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, value): log10 of the probability of each asked gram, from the training grams (code, c)."""
+    """(code, value): log10 of the probability of each asked gram, from the training grams (code, c).
+
+    Levels whose codes number at most SYMBOLS squared are broadcast: their keys are few and hot.
+    """
     power = [SYMBOLS**k for k in range(order + 2)]
+
+    def held(df: DataFrame, symbols: int) -> DataFrame:
+        return F.broadcast(df) if symbols <= 2 else df
+
     levels = {order: counts}
     for k in range(order - 1, -1, -1):
         levels[k] = settle(levels[k + 1].groupBy((F.col("code") % power[k + 1]).alias("code")).agg(F.sum("c").alias("c")), "lm-level")
@@ -180,7 +186,7 @@ def gram_scores(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Data
         grams_k = levels[k].select(F.expr(f"code div {SYMBOLS}").alias("ctx"), "code", "c")
         if k:  # what this context's symbols amount to one level down
             lower = levels[k - 1].select(F.col("code").alias("low"), F.col("c").alias("low_c"))
-            grams_k = grams_k.join(lower, F.col("code") % power[k] == F.col("low"))
+            grams_k = grams_k.join(held(lower, k), F.col("code") % power[k] == F.col("low"))
         else:
             grams_k = grams_k.withColumn("low_c", F.lit(0).cast("long"))
         stats[k] = grams_k.groupBy("ctx").agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), F.sum("low_c").alias("below"))
@@ -191,11 +197,11 @@ def gram_scores(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Data
     escape = F.when(F.col("total").isNotNull(), F.log10(F.col("distinct") / (F.col("total") + F.col("distinct")))).otherwise(0.0)
     zero = F.lit(0).cast("long")
     state = first.where(F.col("c").isNull()).select("code", escape.alias("acc"), F.coalesce("below", zero).alias("x_total"), F.coalesce("distinct", zero).alias("x_distinct"), F.lit(None).cast("double").alias("value"))
-    state = settle(state, "lm-novel")
+    state = novel = settle(state, "lm-novel")
     for k in range(order - 1, -1, -1):
         level = levels[k].select(F.col("code").alias("g"), F.col("c"))
         stat = stats[k].withColumnRenamed("ctx", "s")
-        joined = state.join(level, F.col("code") % power[k + 1] == F.col("g"), "left").join(stat, F.expr(f"(code div {SYMBOLS}) % {power[k]}") == F.col("s"), "left")
+        joined = state.join(held(level, k + 1), F.col("code") % power[k + 1] == F.col("g"), "left").join(held(stat, k), F.expr(f"(code div {SYMBOLS}) % {power[k]}") == F.col("s"), "left")
         total, distinct = F.col("total") - F.col("x_total"), F.col("distinct") - F.col("x_distinct")
         here = F.col("value").isNull() & F.col("s").isNotNull()
         state = joined.select(
@@ -206,32 +212,98 @@ def gram_scores(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Data
             F.when(here & F.col("c").isNotNull(), F.col("acc") + F.log10(F.col("c") / (total + distinct))).otherwise(F.col("value")).alias("value"),
         )
     even = F.col("acc") - F.log10(F.lit(float(SYMBOLS)) - F.col("x_distinct"))
-    return seen.unionByName(state.select("code", F.coalesce("value", even).alias("value")))
+    out = settle(seen.unionByName(state.select("code", F.coalesce("value", even).alias("value"))), "lm-grams", DELTAS)
+    forget(novel, *(levels[k] for k in range(order)))
+    return out
+
+
+#: Answers that a task gathers before it packs them by block.
+PACKED = 1 << 20
+
+
+def pack(answers: DataFrame) -> DataFrame:
+    """(block, kind, codes, levels, places): answers (kind, code, block, value) of a block together, compressed.
+
+    Codes are kept as differences, values as places among the distinct values, both by bytes.
+    """
+
+    def run(batches):
+        import zstandard
+
+        shrink = zstandard.ZstdCompressor(level=3).compress
+        wait, held = [], 0
+
+        def out():
+            nonlocal wait, held
+            table = pa.Table.from_batches(wait)
+            kind, code, block, value = (table.column(c).to_numpy() for c in ("kind", "code", "block", "value"))
+            wait, held = [], 0
+            order = np.lexsort((code, kind, block))
+            kind, code, block, value = kind[order], code[order], block[order], value[order]
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(block)]
+            rows = []
+            for a, b in zip(cuts, cuts[1:]):
+                levels, places = np.unique(value[a:b], return_inverse=True)
+                planes = [np.ascontiguousarray(x.view(np.uint8).reshape(b - a, -1).T) for x in (np.diff(code[a:b], prepend=0), places.astype(np.uint32))]
+                rows.append((int(block[a]), int(kind[a]), shrink(planes[0]), shrink(levels), shrink(planes[1])))
+            kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "kind", "codes", "levels", "places"])
+
+        for batch in batches:
+            wait.append(batch)
+            held += batch.num_rows
+            if held >= PACKED:
+                yield out()
+        if held:
+            yield out()
+
+    return answers.select("kind", "code", "block", "value").mapInArrow(run, "block long, kind int, codes binary, levels binary, places binary")
+
+
+def unpack(codes: bytes, levels: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    grow = zstandard.ZstdDecompressor().decompress
+    steps, at = (np.ascontiguousarray(np.frombuffer(grow(x), np.uint8).reshape(size, -1).T).view(kind).ravel() for x, size, kind in ((codes, 8, np.int64), (places, 4, np.uint32)))
+    return np.cumsum(steps), np.frombuffer(grow(levels), np.float64)[at]
+
+
+#: The columns that scoring adds.
+RESULTS = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
 
 
 def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows with n_tokens, n_known, train_tokens, base_score and score last."""
-    fields = docs.schema.fields
-    blocks = lay_down(docs, text, train, block_bytes)
-    listed = settle(tally(blocks, text, order), "lm-tally", DELTAS)
+    """The rows with n_tokens, n_known, train_tokens, base_score and score last.
+
+    Every table is written before those that it was made from are deleted, so that no more
+    than two of the large ones are on disk together.
+    """
+    fields = [f for f in docs.schema.fields if f.name.lower() not in RESULTS]
+    mark, number = fresh(docs, "in_training"), fresh(docs, "block")
+    marked = docs.withColumn(mark, F.coalesce(train, F.lit(False))).select(*(f.name for f in fields), mark)
+    blocks = lay_down(marked, text, number, block_bytes)
+    listed = settle(tally(blocks.select(F.col(number).alias("block"), F.col(mark).alias("train"), F.col(text).alias("text")), order), "lm-tally", DELTAS)
     counts = settle(listed.groupBy("kind", "code").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "lm-counts")
     n, v = counts.where((F.col("kind") == WORD) & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where((F.col("kind") == WORD) & (F.col("c") > 0) & (F.col("blocks") > 1)).select("kind", "code", F.log10(F.col("c") + F.lit(0.1)).alias("value"))
     every = counts.where(F.col("kind") == GRAM)
     symbols = gram_scores(every.where("c > 0").select("code", "c"), every.select("code"), order)
-    values = words.unionByName(symbols.select(F.lit(GRAM).alias("kind"), "code", "value"))
-    answers = listed.select("kind", "code", "block").join(values, ["kind", "code"]).select("block", "kind", "code", "value")
+    values = settle(words.unionByName(symbols.select(F.lit(GRAM).alias("kind"), "code", "value")), "lm-values", DELTAS)
+    forget(counts, symbols)
+    answers = settle(listed.select("kind", "code", "block").join(values, ["kind", "code"]).select("kind", "code", "block", "value"), "lm-answers", DELTAS)
+    forget(listed, values)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = float(np.log10(n + 0.1 * (v + 1))) if n or v else float(np.log10(0.1))
-    schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
+    schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in RESULTS.items())])
     names = [f.name for f in fields]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds, codes, found = (right.column(c).to_numpy() for c in ("kind", "code", "value"))
         known = {}
         for kind in (WORD, GRAM):
-            own = kinds == kind
-            order_of = np.argsort(codes[own], kind="stable")
-            known[kind] = codes[own][order_of], found[own][order_of]
+            told = [unpack(*x) for k, *x in zip(*(right.column(x).to_pylist() for x in ("kind", "codes", "levels", "places"))) if k == kind]
+            codes, found = (np.concatenate([np.empty(0, t), *(x[i] for x in told)]) for i, t in enumerate((np.int64, np.float64)))
+            order_of = np.argsort(codes, kind="stable")
+            known[kind] = codes[order_of], found[order_of]
 
         def look(kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             keys, values = known[kind]
@@ -241,7 +313,7 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
             return keys[at] == wanted, values[at]
 
         batches = [(batch, list(textscan.segments(batch.column(text), textscan.SPACED))) for batch in left.to_batches(max_chunksize=2_000)]
-        train = [batch.column("_train").to_numpy(zero_copy_only=False) for batch, _ in batches]
+        train = [batch.column(mark).to_numpy(zero_copy_only=False) for batch, _ in batches]
         taught = [h[np.repeat(t[a:b], c)] for (_, found), t in zip(batches, train) for a, b, h, c in found]
         own, own_counts = np.unique(np.concatenate([*taught, np.full(sum(map(np.sum, train)), END, np.uint64)]), return_counts=True)
 
@@ -273,4 +345,5 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
             out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(in_train), pa.array(np.full(m, n)), pa.array(base - tokens * share), pa.array(total)], names=schema.names))
         return pa.Table.from_batches(out)
 
-    return blocks.groupBy("_block").cogroup(answers.withColumnRenamed("block", "_block").groupBy("_block")).applyInArrow(run, schema)
+    asked, told = blocks.repartition(parts, number), pack(answers).withColumnRenamed("block", number).repartition(parts, number)
+    return asked.groupBy(number).cogroup(told.groupBy(number)).applyInArrow(run, schema)

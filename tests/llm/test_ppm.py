@@ -70,7 +70,11 @@ def test_matches_brute_force(spark, seed, nobody):
     df = spark.createDataFrame([(i, t if t or i % 2 else None, i) for i, t in enumerate(texts)], "doc_id long, text string, block int").repartition(3)
     fold = hash_mod(F.col("doc_id"), 10)
     train = F.lit(False) if nobody else fold != 0
-    got = {r["doc_id"]: r for r in ppm.score(df.withColumn("tr", train), F.col("tr"), order=ORDER, block_bytes=700).collect()}
+    clash = {name: F.lit("old") for name in (*ppm.RESULTS, "in_training", "train", "kind", "code")}
+    scored = ppm.score(df.withColumns({"tr": train, **clash}), F.col("tr"), order=ORDER, block_bytes=700)
+    assert sorted(scored.columns) == sorted(["doc_id", "text", "block", "tr", *clash])
+    got = {r["doc_id"]: r for r in scored.collect()}
+    assert all((r["in_training"], r["train"], r["block"]) == ("old", "old", r["doc_id"]) for r in got.values())
     use = [got[i]["tr"] for i in range(len(texts))]
     assert len(got) == len(texts) and (nobody or 0 < sum(use) < len(texts))
     for i, (p, b) in enumerate(zip(brute(texts, use), base(texts, use))):
