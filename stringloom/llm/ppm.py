@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,13 @@ def grams(column: pa.Array, order: int = ORDER) -> Iterator[tuple[int, np.ndarra
         row = last
 
 
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each occurs."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
 class _Tally:
     """Distinct codes with counts, merged now and then."""
 
@@ -100,7 +107,7 @@ class _Tally:
     def add(self, codes: np.ndarray, train: np.ndarray) -> None:
         for own, counted in ((codes[train], True), (codes[~train], False)):
             if len(own):
-                u, c = np.unique(own, return_counts=True)
+                u, c = _counted(own)
                 self.parts.append((u, c if counted else np.zeros_like(c)))
                 self.size += len(u)
         if self.size > 3_000_000:
@@ -168,36 +175,45 @@ def tally(blocks: DataFrame, order: int = ORDER) -> DataFrame:
     return blocks.mapInArrow(run, "kind int, code long, block long, n long")
 
 
-def gram_scores(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, value): log10 of the probability of each asked gram, from the training grams (code, c).
+def gram_scores(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFrame]]:
+    """(code, value): log10 of each gram's probability, and the tables it is read from.
 
-    Levels whose codes number at most SYMBOLS squared are broadcast: their keys are few and hot.
+    grams: (code, c), c being the count in training texts, 0 for a gram that only others hold.
+    A context's symbols are a window of at most SYMBOLS rows, so grams that were seen are done
+    in one pass; the others go down the orders. Levels whose codes number at most SYMBOLS
+    squared are broadcast: their keys are few and hot.
     """
     power = [SYMBOLS**k for k in range(order + 2)]
 
     def held(df: DataFrame, symbols: int) -> DataFrame:
         return F.broadcast(df) if symbols <= 2 else df
 
-    levels = {order: counts}
+    levels = {order: grams.where("c > 0")}
     for k in range(order - 1, -1, -1):
         levels[k] = settle(levels[k + 1].groupBy((F.col("code") % power[k + 1]).alias("code")).agg(F.sum("c").alias("c")), "lm-level")
+
+    def below(grams_k: DataFrame, k: int) -> DataFrame:
+        """grams_k with low_c: the count of the gram one level down."""
+        if not k:
+            return grams_k.withColumn("low_c", F.lit(0).cast("long"))
+        lower = levels[k - 1].select(F.col("code").alias("low"), F.col("c").alias("low_c"))
+        return grams_k.join(held(lower, k), F.col("code") % power[k] == F.col("low"))
+
     stats = {}
-    for k in range(order, -1, -1):
-        grams_k = levels[k].select(F.expr(f"code div {SYMBOLS}").alias("ctx"), "code", "c")
-        if k:  # what this context's symbols amount to one level down
-            lower = levels[k - 1].select(F.col("code").alias("low"), F.col("c").alias("low_c"))
-            grams_k = grams_k.join(held(lower, k), F.col("code") % power[k] == F.col("low"))
-        else:
-            grams_k = grams_k.withColumn("low_c", F.lit(0).cast("long"))
+    for k in range(order):
+        grams_k = below(levels[k].select(F.expr(f"code div {SYMBOLS}").alias("ctx"), "code", "c"), k)
         stats[k] = grams_k.groupBy("ctx").agg(F.sum("c").alias("total"), F.count("*").alias("distinct"), F.sum("low_c").alias("below"))
 
-    own = asked.join(counts, "code", "left").withColumn("ctx", F.expr(f"code div {SYMBOLS}"))
-    first = own.join(stats[order], "ctx", "left")
-    seen = first.where(F.col("c").isNotNull()).select("code", F.log10(F.col("c") / (F.col("total") + F.col("distinct"))).alias("value"))
-    escape = F.when(F.col("total").isNotNull(), F.log10(F.col("distinct") / (F.col("total") + F.col("distinct")))).otherwise(0.0)
+    w = Window.partitionBy("ctx")
+    own = grams.select("code", F.expr(f"code div {SYMBOLS}").alias("ctx"), F.when(F.col("c") > 0, F.col("c")).alias("c"))
+    counted = own.select("code", "ctx", "c", F.sum("c").over(w).alias("total"), F.count("c").over(w).alias("distinct"), (F.count("*").over(w) > F.count("c").over(w)).alias("open"))
+    kept = [F.when(F.col("open"), F.col(x)).alias(x) for x in ("ctx", "c", "total", "distinct")]
+    first = settle(counted.select("code", F.log10(F.col("c") / (F.col("total") + F.col("distinct"))).alias("value"), *kept), "lm-grams", DELTAS)
+    around = below(first.where(F.col("ctx").isNotNull() & F.col("c").isNotNull()).select("ctx", "code"), order).groupBy("ctx").agg(F.sum("low_c").alias("below"))
     zero = F.lit(0).cast("long")
-    state = first.where(F.col("c").isNull()).select("code", escape.alias("acc"), F.coalesce("below", zero).alias("x_total"), F.coalesce("distinct", zero).alias("x_distinct"), F.lit(None).cast("double").alias("value"))
-    state = novel = settle(state, "lm-novel")
+    escape = F.when(F.col("total").isNotNull(), F.log10(F.col("distinct") / (F.col("total") + F.col("distinct")))).otherwise(0.0)
+    novel = first.where(F.col("value").isNull()).join(around, "ctx", "left")
+    state = solved = settle(novel.select("code", escape.alias("acc"), F.coalesce("below", zero).alias("x_total"), F.col("distinct").alias("x_distinct"), F.lit(None).cast("double").alias("value")), "lm-novel")
     for k in range(order - 1, -1, -1):
         level = levels[k].select(F.col("code").alias("g"), F.col("c"))
         stat = stats[k].withColumnRenamed("ctx", "s")
@@ -212,9 +228,8 @@ def gram_scores(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Data
             F.when(here & F.col("c").isNotNull(), F.col("acc") + F.log10(F.col("c") / (total + distinct))).otherwise(F.col("value")).alias("value"),
         )
     even = F.col("acc") - F.log10(F.lit(float(SYMBOLS)) - F.col("x_distinct"))
-    out = settle(seen.unionByName(state.select("code", F.coalesce("value", even).alias("value"))), "lm-grams", DELTAS)
-    forget(novel, *(levels[k] for k in range(order)))
-    return out
+    out = first.where(F.col("value").isNotNull()).select("code", "value").unionByName(state.select("code", F.coalesce("value", even).alias("value")))
+    return out, [first, solved, *(levels[k] for k in range(order))]
 
 
 #: Answers that a task gathers before it packs them by block.
@@ -287,9 +302,9 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
     n, v = counts.where((F.col("kind") == WORD) & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where((F.col("kind") == WORD) & (F.col("c") > 0) & (F.col("blocks") > 1)).select("kind", "code", F.log10(F.col("c") + F.lit(0.1)).alias("value"))
     every = counts.where(F.col("kind") == GRAM)
-    symbols = gram_scores(every.where("c > 0").select("code", "c"), every.select("code"), order)
+    symbols, behind = gram_scores(every.select("code", "c"), order)
     values = settle(words.unionByName(symbols.select(F.lit(GRAM).alias("kind"), "code", "value")), "lm-values", DELTAS)
-    forget(counts, symbols)
+    forget(counts, *behind)
     answers = settle(listed.select("kind", "code", "block").join(values, ["kind", "code"]).select("kind", "code", "block", "value"), "lm-answers", DELTAS)
     forget(listed, values)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -333,14 +348,17 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
             tokens, in_train, base, total = np.ones(m, np.int64), np.full(m, int(end_known)), np.full(m, end_value), np.zeros(m)
             for first, last, hashes, counted in found:
                 rows = np.repeat(np.arange(len(counted)), counted)
-                have, value = words_of(hashes)
+                distinct, at = np.unique(hashes, return_inverse=True)  # look-ups in order are much faster
+                have, value = (x[at] for x in words_of(distinct))
                 tokens[first:last] += counted
                 in_train[first:last] += np.bincount(rows, have, len(counted)).astype(np.int64)
                 base[first:last] += np.bincount(rows, value, len(counted))
             for first, wanted, counted in grams(column, order):
-                have, value = look(GRAM, wanted)
+                distinct, at = np.unique(wanted, return_inverse=True)
+                have, value = look(GRAM, distinct)
                 if not have.all():
                     raise ValueError("a gram of this block was not listed")
+                value = value[at]
                 total[first : first + len(counted)] += np.bincount(np.repeat(np.arange(len(counted)), counted), value, len(counted))
             out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(in_train), pa.array(np.full(m, n)), pa.array(base - tokens * share), pa.array(total)], names=schema.names))
         return pa.Table.from_batches(out)
