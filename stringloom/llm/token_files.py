@@ -46,6 +46,8 @@ ROWS = 500
 # ------------------------------------------------------------------- the planes
 def to_planes(ids: np.ndarray, width: int, kind: str) -> list[bytes]:
     """Byte or bit planes of a block."""
+    if len(ids) and width < 8 and int(ids.max()) >> (8 * width):
+        raise ValueError(f"id {int(ids.max())} doesn't fit in {width} bytes")
     raw = np.ascontiguousarray(ids.astype(f"<u{width}")).view(np.uint8).reshape(-1, width)
     if kind == "byte":
         return [p.tobytes() for p in np.ascontiguousarray(raw.T)]
@@ -156,11 +158,14 @@ class Reader:
 class Encoder:
     """The tokenizers library, asked once for each chunk between white space.
 
-    The tokenizer drops white space and none of its rules look across it, so a text's ids
-    are its chunks' ids one after another. It lower-cases letter by letter, so texts within
-    LATIN are lower-cased at once. A chunk of plain letters, with a full stop or comma after
-    them or not, is one or two of the tokenizer's own words, which its model encodes without
-    the steps before; every other chunk takes the whole tokenizer.
+    Special tokens' strings are cut out of the text as it stands and give their ids, as the
+    library does. Between them, the tokenizer drops white space and none of its rules look
+    across it, so a text's ids are its chunks' ids one after another. It lower-cases letter
+    by letter, so texts within LATIN are lower-cased at once. A chunk of plain letters, with a
+    full stop or comma after them or not, is one or two of the tokenizer's own words, which its
+    model encodes without the steps before; every other chunk takes the whole tokenizer.
+
+    All this holds for tokenizers with the STEPS below; with others, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -169,8 +174,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        added = steps["added_tokens"]
+        plain = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+        self.by_chunk = plain and all(steps[k] == v for k, v in STEPS.items())
+        self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
+        self.tokenizer.encode_special_tokens = True  # between special tokens, what lower-casing makes of a text is text
         self.model = self.tokenizer.model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known = Remembered(self.ids, REMEMBERED)  # ids as little-endian unsigned 32-bit integers
@@ -192,14 +203,36 @@ class Encoder:
     def word(self, shown: str) -> bytes:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
 
+    def text(self, text: str) -> bytes:
+        """The ids of a text as packed integers."""
+        known = self.known.__getitem__
+        if self.cut and self.cut.search(text):
+            return b"".join([self.special[x] if x in self.special else b"".join(map(known, self.chunks(x))) for x in self.cut.split(text)])
+        return b"".join(map(known, self.chunks(text)))
+
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of the texts, each followed by the end id."""
-        known, last = self.known.__getitem__, end.to_bytes(4, "little")
-        packed = [b"".join(map(known, self.chunks(x))) + last if x else last for x in texts]
+        last = end.to_bytes(4, "little")
+        if self.by_chunk:
+            packed = [self.text(x) + last if x else last for x in texts]
+        else:
+            packed = [np.array([*x.ids, end], "<u4").tobytes() for x in self.whole.encode_batch([x or "" for x in texts], add_special_tokens=False)]
         lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         return lengths, np.frombuffer(b"".join(packed), "<u4")
 
 
+#: The steps that the short ways rest on (fixed values of the tokenizer's file).
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 #: Plain lower-case letters; characters past the Latin blocks.
 PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")

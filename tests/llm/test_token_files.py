@@ -15,9 +15,7 @@ PATH = public.path("word_bpe_49k.json")
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)  # with the library's defaults
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
@@ -30,7 +28,7 @@ def test_planes_round_trip(kind, width, n):
 
 def test_chunks_equal_whole_texts(library):
     rng, e = random.Random(2), tf.Encoder(PATH)
-    letters = list("abcXYZ019.,.,.,!'’\"#<>|-_éÉñß日😀") + [" ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", "　", "́", "̸", "<|endoftext|>", "'s", "İ", "Σ", "ﬁ"]
+    letters = list("abcXYZ019.,.,.,!'’\"#<>|-_éÉñß日😀") + [" ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", "　", "́", "̸", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "İ", "Σ", "ﬁ"]
     texts = ["", "".join(letters), *("".join(rng.choice(letters) for _ in range(n)) for n in range(1, 60) for _ in range(10))]
     lengths, ids = e.encode(texts, 2)
     want = [[*x.ids, 2] for x in library.encode_batch(texts, add_special_tokens=False)]
@@ -38,6 +36,19 @@ def test_chunks_equal_whole_texts(library):
     assert ids.tolist() == [i for x in want for i in x]
 
 
+def test_special_strings_and_other_steps(library, monkeypatch):
+    text = "a <|endoftext|> B<|startoftext|>c <|ENDOFTEXT|>"
+    want = [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert 49407 in want and tf.Encoder(PATH).encode([text], 2)[1].tolist() == want
+    monkeypatch.setattr(tf, "STEPS", {"normalizer": None})
+    assert tf.Encoder(PATH).encode([text, None], 2)[1].tolist() == [*want, 2]
+
+
+def test_ids_must_fit():
+    with pytest.raises(ValueError):
+        tf.to_planes(np.array([1, 1 << 16], np.uint32), 2, "byte")
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_files(spark, library, kind):
     texts = [None, "", "one two # three", "x" * 3000, 'quote " # !'] * 6
