@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,400}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
 
 #: Characters looked at before and after a candidate.
 BEFORE, AFTER = 48, 24

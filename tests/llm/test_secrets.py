@@ -33,6 +33,71 @@ def test_findings(spark, forest):
     assert masked[11].count(secrets.MASK) == 4 and masked[12].endswith(f"password={secrets.MASK}")
 
 
+def plain_features(c, b, a):
+    """The features of a candidate c with the lower-cased text b before and a after it, in plain Python."""
+    left, n, low = secrets.DICTIONARY, len(c), c.lower()
+    words = "|".join(sorted(left, key=len, reverse=True))
+    classes = [0 if x.islower() else 1 if x.isupper() else 2 if x.isdigit() else 3 for x in c]
+    named = "passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|auth|bearer|credential|private"
+    counted = "commit|sha|md5|hash|checksum|digest|revision|etag|integrity|uuid|isbn|card|phone|order|invoice|number"
+    return {
+        "length": n,
+        "transitions": (1 + sum(x != y for x, y in zip(classes, classes[1:]))) / n,
+        "digits": sum(x.isdigit() for x in c) / n,
+        "upper": sum(x.isupper() for x in c) / n,
+        "hexadecimal": set(c) <= set("0123456789abcdef") or set(c) <= set("0123456789ABCDEF"),
+        "variety": len(set(c)) / n,
+        "dictionary": 1 - len(re.sub(words, "", low)) / n,
+        "separators": sum(x in "_/-" for x in c) / n,
+        "path": bool(re.search(r"[./~:\\-]$", b) or re.search("(https?:|www[.]|file:)[^ ]*$", b)) + bool(re.search("^([/.][a-z0-9]|[?#&])", a)),
+        "slashes": c.count("/"),
+        "named": bool(re.search(f"({named})[^ ]{{0,16}}[ =:]{{0,4}}[^a-z0-9]{{0,3}}$", b)),
+        "assigned": bool(re.search("[=:] {0,2}[^a-z0-9 ]{0,2}$", b)),
+        "counted": bool(re.search(f"({counted})[^ ]{{0,12}}[ =:#]{{0,4}}[^a-z0-9]{{0,2}}$", b)),
+        "provider": bool(re.search("^(AKIA|ASIA)[0-9A-Z]{16}$", c) or re.search("^(ghp|gho|ghs|xoxb|xoxp|sk|pk|rk|glpat)[_-]", c)),
+        "placeholder": bool(re.search("x{4}|0{5}|1234|abcd|example|placeholder|changeme|your", low)),
+    }
+
+
+def vote(forest, f):
+    """Share of votes of the trees in the SQL text, walked one by one."""
+    trees = re.findall(r"CASE|WHEN f\.\w+ <= \S+D THEN|ELSE|END|[-0-9.E]+D|\+", forest)
+
+    def walk(at):
+        if trees[at] != "CASE":
+            return float(trees[at][:-1]), at + 1
+        name, limit = re.match(r"WHEN f\.(\w+) <= (\S+)D THEN", trees[at + 1]).groups()
+        yes, at = walk(at + 2)
+        no, at = walk(at + 1)
+        return (yes if f[name] <= float(limit) else no), at + 1
+
+    total, at = walk(0)
+    while at < len(trees):
+        value, at = walk(at + 1)
+        total += value
+    return total / secrets.TREES
+
+
+def test_verdicts_equal_a_plain_walk(spark, forest):
+    texts = [r["text"] for r in secrets._texts(spark, 240).collect()] + [f"Words before {x} and after." for x in GOOD + FINE] + ["a/b_c-" * 90 + "7 next " + GOOD[0], "x" * 401 + "1", "q" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = 0
+    for r in secrets.scan(df, forest).collect():
+        found, parts = list(re.finditer(secrets.CANDIDATE, r["text"])), re.split(secrets.CANDIDATE, r["text"])
+        assert len(found) == len(r["findings"])
+        for i, (m, got) in enumerate(zip(found, r["findings"])):
+            f = plain_features(m.group(), parts[i][-secrets.BEFORE :].lower(), parts[i + 1][: secrets.AFTER].lower())
+            assert got["score"] == pytest.approx(vote(forest, f), abs=1e-9), m.group()
+            n += 1
+    assert n > 240
+
+
+def test_first_digit_may_come_late(spark, forest):
+    texts = ["k" * n + "1" for n in (399, 400, 401, 20_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(len(r["findings"]) == 1 for r in secrets.scan(df, forest).collect())
+
+
 def test_held_out_accuracy(spark):
     all_of = secrets._texts(spark, 4000).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(4)))
     forest = secrets.train(spark, all_of.where("fold > 0"))
