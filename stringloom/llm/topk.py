@@ -99,6 +99,7 @@ class Index:
         level = np.abs(values) // STEP
         levels, counts = np.unique(level[values != 0], return_counts=True)
         squares = values.astype(np.float64) ** 2
+        self.longest = float(np.sqrt(squares.sum(axis=1)).max(initial=0))
         self.segments, top, held = [], None, 0
         for x, c in zip(levels[::-1].tolist(), counts[::-1].tolist()):
             top, held = (x if top is None else top), held + c
@@ -114,6 +115,8 @@ class Index:
         q[:, : queries.shape[1]] = queries[:, :width]
         weights = q.astype(np.float64)
         length = np.sqrt((weights**2).sum(axis=1, keepdims=True)) * (1 + 1e-9)
+        if length.max(initial=0) * self.longest >= 2.0**53:
+            raise ValueError("scores may exceed 2**53: use a smaller scale")
         score, possible, going = np.zeros((len(asked), n)), self.ids[None, :] != asked[:, None], np.arange(len(asked))
         for panel, rest in self.segments if n > k else []:
             score[going] += weights[going] @ panel.T

@@ -56,7 +56,7 @@ def host_rule(name: str, verdict: str, priority: int = 1) -> Rule:
 
 def word_rule(word: str, verdict: str = "block") -> Rule:
     """A rule for a word anywhere in the URL, between characters that aren't a-z or 0-9, in any case."""
-    return Rule(f"word:{word}", verdict, f"(?i:(?<![a-z0-9]){re.escape(word)}(?![a-z0-9]))", (word,), 0)
+    return Rule(f"word:{word}", verdict, f"(?ai:(?<![a-z0-9]){re.escape(word)}(?![a-z0-9]))", (word,), 0)
 
 
 def host(url: Column) -> Column:

@@ -31,6 +31,12 @@ def test_matches_brute_force(spark, dims, n, block):
     assert all([x[0] for x in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
 
 
+def test_scores_too_large(spark):
+    df = spark.createDataFrame([(i, [1e6] * 4) for i in range(20)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="2\\*\\*53"):
+        topk.search(df, F.col("vec_id") % 10 == 0, 5, scale=1 << 20).collect()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, F.col("vec_id") % 10 == 0, 5).collect() == []

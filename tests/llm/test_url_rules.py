@@ -26,7 +26,7 @@ def brute(url):
 URLS = [
     None, "", "no scheme/org/", "http://a.org/x", "http://ORG/x", "http://org", "http://a.org?x=/", "http://xorg/y", "http://example.org/es/", "http://www.Example.org/es/1", "http://example.org/ES/1", "http://example.org/en/123",
     "http://example.org/en/2", "http://a.com/fr/", "http://a.com/fr", "http://com/de/x#/fr/", "ftp://b.net/?u=http://x.org/", "x://y://org/", "http://a.net/casino-x", "http://a.net/Casino", "http://a.net/casinos", "http://casino.org/a", "http://a.net/?utm_source=feed",
-    "http://a.net/?utm_source=feeder", "http://a.net/\nb", "http://a\nb.org/x", "http://example.org:80/es/", "http://u@a.org/x",
+    "http://a.net/?utm_source=feeder", "http://a.net/\nb", "http://a\nb.org/x", "http://example.org:80/es/", "http://u@a.org/x", "http://a.net/\u017fex", "http://a.net/\u212ainky", "http://a.net/SEX",
 ]
 
 
@@ -54,6 +54,8 @@ def test_only_fetched_rules_decide_as_all_would(spark):
         folded = head + sep + host + tail[len(host) :]
         return next(((r.name, r.verdict) for r in ranked if url and re.search(r.pattern, folded, re.S)), (None, "allow"))
 
+    verdicts = {r["url"]: r["verdict"] for r in ur.judge(df, rules).collect()}
+    assert (verdicts["http://a.net/\u017fex"], verdicts["http://a.net/SEX"]) == ("allow", "block")
     for r in ur.judge(df, rules).collect():
         assert (r["rule"], r["verdict"]) == all_of(r["url"]), r["url"]
 
