@@ -313,12 +313,24 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
     names = [f.name for f in fields]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        # words first: what they need is let go before the answers are unpacked
+        batches = [(batch, list(textscan.segments(batch.column(text), textscan.SPACED))) for batch in left.to_batches(max_chunksize=2_000)]
+        train = [batch.column(mark).to_numpy(zero_copy_only=False) for batch, _ in batches]
+        taught = [h[np.repeat(t[a:b], c)] for (_, found), t in zip(batches, train) for a, b, h, c in found]
+        taught.append(np.full(sum(map(np.sum, train)), END, np.uint64))
+        taught = np.concatenate(taught)
+        own, own_counts = _counted(taught) if len(taught) else (taught, np.empty(0, np.int64))
+        del taught
         known = {}
         for kind in (WORD, GRAM):
             told = [unpack(*x) for k, *x in zip(*(right.column(x).to_pylist() for x in ("kind", "codes", "levels", "places"))) if k == kind]
-            codes, found = (np.concatenate([np.empty(0, t), *(x[i] for x in told)]) for i, t in enumerate((np.int64, np.float64)))
+            codes = np.concatenate([np.empty(0, np.int64), *(x[0] for x in told)])
+            found = np.concatenate([np.empty(0), *(x[1] for x in told)])
+            del told
             order_of = np.argsort(codes, kind="stable")
-            known[kind] = codes[order_of], found[order_of]
+            codes = codes[order_of]
+            known[kind] = codes, found[order_of]
+            del codes, found, order_of
 
         def look(kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             keys, values = known[kind]
@@ -327,11 +339,6 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             return keys[at] == wanted, values[at]
 
-        batches = [(batch, list(textscan.segments(batch.column(text), textscan.SPACED))) for batch in left.to_batches(max_chunksize=2_000)]
-        train = [batch.column(mark).to_numpy(zero_copy_only=False) for batch, _ in batches]
-        taught = [h[np.repeat(t[a:b], c)] for (_, found), t in zip(batches, train) for a, b, h, c in found]
-        own, own_counts = np.unique(np.concatenate([*taught, np.full(sum(map(np.sum, train)), END, np.uint64)]), return_counts=True)
-
         def words_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Whether each word is known, and the log10 of its count + 0.1."""
             have, value = look(WORD, hashes.view(np.int64))
