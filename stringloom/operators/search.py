@@ -14,18 +14,50 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import let
 from ..session import settle
-from .suffix import positions
+from .suffix import RUN, positions, text_runs
 
 SEED = 16
 
+#: Distinct seeds (a hash of 8 bytes each) up to which their hash table goes to every task; beyond, a shuffle join.
+MAX_SEEDS = 1_000_000
+
+
+def places_of(seeds: DataFrame, texts: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
+    """(text_id, pos, seed): every text position where one of the seeds (column seed, up to SEED characters) stands.
+
+    The seeds' hashes become a table of buckets that reaches the tasks once, as the value of a
+    subquery, so that only positions with a seed's hash leave their row; whether the
+    characters are a seed's is told by a semi join. With more seeds, all positions are joined.
+    """
+    asked = settle(seeds.where(F.length("seed") > 0).distinct(), "seeds")
+    sizes = {r["s"]: r["c"] for r in asked.groupBy(F.length("seed").alias("s")).agg(F.count("*").alias("c")).collect()}  # SEED values at most
+    if not sizes or sum(sizes.values()) > MAX_SEEDS:
+        keys = positions(texts, text_id, text, SEED).select("text_id", "pos", "key")
+        cuts = F.filter(F.array(*(F.when(F.length("key") >= s, F.substring("key", 1, s)) for s in sorted(sizes))), lambda x: x.isNotNull()) if sizes else F.array().cast("array<string>")
+        return keys.select("text_id", "pos", F.explode(cuts).alias("seed")).join(asked, "seed", "left_semi")
+    buckets = 1 << (2 * sum(sizes.values())).bit_length()
+    filled = asked.select(F.xxhash64("seed").alias("h")).groupBy(F.pmod("h", F.lit(buckets)).alias("id")).agg(F.collect_set("h").alias("hs"))
+    every = asked.sparkSession.range(buckets).join(filled, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", "hs"))).alias("t"))
+    table = every.select(F.transform("t", lambda x: F.coalesce(x["hs"], F.array().cast("array<bigint>"))))
+
+    def held(table: Column, h: Column) -> Column:
+        return F.array_contains(F.element_at(table, (F.pmod(h, F.lit(buckets)) + 1).cast("int")), h)
+
+    def of_size(table: Column, size: int) -> Column:
+        last = F.least(F.lit(RUN - 1), F.col("n") - F.col("base") - size)
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        at = F.filter(starts, lambda i: held(table, F.xxhash64(F.substring("run", i + 1, F.lit(size)))))
+        return F.transform(at, lambda i: F.struct((F.col("base") + i).alias("pos"), F.substring("run", i + 1, F.lit(size)).alias("seed")))
+
+    runs = text_runs(texts, text_id, text, SEED).withColumn("table", table.scalar())
+    hits = runs.select("text_id", F.explode(let(F.col("table"), lambda t: F.concat(*(of_size(t, s) for s in sorted(sizes))))).alias("x"))
+    return hits.select("text_id", "x.pos", "x.seed").join(asked, "seed", "left_semi")
+
 
 def locate_all(patterns: DataFrame, texts: DataFrame, pattern_id: str = "pattern_id", seq: str = "seq", text_id: str = "text_id", text: str = "text") -> DataFrame:
     """(pattern_id, text_id, pos, len): every occurrence, overlapping ones too."""
     asked = patterns.where(F.length(seq) > 0).select(F.col(pattern_id).alias("pattern_id"), F.col(seq).alias("seq"), F.substring(seq, 1, SEED).alias("seed"))
-    sizes = [r[0] for r in asked.select(F.length("seed").alias("s")).distinct().collect()]  # SEED values at most
-    places = positions(texts, text_id, text, SEED).select("text_id", "pos", "key")
-    cuts = F.filter(F.array(*(F.when(F.length("key") >= s, F.substring("key", 1, s)) for s in sorted(sizes))), lambda x: x.isNotNull()) if sizes else F.array().cast("array<string>")
-    met = places.select("text_id", "pos", F.explode(cuts).alias("seed")).join(asked, "seed")
+    met = places_of(asked.select("seed"), texts, text_id, text).join(asked, "seed")
     whole = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("_text"))
     found = met.where(F.length("seq") <= SEED).select("pattern_id", "text_id", "pos", F.length("seq").alias("len"))
     long = met.where(F.length("seq") > SEED).join(whole, "text_id").where(F.substring("_text", F.col("pos") + 1, F.length("seq")) == F.col("seq"))
@@ -134,8 +166,7 @@ def mems_in(patterns: DataFrame, texts: DataFrame, pattern_id: str = "pattern_id
     """
     asked = patterns.where(F.length(seq) > 0).select(F.col(pattern_id).alias("pattern_id"), F.col(seq).alias("seq"), F.explode(F.sequence(F.lit(0), F.length(seq) - 1)).alias("start"))
     keys = asked.where(F.col("start") + seed <= F.length("seq")).select("pattern_id", "start", F.substring("seq", F.col("start") + 1, F.lit(seed)).alias("key"))
-    places = positions(texts, text_id, text, seed).select("text_id", "pos", "key")
-    hits = places.where(F.length("key") == seed).join(keys, "key").select("pattern_id", "text_id", "start", (F.col("pos") - F.col("start")).alias("diagonal"))
+    hits = places_of(keys.select(F.col("key").alias("seed")), texts, text_id, text).withColumnRenamed("seed", "key").join(keys, "key").select("pattern_id", "text_id", "start", (F.col("pos") - F.col("start")).alias("diagonal"))
     run = F.col("start") - F.row_number().over(Window.partitionBy("pattern_id", "text_id", "diagonal").orderBy("start"))
     runs = hits.withColumn("run", run).groupBy("pattern_id", "text_id", "diagonal", "run").agg(F.min("start").alias("start"), F.max("start").alias("last"))
     longest = F.min(F.struct((F.col("start") - F.col("last") - seed).alias("less"), "text_id", (F.col("start") + F.col("diagonal")).alias("pos")))
@@ -150,10 +181,8 @@ def mems_in(patterns: DataFrame, texts: DataFrame, pattern_id: str = "pattern_id
         step = F.ceil((F.col("high") - F.col("low") + 1) / 4).cast("int")
         lengths = F.filter(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda j: F.col("low") + step * j), lambda x: x <= F.col("high"))
         asks = settle(state.where("low < high").select("pattern_id", "start", "seq", F.explode(lengths).alias("n")).select("pattern_id", "start", "n", F.expr("substring(seq, start + 1, n)").alias("key")), "mems-asks")
-        sizes = sorted(r[0] for r in asks.select("n").distinct().collect())  # fewer than seed values
-        cuts = F.filter(F.array(*(F.when(F.length("key") >= s, F.substring("key", 1, s)) for s in sizes)), lambda x: x.isNotNull())
-        met = places.select("text_id", "pos", F.explode(cuts).alias("key")).join(asks.select("key").distinct(), "key")
-        first = met.groupBy("key").agg(F.min(F.struct("text_id", "pos")).alias("f"))
+        met = places_of(asks.select(F.col("key").alias("seed")), texts, text_id, text)
+        first = met.groupBy(F.col("seed").alias("key")).agg(F.min(F.struct("text_id", "pos")).alias("f"))
         tried = asks.join(first, "key", "left").groupBy("pattern_id", "start").agg(F.max(F.when(F.col("f").isNotNull(), F.struct("n", "f"))).alias("yes"), F.min(F.when(F.col("f").isNull(), F.col("n"))).alias("no"))
         narrowed = state.join(tried, ["pattern_id", "start"], "left")
         state = settle(

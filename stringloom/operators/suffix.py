@@ -24,16 +24,21 @@ WIDTH = 32
 RUN = 256
 
 
+def text_runs(texts: DataFrame, text_id: str, text: str, width: int) -> DataFrame:
+    """(text_id, n, base, run, edge): RUN positions' characters from `base` on, with `width` more, and the one before."""
+    n = F.length(text)
+    starts = F.sequence(F.lit(0), F.floor(n / RUN).cast("int"))
+    runs = F.transform(starts, lambda i: F.struct(F.substring(text, i * RUN + 1, F.lit(RUN + width)).alias("run"), F.when(i > 0, F.substring(text, i * RUN, F.lit(1))).otherwise("").alias("edge")))
+    return texts.where(n > 0).select(F.col(text_id).alias("text_id"), n.alias("n"), F.posexplode(runs)).select("text_id", "n", (F.col("pos") * RUN).alias("base"), "col.run", "col.edge")
+
+
 def positions(texts: DataFrame, text_id: str, text: str, width: int = WIDTH) -> DataFrame:
     """(text_id, pos, key, before): every position with its next `width` characters and the one before it.
 
     Includes the end of the text, whose key is empty. `before` is empty at position 0.
     """
-    n = F.length(text)
-    starts = F.sequence(F.lit(0), F.floor(n / RUN).cast("int"))
-    runs = texts.where(n > 0).select(F.col(text_id).alias("text_id"), n.alias("n"), F.posexplode(F.transform(starts, lambda i: F.struct(F.substring(text, i * RUN + 1, F.lit(RUN + width)).alias("run"), F.when(i > 0, F.substring(text, i * RUN, F.lit(1))).otherwise("").alias("edge")))))
-    inside = F.sequence(F.lit(0), F.least(F.lit(RUN - 1), F.col("n") - F.col("pos") * RUN))
-    each = runs.select("text_id", (F.col("pos") * RUN).alias("base"), "col.run", "col.edge", F.explode(inside).alias("i"))
+    inside = F.sequence(F.lit(0), F.least(F.lit(RUN - 1), F.col("n") - F.col("base")))
+    each = text_runs(texts, text_id, text, width).select("text_id", "base", "run", "edge", F.explode(inside).alias("i"))
     before = F.when(F.col("i") == 0, F.col("edge")).otherwise(F.substring("run", F.col("i"), F.lit(1)))
     return each.select("text_id", (F.col("base") + F.col("i")).alias("pos"), F.substring("run", F.col("i") + 1, F.lit(width)).alias("key"), before.alias("before"))
 
