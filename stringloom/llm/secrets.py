@@ -23,6 +23,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
 
 #: Characters looked at before and after a candidate.
@@ -148,5 +150,6 @@ def mask(docs: DataFrame, forest: str, *, text: str = "text", threshold: float =
     """The rows with every secret in the text replaced by MASK; everything else as it was."""
     cut = "transform(secrets, (s, i) -> concat(substr(t, if(i > 0, secrets[i - 1].at + secrets[i - 1].length, 0) + 1, s.at - if(i > 0, secrets[i - 1].at + secrets[i - 1].length, 0)), '" + MASK + "'))"
     last = "substr(t, secrets[size(secrets) - 1].at + secrets[size(secrets) - 1].length + 1)"
-    sql = f"transform(array(filter(_findings, s -> s.score >= {threshold})), secrets -> if(size(secrets) > 0, transform(array(`{text}`), t -> concat(array_join({cut}, ''), {last}))[0], `{text}`))[0]"
-    return scan(docs, forest, text=text, findings="_findings").withColumn(text, F.coalesce(F.expr(sql), F.col(text))).select(*docs.columns)
+    found = fresh(docs, "findings")
+    sql = f"transform(array(filter(`{found}`, s -> s.score >= {threshold})), secrets -> if(size(secrets) > 0, transform(array(`{text}`), t -> concat(array_join({cut}, ''), {last}))[0], `{text}`))[0]"
+    return scan(docs, forest, text=text, findings=found).withColumn(text, F.coalesce(F.expr(sql), F.col(text))).select(*docs.columns)
