@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; all but
 the last return the columns of documents. Rows without a doc_id go through all stages like
-the others, but near-duplicate groups are told by doc_id, so such rows are never grouped.
+the others; of a group of near copies one row stays, one with the smallest doc_id if any has one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stringloom.llm import bpe, decontaminate, neardup, secrets, toxicity
-from stringloom.llm.shared import hash_mod, settle, small_batches, table
+from stringloom.llm.shared import fresh, hash_mod, settle, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets replaced in its text and n_chars to match."""
     forest = secrets.train(spark)
-    masked = secrets.mask(docs.withColumn("_old", F.col("text")), forest)
-    changed = F.col("text") != F.col("_old")
+    old = fresh(docs, "old_text")
+    masked = secrets.mask(docs.withColumn(old, F.col("text")), forest)
+    changed = F.col("text") != F.col(old)
     return masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -59,7 +60,8 @@ STAGES = [
     ("byte_bpe", encode_ids),
 ]
 
-#: The classifier, the forest and the tokenizer have no SQL form; tests hold the stages against plain versions.
+#: The classifier, the forest and the tokenizer have no SQL form; tests hold near duplicates, decontamination,
+#: secret scans and encoding against plain versions, and the classifier's scores against a plain forward pass.
 ORACLE_SQL = None
 
 
