@@ -1,4 +1,4 @@
-"""The search index as tables: sA, opt-sA and PA variants, written and read as Parquet, with a look-up of keys.
+"""The search index as tables: sA, opt-sA and PA variants, written and read as Parquet, with a look-up of keys and locate-one.
 
 sA holds the positions of the suffixient set, opt-sA the same with the group of each entry's
 last KEY characters, PA every prefix. Entries are ordered by character, then
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.strings import common_prefix
 from ..session import settle
 from .suffix import prefix_array, reversed_texts, suffixes
 from .suffixient import from_suffixes
@@ -95,3 +96,29 @@ def _by_key(index: DataFrame, prefixes: DataFrame, key: int) -> DataFrame:
     near = both.withColumn("low", F.last(entry, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first(entry, True).over(w.rowsBetween(0, Window.unboundedFollowing))).where(F.col("pos").isNull())
     best = F.when(F.col("low.key").startswith(F.col("key")), F.col("low.pos")).when(F.col("high.key").startswith(F.col("key")), F.col("high.pos"))
     return near.select("pattern_id", "text_id", best.alias("pos")).where(F.col("pos").isNotNull())
+
+
+def locate_one(index: DataFrame, pairs: DataFrame, texts: DataFrame, key: int = KEY) -> DataFrame:
+    """(pattern_id, text_id, pos): one occurrence of each pattern in its text, found through any variant of the index.
+
+    pairs: (pattern_id, text_id, seq), each pair of ids once, pattern_id an integer; texts:
+    (text_id, text). A match is extended in the text as far as it goes; the prefix up to and
+    with the character that stopped it is looked up in the index, as a text that holds that
+    prefix has an entry where it ends. So a pattern takes one round more than it has such
+    stops, and only unfinished patterns go on. The index is read in every round: pass a stored
+    one. pos is -1 where the pattern doesn't occur, is null or empty, or its text is unknown.
+    """
+    own = texts.select("text_id", "text")
+    state = pairs.where(F.length("seq") > 0).select("pattern_id", "text_id", "seq", F.lit(0).alias("matched"))
+    found = None
+    while True:
+        asked = state.select("pattern_id", "text_id", F.expr("left(seq, matched + 1)").alias("seq"))
+        ends = state.join(lookup(index, asked, key, own), ["pattern_id", "text_id"]).join(own, "text_id")
+        more = common_prefix(F.expr("substring(text, pos + 2)"), F.expr("substring(seq, matched + 2)"))
+        state = settle(ends.select("pattern_id", "text_id", "seq", "pos", (F.col("matched") + 1).alias("matched"), more.alias("more")), "index-search")
+        state = state.select("pattern_id", "text_id", "seq", (F.col("matched") + F.col("more")).alias("matched"), (F.col("pos") + F.col("more")).alias("end"))
+        whole = state.where(F.col("matched") == F.length("seq")).select("pattern_id", "text_id", (F.col("end") + 1 - F.col("matched")).alias("at"))
+        found = whole if found is None else found.unionByName(whole)
+        state = state.where(F.col("matched") < F.length("seq")).drop("end")
+        if not state.limit(1).count():
+            return pairs.select("pattern_id", "text_id").join(found, ["pattern_id", "text_id"], "left").select("pattern_id", "text_id", F.coalesce("at", F.lit(-1)).alias("pos"))

@@ -219,8 +219,14 @@ def owners(places: DataFrame, starts: DataFrame, group: str, at: str, owner: str
 
 
 def with_prefix(keywords: DataFrame, word: str, prefixes: DataFrame, prefix: str) -> DataFrame:
-    """(prefix, keyword): keywords that start with each prefix, by an equi-join on the prefix lengths that occur."""
+    """(prefix, keyword): keywords that start with each prefix.
+
+    An equi-join on the keywords' prefixes of the lengths asked for; those lengths, no more
+    than the longest prefix has characters, reach the tasks as a subquery's value.
+    """
     asked = prefixes.select(F.col(prefix).alias("prefix")).where(F.col("prefix").isNotNull()).distinct()
-    lengths = asked.select(F.length("prefix").alias("l")).distinct()
-    cut = keywords.select(F.col(word).alias("keyword")).join(lengths, F.length("keyword") >= F.col("l")).select("keyword", F.expr("left(keyword, l)").alias("prefix"))
+    lengths = asked.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    own = keywords.select(F.col(word).alias("keyword")).withColumn("lengths", lengths.scalar())
+    fits = F.filter("lengths", lambda n: n <= F.length("keyword"))
+    cut = own.select("keyword", F.explode(fits).alias("n")).select("keyword", F.expr("left(keyword, n)").alias("prefix"))
     return cut.join(asked, "prefix").select("prefix", "keyword")

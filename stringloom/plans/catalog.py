@@ -201,6 +201,19 @@ def longest_prefix_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.longest_prefix(_pairs(spark, sf_dir), "p_partkey", "p_type", "p_name").select("p_partkey", "matched")
 
 
+def locate_index_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the next turn, looked for in each turn by the sA index: whether it occurs, and whether the place holds it."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text", F.lead("text").over(order).alias("next"))
+    texts = turns.where("text is not null").select("text_id", "text")
+    pairs = turns.where("text is not null").select("text_id", F.posexplode(F.split("next", " ")).alias("pattern_id", "seq")).where("seq != ''")
+    at = index.locate_one(settle(index.build(texts, "sA"), "index"), pairs, texts)
+    held = F.expr("substring(text, pos + 1, length(seq))") == F.col("seq")
+    return at.join(pairs, ["pattern_id", "text_id"]).join(texts, "text_id").select("text_id", "pattern_id", (F.col("pos") >= 0).alias("found"), ((F.col("pos") >= 0) & held).alias("holds"))
+
+
 def mems_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The maximal exact matches of the whole benchmark texts in the documents."""
     return search.mems_in(_items(spark, sf_dir), _documents(spark, sf_dir))
@@ -429,6 +442,12 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
         longest_prefix_part,
         f"WITH x AS (SELECT p_partkey, reverse(p_type) AS p, unnest(list_transform(range(1, length(p_name) + 1), lambda e: reverse(left(p_name, e)))) AS r FROM part) SELECT p_partkey, max({_COMMON.format(a='p', b='r')})::INTEGER AS matched FROM x GROUP BY 1",
     ),
+    "locate_index_turns": (
+        locate_index_turns,
+        """WITH t AS (SELECT conv_id * 1000 + turn AS text_id, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+        w AS (SELECT text_id, text, unnest(string_split(nxt, ' ')) AS seq, (generate_subscripts(string_split(nxt, ' '), 1) - 1)::INTEGER AS pattern_id FROM t WHERE text IS NOT NULL)
+        SELECT text_id, pattern_id, strpos(text, seq) > 0 AS found, strpos(text, seq) > 0 AS holds FROM w WHERE seq != ''""",
+    ),
     "mems_documents": (mems_documents, None),
     "longest_prefix_documents": (longest_prefix_documents, None),
     "owners_conversations": (

@@ -73,3 +73,26 @@ def test_lookup_compares_the_whole_prefix(spark):
     assert set(got) == {0, 2, 3, 5} and (got[0], got[2], got[5]) == (33, 16, 33) and text[got[3]] == "p"
     with pytest.raises(ValueError):
         index.lookup(pa, rows)
+
+
+@pytest.mark.parametrize("variant", ["sA", "PA"])
+def test_locate_one_through_the_index(spark, frame, texts, variant):
+    rng, rows = random.Random(3), []
+    for i, t in enumerate(texts):
+        asked = [t, t + "a", t[1:], t[:-1], "", None, "zz", t[-1] * 3]
+        for _ in range(12):
+            a = rng.randrange(len(t))
+            asked.append(t[a : a + rng.randint(1, 30)])
+            asked.append("".join(rng.choice("abcATG") for _ in range(rng.randint(1, 6))))
+        rows += [(k, i, p) for k, p in enumerate(asked)]
+    rows += [(0, 99, "a")]
+    built = index.build(frame, variant).cache()
+    pairs = spark.createDataFrame(rows, "pattern_id long, text_id long, seq string")
+    got = {(r["pattern_id"], r["text_id"]): r["pos"] for r in index.locate_one(built, pairs, frame).collect()}
+    assert len(got) == len(rows)
+    for k, i, p in rows:
+        at = got[k, i]
+        if i == 99 or not p or p not in texts[i]:
+            assert at == -1, (texts[min(i, 9)], p)
+        else:
+            assert texts[i][at : at + len(p)] == p
