@@ -99,10 +99,12 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Tally:
-    """Distinct codes with counts, merged now and then."""
+    """Distinct codes with counts; what came in since is merged in once it is half of them, LEAST at least."""
+
+    LEAST = 500_000
 
     def __init__(self):
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.merged = [], 0, 0
 
     def add(self, codes: np.ndarray, train: np.ndarray) -> None:
         for own, counted in ((codes[train], True), (codes[~train], False)):
@@ -110,15 +112,20 @@ class _Tally:
                 u, c = _counted(own)
                 self.parts.append((u, c if counted else np.zeros_like(c)))
                 self.size += len(u)
-        if self.size > 3_000_000:
+        if self.size - self.merged > max(self.LEAST, self.merged // 2):
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        codes, at = np.unique(np.concatenate([u for u, _ in self.parts]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([c for _, c in self.parts]), len(codes)).astype(np.int64)
-        self.parts, self.size = [(codes, counts)], len(codes)
+        codes, counts = (np.concatenate([part[i] for part in self.parts]) for i in (0, 1))
+        self.parts = []
+        order = np.argsort(codes, kind="stable")  # runs in order are merged, not sorted anew
+        codes, counts = codes[order], counts[order]
+        del order
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        codes, counts = codes[first], np.add.reduceat(counts, first)
+        self.parts, self.size, self.merged = [(codes, counts)], len(codes), len(codes)
         return codes, counts
 
 
