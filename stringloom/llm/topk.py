@@ -2,13 +2,16 @@
 
 Index: the vectors are packed into blocks. In a block every non-zero component is a posting
 (dimension, vector, value); postings lie in segments by descending quantised impact, that
-is |value| // STEP (neighbouring levels with few postings share a segment). For every segment border the block also keeps, per vector, the length
-(2-norm) of the components still to come.
-
-Search: a block of queries adds up one segment after another. After each, a vector's score is known to
-within the query's length times the vector's remaining length (Cauchy-Schwarz), so every
-vector whose upper bound is below the k-th best lower bound is out, by proof. Once few
-vectors are left, or the segments end, those left are scored exactly in 64-bit integers.
+is |value| // STEP (neighbouring levels with few postings share a segment), and in a segment
+in one list per dimension, ordered by vector. For every segment's end the block also keeps,
+per vector, the length (2-norm) of the components still to come. Postings are worked out
+once and written with the vectors to the shared folder; searches read them from there.
+
+Search: a query adds up one segment after another, from the lists of its own dimensions. After
+each, a vector's score is known to within the query's length times the vector's remaining
+length (Cauchy-Schwarz), so every vector whose upper bound is below the k-th best lower bound
+is out, by proof. Once few vectors are left, or the segments end, those left are scored
+exactly in 64-bit integers.
 Every block gives its k best, the k best of those are the answer.
 
 Query blocks meet index blocks by an equi-join on a slot number: queries are copied to every
@@ -33,7 +36,7 @@ from .shared import settle
 #: Vectors of an index block, queries of a query block, width of an impact level.
 BLOCK, QUERIES, STEP = 4096, 512, 16
 
-#: A segment takes in impact levels until it holds this share of the block's postings.
+#: Levels that begin in the same share of the block's postings share a segment.
 SHARE = 0.15
 
 #: Bytes of query blocks, copies counted once, up to which they are broadcast.
@@ -53,8 +56,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _pack(vectors: DataFrame, size: int) -> DataFrame:
-    """(part, number, n, ids, values): blocks of up to `size` vectors of each partition, as bytes."""
+def _bytes(values: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest signed type that holds them all."""
+    most = max(int(values.max(initial=0)), -int(values.min(initial=0)) - 1)
+    return values.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max)).tobytes()
+
+
+def _numbers(data: bytes, *shape: int) -> np.ndarray:
+    """The numbers of _bytes, as 64-bit."""
+    size = int(np.prod(shape))
+    return np.frombuffer(data, f"i{len(data) // size}" if size else np.int8).reshape(shape).astype(np.int64)
+
+
+def _pack(vectors: DataFrame, size: int, more: str = "", extra=None) -> DataFrame:
+    """(part, number, n, width, ids, vectors): blocks of up to `size` vectors of each partition, as bytes.
+
+    `extra` gives the columns named in the schema `more` from a block's matrix.
+    """
+    names = ["part", "number", "n", "width", "ids", "vectors", *(c.split()[0] for c in more.split(",") if c)]
 
     def run(batches):
         from pyspark import TaskContext
@@ -66,7 +85,8 @@ def _pack(vectors: DataFrame, size: int) -> DataFrame:
             table = pa.Table.from_batches(wait).combine_chunks()
             ids, values = table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks())
             number, wait = number + 1, []
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([len(ids)]), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["part", "number", "n", "ids", "values"])
+            row = [part, number, *values.shape, ids.astype(np.int64).tobytes(), _bytes(values), *(extra(values) if extra else ())]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], names=names)
 
         for batch in batches:
             at = 0
@@ -79,57 +99,70 @@ def _pack(vectors: DataFrame, size: int) -> DataFrame:
         if wait:
             yield out()
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "part long, number long, n long, ids binary, values binary")
+    return vectors.select("vec_id", "v").mapInArrow(run, "part long, number long, n long, width long, ids binary, vectors binary" + more)
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    values = np.frombuffer(data, np.int64)
-    return values.reshape(n, len(values) // n)
+#: What a block's postings are stored as.
+POSTINGS = ", segments long, total long, lists binary, owners binary, impacts binary, rest binary"
 
 
-class Index:
-    """The postings of one block, in segments of descending impact.
+def postings(values: np.ndarray) -> tuple[int, int, bytes, bytes, bytes, bytes]:
+    """Of a block: segments, postings, postings by segment and dimension, each one's vector and value, lengths to come."""
+    n, width = values.shape
+    owner, dimension = np.nonzero(values)
+    value = values[owner, dimension]
+    levels, level, counts = np.unique(-(np.abs(value) // STEP), return_inverse=True, return_counts=True)  # highest first
+    begins = np.cumsum(counts) - counts
+    shares, segment_of = np.unique((begins / (SHARE * max(1, len(value)))).astype(np.int64), return_inverse=True)
+    segment, segments = segment_of[level], len(shares)
+    order = np.lexsort((owner, dimension, segment))
+    lists = np.bincount(segment * width + dimension, minlength=segments * width)
+    squares = np.bincount(segment * n + owner, value.astype(np.float64) ** 2, segments * n).reshape(segments, n)
+    after = np.vstack([squares[1:], np.zeros((min(1, segments), n))])
+    rest = np.sqrt(np.cumsum(after[::-1], axis=0)[::-1])
+    return segments, len(value), _bytes(lists), _bytes(owner[order]), _bytes(value[order]), rest.tobytes()
 
-    A segment holds the postings of neighbouring impact levels, at least a SHARE of all, as
-    a panel (vector by dimension), so that a block of queries adds it up in one product.
-    """
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
-        level = np.abs(values) // STEP
-        levels, counts = np.unique(level[values != 0], return_counts=True)
-        squares = values.astype(np.float64) ** 2
-        self.longest = float(np.sqrt(squares.sum(axis=1)).max(initial=0))
-        self.segments, top, held = [], None, 0
-        for x, c in zip(levels[::-1].tolist(), counts[::-1].tolist()):
-            top, held = (x if top is None else top), held + c
-            if held >= SHARE * counts.sum() or x == levels[0]:
-                inside = (level <= top) & (level >= x)
-                self.segments.append((np.where(inside, values, 0).astype(np.float64), np.sqrt(np.where(level < x, squares, 0).sum(axis=1))))
-                top, held = None, 0
+class Index:
+    """The stored postings of one block, read back."""
+
+    def __init__(self, row: dict):
+        n, width, segments, total = (row[c] for c in ("n", "width", "segments", "total"))
+        self.ids, self.values = np.frombuffer(row["ids"], np.int64), _numbers(row["vectors"], n, width)
+        self.lists = _numbers(row["lists"], segments, width)
+        self.owners, self.impacts = _numbers(row["owners"], total), _numbers(row["impacts"], total).astype(np.float64)
+        self.rest = np.frombuffer(row["rest"]).reshape(segments, n)
+        self.longest = float(np.sqrt((self.values.astype(np.float64) ** 2).sum(axis=1)).max(initial=0))
+
+    def possible(self, asked: int, query: np.ndarray, length: float, k: int) -> np.ndarray:
+        """Places of the vectors that may be among the k best."""
+        n = len(self.ids)
+        left, score, at = self.ids != asked, np.zeros(n), 0
+        for lists, rest in zip(self.lists, self.rest) if n > k else []:
+            weights, owners, impacts = np.repeat(query, lists), self.owners[at : at + lists.sum()], self.impacts[at : at + lists.sum()]
+            at += len(weights)
+            if not query.all():
+                used = weights != 0
+                weights, owners, impacts = weights[used], owners[used], impacts[used]
+            score += np.bincount(owners, weights * impacts, n)
+            slack = rest * length + 1e-6
+            low = np.where(left, score - slack, -np.inf)
+            left &= score + slack >= np.partition(low, n - k)[n - k]
+            if np.count_nonzero(left) <= max(4 * k, n // 32):
+                break
+        return np.flatnonzero(left)
 
     def search(self, asked: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For every query, ids and exact scores of the k best vectors but its own."""
-        n, width = self.values.shape
-        q = np.zeros((len(asked), width), np.int64)
-        q[:, : queries.shape[1]] = queries[:, :width]
+        q = np.zeros((len(asked), self.values.shape[1]), np.int64)
+        q[:, : queries.shape[1]] = queries[:, : q.shape[1]]
         weights = q.astype(np.float64)
-        length = np.sqrt((weights**2).sum(axis=1, keepdims=True)) * (1 + 1e-9)
-        if length.max(initial=0) * self.longest >= 2.0**53:
+        lengths = np.sqrt((weights**2).sum(axis=1)) * (1 + 1e-9)
+        if lengths.max(initial=0) * self.longest >= 2.0**53:
             raise ValueError("scores may exceed 2**53: use a smaller scale")
-        score, possible, going = np.zeros((len(asked), n)), self.ids[None, :] != asked[:, None], np.arange(len(asked))
-        for panel, rest in self.segments if n > k else []:
-            score[going] += weights[going] @ panel.T
-            now, slack = score[going], rest[None, :] * length[going] + 1e-6
-            low = np.where(possible[going], now - slack, -np.inf)
-            left = possible[going] & (now + slack >= np.partition(low, n - k, axis=1)[:, n - k, None])
-            possible[going] = left
-            going = going[left.sum(axis=1) > max(4 * k, n // 32)]
-            if not len(going):
-                break
         out = []
         for i in range(len(asked)):
-            left = np.flatnonzero(possible[i])
+            left = self.possible(asked[i], weights[i], lengths[i], k)
             exact = self.values[left] @ q[i]
             best = np.lexsort((self.ids[left], -exact))[:k]
             out.append((self.ids[left][best], exact[best]))
@@ -140,24 +173,26 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_i
     """(query_id, rank, vec_id, score): each query's k best rows; rank from 1."""
     spark = vectors.sparkSession
     valid = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantise(F.col(embedding), scale).alias("v"), is_query.alias("_asks")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
-    index = settle(_pack(valid, block), "vector-blocks")
+    index = settle(_pack(valid, block, POSTINGS, postings), "vector-blocks")
     asking = valid.where("_asks").groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = settle(_pack(asking, QUERIES), "query-blocks")
     slots = max(1, index.count())
-    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    volume = asked.agg(F.sum(F.length("ids") + F.length("values"))).first()[0] or 0
+    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), *(F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "vectors")))
+    volume = asked.agg(F.sum(F.length("ids") + F.length("vectors"))).first()[0] or 0
     copies = F.broadcast(copies) if volume * slots <= BROADCAST_BYTES else copies
     pairs = index.withColumn("slot", F.pmod(F.xxhash64("part", "number"), F.lit(slots)).cast("int")).join(copies, "slot")
 
+    columns = index.columns
+
     def run(batches):
         key = own = None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("part", "number", "n", "ids", "q_n", "q_ids", "q_values")}
+                row = {c: batch.column(c)[i].as_py() for c in ("part", "number", "q_n", "q_width", "q_ids", "q_vectors")}
                 if key != (row["part"], row["number"]):
                     key = row["part"], row["number"]
-                    own = Index(np.frombuffer(row["ids"], np.int64), _unpack(batch.column("values")[i].as_py(), row["n"]))
-                queries = _unpack(row["q_values"], row["q_n"])
+                    own = Index({c: batch.column(c)[i].as_py() for c in columns})
+                queries = _numbers(row["q_vectors"], row["q_n"], row["q_width"])
                 asked_ids = np.frombuffer(row["q_ids"], np.int64)
                 found = own.search(asked_ids, queries, k)
                 yield pa.RecordBatch.from_arrays(
@@ -165,6 +200,6 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_i
                     names=["query_id", "vec_id", "score"],
                 )
 
-    best = pairs.select("part", "number", "n", "ids", "values", "q_n", "q_ids", "q_values").mapInArrow(run, "query_id long, vec_id long, score long")
+    best = pairs.drop("slot").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

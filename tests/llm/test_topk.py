@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +41,41 @@ def test_scores_too_large(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, F.col("vec_id") % 10 == 0, 5).collect() == []
+
+
+def test_postings_by_descending_impact():
+    rng = np.random.default_rng(3)
+    values = np.where(rng.random((200, 40)) < 0.3, rng.integers(-900, 900, (200, 40)), 0)
+    segments, total, lists, owners, impacts, rest = topk.postings(values)
+    row = {"n": 200, "width": 40, "ids": np.arange(200).tobytes(), "vectors": topk._bytes(values), "segments": segments, "total": total, "lists": lists, "owners": owners, "impacts": impacts, "rest": rest}
+    index = topk.Index(row)
+    assert segments > 3 and (index.values == values).all() and index.lists.shape == (segments, 40)
+    back, least, at = np.zeros_like(values), None, 0
+    for s in range(segments):
+        levels = []
+        for d in range(40):
+            part = slice(at, at + index.lists[s, d])
+            at += index.lists[s, d]
+            assert (np.diff(index.owners[part]) > 0).all()
+            back[index.owners[part], d] += index.impacts[part].astype(np.int64)
+            levels += (np.abs(index.impacts[part]) // topk.STEP).tolist()
+        assert least is None or max(levels) < least
+        least = min(levels)
+        assert np.allclose(index.rest[s], np.sqrt(((values - back) ** 2).sum(axis=1)))
+    assert at == total and (back == values).all()
+
+
+def test_stops_on_proof_only():
+    rng = np.random.default_rng(4)
+    values = np.where(rng.random((500, 30)) < 0.1, rng.integers(-2000, 2000, (500, 30)), rng.integers(-3, 3, (500, 30)))
+    segments, total, lists, owners, impacts, rest = topk.postings(values)
+    index = topk.Index({"n": 500, "width": 30, "ids": np.arange(500).tobytes(), "vectors": topk._bytes(values), "segments": segments, "total": total, "lists": lists, "owners": owners, "impacts": impacts, "rest": rest})
+    some = np.arange(0, 500, 7)
+    left = 0
+    for q, (ids, scores) in zip(some, index.search(some, values[some], 5)):
+        exact = values @ values[q]
+        want = sorted((-exact[j], j) for j in range(500) if j != q)[:5]
+        assert list(zip((-scores).tolist(), ids.tolist())) == want
+        weights = values[q].astype(float)
+        left += len(index.possible(q, weights, float(np.sqrt((weights**2).sum())) * (1 + 1e-9), 5))
+    assert left < 20 * 5 * len(some)
