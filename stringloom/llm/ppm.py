@@ -99,7 +99,7 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Tally:
-    """Distinct codes with counts; what came in since is merged in once it is half of them, LEAST at least."""
+    """Distinct codes with counts (32 bits: a block has fewer symbols); what came in since is merged in once it is half of them, LEAST at least."""
 
     LEAST = 500_000
 
@@ -110,21 +110,22 @@ class _Tally:
         for own, counted in ((codes[train], True), (codes[~train], False)):
             if len(own):
                 u, c = _counted(own)
-                self.parts.append((u, c if counted else np.zeros_like(c)))
+                self.parts.append((u, c.astype(np.int32) if counted else np.zeros(len(u), np.int32)))
                 self.size += len(u)
         if self.size - self.merged > max(self.LEAST, self.merged // 2):
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int32)
         codes, counts = (np.concatenate([part[i] for part in self.parts]) for i in (0, 1))
         self.parts = []
         order = np.argsort(codes, kind="stable")  # runs in order are merged, not sorted anew
-        codes, counts = codes[order], counts[order]
+        codes = codes[order]
+        counts = counts[order]
         del order
         first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-        codes, counts = codes[first], np.add.reduceat(counts, first)
+        codes, counts = codes[first], np.add.reduceat(counts, first, dtype=np.int32)
         self.parts, self.size, self.merged = [(codes, counts)], len(codes), len(codes)
         return codes, counts
 
@@ -159,7 +160,7 @@ def tally(blocks: DataFrame, order: int = ORDER) -> DataFrame:
                 for a in range(0, len(codes), 100_000):
                     part = slice(a, a + 100_000)
                     m = len(codes[part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(codes[part]), pa.array(np.full(m, block, np.int64)), pa.array(counts[part])], names=["kind", "code", "block", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(codes[part]), pa.array(np.full(m, block, np.int64)), pa.array(counts[part].astype(np.int64))], names=["kind", "code", "block", "n"])
 
         for whole in batches:
             numbers = whole.column("block").to_numpy()
@@ -168,6 +169,7 @@ def tally(blocks: DataFrame, order: int = ORDER) -> DataFrame:
                     if block is not None:
                         yield from out()
                     block, words, symbols = int(own), _Tally(), _Tally()
+                    pa.default_memory_pool().release_unused()
                 where = np.flatnonzero(numbers == own)
                 batch = whole.slice(where[0], len(where))
                 train, column = batch.column("train").to_numpy(zero_copy_only=False), batch.column("text")
