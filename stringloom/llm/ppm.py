@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .shared import forget, fresh, settle
+from .shared import forget, fresh, settle, trim
 
 ORDER = 6
 SYMBOLS = 257
@@ -118,15 +118,17 @@ class _Tally:
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int32)
-        codes, counts = (np.concatenate([part[i] for part in self.parts]) for i in (0, 1))
+        codes, counts = [list(x) for x in zip(*self.parts)]
         self.parts = []
+        codes = np.concatenate(codes)
         order = np.argsort(codes, kind="stable")  # runs in order are merged, not sorted anew
         codes = codes[order]
-        counts = counts[order]
+        counts = np.concatenate(counts)[order]
         del order
         first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
         codes, counts = codes[first], np.add.reduceat(counts, first, dtype=np.int32)
         self.parts, self.size, self.merged = [(codes, counts)], len(codes), len(codes)
+        trim()
         return codes, counts
 
 
@@ -144,6 +146,7 @@ def lay_down(docs: DataFrame, text: str, number: str, block_bytes: int = BLOCK_B
             block_of = block + (filled + np.cumsum(lengths) - lengths) // block_bytes
             filled += int(lengths.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block_of.astype(np.int64))], names=schema.names)
+        trim()
 
     return settle(docs.mapInArrow(run, schema), "lm-blocks")
 
@@ -169,7 +172,7 @@ def tally(blocks: DataFrame, order: int = ORDER) -> DataFrame:
                     if block is not None:
                         yield from out()
                     block, words, symbols = int(own), _Tally(), _Tally()
-                    pa.default_memory_pool().release_unused()
+                    trim()
                 where = np.flatnonzero(numbers == own)
                 batch = whole.slice(where[0], len(where))
                 train, column = batch.column("train").to_numpy(zero_copy_only=False), batch.column("text")
@@ -180,6 +183,8 @@ def tally(blocks: DataFrame, order: int = ORDER) -> DataFrame:
                     symbols.add(codes, np.repeat(train[first : first + len(counts)], counts))
         if block is not None:
             yield from out()
+        words = symbols = None
+        trim()
 
     return blocks.mapInArrow(run, "kind int, code long, block long, n long")
 
@@ -280,6 +285,7 @@ def pack(answers: DataFrame) -> DataFrame:
                 yield out()
         if held:
             yield out()
+        trim()
 
     return answers.select("kind", "code", "block", "value").mapInArrow(run, "block long, kind int, codes binary, levels binary, places binary")
 
@@ -357,6 +363,7 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
             here = own[at] == hashes
             return have | here, np.where(have, value, np.log10(np.where(here, own_counts[at], 0) + 0.1))
 
+        trim()
         (end_known,), (end_value,) = words_of(np.array([END], np.uint64))
         out = []
         for batch, found in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -90,6 +91,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
+def trim() -> None:
+    """Give the system back what this Python worker holds and doesn't use, so that it is small while idle."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # the C library of Linux
+        libc.malloc_trim(0)
+
+
 def hash_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
