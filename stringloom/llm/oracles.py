@@ -73,10 +73,46 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+_LETTERS = "[A-Za-z\\u00C0-\\u00FF]+".encode().decode("unicode_escape")
+
+OP11 = f"""
+WITH RECURSIVE t(i, j, v) AS (SELECT i, 0, i::UINTEGER FROM range(0, 256) r(i) UNION ALL
+  SELECT i, j + 1, (CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UINTEGER) ELSE v >> 1 END)::UINTEGER FROM t WHERE j < 8),
+crc AS (SELECT list(v ORDER BY i) AS c FROM t WHERE j = 8),
+r AS (SELECT doc_id, {_lower("unnest(regexp_extract_all(text, '" + _LETTERS + "'))")} AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM r WHERE length(w) >= 6 GROUP BY ALL),
+k AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UINTEGER)),
+  lambda h, b: xor(h >> 8, c[(xor(h, b) & 255) + 1])), 4294967295::UINTEGER) AS h FROM g, crc),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INTEGER) || substr(w, (h % length(w))::INTEGER + 2) ELSE w END AS word, n FROM k),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+e AS (SELECT a.word AS a, b.word AS b, b.n AS n FROM d a JOIN d b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.cut = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.cut = v.word),
+f AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM e GROUP BY a),
+o AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN f USING (word)),
+p AS (SELECT word, word AS root FROM o UNION ALL SELECT p.word, o.form FROM p JOIN o ON o.word = p.root WHERE o.form IS NOT NULL),
+z AS (SELECT p.word, p.root FROM p JOIN o ON o.word = p.root WHERE o.form IS NULL)
+SELECT o.word, o.form, z.root, o.n, o.n_near::BIGINT AS n_near, o.form_n FROM o JOIN z USING (word)
+"""
+
+_BARE = "regexp_replace(l, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')"
+
+OP13 = f"""
+WITH s AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, r, unnest(ls) AS l, unnest(range(0, len(ls))) AS i FROM s),
+k AS (SELECT doc_id, r, i, l, {_lower(_BARE)} AS k FROM e),
+c AS (SELECT k, max(doc_id) AS last FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, r, i, l, c.last IS NOT NULL AND c.last <> k.doc_id AS gone FROM k LEFT JOIN c USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id, r
+"""
+
 ORACLES = {
     "op1_chat_formatting": OP1,
     "op2_minhash_neardup": OP2,
     "op3_url_filters": OP3,
     "op5_exact_topk": OP5,
     "op8_benchmark_decontamination": OP8,
+    "op11_spelling_variants": OP11,
+    "op13_line_dedup": OP13,
 }

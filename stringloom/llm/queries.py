@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, neardup, ppm, secrets, token_files, topk, toxicity, url_rules
+from . import align, bpe, chat, decontaminate, line_dedup, neardup, ppm, secrets, spelling, token_files, topk, toxicity, url_rules
 from .shared import hash_mod, table
 
 
@@ -82,6 +82,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(written).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), least_chars=6, least=5, misspell=199)
+    return spelling.group(words, ratio=5)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.digest(docs, public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = line_dedup.keep_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=40, least_docs=5)
+    kept = line_dedup.kept_text(F.col("text"), F.col("keep"))
+    return marked.select("doc_id", "n_lines", line_dedup.n_dropped(F.col("keep")).alias("n_dropped"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -93,4 +111,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_files": op10_token_files,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_line_dedup": op13_line_dedup,
 }

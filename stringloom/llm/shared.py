@@ -80,6 +80,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The rows without the columns of these names in any letter case, as results take their place."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone)) if gone & {c.lower() for c in df.columns} else df
+
+
 #: Rows of an Arrow batch where whole texts go to Python: batches of long texts stay small.
 TEXT_ROWS = 1_000
 
