@@ -13,8 +13,8 @@ counted in parts before they are shuffled. Back to the documents, pairs with mor
 COMMON of all rows, at most COMMON pairs, reach the tasks by broadcast; the others meet their
 rows in a shuffle join in which no pair has more rows than that. So no common pair is hot.
 
-Chunks of text between a space and the next are tokenized once per worker while a memory
-bounded in entries and in bytes lasts. Both vocabularies are checked for tokens that reach
+Chunks of text between a space and the next are tokenized once per worker while they stay in
+a memory bounded in chunks and in ids. Both vocabularies are checked for tokens that reach
 over such a border; if there is one, whole texts are tokenized.
 
 Defined cases: texts null or empty, and texts that the tokens' bytes don't give back, have no
@@ -30,6 +30,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from .shared import fresh, settle, small_batches, trim, without
 #: Pairs with more than one in COMMON of all rows are sent to the tasks: COMMON rows of 24 bytes at most.
 COMMON = 1 << 17
 
-#: Chunks that a worker remembers, and the bytes of the longest of them.
-REMEMBERED, CHUNK_BYTES = 300_000, 64
+#: Chunks and their ids that a worker remembers between batches; beyond, only chunks used more than once stay.
+REMEMBERED, REMEMBERED_IDS = 300_000, 8_000_000
 
 #: Characters of text that are worked on together.
 BATCH_CHARS = 1 << 20
@@ -52,7 +53,7 @@ BATCH_CHARS = 1 << 20
 LISTED = 256
 
 #: A space between two printable characters that no white space rule or letter class tells apart.
-BORDER = re.compile(r" (?<=[!-~À-ɏ] )(?=[!-~À-ɏ])")
+BORDER = re.compile(r" (?<=[!-~À-ɏͰ-ӿ一-鿿] )(?=[!-~À-ɏͰ-ӿ一-鿿])")
 
 
 # ------------------------------------------------------------------- the tokenizers
@@ -86,33 +87,81 @@ class Pair:
         byte_level = (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model.get("normalizer")
         crossing = re.compile(rb"[^ ] ")
         self.chunked = byte_level and not any(map(crossing.search, self.b_bytes)) and self.b.encode("a  b cﬁ d") == self.b.encode("a  b cﬁ") + self.b.encode("d")
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
+        self.known: dict[str, int] = {}
+        self.sides = [_Rows(), _Rows()]
+        self.good, self.uses = np.empty(0, bool), np.empty(0, np.int64)
         self.spelled = {sep: (self._spelled(len(self.a_bytes), sep), self._spelled(len(self.b_bytes), sep)) for sep in ",|;"} | {"": (None, self._spelled(len(self.b_bytes), ""))}
 
     @staticmethod
     def _spelled(n: int, sep: str) -> np.ndarray:
         return np.array([f"{i}{sep}" for i in range(n)], object)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of space+text by A and of text by B."""
+    def _learn(self, new: list[str]) -> None:
+        """Tokenize chunks and remember their ids, and whether the ids' bytes give the chunk back."""
+        ids = [x.ids for x in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)], self.b.encode(new, num_threads=1)
+        good = [b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == (" " + c).encode() for c, x, y in zip(new, *ids, strict=True)]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        for side, x in zip(self.sides, ids, strict=True):
+            side.append(x)
+        self.good, self.uses = np.concatenate([self.good, np.array(good, bool)]), np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+
+    def _thin_out(self) -> None:
+        """Keep the chunks used most, at most half of REMEMBERED and none used once."""
+        if len(self.known) <= REMEMBERED and sum(len(x.ids) for x in self.sides) <= REMEMBERED_IDS:
+            return
+        best = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+        size = sum(x.sizes for x in self.sides)[best]
+        best = best[(self.uses[best] > 1) & (size <= REMEMBERED_IDS // REMEMBERED)]
+        names = list(self.known)
+        self.known = {names[i]: k for k, i in enumerate(best.tolist())}
+        for side in self.sides:
+            side.keep(best)
+        self.good, self.uses = self.good[best], self.uses[best] // 2
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A, over space+text, and for B, over text: (ids of all texts, how many each text has).
+
+        Null and empty texts, and those that the ids' bytes don't give back, have none.
+        """
+        self._thin_out()
         split = [BORDER.split(t) if self.chunked else [t] for t in texts]
-        new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in self.known))
-        a = self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)
-        fresh_ids = {c: (x.ids, y) for c, x, y in zip(new, a, self.b.encode(new, num_threads=1), strict=True)} if new else {}
-        out_a, out_b = [], []
-        for chunks in split:
-            ids_a: list[int] = []
-            ids_b: list[int] = []
-            for c in chunks:
-                x, y = self.known.get(c) or fresh_ids[c]
-                ids_a += x
-                ids_b += y
-            out_a.append(ids_a)
-            out_b.append(ids_b)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.known.update((c, ids) for c, ids in fresh_ids.items() if len(c) <= CHUNK_BYTES // 4)
-        return out_a, out_b
+        self._learn([c for c in dict.fromkeys(c for chunks in split for c in chunks) if c not in self.known])
+        sizes = np.array([len(c) for c in split], np.int64)
+        at = np.fromiter((i for chunks in split for i in map(self.known.__getitem__, chunks)), np.int64, int(sizes.sum()))
+        np.add.at(self.uses, at, 1)
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        right = np.ones(len(texts), bool)
+        right[text_of[~self.good[at]]] = False
+        starts = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero(~right):  # chunks that fail alone could still fit together
+            own = at[starts[i] : starts[i] + sizes[i]]
+            right[i] = all(b"".join(table[x] for x in side.take(own).tolist()) == (" " + texts[i]).encode() for side, table in zip(self.sides, (self.a_bytes, self.b_bytes), strict=True))
+        right &= np.array([bool(t) for t in texts], bool)
+        kept = right[text_of]
+        return [(side.take(at[kept]), np.bincount(text_of[kept], side.sizes[at[kept]], len(texts)).astype(np.int64)) for side in self.sides]
+
+
+class _Rows:
+    """Lists of ids, one behind another."""
+
+    def __init__(self):
+        self.ids, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def append(self, rows: list[list[int]]) -> None:
+        sizes = np.array([len(x) for x in rows], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))])
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The ids of these rows, one behind another."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[at] - ends + sizes, sizes)].astype(np.int64)
+
+    def keep(self, at: np.ndarray) -> None:
+        ids, sizes = self.take(at).astype(np.int32), self.sizes[at]
+        self.ids, self.sizes, self.starts = ids, sizes, np.cumsum(sizes) - sizes
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -192,13 +241,7 @@ def _links(ids_a, ids_b, start_a, start_b, n_a, n_b, doc, width_b: int, span: in
 
 def align(pair: Pair, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
     """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, links of each pair) of every text."""
-    ids_a, ids_b = pair.encode(texts)
-    for i, t in enumerate(texts):
-        whole = (" " + t).encode()
-        if not t or b"".join(map(pair.a_bytes.__getitem__, ids_a[i])) != whole or b"".join(map(pair.b_bytes.__getitem__, ids_b[i])) != whole:
-            ids_a[i], ids_b[i] = [], []
-    sizes_a, sizes_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-    a, b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, sizes_a), (ids_b, sizes_b)))
+    (a, sizes_a), (b, sizes_b) = pair.encode(texts)
     nothing = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
     if not len(a):
         yield from (nothing for _ in texts)
