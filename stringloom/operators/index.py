@@ -1,17 +1,25 @@
-"""The search index as tables: sA, opt-sA and PA variants, written and read as Parquet, with a look-up of keys and locate-one.
+"""The search index as tables: sA, opt-sA and PA variants, stored as Parquet; look-ups, locate-one, longest prefixes and MEMs.
 
-sA holds the positions of the suffixient set, opt-sA the same with the group of each entry's
-last KEY characters, PA every prefix. Entries are ordered by character, then
+sA holds the positions of the suffixient set, PA every prefix, opt-sA the set of sA with keys
+as long as a budget of space allows. Entries are ordered by character, then
 co-lexicographically. The stored key is an entry's last characters, reversed, so that
-co-lexicographic search is a comparison of strings.
+co-lexicographic search is a comparison of strings. Entries of one key are a group, whose
+first entry is its leader.
+
+A search has two levels: an as-of step among the leaders, and, where the whole key agrees, a
+binary search inside the group by the texts. All ends of all patterns take these steps at
+once. For each end it gives the entry whose prefix shares the longest suffix with the pattern
+up to there. The matching statistics follow from that in one walk along the pattern: a match
+goes on while the text does, and where it stops, the longest match is the entry's, as a text
+that goes on in two ways has an entry for each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import common_prefix
+from ..functions.strings import common_prefix, let
 from ..session import settle
 from .suffix import prefix_array, reversed_texts, suffixes
 from .suffixient import from_suffixes
@@ -36,8 +44,13 @@ def key_length(n: int, entries: int, variant: str = "sA", extra_percent: float =
     return length
 
 
-def build(texts: DataFrame, variant: str = "sA", *, text_id: str = "text_id", text: str = "text", key: int = KEY) -> DataFrame:
-    """(text_id, ord, ch, pos, key, group): the index of each text; group is null but for opt-sA."""
+def build(texts: DataFrame, variant: str = "sA", *, text_id: str = "text_id", text: str = "text", key: int | None = None, extra_percent: float = 30) -> DataFrame:
+    """(text_id, ord, ch, pos, key, group, leader, stored): the index of each text.
+
+    stored is the length of keys, KEY by default; for opt-sA what key_length makes of
+    extra_percent over all texts. group numbers a text's distinct keys, leader marks the first
+    entry of each.
+    """
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}; one of {', '.join(VARIANTS)}")
     own = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("_text"))
@@ -45,17 +58,21 @@ def build(texts: DataFrame, variant: str = "sA", *, text_id: str = "text_id", te
     if variant == "PA":
         entries = prefix_array(ordered).select("text_id", "rank", F.col("end").alias("pos"))
     else:
-        entries = from_suffixes(ordered).select("text_id", "rank", "pos")
+        entries = settle(from_suffixes(ordered).select("text_id", "rank", "pos"), "entries")
+    if key is None and variant == "opt-sA":
+        key = key_length(ordered.count(), entries.count(), variant, extra_percent)
+    key = key or KEY
     start = F.greatest(F.lit(0), F.col("pos") + 1 - key)
     held = entries.join(own, "text_id").select("text_id", "rank", "pos", F.substring("_text", F.col("pos") + 1, F.lit(1)).alias("ch"), F.reverse(F.substring("_text", start + 1, F.col("pos") + 1 - start)).alias("key"))
-    place = F.row_number().over(Window.partitionBy("text_id").orderBy("ch", "rank")) - 1
-    group = F.dense_rank().over(Window.partitionBy("text_id").orderBy("ch", "key")) - 1 if variant == "opt-sA" else F.lit(None).cast("int")
-    return held.select("text_id", place.alias("ord"), "ch", "pos", "key", group.alias("group"))
+    order = Window.partitionBy("text_id").orderBy("ch", "rank")
+    first = F.coalesce(F.lag("key").over(order) != F.col("key"), F.lit(True))
+    placed = held.select("text_id", (F.row_number().over(order) - 1).alias("ord"), "ch", "pos", "key", first.alias("leader"), "rank")
+    return placed.select("text_id", "ord", "ch", "pos", "key", (F.sum(F.col("leader").cast("int")).over(order) - 1).cast("int").alias("group"), "leader", F.lit(key).alias("stored"))
 
 
-def store(index: DataFrame, path: str) -> None:
-    """Write the index, clustered by text and character so that look-ups skip files."""
-    index.repartition("text_id").sortWithinPartitions("text_id", "ch", "key").write.mode("overwrite").parquet(path)
+def store(index: DataFrame, path: str, *, replace: bool = False) -> None:
+    """Write the index, clustered by text and character so that look-ups skip files; an existing path is refused unless replaced."""
+    index.repartition("text_id").sortWithinPartitions("text_id", "ch", "key").write.mode("overwrite" if replace else "errorifexists").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -67,58 +84,128 @@ def stored_bytes(index: DataFrame) -> DataFrame:
     return index.groupBy("text_id").agg(F.count("*").alias("entries"), F.sum(F.octet_length("key") + 8).alias("bytes"))
 
 
-def lookup(index: DataFrame, prefixes: DataFrame, key: int = KEY, texts: DataFrame | None = None) -> DataFrame:
-    """(pattern_id, text_id, pos): an index entry where each pattern prefix ends.
+def _key_of(index: DataFrame) -> int:
+    row = index.select("stored").limit(1).first()
+    return row[0] if row else KEY
+
 
-    prefixes: (pattern_id, text_id, seq). Bucket look-up by the last character and an as-of
-    step among the keys: the entries just before and just after the reversed pattern. A
-    prefix longer than the key meets every entry of its key, and the rest is compared with the
-    text (texts: text_id, text), which such prefixes need; the smallest position is given.
+def nearest(index: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern_id, text_id, end, pos, matched): for every end in a pattern, the entry whose prefix shares the longest suffix with the pattern up to there.
+
+    pairs: (pattern_id, text_id, seq), each pair of ids once; texts: (text_id, text). An end
+    whose character has no entry in the text has the place -1 and matches 0. Nulls and empty
+    patterns give no rows.
+    """
+    width = _key_of(index)
+    ends = pairs.where(F.length("seq") > 0).select("pattern_id", "text_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("end"))
+    start = F.greatest(F.lit(0), F.col("end") + 1 - width)
+    asked = ends.select("pattern_id", "text_id", "end", F.expr("substring(seq, end + 1, 1)").alias("ch"), F.reverse(F.substring("seq", start + 1, F.col("end") + 1 - start)).alias("key"))
+    leaders = index.where("leader").select("text_id", "ch", "key", F.struct("key", "pos", "group").alias("entry"))
+    both = leaders.unionByName(asked, allowMissingColumns=True)
+    up = Window.partitionBy("text_id", "ch").orderBy("key", F.col("entry").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("text_id", "ch").orderBy(F.desc("key"), F.col("entry").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("low", F.last("entry", True).over(up)).withColumn("high", F.last("entry", True).over(down)).where(F.col("entry").isNull())
+    sides = met.select("pattern_id", "text_id", "end", "key", "low", "high", *(F.coalesce(common_prefix(F.col("key"), F.col(f"{x}.key")), F.lit(0)).alias(f"n_{x}") for x in ("low", "high")))
+    best = sides.select("pattern_id", "text_id", "end", F.when(F.greatest("n_low", "n_high") > 0, F.when(F.col("n_low") >= F.col("n_high"), F.col("low")).otherwise(F.col("high"))).alias("b"), F.greatest("n_low", "n_high").alias("matched"))
+    best = settle(best.select("pattern_id", "text_id", "end", F.coalesce("b.pos", F.lit(-1)).alias("pos"), "b.group", "matched"), "nearest")
+    near = best.where(F.col("matched") < width).select("pattern_id", "text_id", "end", "pos", "matched")
+    # the whole key agrees: the rest is looked up among the group's members, in their order
+    far = best.where(F.col("matched") == width)
+    members = index.join(far.select("text_id", "group").distinct(), ["text_id", "group"]).groupBy("text_id", "group").agg(F.array_sort(F.collect_list(F.struct("ord", "pos"))).alias("members"))
+    inside = far.join(members, ["text_id", "group"]).join(pairs, ["pattern_id", "text_id"]).join(texts.select("text_id", "text"), "text_id")
+    chosen = let(F.struct("seq", "text", "members", "end"), lambda r: _among(r, width))
+    found = inside.select("pattern_id", "text_id", "end", chosen.alias("c")).select("pattern_id", "text_id", "end", "c.pos", "c.matched")
+    return near.unionByName(found)
+
+
+def _among(row: Column, width: int) -> Column:
+    """(pos, matched): the member of a group whose prefix shares the longest suffix with the pattern up to row.end, by binary search."""
+    rest = row["end"] + 1 - width  # characters of the pattern before the key
+    wanted = F.reverse(F.substring(row["seq"], F.lit(1), rest))
+
+    def before(pos: Column) -> Column:
+        """What stands before the key at pos, reversed: one character more than the pattern has, as far as the text goes."""
+        there = pos + 1 - width
+        size = F.least(there, rest + 1)
+        return F.when(size > 0, F.reverse(F.substring(row["text"], there - size + 1, size))).otherwise("")
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        lower = before(F.get(row["members"], middle)["pos"]) <= wanted
+        return F.when(s["low"] >= s["high"], s).when(lower, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), middle.alias("high")))
+
+    size = F.size(row["members"])
+    start = F.struct(F.lit(0).alias("low"), size.alias("high"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+
+    def shared(i: Column) -> Column:
+        return let(F.get(row["members"], i)["pos"], lambda p: F.struct((common_prefix(before(p), wanted) + width).alias("matched"), p.alias("pos")))
+
+    def choose(i: Column) -> Column:
+        """Of the members just below and just above, the one that shares more."""
+        return let(F.struct(F.when(i > 0, shared(i - 1)).alias("a"), F.when(i < size, shared(i)).alias("b")), lambda x: F.when(x["b"].isNull() | (x["a"]["matched"] >= x["b"]["matched"]), x["a"]).otherwise(x["b"]))
+
+    return let(F.aggregate(steps, start, halve, lambda s: s["low"]), choose)
+
+
+def matching_statistics(index: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern_id, text_id, stats): for every end in a pattern (len, pos), the longest match that ends there and where it ends in the text.
+
+    Patterns that are null or empty, and texts that are null, empty or unknown, give no row;
+    a character that the text lacks has the length 0 and the place -1.
     """
-    far = prefixes.where(F.length("seq") > key)
-    if texts is None and far.limit(1).count():
-        raise ValueError(f"prefixes of over {key} characters need the texts")
-    near = _by_key(index, prefixes.where(F.length("seq") <= key), key)
-    if texts is None:
-        return near
-    met = far.select("pattern_id", "text_id", "seq", F.expr(f"reverse(right(seq, {key}))").alias("key")).join(index.select("text_id", "key", "pos"), ["text_id", "key"])
-    start = F.col("pos") + 1 - F.length("seq")
-    whole = met.join(texts.select("text_id", "text"), "text_id").where((start >= 0) & (F.substring("text", start + 1, F.length("seq")) == F.col("seq")))
-    return near.unionByName(whole.groupBy("pattern_id", "text_id").agg(F.min("pos").alias("pos")))
-
-
-def _by_key(index: DataFrame, prefixes: DataFrame, key: int) -> DataFrame:
-    """(pattern_id, text_id, pos) of prefixes no longer than the key."""
-    asked = prefixes.where(F.length("seq") > 0).select("pattern_id", "text_id", F.expr(f"right(seq, {key})").alias("_end")).select("pattern_id", "text_id", F.expr("right(_end, 1)").alias("ch"), F.reverse("_end").alias("key"))
-    both = index.select("text_id", "ch", "key", "pos", F.lit(None).cast("long").alias("pattern_id")).unionByName(asked.select("text_id", "ch", "key", F.lit(None).cast("int").alias("pos"), F.col("pattern_id").cast("long").alias("pattern_id")))
-    w = Window.partitionBy("text_id", "ch").orderBy("key", F.col("pos").isNull())
-    entry = F.when(F.col("pos").isNotNull(), F.struct("key", "pos"))
-    near = both.withColumn("low", F.last(entry, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first(entry, True).over(w.rowsBetween(0, Window.unboundedFollowing))).where(F.col("pos").isNull())
-    best = F.when(F.col("low.key").startswith(F.col("key")), F.col("low.pos")).when(F.col("high.key").startswith(F.col("key")), F.col("high.pos"))
-    return near.select("pattern_id", "text_id", best.alias("pos")).where(F.col("pos").isNotNull())
-
-
-def locate_one(index: DataFrame, pairs: DataFrame, texts: DataFrame, key: int = KEY) -> DataFrame:
-    """(pattern_id, text_id, pos): one occurrence of each pattern in its text, found through any variant of the index.
-
-    pairs: (pattern_id, text_id, seq), each pair of ids once, pattern_id an integer; texts:
-    (text_id, text). A match is extended in the text as far as it goes; the prefix up to and
-    with the character that stopped it is looked up in the index, as a text that holds that
-    prefix has an entry where it ends. So a pattern takes one round more than it has such
-    stops, and only unfinished patterns go on. The index is read in every round: pass a stored
-    one. pos is -1 where the pattern doesn't occur, is null or empty, or its text is unknown.
+    own = texts.where(F.length("text") > 0).select("text_id", "text")
+    each = nearest(index, pairs.join(own.select("text_id"), "text_id"), own).groupBy("pattern_id", "text_id").agg(F.array_sort(F.collect_list(F.struct("end", "matched", "pos"))).alias("found"))
+    rows = each.join(pairs, ["pattern_id", "text_id"]).join(own, "text_id")
+    kind = "array<struct<len:int,pos:int>>"
+
+    def walk(r: Column) -> Column:
+        def step(s: Column, ch: Column) -> Column:
+            goes_on = (s["len"] > 0) & F.coalesce(F.get(r["text"], s["pos"] + 1) == ch, F.lit(False))
+            on = F.struct((s["len"] + 1).alias("len"), (s["pos"] + 1).alias("pos"))
+            new = F.when(goes_on, on).otherwise(let(F.get(r["found"], s["i"]), lambda x: F.struct(x["matched"].alias("len"), x["pos"].alias("pos"))))
+            return let(new, lambda x: F.struct((s["i"] + 1).alias("i"), x["len"].alias("len"), x["pos"].alias("pos"), F.concat(s["out"], F.array(x)).alias("out")))
+
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.array().cast(kind).alias("out"))
+        return F.aggregate(r["seq"], start, step, lambda s: s["out"])
+
+    chars = lambda c: F.split(c, "")
+    return rows.select("pattern_id", "text_id", let(F.struct(chars("seq").alias("seq"), chars("text").alias("text"), "found"), walk).alias("stats"))
+
+
+def mems(stats: DataFrame) -> DataFrame:
+    """(pattern_id, text_id, start, len, text_pos): the maximal exact matches, from matching_statistics; (start, 0, -1) for characters that the text lacks."""
+    def kept(all_: Column) -> Column:
+        each = F.transform(all_, lambda x, i: F.struct(i.alias("end"), x["len"].alias("len"), x["pos"].alias("pos")))
+        return F.filter(each, lambda x: (x["len"] == 0) | F.coalesce(F.get(all_, x["end"] + 1)["len"] <= x["len"], F.lit(True)))
+
+    rows = stats.select("pattern_id", "text_id", F.explode(let(F.col("stats"), kept)).alias("m"))
+    found = F.col("m.len") > 0
+    return rows.select("pattern_id", "text_id", F.when(found, F.col("m.end") - F.col("m.len") + 1).otherwise(F.col("m.end")).alias("start"), "m.len", F.when(found, F.col("m.pos") - F.col("m.len") + 1).otherwise(-1).alias("text_pos"))
+
+
+def longest_prefix(index: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern_id, text_id, pos, matched, stop): where a prefix of the text ends that shares the longest suffix with the pattern.
+
+    By one look-up of each pattern's end. pos is -1 and matched 0 where the last character has
+    no entry; stop is the text's character that ends the match, null where the text starts there.
     """
-    own = texts.select("text_id", "text")
-    state = pairs.where(F.length("seq") > 0).select("pattern_id", "text_id", "seq", F.lit(0).alias("matched"))
-    found = None
-    while True:
-        asked = state.select("pattern_id", "text_id", F.expr("left(seq, matched + 1)").alias("seq"))
-        ends = state.join(lookup(index, asked, key, own), ["pattern_id", "text_id"]).join(own, "text_id")
-        more = common_prefix(F.expr("substring(text, pos + 2)"), F.expr("substring(seq, matched + 2)"))
-        state = settle(ends.select("pattern_id", "text_id", "seq", "pos", (F.col("matched") + 1).alias("matched"), more.alias("more")), "index-search")
-        state = state.select("pattern_id", "text_id", "seq", (F.col("matched") + F.col("more")).alias("matched"), (F.col("pos") + F.col("more")).alias("end"))
-        whole = state.where(F.col("matched") == F.length("seq")).select("pattern_id", "text_id", (F.col("end") + 1 - F.col("matched")).alias("at"))
-        found = whole if found is None else found.unionByName(whole)
-        state = state.where(F.col("matched") < F.length("seq")).drop("end")
-        if not state.limit(1).count():
-            return pairs.select("pattern_id", "text_id").join(found, ["pattern_id", "text_id"], "left").select("pattern_id", "text_id", F.coalesce("at", F.lit(-1)).alias("pos"))
+    tails = pairs.where(F.length("seq") > 0)
+    found = nearest(index, tails, texts).where("matched > 0").join(tails.select("pattern_id", "text_id", (F.length("seq") - 1).alias("end")), ["pattern_id", "text_id", "end"])
+    own = found.join(texts.select("text_id", "text"), "text_id")
+    at = F.col("pos") - F.col("matched")
+    known = own.select("pattern_id", "text_id", "pos", "matched", F.when(at >= 0, F.substring("text", at + 1, F.lit(1))).alias("stop"))
+    return tails.select("pattern_id", "text_id").join(known, ["pattern_id", "text_id"], "left").na.fill({"pos": -1, "matched": 0})
+
+
+def locate_one(index: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern_id, text_id, pos): one occurrence of each pattern in its text; pos is -1 where it doesn't occur, is null or empty, or its text is unknown."""
+    ends = matching_statistics(index, pairs, texts).select("pattern_id", "text_id", F.size("stats").alias("n"), F.element_at("stats", -1).alias("last"))
+    whole = ends.where(F.col("last.len") == F.col("n")).select("pattern_id", "text_id", (F.col("last.pos") + 1 - F.col("n")).alias("at"))
+    return pairs.select("pattern_id", "text_id").join(whole, ["pattern_id", "text_id"], "left").select("pattern_id", "text_id", F.coalesce("at", F.lit(-1)).alias("pos"))
+
+
+def lookup(index: DataFrame, prefixes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern_id, text_id, pos): an entry of the index where each whole prefix (pattern_id, text_id, seq) ends, if there is one."""
+    met = longest_prefix(index, prefixes, texts).where("matched > 0").join(prefixes.select("pattern_id", "text_id", F.length("seq").alias("n")), ["pattern_id", "text_id"])
+    return met.where(F.col("matched") == F.col("n")).select("pattern_id", "text_id", "pos")

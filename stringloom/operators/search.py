@@ -153,55 +153,10 @@ def longest_prefix(pairs: DataFrame, key: str, pattern: str, text: str) -> DataF
     return out.select(F.col("k").alias(key), pos.alias("pos"), F.greatest("a", "b").alias("matched"))
 
 
-def mems_in(patterns: DataFrame, texts: DataFrame, pattern_id: str = "pattern_id", seq: str = "seq", text_id: str = "text_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """(pattern_id, start, len, text_id, text_pos): the maximal exact matches of each pattern in all the texts together.
-
-    The place is the first by text and position; a character that no text holds gives
-    (start, 0, null, -1). pattern_id and text_id are keys.
-
-    Seeds of all pattern positions meet the texts by an equi-join. Seeds that follow one
-    another on a diagonal (text position less pattern position) are one match, so matches are
-    extended without reading the texts again. Positions that no such match covers have a match
-    shorter than a seed: its length is narrowed down to a quarter by each further join.
-    """
-    asked = patterns.where(F.length(seq) > 0).select(F.col(pattern_id).alias("pattern_id"), F.col(seq).alias("seq"), F.explode(F.sequence(F.lit(0), F.length(seq) - 1)).alias("start"))
-    keys = asked.where(F.col("start") + seed <= F.length("seq")).select("pattern_id", "start", F.substring("seq", F.col("start") + 1, F.lit(seed)).alias("key"))
-    hits = places_of(keys.select(F.col("key").alias("seed")), texts, text_id, text).withColumnRenamed("seed", "key").join(keys, "key").select("pattern_id", "text_id", "start", (F.col("pos") - F.col("start")).alias("diagonal"))
-    run = F.col("start") - F.row_number().over(Window.partitionBy("pattern_id", "text_id", "diagonal").orderBy("start"))
-    runs = hits.withColumn("run", run).groupBy("pattern_id", "text_id", "diagonal", "run").agg(F.min("start").alias("start"), F.max("start").alias("last"))
-    longest = F.min(F.struct((F.col("start") - F.col("last") - seed).alias("less"), "text_id", (F.col("start") + F.col("diagonal")).alias("pos")))
-    spans = runs.groupBy("pattern_id", "start").agg(longest.alias("m")).select("pattern_id", "start", (F.col("start") - F.col("m.less")).alias("own_end"), F.col("m.text_id").alias("text_id"), F.col("m.pos").alias("pos"))
-    upto = Window.partitionBy("pattern_id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    reached = settle(asked.join(spans, ["pattern_id", "start"], "left").withColumn("end", F.coalesce(F.max("own_end").over(upto), F.lit(0))), "mems-seeds")
-
-    short = F.col("end") - F.col("start") < seed
-    state = reached.where(short).select("pattern_id", "seq", "start", F.lit(0).alias("low"), F.least(F.lit(seed - 1), F.length("seq") - F.col("start")).alias("high"), F.col("text_id"), F.col("pos"))
-    state = state.withColumn("text_id", F.when(F.lit(False), F.col("text_id"))).withColumn("pos", F.when(F.lit(False), F.col("pos")))
-    while state.where("low < high").limit(1).count():
-        step = F.ceil((F.col("high") - F.col("low") + 1) / 4).cast("int")
-        lengths = F.filter(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda j: F.col("low") + step * j), lambda x: x <= F.col("high"))
-        asks = settle(state.where("low < high").select("pattern_id", "start", "seq", F.explode(lengths).alias("n")).select("pattern_id", "start", "n", F.expr("substring(seq, start + 1, n)").alias("key")), "mems-asks")
-        met = places_of(asks.select(F.col("key").alias("seed")), texts, text_id, text)
-        first = met.groupBy(F.col("seed").alias("key")).agg(F.min(F.struct("text_id", "pos")).alias("f"))
-        tried = asks.join(first, "key", "left").groupBy("pattern_id", "start").agg(F.max(F.when(F.col("f").isNotNull(), F.struct("n", "f"))).alias("yes"), F.min(F.when(F.col("f").isNull(), F.col("n"))).alias("no"))
-        narrowed = state.join(tried, ["pattern_id", "start"], "left")
-        state = settle(
-            narrowed.select(
-                "pattern_id", "seq", "start", F.coalesce("yes.n", "low").alias("low"), F.coalesce(F.col("no") - 1, F.col("high")).alias("high"), F.coalesce("yes.f.text_id", "text_id").alias("text_id"), F.coalesce("yes.f.pos", "pos").alias("pos")
-            ),
-            "mems-state",
-        )
-    far = reached.where(~short).select("pattern_id", "start", (F.col("end") - F.col("start")).alias("len"), "text_id", "pos")
-    near = state.select("pattern_id", "start", F.col("low").alias("len"), "text_id", "pos")
-    before = F.lag("len").over(Window.partitionBy("pattern_id").orderBy("start"))
-    kept = far.unionByName(near).withColumn("before", before).where((F.col("len") == 0) | F.col("before").isNull() | (F.col("before") <= F.col("len")))
-    return kept.select("pattern_id", "start", F.col("len").cast("int").alias("len"), "text_id", F.coalesce("pos", F.lit(-1)).cast("int").alias("text_pos"))
-
-
 def longest_prefix_in(patterns: DataFrame, matches: DataFrame, pattern_id: str = "pattern_id", seq: str = "seq") -> DataFrame:
     """(pattern_id, text_id, pos, matched): where a prefix of some text ends that shares the longest suffix with the pattern.
 
-    matches: the result of mems_in; the match that reaches the pattern's end is the one. pos
+    matches: the result of matching.mems_in; the match that reaches the pattern's end is the one. pos
     is -1 and text_id null where no text holds the last character.
     """
     own = patterns.where(F.col(seq).isNotNull()).select(F.col(pattern_id).alias("pattern_id"), F.length(seq).alias("n"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import fm, index, parse, search, suffix, suffixient
-from ..session import settle
+from ..operators import fm, index, matching, parse, search, suffix, suffixient
+from ..session import settle, shared_path
 from ..sources import texts as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,16 +24,21 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part's name as a text and its type and brand as patterns."""
-    return _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    """Every part's name as a text, and as patterns its type, as names spell it, and its brand."""
+    return _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.lower("p_type").alias("p_type"), "p_brand")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
 
 
+def _turn() -> Column:
+    """A turn's id: its conversation, and the turn in 32 bits."""
+    return F.col("conv_id") * (1 << 32) + F.col("turn")
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    return _table(spark, sf_dir, "conversations").where("text is not null").select(_turn().alias("text_id"), "text")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,15 +87,9 @@ def suffixient_chi_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixient.measures(suffixient.suffixient_set(docs), docs).select("text_id", "n", "chi", (F.col("n") / F.col("chi")).alias("n_over_chi"))
 
 
-def fm_count_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Backward search of the last two letters of each type in the name."""
-    asked = _pairs(spark, sf_dir).select(F.col("p_partkey").alias("pattern_id"), F.col("p_partkey").alias("text_id"), F.expr("right(lower(p_type), 2)").alias("seq"))
-    return fm.backward_count(asked, settle(suffix.suffixes(_names(spark, sf_dir)), "suffixes")).select("pattern_id", "n")
-
-
 def fm_count_types_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backward search of each whole type in the name."""
-    asked = _pairs(spark, sf_dir).select(F.col("p_partkey").alias("pattern_id"), F.col("p_partkey").alias("text_id"), F.lower("p_type").alias("seq"))
+    asked = _pairs(spark, sf_dir).select(F.col("p_partkey").alias("pattern_id"), F.col("p_partkey").alias("text_id"), F.col("p_type").alias("seq"))
     return fm.backward_count(asked, settle(suffix.suffixes(_names(spark, sf_dir)), "suffixes")).select("pattern_id", "n")
 
 
@@ -201,22 +200,47 @@ def longest_prefix_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.longest_prefix(_pairs(spark, sf_dir), "p_partkey", "p_type", "p_name").select("p_partkey", "matched")
 
 
+def _next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text_id, text, next): every turn with a text, and the text of its conversation's next turn."""
+    turns = _table(spark, sf_dir, "conversations").select(_turn().alias("text_id"), "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("next"))
+    return turns.where("text is not null")
+
+
 def locate_index_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the next turn, looked for in each turn by the sA index: whether it occurs, and whether the place holds it."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text", F.lead("text").over(order).alias("next"))
-    texts = turns.where("text is not null").select("text_id", "text")
-    pairs = turns.where("text is not null").select("text_id", F.posexplode(F.split("next", " ")).alias("pattern_id", "seq")).where("seq != ''")
+    turns = _next_turns(spark, sf_dir)
+    texts = turns.select("text_id", "text")
+    pairs = turns.select("text_id", F.posexplode(F.split("next", " ")).alias("pattern_id", "seq")).where("seq != ''")
     at = index.locate_one(settle(index.build(texts, "sA"), "index"), pairs, texts)
     held = F.expr("substring(text, pos + 1, length(seq))") == F.col("seq")
     return at.join(pairs, ["pattern_id", "text_id"]).join(texts, "text_id").select("text_id", "pattern_id", (F.col("pos") >= 0).alias("found"), ((F.col("pos") >= 0) & held).alias("holds"))
 
 
+def mems_index_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal exact matches of each next turn in its turn, by a stored opt-sA index; whether the place holds the match."""
+    turns = _next_turns(spark, sf_dir)
+    texts = turns.select("text_id", "text")
+    pairs = turns.select("text_id", F.lit(0).alias("pattern_id"), F.col("next").alias("seq"))
+    path = shared_path(spark, "opt-index")
+    index.store(index.build(texts, "opt-sA"), path)
+    found = index.mems(index.matching_statistics(index.load(spark, path), pairs, texts)).drop("pattern_id")
+    held = F.expr("substring(text, text_pos + 1, len)") == F.expr("substring(seq, start + 1, len)")
+    return found.join(pairs.drop("pattern_id"), "text_id").join(texts, "text_id").select("text_id", "start", "len", (F.col("len") == 0).alias("absent"), held.alias("holds"))
+
+
+def longest_prefix_index_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long a suffix of the next turn some prefix of the turn shares, by the PA index, and whether the place holds it."""
+    turns = _next_turns(spark, sf_dir)
+    texts = turns.select("text_id", "text")
+    pairs = turns.select("text_id", F.lit(0).alias("pattern_id"), F.col("next").alias("seq"))
+    found = index.longest_prefix(settle(index.build(texts, "PA"), "index"), pairs, texts).join(pairs.drop("pattern_id"), "text_id").join(texts, "text_id")
+    held = F.expr("substring(text, pos - matched + 2, matched)") == F.expr("right(seq, matched)")
+    return found.where(F.length("seq") > 0).select("text_id", "matched", ((F.col("matched") == 0) | held).alias("holds"))
+
+
 def mems_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The maximal exact matches of the whole benchmark texts in the documents."""
-    return search.mems_in(_items(spark, sf_dir), _documents(spark, sf_dir))
+    return matching.mems_in(_items(spark, sf_dir), _documents(spark, sf_dir))
 
 
 def longest_prefix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,22 +248,8 @@ def longest_prefix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.longest_prefix_in(_items(spark, sf_dir), mems_documents(spark, sf_dir))
 
 
-def owners_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as one text: which turn every hundredth position lies in, and how far."""
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    starts = turns.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
-    totals = turns.groupBy("conv_id").agg(F.sum("n").alias("total")).where("total > 0")
-    places = totals.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(100).cast("long"))).alias("at"))
-    return search.owners(places, starts, "conv_id", "at", "turn", "start")
-
-
 def owners_borders_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as one text: the turn and offset of every turn's first and last position."""
-    from pyspark.sql import Window
-
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     starts = turns.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
@@ -256,14 +266,6 @@ def prefix_search_types_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.with_prefix(names, "p_name", asked, "q").groupBy("prefix").agg(F.count("*").alias("n"))
 
 
-def prefix_search_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many names start with each pair of letters that a name or type starts with."""
-    part = _table(spark, sf_dir, "part")
-    asked = part.select(F.expr("left(p_name, 3)").alias("q")).unionByName(part.select(F.expr("left(p_type, 2)").alias("q")))
-    names = part.select("p_name").distinct()
-    return search.with_prefix(names, "p_name", asked, "q").groupBy("prefix").agg(F.count("*").alias("n"))
-
-
 def keywords_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and brands as one keyword set, without those of the small parts."""
     part = _table(spark, sf_dir, "part")
@@ -330,22 +332,11 @@ def lz_end_roundtrip_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("p_partkey", parse.decode(parse.lz_end(F.col("t"))).alias("decoded"))
 
 
-def rlz_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names(spark, sf_dir).select("text_id", F.posexplode(parse.rlz(F.col("text"), F.lit(4))).alias("ord", "p")).select("text_id", "ord", "p.*")
-
-
-def rlz_roundtrip_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reference = F.substring("text", F.lit(1), F.lit(4))
-    return _names(spark, sf_dir).select("text_id", parse.decode_rlz(parse.rlz(F.col("text"), F.lit(4)), reference).alias("decoded"))
-
-
 def _after_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(text_id, reference, t): each turn after the first turn of its conversation that has a text."""
-    from pyspark.sql import Window
-
     turns = _table(spark, sf_dir, "conversations").where("length(text) > 0")
     first = F.first("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), first.alias("reference"), F.concat(first, "text").alias("t"))
+    return turns.select(_turn().alias("text_id"), first.alias("reference"), F.concat(first, "text").alias("t"))
 
 
 def rlz_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +366,7 @@ def pfp_roundtrip_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PFP = """
-c AS (SELECT conv_id * 1000 + turn AS text_id, text AS t FROM conversations WHERE length(text) > 0),
+c AS (SELECT conv_id * 4294967296 + turn AS text_id, text AS t FROM conversations WHERE length(text) > 0),
 q AS (SELECT text_id, t, unnest(range(0, length(t) - 4)) AS i FROM c WHERE length(t) >= 5),
 k AS (SELECT text_id, i FROM q WHERE list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 5), lambda j: unicode(substr(t, i + j + 1, 1))::BIGINT)), lambda h, x: (h * 256 + x) % 1999999973) % 20 = 0),
 a AS (SELECT text_id, i AS cut FROM k UNION SELECT text_id, 0 FROM c),
@@ -392,8 +383,13 @@ l AS (SELECT text_id, t, -1 AS ord, 0 AS dst, 0 AS src, 0 AS len, '' AS ch, {fir
 SELECT text_id, ord::INTEGER AS ord, dst::INTEGER AS dst, src::INTEGER AS src, len::INTEGER AS len, ch FROM l WHERE ord >= 0
 """
 
+#: Every position i (from 1) of the next turn in its turn, with the longest match from there, found bit by bit.
+_NEXT = """t AS (SELECT conv_id * 4294967296 + turn AS text_id, text AS t, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations),
+s AS (SELECT text_id, t, seq, i, list_reduce([0, 65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1], lambda n, p: CASE WHEN i + n + p - 1 <= length(seq) AND contains(t, substr(seq, i, n + p)) THEN n + p ELSE n END) AS ms
+  FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM t WHERE length(t) > 0 AND length(seq) > 0))"""
+
 _COMMON = "coalesce(list_max(list_filter(range(0, least(length({a}), length({b})) + 1), lambda k: left({a}, k) = left({b}, k))), 0)"
-_TAIL = _COMMON.format(a="reverse(p_type)", b="reverse(p_name)")
+_TAIL = _COMMON.format(a="reverse(lower(p_type))", b="reverse(p_name)")
 
 ENTRIES: dict[str, tuple[Query, str | None]] = {
     "suffix_array_part": (suffix_array_part, f"WITH {_FORWARD} SELECT text_id, rank, sa FROM o"),
@@ -406,7 +402,6 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "lcp_bwt_documents": (lcp_bwt_documents, None),
     "bwt_runs_documents": (bwt_runs_documents, None),
     "suffixient_chi_documents": (suffixient_chi_documents, None),
-    "fm_count_part": (fm_count_part, "SELECT p_partkey AS pattern_id, len(list_filter(range(0, length(p_name)), lambda i: substr(p_name, i + 1, 2) = right(lower(p_type), 2)))::BIGINT AS n FROM part"),
     "fm_count_types_part": (fm_count_types_part, "SELECT p_partkey AS pattern_id, len(list_filter(range(0, length(p_name)), lambda i: substr(p_name, i + 1, length(p_type)) = lower(p_type)))::BIGINT AS n FROM part"),
     "pa_index_part": (
         pa_index_part,
@@ -433,31 +428,32 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "verify_benchmark": (verify_benchmark, f"WITH {_HITS} SELECT pattern_id, count(*) AS n, count(*) FILTER (substr(t, pos + 1, len) <> p) AS n_wrong FROM f GROUP BY 1"),
     "mems_part": (
         mems_part,
-        """WITH x AS (SELECT p_partkey, p_type AS p, p_name AS t, unnest(range(1, length(p_type) + 1)) AS i FROM part),
+        """WITH x AS (SELECT p_partkey, lower(p_type) AS p, p_name AS t, unnest(range(1, length(p_type) + 1)) AS i FROM part),
         m AS (SELECT *, coalesce(list_max(list_filter(range(1, length(p) - i + 2), lambda k: contains(t, substr(p, i, k)))), 0) AS ms FROM x),
         b AS (SELECT *, lag(ms) OVER (PARTITION BY p_partkey ORDER BY i) AS pm FROM m)
         SELECT p_partkey, (i - 1)::INTEGER AS start, ms::INTEGER AS len, CASE WHEN ms > 0 THEN strpos(t, substr(p, i, ms)) - 1 ELSE -1 END::INTEGER AS text_pos FROM b WHERE ms = 0 OR pm IS NULL OR pm <= ms""",
     ),
     "longest_prefix_part": (
         longest_prefix_part,
-        f"WITH x AS (SELECT p_partkey, reverse(p_type) AS p, unnest(list_transform(range(1, length(p_name) + 1), lambda e: reverse(left(p_name, e)))) AS r FROM part) SELECT p_partkey, max({_COMMON.format(a='p', b='r')})::INTEGER AS matched FROM x GROUP BY 1",
+        f"WITH x AS (SELECT p_partkey, reverse(lower(p_type)) AS p, unnest(list_transform(range(1, length(p_name) + 1), lambda e: reverse(left(p_name, e)))) AS r FROM part) SELECT p_partkey, max({_COMMON.format(a='p', b='r')})::INTEGER AS matched FROM x GROUP BY 1",
     ),
     "locate_index_turns": (
         locate_index_turns,
-        """WITH t AS (SELECT conv_id * 1000 + turn AS text_id, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+        """WITH t AS (SELECT conv_id * 4294967296 + turn AS text_id, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
         w AS (SELECT text_id, text, unnest(string_split(nxt, ' ')) AS seq, (generate_subscripts(string_split(nxt, ' '), 1) - 1)::INTEGER AS pattern_id FROM t WHERE text IS NOT NULL)
         SELECT text_id, pattern_id, strpos(text, seq) > 0 AS found, strpos(text, seq) > 0 AS holds FROM w WHERE seq != ''""",
     ),
+    "mems_index_turns": (
+        mems_index_turns,
+        f"""WITH {_NEXT}, b AS (SELECT *, lag(ms) OVER (PARTITION BY text_id ORDER BY i) AS pm FROM s)
+        SELECT text_id, (i - 1)::INTEGER AS start, ms::INTEGER AS len, ms = 0 AS absent, true AS holds FROM b WHERE ms = 0 OR pm IS NULL OR pm <= ms""",
+    ),
+    "longest_prefix_index_turns": (
+        longest_prefix_index_turns,
+        f"""WITH {_NEXT} SELECT text_id, coalesce(max(length(seq) - i + 1) FILTER (ms = length(seq) - i + 1), 0)::INTEGER AS matched, true AS holds FROM s GROUP BY text_id""",
+    ),
     "mems_documents": (mems_documents, None),
     "longest_prefix_documents": (longest_prefix_documents, None),
-    "owners_conversations": (
-        owners_conversations,
-        """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations),
-        s AS (SELECT conv_id, turn, n, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t),
-        p AS (SELECT conv_id, unnest(range(0, sum(n)::BIGINT, 100)) AS at FROM t GROUP BY 1 HAVING sum(n) > 0)
-        SELECT p.conv_id, p.at, s.turn, p.at - s.start AS "offset" FROM p ASOF JOIN (SELECT * FROM s WHERE n > 0) s ON p.conv_id = s.conv_id AND p.at >= s.start""",
-    ),
-    "prefix_search_part": (prefix_search_part, "WITH q AS (SELECT left(p_name, 3) AS prefix FROM part UNION SELECT left(p_type, 2) FROM part), n AS (SELECT DISTINCT p_name FROM part) SELECT prefix, count(*) AS n FROM q JOIN n ON starts_with(p_name, prefix) GROUP BY 1"),
     "owners_borders_conversations": (
         owners_borders_conversations,
         """WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations),
@@ -472,7 +468,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "string_oracle_part": (
         string_oracle_part,
         f"""SELECT p_partkey, CASE WHEN p_partkey % 5 < length(p_name) THEN substr(p_name, p_partkey % 5 + 1, 1) ELSE '' END AS at_i, substr(p_name, p_partkey % 5 + 1, 4) AS shown,
-        {_COMMON.format(a='substr(p_type, p_partkey % 5 + 1)', b='p_name')}::INTEGER AS lcp, {_TAIL}::INTEGER AS lcs,
+        {_COMMON.format(a='substr(lower(p_type), p_partkey % 5 + 1)', b='p_name')}::INTEGER AS lcp, {_TAIL}::INTEGER AS lcs,
         CASE WHEN {_TAIL} < length(p_type) AND {_TAIL} < length(p_name) THEN substr(reverse(p_name), {_TAIL} + 1, 1) END AS ended_by FROM part""",
     ),
     "string_oracle_documents": (string_oracle_documents, None),
@@ -498,15 +494,13 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     ),
     "query_stats_benchmark": (query_stats_benchmark, "SELECT 3 * (SELECT count(*) FROM documents WHERE length(text) >= 20) + (SELECT count(*) FROM benchmark) AS patterns, (60 * (SELECT count(*) FROM documents WHERE length(text) >= 20) + (SELECT sum(length(text)) FROM benchmark))::BIGINT AS characters"),
     "lz77_part": (lz77_part, _LZ.format(first="0", source="left(t, i)", most="length(t) - i")),
-    "lz77_roundtrip_part": (lz77_roundtrip_part, "SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_name AS decoded FROM part"),
-    "lz_end_roundtrip_part": (lz_end_roundtrip_part, "SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_name AS decoded FROM part"),
-    "rlz_part": (rlz_part, _LZ.format(first="least(4, length(t))", source="left(t, 4)", most="least(4, length(t) - i)")),
-    "rlz_roundtrip_part": (rlz_roundtrip_part, "SELECT p_partkey AS text_id, p_name AS decoded FROM part"),
+    "lz77_roundtrip_part": (lz77_roundtrip_part, "SELECT p_partkey, p_name || ' ' || lower(p_type) || ' ' || p_name AS decoded FROM part"),
+    "lz_end_roundtrip_part": (lz_end_roundtrip_part, "SELECT p_partkey, p_name || ' ' || lower(p_type) || ' ' || p_name AS decoded FROM part"),
     "rlz_turns": (rlz_turns, None),
-    "rlz_roundtrip_turns": (rlz_roundtrip_turns, "SELECT conv_id * 1000 + turn AS text_id, text AS decoded FROM conversations WHERE length(text) > 0"),
+    "rlz_roundtrip_turns": (rlz_roundtrip_turns, "SELECT conv_id * 4294967296 + turn AS text_id, text AS decoded FROM conversations WHERE length(text) > 0"),
     "pfp_dictionary_turns": (pfp_dictionary_turns, f"WITH {_PFP} SELECT phrase, occ, rank FROM d"),
     "pfp_parse_turns": (pfp_parse_turns, f"WITH {_PFP} SELECT text_id, ord::INTEGER AS ord, rank FROM f JOIN d USING (phrase)"),
-    "pfp_roundtrip_turns": (pfp_roundtrip_turns, "SELECT conv_id * 1000 + turn AS text_id, text FROM conversations WHERE length(text) > 0"),
+    "pfp_roundtrip_turns": (pfp_roundtrip_turns, "SELECT conv_id * 4294967296 + turn AS text_id, text FROM conversations WHERE length(text) > 0"),
 }
 
 

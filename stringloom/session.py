@@ -10,20 +10,34 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, purpose: str) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir and read back: cuts lineage, survives lost executors.
+def shared_path(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the folder in spark.checkpoint.dir, which all executors share.
 
     Where the session has no such folder, as in tests, one beneath the warehouse is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
         context.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that no later job reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()

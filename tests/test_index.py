@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from stringloom.operators import fm, index, suffix
 
@@ -24,6 +25,10 @@ def test_variants(spark, frame, tmp_path):
     assert [tuple(r)[:4] for r in sa.orderBy("text_id", "ord").collect()] == [tuple(r)[:4] for r in opt.orderBy("text_id", "ord").collect()]
     assert pa.where("text_id = 0").count() == len(PAPER)
     index.store(sa, str(tmp_path / "i"))
+    with pytest.raises(AnalysisException):
+        index.store(sa, str(tmp_path / "i"))
+    index.store(sa, str(tmp_path / "i"), replace=True)
+    assert {r["stored"] for r in sa.collect()} == {index.KEY} and {r["stored"] for r in opt.collect()} == {5}
     assert index.load(spark, str(tmp_path / "i")).count() == sa.count()
     assert index.stored_bytes(sa).where("text_id = 0").first()["entries"] == 8
     with pytest.raises(ValueError):
@@ -39,7 +44,7 @@ def test_lookup_finds_every_prefix(spark, frame, texts):
             a = rng.randrange(len(t))
             rows.append((len(rows), i, t[a : a + rng.randint(1, 9)]))
         rows.append((len(rows), i, "zz"))
-    got = {r["pattern_id"]: r["pos"] for r in index.lookup(pa, spark.createDataFrame(rows, "pattern_id long, text_id long, seq string")).collect()}
+    got = {r["pattern_id"]: r["pos"] for r in index.lookup(pa, spark.createDataFrame(rows, "pattern_id long, text_id long, seq string"), frame).collect()}
     for k, i, p in rows:
         assert (k in got) == (p in texts[i])
         if k in got:
@@ -69,13 +74,11 @@ def test_lookup_compares_the_whole_prefix(spark):
     asked = ["yabcdefghijklmnop", "zabcdefghijklmnop", "xabcdefghijklmnop", "p", "q" * 40, text]
     rows = spark.createDataFrame([(i, 0, p) for i, p in enumerate(asked)], "pattern_id long, text_id long, seq string")
     pa = index.build(one, "PA")
-    got = {r["pattern_id"]: r["pos"] for r in index.lookup(pa, rows, texts=one).collect()}
+    got = {r["pattern_id"]: r["pos"] for r in index.lookup(pa, rows, one).collect()}
     assert set(got) == {0, 2, 3, 5} and (got[0], got[2], got[5]) == (33, 16, 33) and text[got[3]] == "p"
-    with pytest.raises(ValueError):
-        index.lookup(pa, rows)
 
 
-@pytest.mark.parametrize("variant", ["sA", "PA"])
+@pytest.mark.parametrize("variant", ["opt-sA"])
 def test_locate_one_through_the_index(spark, frame, texts, variant):
     rng, rows = random.Random(3), []
     for i, t in enumerate(texts):
@@ -96,3 +99,49 @@ def test_locate_one_through_the_index(spark, frame, texts, variant):
             assert at == -1, (texts[min(i, 9)], p)
         else:
             assert texts[i][at : at + len(p)] == p
+
+
+def plain_stats(p, t):
+    return [max(k for k in range(j + 2) if p[j + 1 - k : j + 1] in t) for j in range(len(p))]
+
+
+@pytest.mark.parametrize("variant,key", [("sA", None), ("opt-sA", None), ("PA", 2)])
+def test_mems_and_longest_prefix_through_the_index(spark, tmp_path, variant, key):
+    rng = random.Random(7)
+    block = "".join(rng.choice("abc") for _ in range(30))
+    texts = [PAPER, "abcdefghijklmnopqrst" * 6, "a" * 50, "".join(block + rng.choice("xyé") for _ in range(8)), "".join(rng.choice("ab") for _ in range(120)), "é", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    rows = []
+    for i, t in enumerate(texts):
+        for p in ("ATGATTATAG", "GGTAATATGA", "ACAATAAAGA", "zz", "", None, "a" * 60, block * 2, (t or "x") + "q", (t or "y")[-40:]):
+            rows.append((f"p{len(rows)}", i, p))
+        for _ in range(4):
+            a, b = (rng.randrange(len(t)) if t else 0 for _ in range(2))
+            rows.append((f"p{len(rows)}", i, (t or "")[a : a + 40] + rng.choice("abz") + (t or "")[b : b + 33]))
+    rows.append(("none", 99, "abc"))
+    pairs = spark.createDataFrame(rows, "pattern_id string, text_id long, seq string")
+    index.store(index.build(frame, variant, key=key), str(tmp_path / "i"))
+    stored = index.load(spark, str(tmp_path / "i"))
+    of = {(k, i): (p, texts[i]) for k, i, p in rows if i != 99}
+    want = {k: (p, t, plain_stats(p, t)) for k, (p, t) in of.items() if p and t}
+    got = {(r["pattern_id"], r["text_id"]): r["stats"] for r in index.matching_statistics(stored, pairs, frame).collect()}
+    assert got.keys() == want.keys()
+    for k, (p, t, stats) in want.items():
+        assert [x["len"] for x in got[k]] == stats, (p, t)
+        assert all(x["pos"] == -1 if not x["len"] else t[x["pos"] + 1 - x["len"] : x["pos"] + 1] == p[j + 1 - x["len"] : j + 1] for j, x in enumerate(got[k]))
+    mems = {}
+    for r in index.mems(index.matching_statistics(stored, pairs, frame)).collect():
+        p, t, _ = want[r["pattern_id"], r["text_id"]]
+        assert r["text_pos"] == -1 if not r["len"] else t[r["text_pos"] : r["text_pos"] + r["len"]] == p[r["start"] : r["start"] + r["len"]]
+        mems.setdefault((r["pattern_id"], r["text_id"]), set()).add((r["start"], r["len"]))
+    for k, (p, t, stats) in want.items():
+        assert mems[k] == {(j + 1 - n if n else j, n) for j, n in enumerate(stats) if not n or j == len(p) - 1 or stats[j + 1] <= n}
+    tails = {(r["pattern_id"], r["text_id"]): r for r in index.longest_prefix(stored, pairs, frame).collect()}
+    for k, (p, t, stats) in want.items():
+        r = tails[k]
+        if not r["matched"]:
+            assert r["pos"] == -1 and r["stop"] is None
+            continue
+        common = next((n for n in range(len(p) + 1) if n == len(p) or n > r["pos"] or t[r["pos"] - n] != p[-1 - n]), len(p))
+        assert r["matched"] == common and r["stop"] == (t[r["pos"] - common] if common <= r["pos"] else None)
+        assert r["matched"] == stats[-1] or variant != "PA"

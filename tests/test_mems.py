@@ -6,14 +6,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stringloom.operators import search
+from stringloom.operators import matching, search
 from stringloom.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("seed", [1, 4, 16])
-def test_mems_and_longest_prefix_in_texts(spark, seed):
+def test_mems_and_longest_prefix_in_texts(spark, monkeypatch, seed):
+    monkeypatch.setattr(matching, "BLOCK", 100 if seed == 4 else 200_000)
+    monkeypatch.setattr(matching, "STEP", 50 if seed == 16 else 1 << 17)
     rng = random.Random(seed)
     texts = ["".join(rng.choice("abcé ") for _ in range(rng.choice([1, 40, 600]))) for _ in range(12)] + ["", None, "ab" * 40]
     patterns = ["ab", "zz", "z", "", None, "ab" * 50, texts[2] + "z" + texts[3][-30:], texts[4][:70] + texts[5][:5]] + ["".join(rng.choice("abcéz ") for _ in range(rng.randint(1, 60))) for _ in range(12)]
@@ -29,7 +31,7 @@ def test_mems_and_longest_prefix_in_texts(spark, seed):
         ms = [max(k for k in range(len(q) - i + 1) if not k or place(q[i : i + k])[1] >= 0) for i in range(len(q))]
         want |= {(j, i, n, *place(q[i : i + n])) for i, n in enumerate(ms) if not n or not i or ms[i - 1] <= n}
         ends[j] = max([k for k in range(1, len(q) + 1) if place(q[-k:])[1] >= 0], default=0)
-    found = search.mems_in(p, t, seed=seed)
+    found = matching.mems_in(p, t, width=seed)
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     got = {r["pattern_id"]: r for r in search.longest_prefix_in(p, found).collect()}
