@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import fm, index, matching, parse, search, suffix, suffixient
+from ..operators import corpus, fm, index, matching, parse, search, suffix, suffixient
 from ..session import settle, shared_path
 from ..sources import texts as sources
 
@@ -87,6 +87,20 @@ def suffixient_chi_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixient.measures(suffixient.suffixient_set(docs), docs).select("text_id", "n", "chi", (F.col("n") / F.col("chi")).alias("n_over_chi"))
 
 
+def corpus_suffix_array_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names' suffixes in one order."""
+    return corpus.suffix_order(_names(spark, sf_dir))
+
+
+def corpus_lcp_bwt_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns' suffixes in one order, with common prefixes and the characters before."""
+    return corpus.suffixes(_turns(spark, sf_dir))
+
+
+def corpus_bwt_runs_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.runs(corpus.suffixes(_turns(spark, sf_dir)))
+
+
 def fm_count_types_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backward search of each whole type in the name."""
     asked = _pairs(spark, sf_dir).select(F.col("p_partkey").alias("pattern_id"), F.col("p_partkey").alias("text_id"), F.col("p_type").alias("seq"))
@@ -383,6 +397,11 @@ l AS (SELECT text_id, t, -1 AS ord, 0 AS dst, 0 AS src, 0 AS len, '' AS ch, {fir
 SELECT text_id, ord::INTEGER AS ord, dst::INTEGER AS dst, src::INTEGER AS src, len::INTEGER AS len, ch FROM l WHERE ord >= 0
 """
 
+#: All turns' suffixes in order; the common prefix with the one before, found bit by bit.
+_COLLECTION = """x AS (SELECT conv_id * 4294967296 + turn AS text_id, text AS t, unnest(range(0, length(text)))::INTEGER AS pos FROM conversations),
+y AS (SELECT row_number() OVER w - 1 AS rank, text_id, pos, substr(t, pos + 1) AS s, lag(substr(t, pos + 1)) OVER w AS q, CASE WHEN pos > 0 THEN substr(t, pos, 1) END AS bwt FROM x WINDOW w AS (ORDER BY substr(t, pos + 1), text_id)),
+o AS (SELECT rank, text_id, pos, bwt, list_reduce([0, 65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1], lambda n, p: CASE WHEN n + p <= length(s) AND n + p <= length(q) AND substr(s, 1, n + p) = substr(q, 1, n + p) THEN n + p ELSE n END)::INTEGER AS lcp FROM y)"""
+
 #: Every position i (from 1) of the next turn in its turn, with the longest match from there, found bit by bit.
 _NEXT = """t AS (SELECT conv_id * 4294967296 + turn AS text_id, text AS t, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations),
 s AS (SELECT text_id, t, seq, i, list_reduce([0, 65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1], lambda n, p: CASE WHEN i + n + p - 1 <= length(seq) AND contains(t, substr(seq, i, n + p)) THEN n + p ELSE n END) AS ms
@@ -402,6 +421,15 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "lcp_bwt_documents": (lcp_bwt_documents, None),
     "bwt_runs_documents": (bwt_runs_documents, None),
     "suffixient_chi_documents": (suffixient_chi_documents, None),
+    "corpus_suffix_array_part": (
+        corpus_suffix_array_part,
+        "WITH x AS (SELECT p_partkey AS text_id, unnest(range(0, length(p_name)))::INTEGER AS pos, p_name FROM part) SELECT row_number() OVER (ORDER BY substr(p_name, pos + 1), text_id) - 1 AS rank, text_id, pos FROM x",
+    ),
+    "corpus_lcp_bwt_turns": (corpus_lcp_bwt_turns, f"WITH {_COLLECTION} SELECT rank, text_id, pos, lcp, bwt FROM o"),
+    "corpus_bwt_runs_turns": (
+        corpus_bwt_runs_turns,
+        f"WITH {_COLLECTION}, r AS (SELECT bwt, rank = 0 OR bwt IS DISTINCT FROM lag(bwt) OVER (ORDER BY rank) AS new FROM o) SELECT bwt AS ch, count(*) FILTER (new) AS runs, count(*) AS length FROM r GROUP BY bwt",
+    ),
     "fm_count_types_part": (fm_count_types_part, "SELECT p_partkey AS pattern_id, len(list_filter(range(0, length(p_name)), lambda i: substr(p_name, i + 1, length(p_type)) = lower(p_type)))::BIGINT AS n FROM part"),
     "pa_index_part": (
         pa_index_part,
