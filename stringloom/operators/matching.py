@@ -35,59 +35,90 @@ BLOCK = 200_000
 STEP = 1 << 17
 
 
-def _codes(text: str, width: int) -> np.ndarray:
-    """Code points plus one, big-endian, so that bytes order like characters; zeros follow the end."""
-    return np.concatenate([np.frombuffer(text.encode("utf-32-le"), np.uint32) + 1, np.zeros(width, np.uint32)]).astype(">u4")
+class Keys:
+    """Sorted distinct keys of at most `width` characters, as numbers, for many text positions to be placed among.
 
+    Characters of the keys are numbered from 1 in order; all others share the next number and
+    0 ends a key, so that neither is ever equal to a text's character. The first characters
+    of a key fill 64 bits, and only positions that share them all are compared further.
+    """
 
-def _windows(codes: np.ndarray, first: int, last: int, width: int) -> np.ndarray:
-    """The keys of positions first to last, a row each."""
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes[first : last + width - 1], width))
+    def __init__(self, keys: list[str], width: int):
+        self.width, self.n = width, len(keys)
+        points = [np.frombuffer(k.encode("utf-32-le"), np.uint32) for k in keys]
+        alphabet = np.unique(np.concatenate(points))
+        self.other = len(alphabet) + 1
+        self.number = np.full(0x110000, self.other, np.uint32)
+        self.number[alphabet] = np.arange(1, self.other)
+        self.rows = np.zeros((self.n, width), np.uint32)
+        for row, p in zip(self.rows, points, strict=True):
+            row[: len(p)] = self.number[p]
+        self.bits = next(b for b in (8, 16, 32) if self.other >> b == 0)
+        self.head = min(width, 64 // self.bits)
+        self.heads, self.first = np.unique(self._packed(self.rows.T), return_index=True)
+        self.whole = _as_bytes(self.rows)
+
+    def _packed(self, columns) -> np.ndarray:
+        """The first characters, given one array for each, as one number per row."""
+        out = np.zeros(len(columns[0]), np.uint64)
+        for k in range(self.head):
+            out |= columns[k].astype(np.uint64) << np.uint64(64 - self.bits * (k + 1))
+        return out
+
+    def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many characters two packed heads share from the start."""
+        differ, out = a ^ b, np.zeros(len(a), np.int64)
+        for k in range(self.head):
+            out += differ >> np.uint64(64 - self.bits * (k + 1)) == 0
+        return out
+
+    def longest_shared(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first position, key, length) for runs of positions: a key that shares the longest prefix with the text there, and how long it is."""
+        codes = np.concatenate([self.number[np.frombuffer(text.encode("utf-32-le"), np.uint32)], np.full(self.width, self.other, np.uint32)])
+        for first in range(0, len(text), STEP):
+            n = min(STEP, len(text) - first)
+            head = self._packed([codes[first + k : first + k + n] for k in range(self.head)])
+            after = np.searchsorted(self.heads, head)
+            low, high = np.maximum(after - 1, 0), np.minimum(after, len(self.heads) - 1)
+            n_low, n_high = self._shared(self.heads[low], head), self._shared(self.heads[high], head)
+            key, size = self.first[np.where(n_high > n_low, high, low)], np.maximum(n_low, n_high)
+            further = np.flatnonzero(size == self.head) if self.head < self.width else size[:0]
+            if len(further):
+                rows = codes[first + further[:, None] + np.arange(self.width)]
+                place = np.searchsorted(self.whole, _as_bytes(rows))
+                for at in (np.maximum(place - 1, 0), np.minimum(place, self.n - 1)):
+                    differ = self.rows[at] != rows
+                    full = np.where(differ.any(axis=1), differ.argmax(axis=1), self.width)
+                    better = full >= size[further]
+                    key[further[better]], size[further[better]] = at[better], full[better]
+            yield first, key, size
 
 
 def _as_bytes(rows: np.ndarray) -> np.ndarray:
-    return rows.view(f"S{4 * rows.shape[1]}").ravel()
-
-
-def longest_shared(codes: np.ndarray, keys: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first position, key, length) for runs of positions: the sorted key that shares the longest prefix, and how long it is."""
-    sorted_keys = _as_bytes(keys)
-    for first in range(0, len(codes) - width, STEP):
-        rows = _windows(codes, first, min(first + STEP, len(codes) - width), width)
-        after = np.searchsorted(sorted_keys, _as_bytes(rows))
-        sides = []
-        for at in (np.maximum(after - 1, 0), np.minimum(after, len(keys) - 1)):
-            differ = (keys[at] != rows) | (rows == 0)
-            sides.append((np.where(differ.any(axis=1), differ.argmax(axis=1), width), at))
-        second = sides[1][0] > sides[0][0]
-        yield first, np.where(second, sides[1][1], sides[0][1]), np.where(second, sides[1][0], sides[0][0])
+    """Rows of numbers as byte strings of the same order."""
+    return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
 
 
 def _placed(texts: DataFrame, keys: list[str], base: int, width: int) -> DataFrame:
     """(key, len, text_id, pos): the first position per task batch of each matched prefix, every position of whole keys. keys: sorted."""
-    table = np.stack([_codes(k, width)[:width] for k in keys]).astype(">u4")
-    kind = texts.schema["text_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Keys(keys, width)
         for batch in batches:
-            seen = np.zeros(len(table) * (width + 1), bool)
-            order = pc.sort_indices(batch.column(0)).to_numpy()
-            names = batch.column(0)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for row in order.tolist():
-                codes = _codes(batch.column(1)[row].as_py(), width)
-                for first, key, size in longest_shared(codes, table, width):
+            ids, found = batch.column(0), []
+            seen = np.zeros(table.n * (width + 1), bool)
+            for row in pc.sort_indices(ids).to_pylist():
+                for first, key, size in table.longest_shared(batch.column(1)[row].as_py()):
                     code = key * (width + 1) + size
-                    whole = np.flatnonzero(size == width)
-                    new, at = np.unique(np.where(size < width, code, 0), return_index=True)
-                    fresh = (new % (width + 1) > 0) & ~seen[new]
-                    seen[new[fresh]] = True
-                    at = np.concatenate([at[fresh], whole])
+                    new = np.flatnonzero((size > 0) & (size < width) & ~seen[code])
+                    new = new[np.unique(code[new], return_index=True)[1]]
+                    seen[code[new]] = True
+                    at = np.concatenate([new, np.flatnonzero(size == width)])
                     found.append((code[at], np.full(len(at), row), at + first))
-            code, row, pos = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(code // (width + 1) + base, pa.int64()), pa.array(code % (width + 1), pa.int32()), names.take(pa.array(row)), pa.array(pos, pa.int32())], names=["key", "len", "text_id", "pos"])
+            code, row, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(code // (width + 1) + base, pa.int64()), pa.array(code % (width + 1), pa.int32()), ids.take(pa.array(row)), pa.array(pos, pa.int32())], names=["key", "len", "text_id", "pos"])
 
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("len", T.IntegerType()), T.StructField("text_id", kind.dataType), T.StructField("pos", T.IntegerType())])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("len", T.IntegerType()), T.StructField("text_id", texts.schema["text_id"].dataType), T.StructField("pos", T.IntegerType())])
     return texts.mapInArrow(work, schema)
 
 
