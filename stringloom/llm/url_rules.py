@@ -72,7 +72,7 @@ def path(url: Column) -> Column:
 def rarest_tokens(urls: DataFrame, rules: list[Rule], url: str = "url") -> dict[str, str]:
     """The token that each rule is filed under: that of the fewest URLs, by a count over all URLs."""
     wanted = sorted({t for r in rules for t in r.tokens})
-    tokens = F.array_distinct(F.filter(F.split(F.lower(F.col(url)), "[^a-z0-9]+"), lambda t: t.isin(wanted)))
+    tokens = F.array_distinct(F.filter(F.split(lower_ascii(F.col(url)), "[^a-z0-9]+"), lambda t: t.isin(wanted)))
     counts = {r["t"]: r["n"] for r in urls.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row per rule token at most
     return {r.name: min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for r in rules if r.tokens}
 
@@ -80,7 +80,7 @@ def rarest_tokens(urls: DataFrame, rules: list[Rule], url: str = "url") -> dict[
 def judge(urls: DataFrame, rules: list[Rule], *, url: str = "url", default: str = "allow", rule: str = "rule", verdict: str = "verdict") -> DataFrame:
     """The rows with the name of the winning rule (null: none) and the verdict last."""
     filed = rarest_tokens(urls, rules, url)
-    kept = [f for f in urls.schema.fields if f.name not in (rule, verdict)]
+    kept = [f for f in urls.schema.fields if f.name.lower() not in (rule.lower(), verdict.lower())]
     schema = T.StructType([*kept, T.StructField(rule, T.StringType()), T.StructField(verdict, T.StringType())])
 
     def run(batches):
@@ -94,7 +94,7 @@ def judge(urls: DataFrame, rules: list[Rule], *, url: str = "url", default: str
         def winner(text):
             if not text:
                 return None, default
-            fetched = [c for t in set(split(text.lower())) & index.keys() for c in index[t]]
+            fetched = [c for t in set(split(text.translate(FOLD))) & index.keys() for c in index[t]]
             tried = sorted([*fetched, *anywhere], key=lambda c: c[0])
             head, sep, tail = text.partition("://")
             cut = re.search("[/?#]", tail)

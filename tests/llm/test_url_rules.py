@@ -60,6 +60,14 @@ def test_only_fetched_rules_decide_as_all_would(spark):
         assert (r["rule"], r["verdict"]) == all_of(r["url"]), r["url"]
 
 
+def test_tokens_are_ascii_and_columns_clash_in_any_case(spark):
+    rows = [("http://a.net/\u212asex", 1, "x"), ("http://a.net/\u212aSEX", 1, "x"), ("http://a.net/\u0130sex", 1, "x"), ("http://a.net/asex", 1, "x")]
+    df = spark.createDataFrame(rows, "url string, Verdict int, RULE string")
+    got = ur.judge(df, WORD_RULES)
+    assert got.columns == ["url", "rule", "verdict"]
+    assert [r["verdict"] for r in got.collect()] == ["block", "block", "block", "allow"]
+
+
 def test_rarest_token(spark):
     df = spark.createDataFrame([("http://a/common/rare",), ("http://a/common",), ("http://a/common",)], "url string")
     rule = ur.Rule("r", "block", "common/rare", ("common", "rare"))
