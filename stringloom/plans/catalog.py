@@ -163,6 +163,20 @@ z AS (SELECT text_id, extension FROM e WHERE NOT EXISTS (SELECT 1 FROM e y WHERE
 """
 
 
+#: The set's places: of the sides of run boundaries whose extension is in the set, the first in suffix order of the reversed text.
+_PLACES = (
+    _EXTENSIONS
+    + ","
+    + _REVERSED.replace("s AS (", "rs AS (").replace("FROM s)", "FROM rs)").replace("x AS (", "rx AS (").replace("FROM x ", "FROM rx ")
+    + """,
+q AS (SELECT text_id, t, rank, lcp, bwt, sa, lag(bwt) OVER w AS bwt_before, lag(sa) OVER w AS sa_before FROM o WINDOW w AS (PARTITION BY text_id ORDER BY rank)),
+u AS (SELECT text_id, t, rank, lcp, bwt_before AS ch, sa_before AS place FROM q WHERE rank > 0 AND bwt IS DISTINCT FROM bwt_before UNION ALL SELECT text_id, t, rank, lcp, bwt, sa FROM q WHERE rank > 0 AND bwt IS DISTINCT FROM bwt_before),
+k AS (SELECT text_id, rank, lcp, ch, length(t) - place AS pos, reverse(t) AS t, reverse(substr(t, place + 1, lcp)) || ch AS extension FROM u WHERE ch IS NOT NULL),
+p AS (SELECT text_id, ch, arg_min(pos, rank)::INTEGER AS pos, any_value(lcp) AS lcp, any_value(t) AS t FROM k JOIN z USING (text_id, extension) GROUP BY text_id, ch, extension)
+"""
+)
+
+
 # ------------------------------------------------------------- search
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.locate_all(_items(spark, sf_dir), _documents(spark, sf_dir))
@@ -435,15 +449,18 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
         pa_index_part,
         f"WITH {_REVERSED}, p AS (SELECT text_id, rank, (length(t) - sa - 1)::INTEGER AS pos, substr(t, sa + 1, 1) AS ch, substr(t, sa + 1, 14) AS key FROM o WHERE rank > 0) SELECT text_id, (row_number() OVER (PARTITION BY text_id ORDER BY ch, rank) - 1)::INTEGER AS ord, ch, pos, key FROM p",
     ),
-    "sa_index_part": (sa_index_part, None),
+    "sa_index_part": (sa_index_part, f"WITH {_PLACES} SELECT text_id, count(*) AS entries, sum(strlen(substr(t, greatest(pos - 13, 0) + 1, least(pos + 1, 14))) + 8)::BIGINT AS bytes FROM p GROUP BY text_id"),
     "suffixient_strings_part": (suffixient_strings_part, f"WITH {_EXTENSIONS} SELECT text_id, extension FROM z"),
     "suffixient_chi_part": (suffixient_chi_part, f"WITH {_EXTENSIONS} SELECT text_id, length(t)::INTEGER AS n, count(*) AS chi, length(t) / count(*) AS n_over_chi FROM z JOIN s USING (text_id) GROUP BY text_id, t"),
     "suffixient_multiplicities_part": (
         suffixient_multiplicities_part,
         f"WITH {_EXTENSIONS}, g AS (SELECT text_id, right(extension, 1) AS ch, count(*) AS n FROM z GROUP BY ALL) SELECT text_id, ch, n, coalesce(sum(n) OVER (PARTITION BY text_id ORDER BY ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM g",
     ),
-    "suffixient_positions_part": (suffixient_positions_part, None),
-    "kmer_context_stats_part": (kmer_context_stats_part, None),
+    "suffixient_positions_part": (suffixient_positions_part, f"WITH {_PLACES} SELECT text_id, ch, pos, lcp FROM p"),
+    "kmer_context_stats_part": (
+        kmer_context_stats_part,
+        f"WITH {_PLACES}, n AS (SELECT text_id, substr(t, pos - 1, 3) AS kmer, count(*) AS c FROM p WHERE pos >= 2 GROUP BY ALL) SELECT text_id, count(*) AS distinct_kmers, max(c) AS max_frequency FROM n GROUP BY text_id",
+    ),
     "exist_benchmark": (exist_benchmark, f"WITH {_HITS} SELECT item_id AS pattern_id, item_id IN (SELECT pattern_id FROM h) AS found FROM benchmark"),
     "count_benchmark": (count_benchmark, f"WITH {_HITS}, c AS (SELECT pattern_id, count(*) AS n, count(DISTINCT text_id) AS n_texts FROM f GROUP BY 1) SELECT item_id AS pattern_id, coalesce(n, 0) AS n, coalesce(n_texts, 0) AS n_texts FROM benchmark LEFT JOIN c ON item_id = pattern_id"),
     "locate_all_benchmark": (locate_all_benchmark, f"WITH {_HITS} SELECT pattern_id, text_id, pos, len FROM f"),

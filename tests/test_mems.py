@@ -50,3 +50,24 @@ def test_registered_matches_are_real(spark):
     assert {r["pattern_id"] for r in catalog.mems_documents(spark, DIR).join(whole, ["pattern_id", "len"]).collect()} == items
     ends = catalog.longest_prefix_documents(spark, DIR).collect()
     assert len(ends) == whole.count() and max(r["matched"] for r in ends) > 50
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the test tables")
+def test_registered_matches_by_plain_search(spark):
+    docs = sorted((r["text_id"], r["text"]) for r in catalog._documents(spark, DIR).collect() if r["text"])
+    whole, starts = "\x00".join(t for _, t in docs), []
+    for i, t in docs:
+        starts.append((starts[-1][0] + starts[-1][2] + 1 if starts else 0, i, len(t)))
+    want = set()
+    for r in catalog._items(spark, DIR).collect():
+        p, before, n = r["seq"], None, 0
+        for i in range(len(p)):
+            n = max(n - 1, 0)
+            while i + n < len(p) and p[i : i + n + 1] in whole:
+                n += 1
+            if not n or before is None or before <= n:
+                at = whole.find(p[i : i + n]) if n else -1
+                place = max(s for s in starts if s[0] <= at) if n else None
+                want.add((r["pattern_id"], i, n, place[1] if n else None, at - place[0] if n else -1))
+            before = n
+    assert {tuple(r) for r in catalog.mems_documents(spark, DIR).collect()} == want
