@@ -22,8 +22,50 @@ def last_to_first(ordered: DataFrame) -> DataFrame:
     return numbered.join(first_column(ordered), ["text_id", "ch"]).select("text_id", "rank", "ch", (F.col("before") + F.col("seen")).cast("int").alias("lf"))
 
 
+def first_to_last(ordered: DataFrame) -> DataFrame:
+    """(text_id, rank, ch, fl): for every rank its suffix's first character and the rank of the suffix one character shorter."""
+    return last_to_first(ordered).select("text_id", F.col("lf").alias("rank"), "ch", F.col("rank").alias("fl"))
+
+
+def phi_samples(ordered: DataFrame) -> DataFrame:
+    """(text_id, at, phi): for the first suffix of every BWT run but the very first, its position and that of the suffix before it in order."""
+    w = Window.partitionBy("text_id").orderBy("rank")
+    starts = ordered.withColumn("phi", F.lag("sa").over(w)).withColumn("new", ~F.col("bwt").eqNullSafe(F.lag("bwt").over(w)))
+    return starts.where("new and rank > 0").select("text_id", F.col("sa").alias("at"), "phi")
+
+
+def phi(places: DataFrame, samples: DataFrame) -> DataFrame:
+    """places (text_id, pos, ...) with phi, the position of the suffix just before in suffix order; null at the smallest.
+
+    Inside a run both suffixes of a pair step back together, so the nearest sample at or before
+    a position gives its phi by the distance: an as-of join over as many rows as there are runs.
+    """
+    have = samples.select("text_id", F.col("at").alias("pos"), F.struct("at", "phi").alias("sample"), F.lit(0).alias("kind"))
+    asked = places.select("text_id", "pos", F.struct(*places.columns).alias("row"), F.lit(1).alias("kind"))
+    w = Window.partitionBy("text_id").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = have.unionByName(asked, allowMissingColumns=True).withColumn("s", F.last("sample", True).over(w)).where("kind = 1")
+    return met.select("row.*", (F.col("s.phi") + F.col("pos") - F.col("s.at")).alias("phi"))
+
+
+def locate_all(ranges: DataFrame, ordered: DataFrame) -> DataFrame:
+    """(pattern_id, text_id, pos): all occurrences, from the ranges of backward_count and the samples at run borders.
+
+    The last suffix of a range is looked up, phi gives those before it: a round for every
+    occurrence of the commonest pattern, for all patterns at once.
+    """
+    samples = settle(phi_samples(ordered), "phi-samples")
+    ends = ranges.where("n > 0").select("pattern_id", "text_id", F.col("n").alias("left"), (F.col("high") - 1).alias("rank"))
+    state = settle(ends.join(ordered.select("text_id", "rank", F.col("sa").alias("pos")), ["text_id", "rank"]).select("pattern_id", "text_id", "left", "pos"), "phi-state")
+    found = state
+    while state.where("left > 1").limit(1).count():
+        moved = phi(state.where("left > 1"), samples)
+        state = settle(moved.select("pattern_id", "text_id", (F.col("left") - 1).alias("left"), F.col("phi").alias("pos")), "phi-state")
+        found = found.unionByName(state)
+    return found.select("pattern_id", "text_id", "pos")
+
+
 def backward_count(patterns: DataFrame, ordered: DataFrame) -> DataFrame:
-    """(pattern_id, text_id, n): occurrences of each pattern (pattern_id, text_id, seq) in its text by backward search.
+    """(pattern_id, text_id, n, low, high): occurrences of each pattern (pattern_id, text_id, seq) in its text by backward search, at the ranks from low to below high.
 
     One step per pattern character, for all patterns at once: the range of ranks shrinks by
     the rank of the next character at both ends, looked up in a table of running counts.
@@ -53,8 +95,8 @@ def backward_count(patterns: DataFrame, ordered: DataFrame) -> DataFrame:
         done = closed if done is None else done.unionByName(closed)
         state = settle(after, "fm-state")
     ended = state if done is None else done.unionByName(state)
-    counts = ended.groupBy("pattern_id", "text_id").agg(F.max(F.greatest(F.lit(0), F.col("high") - F.col("low"))).alias("n"))
-    return counts
+    size = F.greatest(F.lit(0), F.col("high") - F.col("low"))
+    return ended.select("pattern_id", "text_id", size.alias("n"), "low", "high")
 
 
 def phrase_depth(phrases: DataFrame) -> DataFrame:

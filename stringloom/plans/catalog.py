@@ -70,6 +70,19 @@ def lf_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.last_to_first(settle(suffix.suffixes(_names(spark, sf_dir)), "suffixes"))
 
 
+def fl_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.first_to_last(settle(suffix.suffixes(_names(spark, sf_dir)), "suffixes"))
+
+
+def locate_phi_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of every letter of a name in the name, from samples at run borders."""
+    names = _names(spark, sf_dir)
+    letters = names.select("text_id", F.explode(F.array_distinct(F.split("text", ""))).alias("seq")).where("seq != ''").select((F.col("text_id") * (1 << 21) + F.ascii("seq")).alias("pattern_id"), "text_id", "seq")
+    ordered = settle(suffix.suffixes(names), "suffixes")
+    found = fm.locate_all(fm.backward_count(letters, ordered), ordered)
+    return found.join(letters, ["pattern_id", "text_id"]).select("text_id", "seq", "pos")
+
+
 def suffix_array_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffixes(_documents(spark, sf_dir)).select("text_id", "rank", "sa")
 
@@ -431,6 +444,8 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "bwt_runs_part": (bwt_runs_part, f"WITH {_FORWARD}, {_RUNS} SELECT text_id, max(run)::BIGINT AS runs FROM n GROUP BY text_id"),
     "bwt_run_table_part": (bwt_run_table_part, f"WITH {_FORWARD}, {_RUNS} SELECT text_id, run::BIGINT AS run, min(bwt) AS ch, min(rank) AS start, count(*) AS length FROM n GROUP BY text_id, run"),
     "lf_part": (lf_part, f"WITH {_FORWARD} SELECT a.text_id, a.rank, a.bwt AS ch, b.rank AS lf FROM o a JOIN o b ON a.text_id = b.text_id AND b.sa = a.sa - 1"),
+    "fl_part": (fl_part, f"WITH {_FORWARD} SELECT a.text_id, a.rank, substr(a.t, a.sa + 1, 1) AS ch, b.rank AS fl FROM o a JOIN o b ON a.text_id = b.text_id AND b.sa = a.sa + 1"),
+    "locate_phi_part": (locate_phi_part, "SELECT text_id, substr(t, pos + 1, 1) AS seq, pos FROM (SELECT p_partkey AS text_id, p_name AS t, unnest(range(0, length(p_name)))::INTEGER AS pos FROM part)"),
     "suffix_array_documents": (suffix_array_documents, None),
     "lcp_bwt_documents": (lcp_bwt_documents, None),
     "bwt_runs_documents": (bwt_runs_documents, None),

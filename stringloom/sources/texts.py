@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def read_texts(spark: SparkSession, path: str, *, stop_at_nul: bool = True) -> DataFrame:
     """(path, text): a row per file, up to its first NUL; files without text give no row."""
@@ -13,13 +15,36 @@ def read_texts(spark: SparkSession, path: str, *, stop_at_nul: bool = True) -> D
     return files.select("path", text.alias("text")).where(F.length("text") > 0)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of text files with their numbers from 0, read in parallel over the files' splits.
+
+    Lines are numbered inside their split, and splits by the lines before them in the file, so
+    only a row per split is brought together.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", r"\r$", "").alias("value"), F.monotonically_increasing_id().alias("nth"))
+    lines = settle(raw, "lines")
+    sizes = lines.groupBy("path", "split").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("path", "split", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("path", "split").orderBy("nth")) - 1
+    return lines.withColumn("inside", inside).join(starts, ["path", "split"]).select("path", (F.col("before") + F.col("inside")).alias("line"), "value")
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pattern_id, header, seq) of files of alternating header and sequence lines; a last header alone is left out."""
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)
-    pairs = F.sequence(F.lit(0), F.floor(F.size("lines") / 2).cast("int") - 1)
-    each = files.select("path", lines.alias("lines")).where(F.size("lines") >= 2).select("path", "lines", F.explode(pairs).alias("pattern_id"))
-    return each.select("path", F.col("pattern_id").cast("long").alias("pattern_id"), F.element_at("lines", 2 * F.col("pattern_id") + 1).alias("header"), F.element_at("lines", 2 * F.col("pattern_id") + 2).alias("seq"))
+    """(path, pattern_id, header, seq) of files of alternating header and sequence lines; a last header alone is left out.
+
+    Header and sequence find each other by line number, also where a split ends between them.
+    """
+    pairs = numbered_lines(spark, path).withColumn("pattern_id", F.floor(F.col("line") / 2)).groupBy("path", "pattern_id")
+    both = pairs.agg(F.max(F.when(F.col("line") % 2 == 0, F.col("value"))).alias("header"), F.max(F.when(F.col("line") % 2 == 1, F.col("value"))).alias("seq"))
+    return both.where(F.col("seq").isNotNull()).select("path", F.col("pattern_id").cast("long").alias("pattern_id"), "header", "seq")
+
+
+def read_interval_header(spark: SparkSession, path: str) -> DataFrame:
+    """(path, number, length, file) of header lines `# number=3 length=10 file=text`."""
+    form = r"^#\s*number=(\d+)\s+length=(\d+)\s+file=(.*)$"
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.col("value").rlike(form))
+    return lines.select("path", *(F.regexp_extract("value", form, i).cast(kind).alias(n) for i, n, kind in ((1, "number", "long"), (2, "length", "int"), (3, "file", "string"))))
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from stringloom.operators import fm, index, suffix
 
@@ -62,6 +63,24 @@ def test_backward_count_and_lf(spark, frame, texts):
         assert sa[r["text_id"], r["lf"]] == sa[r["text_id"], r["rank"]] - 1
 
 
+def test_phi_and_locate_all_from_run_samples(spark, frame, texts):
+    ordered = suffix.suffixes(frame).cache()
+    sa = {(r["text_id"], r["rank"]): r["sa"] for r in ordered.collect()}
+    after = {(t, p): sa.get((t, k - 1)) for (t, k), p in sa.items()}
+    samples = fm.phi_samples(ordered)
+    runs = {r["text_id"]: r["runs"] for r in suffix.run_counts(ordered).collect()}
+    assert all(r["count"] == runs[r["text_id"]] - 1 for r in samples.groupBy("text_id").count().collect())
+    places = ordered.where("rank > 0").select("text_id", F.col("sa").alias("pos"))
+    got = {(r["text_id"], r["pos"]): r["phi"] for r in fm.phi(places, samples).collect()}
+    assert got == {k: v for k, v in after.items() if k in got} and len(got) == len(sa) - len(texts)
+    rows = [(k, i, p) for k, (i, p) in enumerate((i, p) for i in range(len(texts)) for p in ("a", "ab", "ATA", "zz", texts[i]))]
+    found = fm.locate_all(fm.backward_count(spark.createDataFrame(rows, "pattern_id long, text_id long, seq string"), ordered), ordered)
+    want = {(k, i, x) for k, i, p in rows for x in range(len(texts[i])) if texts[i].startswith(p, x)}
+    listed = [tuple(r) for r in found.collect()]
+    assert len(listed) == len(set(listed)) and set(listed) == want
+    ordered.unpersist()
+
+
 def test_points(spark):
     points = spark.createDataFrame([(1, 1), (70, 5), (200, 9)], "x long, y long")
     boxes = spark.createDataFrame([(1, 0, 100, 0, 5), (2, 60, 300, 6, 9)], "box_id long, x0 long, x1 long, y0 long, y1 long")
