@@ -3,7 +3,7 @@
 Candidates are the two sides of every BWT run boundary of the reversed text, by character.
 Candidates of one character in rank order are compared with their neighbours only: where
 no smaller LCP lies between, the larger LCP stays; equal ones form a plateau of which the
-first stays. The minimum between neighbours is a range-minimum look-up.
+first stays. The minimum between neighbours is taken over the text's LCP values in one row.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import common_prefix
+from ..functions.strings import common_prefix, let
 from ..session import settle
-from .suffix import range_minima, reversed_texts, suffixes
+from .suffix import reversed_texts, suffixes
 
 #: Names of construction algorithms that all give this set.
 ALGORITHMS = ("one-pass", "linear", "fm", "PFP")
@@ -36,11 +36,12 @@ def from_suffixes(ordered: DataFrame) -> DataFrame:
     own = Window.partitionBy("text_id", "ch").orderBy("rank")
     linked = settle(candidates.withColumn("next", F.lead("rank").over(own)).withColumn("next_lcp", F.lead("lcp").over(own)), "candidates")
     gaps = linked.where(F.col("next") > F.col("rank") + 1).select("text_id", "ch", "rank", (F.col("rank") + 1).alias("low"), (F.col("next") - 1).alias("high"))
-    longest = gaps.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
-    minima = range_minima(ordered, F.col("lcp"), longest)
-    asked = gaps.withColumn("level", F.floor(F.log2((F.col("high") - F.col("low") + 1).cast("double")) + 1e-9).cast("int"))
-    spots = asked.select("text_id", "ch", F.col("rank").alias("from"), "level", F.explode(F.array(F.col("low"), (F.col("high") + 1 - F.pow(F.lit(2), F.col("level"))).cast("int"))).alias("rank"))
-    between = spots.join(minima, ["text_id", "level", "rank"]).groupBy("text_id", "ch", F.col("from").alias("rank")).agg(F.min("least").alias("gap"))
+    # the gaps of one character don't overlap: a text's LCP values are read at most once for each of its characters
+    heights = F.transform(F.array_sort(F.collect_list(F.struct("rank", "lcp"))), lambda x: x["lcp"])
+    asked = gaps.groupBy("text_id").agg(F.collect_list(F.struct("ch", "rank", "low", "high")).alias("gaps"))
+    met = asked.join(ordered.groupBy("text_id").agg(heights.alias("lcps")), "text_id")
+    lowest = let(F.struct("gaps", "lcps"), lambda r: F.transform(r["gaps"], lambda g: F.struct(g["ch"].alias("ch"), g["rank"].alias("rank"), F.array_min(F.slice(r["lcps"], g["low"] + 1, g["high"] - g["low"] + 1)).alias("gap"))))
+    between = met.select("text_id", F.inline(lowest))
     seq = linked.join(between, ["text_id", "ch", "rank"], "left").withColumn("gap", F.coalesce("gap", F.lit(1 << 30)))
     # the pair (this, next) sees each other at a height of the smaller LCP if the gap is no lower
     steps = seq.withColumn("before_lcp", F.lag("lcp").over(own)).withColumn("before_gap", F.lag("gap").over(own))
