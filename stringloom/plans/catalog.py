@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import corpus, fm, index, matching, parse, search, suffix, suffixient
+from ..operators import corpus, fm, index, matching, parse, phrases, search, suffix, suffixient
 from ..session import settle, shared_path
 from ..sources import texts as sources
 
@@ -360,35 +360,94 @@ def query_stats_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------- parses
 def lz77_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names(spark, sf_dir).select("text_id", F.posexplode(parse.lz77(F.col("text"))).alias("ord", "p")).select("text_id", "ord", "p.*")
+    return phrases.lz77(_names(spark, sf_dir))
+
+
+def lz77_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document as phrases."""
+    return phrases.lz77(_documents(spark, sf_dir))
+
+
+def _repeating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select(F.col("p_partkey").alias("text_id"), F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_name").alias("text"))
+
+
+def _displayed(parsed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(p_partkey, decoded): whole texts, read out of their phrases."""
+    spans = texts.select("text_id", F.lit(0).alias("start"), (F.length("text") - 1).alias("end"))
+    return phrases.display(phrases.filed(parsed), spans).select(F.col("text_id").alias("p_partkey"), F.col("shown").alias("decoded"))
 
 
 def lz77_roundtrip_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).select("p_partkey", F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_name").alias("t"))
-    return pairs.select("p_partkey", parse.decode(parse.lz77(F.col("t"))).alias("decoded"))
+    texts = _repeating(spark, sf_dir)
+    return _displayed(phrases.lz77(texts), texts)
 
 
 def lz_end_roundtrip_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).select("p_partkey", F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_name").alias("t"))
-    return pairs.select("p_partkey", parse.decode(parse.lz_end(F.col("t"))).alias("decoded"))
+    texts = _repeating(spark, sf_dir)
+    return _displayed(phrases.lz_end(texts), texts)
+
+
+def _all_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    every = names.where(F.length("text") > 0).select("text_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("pos"))
+    return phrases.extract(phrases.filed(phrases.lz77(names)), every)
+
+
+def lz77_extract_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every character of every name, each chased through the phrases to a literal."""
+    return _all_heights(spark, sf_dir).select("text_id", "pos", "ch")
+
+
+def lz77_heights_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many phrases it takes to extract a character of a name: the most, and the sum over its characters."""
+    return _all_heights(spark, sf_dir).groupBy("text_id").agg(F.max("height").alias("most"), F.sum("height").alias("total"))
+
+
+def lz77_nesting_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How deep the sources of the phrases lie in one another."""
+    return phrases.nesting(phrases.lz77(_repeating(spark, sf_dir)))
+
+
+def lz77_display_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 characters in the middle of each turn, read out of its phrases."""
+    turns = _turns(spark, sf_dir)
+    middle = F.floor(F.length("text") / 2).cast("int")
+    spans = turns.select("text_id", middle.alias("start"), (middle + 19).alias("end"))
+    return phrases.display(phrases.filed(phrases.lz77(turns)), spans)
+
+
+def lz77_agree_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each turn and the next one of its conversation agree, from their starts and from their ends, read out of the turn's phrases."""
+    table = _table(spark, sf_dir, "conversations")
+    pairs = table.select(_turn().alias("id"), "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("pattern")).where("length(text) > 0 and length(pattern) > 0")
+    filed = phrases.filed(phrases.lz77(_turns(spark, sf_dir)))
+    start = pairs.select("id", F.col("id").alias("text_id"), F.lit(0).alias("t"), "pattern", F.lit(0).alias("p"))
+    end = pairs.select("id", F.col("id").alias("text_id"), (F.length("text") - 1).alias("t"), "pattern", (F.length("pattern") - 1).alias("p"))
+    return phrases.agree(filed, start).withColumnRenamed("n", "lcp").join(phrases.lcs_char(filed, end), "id").withColumnRenamed("id", "text_id")
 
 
 def _after_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text_id, reference, t): each turn after the first turn of its conversation that has a text."""
+    """(text_id, reference, text): each turn with the first turn of its conversation that has a text."""
     turns = _table(spark, sf_dir, "conversations").where("length(text) > 0")
-    first = F.first("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return turns.select(_turn().alias("text_id"), first.alias("reference"), F.concat(first, "text").alias("t"))
+    return turns.select(_turn().alias("text_id"), F.first("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("reference"), "text")
 
 
 def rlz_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole turns as phrases of their conversation's whole first turn; dst counts in the turn, src in the reference."""
-    phrases = parse.rlz(F.col("t"), F.length("reference"))
-    return _after_reference(spark, sf_dir).select("text_id", F.length("reference").alias("n"), F.posexplode(phrases).alias("ord", "p")).select("text_id", "ord", (F.col("p.dst") - F.col("n")).alias("dst"), "p.src", "p.len", "p.ch")
+    return phrases.relative(_after_reference(spark, sf_dir))
 
 
 def rlz_roundtrip_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    again = parse.decode_rlz(parse.rlz(F.col("t"), F.length("reference")), F.col("reference"))
-    return _after_reference(spark, sf_dir).select("text_id", F.substring(again, F.length("reference") + 1, F.length(again)).alias("decoded"))
+    turns = _after_reference(spark, sf_dir)
+    return phrases.decode_relative(phrases.relative(turns), turns).withColumnRenamed("text", "decoded")
+
+
+def rlz_prefix_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix of each turn that serves the rest of it best as a reference, and the rest's phrases; -1 stands for the prefix itself."""
+    prefixed = settle(phrases.prefix_lengths(_turns(spark, sf_dir)), "prefixes")
+    own = prefixed.select("text_id", F.lit(-1).alias("ord"), F.lit(0).alias("dst"), F.lit(0).alias("src"), F.col("prefix").alias("len"), F.lit("").alias("ch"))
+    return own.unionByName(phrases.relative_to_prefix(prefixed))
 
 
 def pfp_dictionary_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,13 +476,30 @@ d AS (SELECT phrase, count(*) AS occ, row_number() OVER (ORDER BY phrase) AS ran
 """
 
 _LZ = """
-WITH RECURSIVE s AS (SELECT p_partkey AS text_id, p_name AS t FROM part WHERE length(p_name) > 0),
-l AS (SELECT text_id, t, -1 AS ord, 0 AS dst, 0 AS src, 0 AS len, '' AS ch, {first} AS i FROM s
-  UNION ALL SELECT text_id, t, ord + 1, i, CASE WHEN k > 0 THEN strpos({source}, substr(t, i + 1, k)) - 1 ELSE 0 END, k, substr(t, i + k + 1, 1), i + k + 1
-  FROM (SELECT text_id, t, ord, i, list_max(list_filter(range(0, {most} + 1), lambda k: contains({source}, substr(t, i + 1, k)))) AS k FROM l WHERE i < length(t)))
-SELECT text_id, ord::INTEGER AS ord, dst::INTEGER AS dst, src::INTEGER AS src, len::INTEGER AS len, ch FROM l WHERE ord >= 0
+WITH RECURSIVE s AS ({texts}),
+l AS (SELECT text_id, t, ref, -1 AS ord, 0 AS dst, 0 AS src, 0 AS len, '' AS ch, 0 AS i FROM s
+  UNION ALL SELECT text_id, t, ref, ord + 1, i, CASE WHEN k > 0 THEN strpos({source}, substr(t, i + 1, k)) - 1 ELSE 0 END, k, substr(t, i + k + 1, 1), i + k + 1
+  FROM (SELECT text_id, t, ref, ord, i, list_max(list_filter(range(0, {most} + 1), lambda k: contains({source}, substr(t, i + 1, k)))) AS k FROM l WHERE i < length(t))),
+p AS (SELECT text_id, ord::INTEGER AS ord, dst::INTEGER AS dst, src::INTEGER AS src, len::INTEGER AS len, ch FROM l WHERE ord >= 0)
+"""
+
+_NAMES = "SELECT p_partkey AS text_id, p_name AS t, '' AS ref FROM part WHERE length(p_name) > 0"
+
+#: Every position of a name, chased from phrase to phrase.
+_CHASE = """, e AS (SELECT text_id, unnest(range(0, length(t)))::INTEGER AS pos FROM s),
+c AS (SELECT text_id, pos, pos AS spot, 1 AS h FROM e
+  UNION ALL SELECT c.text_id, pos, src + spot - dst, h + 1 FROM c JOIN p ON p.text_id = c.text_id AND spot >= dst AND spot < dst + len),
+x AS (SELECT text_id, pos, max(h) AS h FROM c GROUP BY ALL)
 """
 
+_FIRST_TURN = "SELECT conv_id * 4294967296 + turn AS text_id, text AS t, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations WHERE length(text) > 0"
+
+#: Each turn and the next, and how far they agree from each end, found character by character.
+_AGREE = """WITH t AS (SELECT conv_id * 4294967296 + turn AS text_id, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+u AS (SELECT *, least(length(a), length(b)) AS m FROM t WHERE length(a) > 0 AND length(b) > 0),
+k AS (SELECT text_id, a, b, list_max(list_filter(range(0, m + 1), lambda k: left(a, k) = left(b, k)))::INTEGER AS lcp, list_max(list_filter(range(0, m + 1), lambda k: right(a, k) = right(b, k)))::INTEGER AS lcs FROM u)
+SELECT text_id, lcp, lcs, CASE WHEN lcs < length(a) AND lcs < length(b) THEN substr(a, (length(a) - lcs)::INTEGER, 1) END AS char FROM k"""
+
 #: All turns' suffixes in order; the common prefix with the one before, found bit by bit.
 _COLLECTION = """x AS (SELECT conv_id * 4294967296 + turn AS text_id, text AS t, unnest(range(0, length(text)))::INTEGER AS pos FROM conversations),
 y AS (SELECT row_number() OVER w - 1 AS rank, text_id, pos, substr(t, pos + 1) AS s, lag(substr(t, pos + 1)) OVER w AS q, CASE WHEN pos > 0 THEN substr(t, pos, 1) END AS bwt FROM x WINDOW w AS (ORDER BY substr(t, pos + 1), text_id)),
@@ -553,10 +629,17 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
         SELECT text_id, i AS pattern_id, '>pattern' || i AS header, substr(text, ((((text_id % 1000003 * 31 + i * 7919) % 2147483648) * 1103515245 + 12345) % 2147483648 % room)::INTEGER + 1, 20) AS seq FROM d""",
     ),
     "query_stats_benchmark": (query_stats_benchmark, "SELECT 3 * (SELECT count(*) FROM documents WHERE length(text) >= 20) + (SELECT count(*) FROM benchmark) AS patterns, (60 * (SELECT count(*) FROM documents WHERE length(text) >= 20) + (SELECT sum(length(text)) FROM benchmark))::BIGINT AS characters"),
-    "lz77_part": (lz77_part, _LZ.format(first="0", source="left(t, i)", most="length(t) - i")),
+    "lz77_part": (lz77_part, _LZ.format(texts=_NAMES, source="left(t, i)", most="length(t) - i") + "SELECT * FROM p"),
+    "lz77_documents": (lz77_documents, None),
+    "lz77_extract_part": (lz77_extract_part, "SELECT p_partkey AS text_id, i::INTEGER AS pos, substr(p_name, i + 1, 1) AS ch FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name))) AS i FROM part)"),
+    "lz77_heights_part": (lz77_heights_part, _LZ.format(texts=_NAMES, source="left(t, i)", most="length(t) - i") + _CHASE + "SELECT text_id, max(h) AS most, sum(h)::BIGINT AS total FROM x GROUP BY text_id"),
+    "lz77_nesting_part": (lz77_nesting_part, None),
+    "lz77_display_turns": (lz77_display_turns, "SELECT text_id, s AS start, s + 19 AS \"end\", substr(t, s + 1, 20) AS shown FROM (SELECT conv_id * 4294967296 + turn AS text_id, text AS t, (length(text) // 2)::INTEGER AS s FROM conversations WHERE text IS NOT NULL)"),
+    "lz77_agree_turns": (lz77_agree_turns, _AGREE),
+    "rlz_prefix_turns": (rlz_prefix_turns, None),
     "lz77_roundtrip_part": (lz77_roundtrip_part, "SELECT p_partkey, p_name || ' ' || lower(p_type) || ' ' || p_name AS decoded FROM part"),
     "lz_end_roundtrip_part": (lz_end_roundtrip_part, "SELECT p_partkey, p_name || ' ' || lower(p_type) || ' ' || p_name AS decoded FROM part"),
-    "rlz_turns": (rlz_turns, None),
+    "rlz_turns": (rlz_turns, _LZ.format(texts=_FIRST_TURN, source="ref", most="least(length(t) - i, length(ref))") + "SELECT * FROM p"),
     "rlz_roundtrip_turns": (rlz_roundtrip_turns, "SELECT conv_id * 4294967296 + turn AS text_id, text AS decoded FROM conversations WHERE length(text) > 0"),
     "pfp_dictionary_turns": (pfp_dictionary_turns, f"WITH {_PFP} SELECT phrase, occ, rank FROM d"),
     "pfp_parse_turns": (pfp_parse_turns, f"WITH {_PFP} SELECT text_id, ord::INTEGER AS ord, rank FROM f JOIN d USING (phrase)"),
