@@ -64,7 +64,8 @@ def test_lz_end_is_greedy(texts):
 
 def test_lz_end_beyond_the_kept_prefix(spark):
     # ends that share NEAR characters before them, and differ further on
-    tail = "".join(random.Random(1).choice("xyz") for _ in range(phrases.NEAR + 9))
+    rng = random.Random(1)
+    tail = "".join(rng.choice("xyz") for _ in range(phrases.NEAR + 9))
     text = "".join(c + tail + d for c in "abc" for d in "qr") + "b" + tail + "a" + tail
     held = spark.createDataFrame([(1, text)], "text_id long, text string")
     ends = []
