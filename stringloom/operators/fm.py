@@ -105,9 +105,15 @@ def phrase_depth(phrases: DataFrame) -> DataFrame:
 
 
 def points_in(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(box_id, x, y): points inside each box (box_id, x0, x1, y0, y1), met by cells of the x axis."""
+    """(box_id, x, y): points inside each box (box_id, x0, x1, y0, y1), met by cells of the box's narrower side."""
     cell = 64
-    left = points.withColumn("cell", F.floor(F.col("x") / cell))
-    right = boxes.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))))
+    flat = F.col("x1") - F.col("x0") <= F.col("y1") - F.col("y0")
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    return left.join(right, "cell").where(inside).select("box_id", "x", "y")
+
+    def met(axis: str, some: DataFrame) -> DataFrame:
+        left = points.withColumn("cell", F.floor(F.col(axis) / cell))
+        right = some.withColumn("cell", F.explode(F.sequence(F.floor(F.col(f"{axis}0") / cell), F.floor(F.col(f"{axis}1") / cell))))
+        return left.join(right, "cell").where(inside).select("box_id", "x", "y")
+
+    sound = boxes.where("x0 <= x1 and y0 <= y1")
+    return met("x", sound.where(flat)).unionByName(met("y", sound.where(~flat)))
