@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import corpus, fm, index, matching, parse, phrases, search, suffix, suffixient
+from ..operators import corpus, fm, index, matching, occurrences, parse, phrases, search, suffix, suffixient
 from ..session import settle, shared_path
 from ..sources import texts as sources
 
@@ -409,6 +409,21 @@ def lz77_nesting_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.nesting(phrases.lz77(_repeating(spark, sf_dir)))
 
 
+def occurrences_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every colour and type in all parts' repeating texts, and whether a phrase's literal is in it, by the parts' phrases."""
+    texts = settle(_repeating(spark, sf_dir), "repeating")
+    kinds = _pairs(spark, sf_dir).select(F.explode(F.concat(F.split("p_name", " "), F.array("p_type"))).alias("seq")).where("seq != ''").distinct()
+    found = occurrences.locate_all(kinds.withColumn("pattern_id", F.col("seq")), phrases.lz77(texts), texts)
+    return found.select("pattern_id", "text_id", "pos", "len", (F.col("copies") == 0).alias("primary"))
+
+
+def occurrences_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place in the documents of the long words (8 letters or more) of the benchmark, by the documents' phrases."""
+    words = _items(spark, sf_dir).select(F.explode(F.split("seq", "[^A-Za-z]+")).alias("seq")).where(F.length("seq") >= 8).distinct()
+    texts = _documents(spark, sf_dir)
+    return occurrences.locate_all(words.withColumn("pattern_id", F.col("seq")), phrases.lz77(texts), texts).select("pattern_id", "text_id", "pos", "len")
+
+
 def lz77_display_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 characters in the middle of each turn, read out of its phrases."""
     turns = _turns(spark, sf_dir)
@@ -486,6 +501,21 @@ p AS (SELECT text_id, ord::INTEGER AS ord, dst::INTEGER AS dst, src::INTEGER AS
 _NAMES = "SELECT p_partkey AS text_id, p_name AS t, '' AS ref FROM part WHERE length(p_name) > 0"
 
 #: Every position of a name, chased from phrase to phrase.
+_TWICE = "SELECT p_partkey AS text_id, p_name || ' ' || lower(p_type) || ' ' || p_name AS t, '' AS ref FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL"
+_OCCURRENCES = """, w AS (SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION SELECT lower(p_type) FROM part),
+m AS (SELECT w, text_id, t FROM w JOIN s ON contains(t, w) WHERE w != ''),
+f AS (SELECT w, text_id, unnest(list_filter(range(0, length(t) - length(w) + 1), lambda i: substr(t, i + 1, length(w)) = w))::INTEGER AS pos, length(w)::INTEGER AS len FROM m)
+SELECT w AS pattern_id, f.text_id, pos, f.len, count(p.text_id) > 0 AS primary
+FROM f LEFT JOIN p ON p.text_id = f.text_id AND p.ch != '' AND p.dst + p.len BETWEEN pos AND pos + f.len - 1 GROUP BY ALL
+"""
+_LONG_WORDS = """
+WITH w AS (SELECT DISTINCT w, length(w)::INTEGER AS len FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 8),
+b AS (SELECT doc_id, text, unnest(range(0, length(text), 256))::INTEGER AS base FROM documents WHERE length(text) > 0),
+r AS MATERIALIZED (SELECT doc_id, base, substr(text, base + 1, 256 + (SELECT max(len) FROM w)) AS run FROM b),
+c AS (SELECT doc_id, base, run, unnest(range(0, least(256, length(run))))::INTEGER AS i FROM r),
+k AS (SELECT doc_id, base + i AS pos, l.len, substr(run, i + 1, l.len) AS w FROM c, (SELECT DISTINCT len FROM w) l)
+SELECT w AS pattern_id, doc_id AS text_id, pos::INTEGER AS pos, k.len FROM k JOIN w USING (w)
+"""
 _CHASE = """, e AS (SELECT text_id, unnest(range(0, length(t)))::INTEGER AS pos FROM s),
 c AS (SELECT text_id, pos, pos AS spot, 1 AS h FROM e
   UNION ALL SELECT c.text_id, pos, src + spot - dst, h + 1 FROM c JOIN p ON p.text_id = c.text_id AND spot >= dst AND spot < dst + len),
@@ -634,6 +664,8 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "lz77_extract_part": (lz77_extract_part, "SELECT p_partkey AS text_id, i::INTEGER AS pos, substr(p_name, i + 1, 1) AS ch FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name))) AS i FROM part)"),
     "lz77_heights_part": (lz77_heights_part, _LZ.format(texts=_NAMES, source="left(t, i)", most="length(t) - i") + _CHASE + "SELECT text_id, max(h) AS most, sum(h)::BIGINT AS total FROM x GROUP BY text_id"),
     "lz77_nesting_part": (lz77_nesting_part, None),
+    "occurrences_part": (occurrences_part, _LZ.format(texts=_TWICE, source="left(t, i)", most="length(t) - i") + _OCCURRENCES),
+    "occurrences_documents": (occurrences_documents, _LONG_WORDS),
     "lz77_display_turns": (lz77_display_turns, "SELECT text_id, s AS start, s + 19 AS \"end\", substr(t, s + 1, 20) AS shown FROM (SELECT conv_id * 4294967296 + turn AS text_id, text AS t, (length(text) // 2)::INTEGER AS s FROM conversations WHERE text IS NOT NULL)"),
     "lz77_agree_turns": (lz77_agree_turns, _AGREE),
     "rlz_prefix_turns": (rlz_prefix_turns, None),
