@@ -1,16 +1,17 @@
 """Secret scans: candidates by one pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 letters, digits and _ + / - that holds a digit, with up
-to two = after it. Its features are its length, its character transitions and classes, the
+A candidate is what is assigned to a name such as password, api_key or secretKey (4 characters or more,
+up to white space, a quote, a bracket or one of , ; &), a run of at least 16 letters, digits
+and _ + / - that holds a digit, with up to two = after it, or a block of a private key. Its features are its length, its character transitions and classes, the
 share of it that dictionary words cover, signs of a path, and the words around it. A random
 forest, trained from labelled findings, votes; a candidate with at least half of the votes
 is a secret. The trained trees are written out as one SQL expression, so scoring stays in
 the row: no shuffle, no Python, whole texts.
 
 The labelled findings may be given (columns text and label: one candidate in each text). By
-default they are drawn up from a table of formats, as many as FINDINGS: keys, tokens and
-passwords on the one side; hashes, identifiers, numbers, paths, links and placeholders on
-the other.
+default they are drawn up from a table of formats, as many as FINDINGS: keys, tokens,
+passwords, short ones and passphrases too, on the one side; hashes, identifiers, numbers,
+paths, links, names, ordinary words and placeholders on the other.
 
 Defined cases: null and empty texts have no candidates and stay as they are; a long text is
 scanned whole; repeated rows give equal findings; other columns are kept.
@@ -25,7 +26,12 @@ from pyspark.sql import functions as F
 
 from .shared import fresh
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
+_ASSIGNED = "(passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|auth|bearer|credential|private)"
+_VALUE = r"[^\s\x22\x27<>,;&()\[\]{}]"
+_BLOCK = r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----)?"
+_GIVEN = r"(?<=[=: \x22\x27])(?<=[=:] {0,2}[\x22\x27]?)(?<=(?i:" + _ASSIGNED.replace("(", "(?:") + r")(?i:ord|ort)?(?i:s)?(?:[A-Z_-][A-Za-z_-]{0,15})?[\x22\x27]? {0,2}[=:] {0,2}[\x22\x27]?)(?!-----)" + _VALUE + r"{3,}(?![.:?])" + _VALUE
+_RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
+CANDIDATE = f"{_BLOCK}|{_GIVEN}|{_RUN}"
 
 #: Characters looked at before and after a candidate.
 BEFORE, AFTER = 48, 24
@@ -45,8 +51,10 @@ DICTIONARY = (
     "window word work world year your"
 ).split()
 
+#: What stands after a name in ordinary text (fixed values).
+STATES = "required enabled disabled missing invalid expired forgotten unknown optional hidden accepted refused pending renewed granted withheld".split()
+
 _WORDS = "|".join(sorted(DICTIONARY, key=len, reverse=True))
-_ASSIGNED = "(passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|auth|bearer|credential|private)"
 _HASHED = "(commit|sha|md5|hash|checksum|digest|revision|etag|integrity|uuid|isbn|card|phone|order|invoice|number)"
 
 #: name -> SQL over c (candidate), b (lower-cased text before it), a (lower-cased text after it).
@@ -64,7 +72,7 @@ FEATURES = {
     "named": f"if(b rlike '{_ASSIGNED}[^ ]{{0,16}}[ =:]{{0,4}}[^a-z0-9]{{0,3}}$', 1, 0)",
     "assigned": r"if(b rlike '[=:] {0,2}[^a-z0-9 ]{0,2}$', 1, 0)",
     "counted": f"if(b rlike '{_HASHED}[^ ]{{0,12}}[ =:#]{{0,4}}[^a-z0-9]{{0,2}}$', 1, 0)",
-    "provider": "if(c rlike '^(AKIA|ASIA)[0-9A-Z]{16}$' or c rlike '^(ghp|gho|ghs|xoxb|xoxp|sk|pk|rk|glpat)[_-]', 1, 0)",
+    "provider": "if(c rlike '^(AKIA|ASIA)[0-9A-Z]{16}$' or c rlike '^(ghp|gho|ghs|xoxb|xoxp|sk|pk|rk|glpat)[_-]' or c rlike '^-----BEGIN', 1, 0)",
     "placeholder": "if(lower(c) rlike '(x{4}|0{5}|1234|abcd|example|placeholder|changeme|your)', 1, 0)",
 }
 
@@ -94,16 +102,22 @@ def _texts(spark: SparkSession, n: int) -> DataFrame:
     mixed = lambda k: f"translate(substr(base64(unhex({d})), 1, {k}), '+/', 'xQ')"
     word = lambda k: f"element_at(split('{' '.join(DICTIONARY)}', ' '), 1 + cast(conv(substr({d}, {20 + 3 * k}, 3), 16, 10) as int) % {len(DICTIONARY)})"
     digits = lambda k: f"rpad(conv(substr({d}, 1, 14), 16, 10), {k}, '4815162342')"
-    names = lambda sep, k: f"concat_ws('{sep}', {', '.join(word(j) for j in range(k))}, cast(id % 97 as string))"
+    names = lambda sep, k, number=True: f"concat_ws('{sep}', {', '.join(word(j) for j in range(k))}{', cast(id % 97 as string)' if number else ''})"
+    letters = lambda k: f"translate({hexa(k, 7)}, '0123456789abcdef', 'qxzKvWjytPbdRfgh')"
+    state = f"element_at(split('{' '.join(STATES)}', ' '), 1 + cast(conv(substr({d}, 41, 3), 16, 10) as int) % {len(STATES)})"
     secrets = [
         f"concat('password=', {hexa(18)})", f"concat('token = \"', {hexa(40)}, '\"')", f"concat('AKIA', {upper})", f"concat('secret_key: ', {mixed(40)})", f"concat('api_key=', {hexa(32)})",
         f"concat('ghp_', {mixed(36)})", f"concat('Authorization: Bearer ', {mixed(32)})", f"concat('aws_secret_access_key = ', {mixed(40)})", f"concat('\"password\": \"', {mixed(20)}, '\"')", f"concat('sk_live_', {mixed(24)})",
+        f"concat('password: ', {mixed(9)})", f"concat('pwd=', {word(1)}, '!', {hexa(4)})", f"concat('passwd = ', {names('-', 4, False)})", f"concat('password = ', {word(1)}, '-', {letters(6)}, '-', {word(2)}, '-', {word(3)})", f"concat('\"secret\": \"', {letters(12)}, '\"')", f"concat('token: ', {mixed(12)}, '#')",
+        f"concat('-----BEGIN RSA PRIVATE KEY-----', char(10), {mixed(40)}, char(10), '-----END RSA PRIVATE KEY-----')",
     ]
     others = [
         digits(16), f"concat('commit ', {hexa(40)})", f"concat('https://www.', {word(1)}, '.example.com/', {names('-', 4)})", f"concat('/usr/share/', {names('/', 4)})", f"concat('id ', {hexa(8)}, '-', {hexa(4, 9)}, '-', {hexa(4, 13)}, '-', {hexa(12, 17)})",
         f"concat('password=', {word(1)}, '-password-', {word(2)}, '-1234')", f"concat('token = \"your_token_', {word(1)}, '_goes_here_0\"')", names("_", 4), f"concat('sha256: ', {d})", f"concat('card number ', {digits(16)})",
         f"concat('release-2024-05-01-', {word(1)}, '-build-', id % 97)", f"concat('md5 ', {hexa(32)})", f"concat('order ', {digits(20)})", f"concat({word(1)}, {word(2)}, {word(3)}, {word(4)}, id % 9)", f"concat('see ', {names('-', 5)}, '.html')",
         f"concat('https://', {word(1)}, '.example.org/en/', {digits(18)}, '?page=2')",
+        f"concat('password: ', {word(1)})", f"concat('token: ', {state})", f"concat('secret: ', initcap({word(1)}), ' ', initcap({word(2)}))", f"concat('Password: ', initcap({state}))", f"concat('tokens: ', 1900 + id % 120)",
+        f"concat('password = ', {names('_', 2, False)}, '()')", f"concat('token=$', upper({word(1)}))", f"concat('auth: https://www.', {word(1)}, '.example.com/', {word(2)})", f"concat('auth: ', {word(1)}, id % 9)",
     ]
     pick = lambda options: "CASE " + " ".join(f"WHEN id div 2 % {len(options)} = {i} THEN {x}" for i, x in enumerate(options)) + " END"
     text = f"concat_ws(' ', {word(5)}, {word(6)}, {word(7)}, CASE WHEN id % 2 = 1 THEN {pick(secrets)} ELSE {pick(others)} END, {word(8)}, {word(9)})"
