@@ -12,13 +12,15 @@ Pieces and halves repeat, so their encodings are remembered while a task runs, u
 bounded number. Documents never leave their row: no shuffle.
 
 Defined cases: null and empty texts give no ids and decode to no bytes; ids that are null
-decode to no bytes; repeated rows are encoded row by row; other columns are kept.
+decode to no bytes; repeated rows are encoded row by row; other columns are kept, but for
+those that have a result's name in any letter case.
 """
 
 from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -31,6 +33,9 @@ from .shared import Remembered
 #: Remembered halves, boundary pairs and windows, and pieces, per task; a full memory is emptied.
 REMEMBERED, PIECES = 150_000, 400_000
 
+#: Windows of more bytes are merged by a heap.
+LONG_WINDOW = 64
+
 #: Texts over so many characters are split into pieces lazily, in runs of RUN pieces.
 LONG_TEXT, RUN = 1_000_000, 100_000
 
@@ -61,7 +66,9 @@ class Codec:
             memory.clear()
 
     def merge(self, data: bytes) -> tuple[int, ...]:
-        """Plain merging of the lowest-ranked neighbours; only for short windows, which are remembered."""
+        """Merging of the lowest-ranked neighbours; short windows plainly, and remembered."""
+        if len(data) > LONG_WINDOW:
+            return self.merge_long(data)
         got = self.windows.get(data)
         if got is not None:
             return got
@@ -85,6 +92,30 @@ class Codec:
             self.windows[data] = got
         return got
 
+    def merge_long(self, data: bytes) -> tuple[int, ...]:
+        """The same merging with the neighbours in a heap: n log n in the window's bytes."""
+        n, rank = len(data), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the next and the last part start
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, at, end = heappop(heap)
+            middle = after[at]
+            if middle in (0, n) or after[middle] != end:
+                continue  # one of the two has been merged since
+            after[at], after[middle] = end, 0
+            if end < n:
+                before[end] = at
+                if (r := rank(data[at : after[end]])) is not None:
+                    heappush(heap, (r, at, after[end]))
+            if at > 0 and (r := rank(data[before[at] : end])) is not None:
+                heappush(heap, (r, before[at], end))
+        ids, at = [], 0
+        while at < n:
+            ids.append(self.ranks[data[at : after[at]]])
+            at = after[at]
+        return tuple(ids)
+
     def pair(self, left: int, right: int) -> tuple[int, ...]:
         """The encoding of two tokens' joined bytes: the two themselves if they are compatible."""
         got = self.pairs.get((left, right))
@@ -155,12 +186,12 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    keep = [n for n in batch.schema.names if n != name]
+    keep = [n for n in batch.schema.names if n.lower() != name.lower()]
     return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [values], names=[*keep, name])
 
 
 def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+    return T.StructType([f for f in df.schema.fields if f.name.lower() != name.lower()] + [T.StructField(name, kind)])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", drop_text: bool = False, decoded: str | None = None) -> DataFrame:
@@ -184,7 +215,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
             own.forget()
 
     added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
-    kept = [f for f in docs.schema.fields if not (drop_text and f.name == text) and f.name not in (ids, decoded)]
+    kept = [f for f in docs.schema.fields if not (drop_text and f.name == text) and f.name.lower() not in (ids.lower(), (decoded or ids).lower())]
     return docs.mapInArrow(run, T.StructType([*kept, *added]))
 
 

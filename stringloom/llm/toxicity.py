@@ -314,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model, *, text: str = "text", column: str = "score") -> DataFrame:
     """The rows with the score (0 to 1, toxic from 0.5) last."""
 
-    kept = [f for f in docs.schema.fields if f.name != column]
+    kept = [f for f in docs.schema.fields if f.name.lower() != column.lower()]
     schema = T.StructType([*kept, T.StructField(column, T.DoubleType())])
 
     def run(batches):

@@ -52,3 +52,20 @@ def test_one_pass(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(df, PATH, public.PATTERN), PATH, public.PATTERN).collect() == []
+
+
+def test_unbroken_pieces(library):
+    codec, rng = bpe.Codec(PATH, public.PATTERN), random.Random(4)
+    pieces = ["a" * 20_000, "ab" * 5000, "".join(rng.choice("ab") for _ in range(6000)), "".join(rng.choice("thesandi") for _ in range(6000)), "é" * 3000]
+    for text in pieces:
+        assert codec.encode(text).tolist() == library.encode_ordinary(text)
+    for n in (65, 100, 1000):
+        data = "".join(rng.choice("theinga") for _ in range(n)).encode()
+        assert list(codec.merge_long(data)) == library.encode_ordinary(data.decode())  # letters only: one piece
+
+
+def test_result_name_in_another_case(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, IDS string, Decoded string")
+    out = bpe.encode(df, PATH, public.PATTERN, decoded="decoded")
+    assert out.columns == ["doc_id", "text", "ids", "decoded"] and out.select("ids", "decoded").first()["decoded"] == b"a b"
+    assert bpe.decode(bpe.encode(df, PATH, public.PATTERN), PATH, public.PATTERN).select("decoded").first()[0] == b"a b"

@@ -93,3 +93,8 @@ def test_scores_equal_a_plain_forward_pass():
                 features.append(max(0.0, best))
         z = float(np.dot(features, model.dense)) + model.constant - model.thresholds[toxicity.languages(t, np.array([len(t)]))[0]]
         assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_result_name_in_another_case(spark):
+    df = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, Score string")
+    assert toxicity.score(df, toxicity.train([])).select("score").first()[0] < 1
