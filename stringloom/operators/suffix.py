@@ -1,6 +1,9 @@
-"""Suffix sorting as joins and windows: ranks by prefix doubling, LCP by binary lifting, BWT and runs.
+"""Suffix sorting text by text: ranks by prefix doubling, LCP by binary lifting, BWT and runs.
 
-A text is a row, so a window over text_id holds at most one text. A position starts with a
+A text is a row and is sorted where its row is (`sorting.py`), so that nothing but the texts
+is shuffled, once, to deal them out evenly. Texts of more than LONG characters, which would
+fill a task's memory, are sorted by joins and windows: a window over text_id holds at most
+one text. A position starts with a
 key of its next WIDTH characters; ranks of keys are doubled by looking up the rank that many
 characters on, until every rank of every text is unique. The ranks of all levels are kept:
 from the longest to the shortest, equal ranks advance both positions by the level's length,
@@ -12,14 +15,26 @@ terminator, is rank 0. Null and empty texts give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.strings import common_prefix
-from ..session import settle
+from ..session import settle_rows, spread
+from . import sorting
 
 WIDTH = 32
 
+#: Characters of a text that is sorted in a task's memory, at some 200 bytes each.
+LONG = 1 << 22
+
+#: Rows of an Arrow batch.
+ROWS = 100_000
+
 #: Positions are cut out of runs of so many characters, as string functions count from a string's start.
 RUN = 256
 
@@ -43,16 +58,64 @@ def positions(texts: DataFrame, text_id: str, text: str, width: int = WIDTH) ->
     return each.select("text_id", (F.col("base") + F.col("i")).alias("pos"), F.substring("run", F.col("i") + 1, F.lit(width)).alias("key"), before.alias("before"))
 
 
+def _by_text(held: DataFrame, width: int, columns: list[T.StructField], work: Callable[[sorting.Sorted], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
+    """(text_id, columns): what the work makes of the sorted suffixes of some texts, with the text's number for each row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in sorting.chunks(batch.column(1).to_pylist()):
+                row, arrays = work(sorting.sort(texts, width))
+                table = pa.table([batch.column(0).take(pa.array(row + first)), *arrays], ["text_id", *(c.name for c in columns)])
+                yield from table.to_batches(max_chunksize=ROWS)
+
+    return spread(held, "text_id").mapInArrow(rows, T.StructType([T.StructField("text_id", held.schema["text_id"].dataType), *columns]))
+
+
+def _held(texts: DataFrame, text_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(text_id, text) of the texts that are sorted in memory, and of the others, if any."""
+    held = texts.where((F.length(text) > 0) & F.col(text_id).isNotNull()).select(F.col(text_id).alias("text_id"), F.col(text).alias("text"))
+    long = held.where(F.length("text") > LONG)
+    return held.where(F.length("text") <= LONG), long if long.limit(1).count() else None
+
+
 def suffixes(texts: DataFrame, text_id: str = "text_id", text: str = "text", *, width: int = WIDTH) -> DataFrame:
     """(text_id, rank, sa, lcp, bwt): all suffixes in order; bwt is null where the suffix is the text."""
+    short, long = _held(texts, text_id, text)
+
+    def work(s: sorting.Sorted) -> tuple[np.ndarray, list[pa.Array]]:
+        return s.row, [*(pa.array(c, pa.int32()) for c in (s.rank, s.sa, s.lcp)), s.characters(s.bwt)]
+
+    numbers = [T.StructField(c, T.IntegerType()) for c in ("rank", "sa", "lcp")]
+    out = _by_text(short, width, [*numbers, T.StructField("bwt", T.StringType())], work)
+    return out if long is None else out.unionByName(_joined(long, width))
+
+
+def bwt_runs(texts: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
+    """(text_id, run, ch, start, length): `runs` of the texts' suffixes, made where they are sorted."""
+    short, long = _held(texts, text_id, text)
+
+    def work(s: sorting.Sorted) -> tuple[np.ndarray, list[pa.Array]]:
+        at = np.flatnonzero(np.concatenate([[True], (s.bwt[1:] != s.bwt[:-1]) | (s.row[1:] != s.row[:-1])]))
+        row = s.row[at]
+        run = np.arange(len(at)) - np.searchsorted(row, row) + 1
+        length = np.diff(np.append(at, len(s.row)))
+        return row, [pa.array(run, pa.int64()), s.characters(s.bwt[at]), pa.array(s.rank[at], pa.int32()), pa.array(length, pa.int64())]
+
+    columns = [T.StructField(c, t) for c, t in (("run", T.LongType()), ("ch", T.StringType()), ("start", T.IntegerType()), ("length", T.LongType()))]
+    out = _by_text(short, WIDTH, columns, work)
+    return out if long is None else out.unionByName(runs(_joined(long, WIDTH)))
+
+
+def _joined(texts: DataFrame, width: int, text_id: str = "text_id", text: str = "text") -> DataFrame:
+    """`suffixes` by joins and windows, for texts of any length."""
     per_text = Window.partitionBy("text_id")
-    chars = settle(positions(texts, text_id, text, width), "positions")
-    level = settle(chars.select("text_id", "pos", (F.rank().over(per_text.orderBy("key")) - 1).cast("int").alias("r")), "ranks")
+    chars = settle_rows(positions(texts, text_id, text, width), "positions")
+    level = settle_rows(chars.select("text_id", "pos", (F.rank().over(per_text.orderBy("key")) - 1).cast("int").alias("r")), "ranks")
     levels, size = [], width
     while level.groupBy("text_id", "r").count().where("count > 1").limit(1).count():
         levels.append((size, level))
         ahead = F.coalesce(F.lead("r", size).over(per_text.orderBy("pos")), F.lit(-1))
-        level = settle(level.withColumn("s", ahead).select("text_id", "pos", (F.rank().over(per_text.orderBy("r", "s")) - 1).cast("int").alias("r")), "ranks")
+        level = settle_rows(level.withColumn("s", ahead).select("text_id", "pos", (F.rank().over(per_text.orderBy("r", "s")) - 1).cast("int").alias("r")), "ranks")
         size *= 2
     order = level.select("text_id", F.col("pos").alias("sa"), F.col("r").alias("rank"))
     pairs = order.withColumn("prev", F.lag("sa").over(per_text.orderBy("rank"))).withColumn("done", F.lit(0))
@@ -92,7 +155,12 @@ def runs(ordered: DataFrame) -> DataFrame:
 
 def run_counts(ordered: DataFrame) -> DataFrame:
     """(text_id, runs)."""
-    return runs(ordered).groupBy("text_id").agg(F.count("*").alias("runs"))
+    return counts_of(runs(ordered))
+
+
+def counts_of(runs: DataFrame) -> DataFrame:
+    """(text_id, runs) of the runs of `runs` or `bwt_runs`."""
+    return runs.groupBy("text_id").agg(F.count("*").alias("runs"))
 
 
 def range_minima(values: DataFrame, value: Column, longest: int) -> DataFrame:

@@ -32,6 +32,24 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return out
 
 
+def settle_rows(df: DataFrame, purpose: str) -> DataFrame:
+    """A settled table that grows with the input: joins with it are sort-merge joins.
+
+    Positions and ranks take so little room in a file that Spark would take millions of rows
+    for a small table, bring them to the driver and send them to all tasks.
+    """
+    settled = settle(df, purpose)
+    out = settled.hint("merge")
+    out._settled_at = settled._settled_at
+    return out
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out evenly by a key, however few files or row groups they come from."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete settled tables that no later job reads."""
     for df in tables:

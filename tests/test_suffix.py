@@ -4,7 +4,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from stringloom.operators import suffix, suffixient
+from stringloom.operators import sorting, suffix, suffixient
+from stringloom.session import settle_rows
 
 PAPER = "AATAATATGATAATAAAGA"
 TEXTS = [PAPER, "A", "aaaa", "ACGT", "banana", "abracadabra", PAPER * 2, "ab" * 200 + "c" + "ab" * 150, "", None] + [
@@ -104,3 +105,30 @@ def test_range_minima(spark):
     values = spark.createDataFrame([(0, i, v) for i, v in enumerate([5, 3, 9, 1, 7])], "text_id long, rank int, v int")
     got = {(r["level"], r["rank"]): r["least"] for r in suffix.range_minima(values, F.col("v"), 4).collect()}
     assert got[(0, 2)] == 9 and got[(1, 0)] == 3 and got[(2, 1)] == 1 and (2, 2) not in got
+
+
+def test_long_texts_are_joined_and_runs_made_where_sorted(texts, monkeypatch):
+    """Texts beyond LONG take the way by joins; both ways give the same rows, and bwt_runs the runs of them."""
+    want = sorted(map(tuple, suffix.suffixes(texts).collect()))
+    runs = sorted(map(tuple, suffix.runs(suffix.suffixes(texts)).collect()))
+    assert sorted(map(tuple, suffix.bwt_runs(texts).collect())) == runs
+    monkeypatch.setattr(suffix, "LONG", 20)
+    assert sorted(map(tuple, suffix.suffixes(texts).collect())) == want
+    assert sorted(map(tuple, suffix.bwt_runs(texts).collect())) == runs
+
+
+def test_suffix_rows_are_not_sent_to_all(spark, texts):
+    """A sorted text's rows are neither shuffled by windows nor joined; a table of them is never broadcast, however small its file."""
+    plan = suffix.suffixes(texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    settled = settle_rows(suffix.suffixes(texts), "suffixes")
+    plan = settled.join(texts, "text_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("step", [1, 50, 1 << 20])
+def test_sorted_in_batches(texts, monkeypatch, step):
+    monkeypatch.setattr(sorting, "STEP", step)
+    held = [t for t in TEXTS if t]
+    got = [(first + r, k, p) for first, some in sorting.chunks(held) for s in [sorting.sort(some, 32)] for r, k, p in zip(s.row.tolist(), s.rank.tolist(), s.sa.tolist())]
+    assert got == [(i, k, p) for i, t in enumerate(held) for k, p in enumerate(sorted(range(len(t) + 1), key=lambda p: t[p:]))]
