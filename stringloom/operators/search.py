@@ -2,32 +2,88 @@
 
 Patterns meet texts by an equi-join of seeds: a pattern's first SEED characters (or all of a
 shorter one) against the characters at every text position. What meets is compared in full.
-Nothing is broadcast by hand and no pattern is tried on a text that doesn't hold its seed.
+Seeds are looked up by hash and no pattern is tried on a text that doesn't hold its seed.
 
 Null and empty patterns and texts give no occurrences; positions are 0-based characters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.strings import let
 from ..session import settle
-from .suffix import RUN, positions, text_runs
+from .sorting import STEP, chunks
+from .suffix import positions
 
 SEED = 16
 
-#: Distinct seeds (a hash of 8 bytes each) up to which their hash table goes to every task; beyond, a shuffle join.
+#: Distinct seeds up to which they go to every task; beyond, a shuffle join.
 MAX_SEEDS = 1_000_000
 
+#: Factors of the seeds' hashes.
+BASE, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hashes(points: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """The hashes of the windows of each size from every position on, of powers of two put together; beyond the end they are cut short."""
+    power, width = {1: points.astype(np.uint64) * SPREAD + np.uint64(1)}, 1
+    after = lambda h, k: np.concatenate([h[k:], np.zeros(min(k, len(h)), np.uint64)])
+    while width * 2 <= max(sizes):
+        power[width * 2] = power[width] * np.uint64(pow(BASE, width, 1 << 64)) + after(power[width], width)
+        width *= 2
+    out = {}
+    for size in sizes:
+        done, h = 0, np.zeros(len(points), np.uint64)
+        for w in (w for w in power if size & w):
+            h, done = h * np.uint64(pow(BASE, w, 1 << 64)) + after(power[w], done), done + w
+        out[size] = h
+    return out
+
+
+class Seeds:
+    """Distinct seeds by size and hash, to be found in many texts at once."""
+
+    def __init__(self, seeds: list[str]):
+        self.seeds = set(seeds)
+        self.sizes = sorted({len(s) for s in seeds})
+        self.bits = max(16, (16 * len(seeds)).bit_length())
+        self.marks = {}
+        for size in self.sizes:
+            own = [s for s in seeds if len(s) == size]
+            h = _hashes(np.frombuffer("".join(own).encode("utf-32-le"), np.uint32), [size])[size][::size]
+            self.marks[size] = np.zeros(1 << self.bits, bool)
+            self.marks[size][self._place(h)] = True
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * SPREAD) >> np.uint64(64 - self.bits)
+
+    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(which text, position, seed) of every place where a seed stands."""
+        lengths = np.array([len(t) for t in texts])
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        whole = "".join(texts)
+        hashes = _hashes(np.frombuffer(whole.encode("utf-32-le"), np.uint32), self.sizes)
+        at = np.concatenate([np.stack([p, np.full(len(p), s)]) for s, h in hashes.items() for p in [np.flatnonzero(self.marks[s][self._place(h)])]], axis=1)
+        row = np.searchsorted(first, at[0], "right") - 1
+        cut = [whole[p : p + s] for p, s in at.T.tolist()]
+        inside = at[0] + at[1] <= first[row + 1]
+        kept = np.flatnonzero(inside & np.array([c in self.seeds for c in cut], bool))
+        return row[kept], at[0][kept] - first[row[kept]], [cut[i] for i in kept]
+
 
 def places_of(seeds: DataFrame, texts: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
     """(text_id, pos, seed): every text position where one of the seeds (column seed, up to SEED characters) stands.
 
-    The seeds' hashes become a table of buckets that reaches the tasks once, as the value of a
-    subquery, so that only positions with a seed's hash leave their row; whether the
-    characters are a seed's is told by a semi join. With more seeds, all positions are joined.
+    The seeds' hashes reach the tasks, where the hashes of all windows of a seed's size are made
+    for many texts at once, so that only positions with a seed leave their row. With more seeds,
+    all positions are joined.
     """
     asked = settle(seeds.where(F.length("seed") > 0).distinct(), "seeds")
     sizes = {r["s"]: r["c"] for r in asked.groupBy(F.length("seed").alias("s")).agg(F.count("*").alias("c")).collect()}  # SEED values at most
@@ -35,29 +91,29 @@ def places_of(seeds: DataFrame, texts: DataFrame, text_id: str = "text_id", text
         keys = positions(texts, text_id, text, SEED).select("text_id", "pos", "key")
         cuts = F.filter(F.array(*(F.when(F.length("key") >= s, F.substring("key", 1, s)) for s in sorted(sizes))), lambda x: x.isNotNull()) if sizes else F.array().cast("array<string>")
         return keys.select("text_id", "pos", F.explode(cuts).alias("seed")).join(asked, "seed", "left_semi")
-    buckets = 1 << (2 * sum(sizes.values())).bit_length()
-    filled = asked.select(F.xxhash64("seed").alias("h")).groupBy(F.pmod("h", F.lit(buckets)).alias("id")).agg(F.collect_set("h").alias("hs"))
-    every = asked.sparkSession.range(buckets).join(filled, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", "hs"))).alias("t"))
-    table = every.select(F.transform("t", lambda x: F.coalesce(x["hs"], F.array().cast("array<bigint>"))))
-
-    def held(table: Column, h: Column) -> Column:
-        return F.array_contains(F.element_at(table, (F.pmod(h, F.lit(buckets)) + 1).cast("int")), h)
+    table = Seeds(asked.toArrow()["seed"].to_pylist())  # MAX_SEEDS at most
 
-    def of_size(table: Column, size: int) -> Column:
-        last = F.least(F.lit(RUN - 1), F.col("n") - F.col("base") - size)
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        at = F.filter(starts, lambda i: held(table, F.xxhash64(F.substring("run", i + 1, F.lit(size)))))
-        return F.transform(at, lambda i: F.struct((F.col("base") + i).alias("pos"), F.substring("run", i + 1, F.lit(size)).alias("seed")))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a long text in pieces that reach into the next one
+            pieces = [(i, base, t[base : base + STEP + SEED - 1]) for i, t in enumerate(batch.column(1).to_pylist()) for base in range(0, len(t), STEP)]
+            of, bases = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64)
+            for first, held in chunks([p[2] for p in pieces]):
+                row, pos, seed = table.found(held)
+                own = np.flatnonzero(pos < STEP)
+                row, pos = row[own] + first, pos[own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[row])), pa.array(pos + bases[row], pa.int32()), pa.array([seed[i] for i in own], pa.string())], names=["text_id", "pos", "seed"])
 
-    runs = text_runs(texts, text_id, text, SEED).withColumn("table", table.scalar())
-    hits = runs.select("text_id", F.explode(let(F.col("table"), lambda t: F.concat(*(of_size(t, s) for s in sorted(sizes))))).alias("x"))
-    return hits.select("text_id", "x.pos", "x.seed").join(asked, "seed", "left_semi")
+    own = texts.where(F.length(text) > 0).select(F.col(text_id).alias("text_id"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("text_id", own.schema["text_id"].dataType), T.StructField("pos", T.IntegerType()), T.StructField("seed", T.StringType())])
+    return own.mapInArrow(work, schema)
 
 
 def locate_all(patterns: DataFrame, texts: DataFrame, pattern_id: str = "pattern_id", seq: str = "seq", text_id: str = "text_id", text: str = "text") -> DataFrame:
     """(pattern_id, text_id, pos, len): every occurrence, overlapping ones too."""
     asked = patterns.where(F.length(seq) > 0).select(F.col(pattern_id).alias("pattern_id"), F.col(seq).alias("seq"), F.substring(seq, 1, SEED).alias("seed"))
     met = places_of(asked.select("seed"), texts, text_id, text).join(asked, "seed")
+    met = settle(met.select("pattern_id", "text_id", "pos", "seq"), "met")  # its size is known, and few places don't shuffle whole texts
     whole = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("_text"))
     found = met.where(F.length("seq") <= SEED).select("pattern_id", "text_id", "pos", F.length("seq").alias("len"))
     long = met.where(F.length("seq") > SEED).join(whole, "text_id").where(F.substring("_text", F.col("pos") + 1, F.length("seq")) == F.col("seq"))
@@ -93,12 +149,12 @@ def toehold(occurrences: DataFrame, texts: DataFrame, text_id: str = "text_id",
     """(pattern_id, text_id, pos): per text the occurrence that comes last in suffix order."""
     whole = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("_text"))
     suffix = F.substring("_text", F.col("pos") + 1, F.length("_text"))
-    return occurrences.join(whole, "text_id").groupBy("pattern_id", "text_id").agg(F.max_by("pos", suffix).alias("pos"))
+    return settle(occurrences, "occurrences").join(whole, "text_id").groupBy("pattern_id", "text_id").agg(F.max_by("pos", suffix).alias("pos"))
 
 
 def verify(occurrences: DataFrame, patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """The occurrences whose text differs from their pattern: none if all is well."""
-    both = occurrences.join(patterns.select("pattern_id", "seq"), "pattern_id").join(texts.select("text_id", "text"), "text_id")
+    both = occurrences.join(texts.select("text_id", "text"), "text_id").join(patterns.select("pattern_id", "seq"), "pattern_id")  # few occurrences don't shuffle whole texts
     return both.where(F.substring("text", F.col("pos") + 1, F.col("len")) != F.col("seq")).select(*occurrences.columns)
 
 

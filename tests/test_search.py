@@ -131,3 +131,16 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).count() == 2
     clean = spark.createDataFrame([("ANGN\nx",), (None,), ("",)], "t string").select(sources.remove_n(F.col("t")), sources.keep_dna(F.col("t")), sources.strip_newlines(F.col("t")), sources.replace_n(F.col("t"))).collect()
     assert clean[0][:3] == ("AG\nx", "AG", "ANGNx") and "N" not in clean[0][3] and clean[1][0] is None and clean[2][3] == ""
+
+
+@pytest.mark.parametrize("step", [5, 1 << 20])
+def test_seeds_in_pieces(spark, monkeypatch, step):
+    """Seeds of all sizes, also across the pieces of a long text, and none across texts."""
+    monkeypatch.setattr(search, "STEP", step)
+    texts = ["abcabcabcabcabcabcabcabc", "bca", "é日😀é日😀" * 5, "a\0b", "", None, "x" * 40]
+    seeds = ["a", "bc", "cab", "日😀é", "abcabcabcabcabca", "x" * 16, "\0b", "ab", "bcab", "zz"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "text_id long, text string")
+    got = search.places_of(spark.createDataFrame([(s,) for s in seeds], "seed string"), frame)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted((i, p, s) for i, t in enumerate(texts) for s in seeds for p in range(len(t or "")) if t.startswith(s, p))
+    assert sorted(map(tuple, got.collect())) == want
