@@ -17,18 +17,20 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import common_prefix
-from ..session import settle
+from ..session import settle_rows, spread
 
-#: Positions under which phrases are filed together.
-BLOCK = 1024
+#: Positions under which phrases are filed together: a position meets all phrases of its block, so a few phrases long.
+BLOCK = 16
 
 #: Phrases of an Arrow batch.
 ROWS = 100_000
@@ -149,7 +151,7 @@ def _parsed(rows: DataFrame, parse: Callable[..., Phrases]) -> DataFrame:
             yield full()
 
     numbers = [T.StructField(n, T.IntegerType()) for n in ("ord", "dst", "src", "len")]
-    return rows.mapInArrow(work, T.StructType([T.StructField("text_id", rows.schema["text_id"].dataType), *numbers, T.StructField("ch", T.StringType())]))
+    return spread(rows, "text_id").mapInArrow(work, T.StructType([T.StructField("text_id", rows.schema["text_id"].dataType), *numbers, T.StructField("ch", T.StringType())]))
 
 
 def _held(texts: DataFrame, text_id: str, text: str, *more: Column) -> DataFrame:
@@ -184,7 +186,7 @@ def prefix_lengths(texts: DataFrame, text_id: str = "text_id", text: str = "text
             sizes = [_prefix_length(batch.column(1)[row].as_py(), bits, growth) for row in range(batch.num_rows)]
             yield batch.append_column("prefix", pa.array(sizes, pa.int32()))
 
-    return held.mapInArrow(work, T.StructType([*held.schema.fields, T.StructField("prefix", T.IntegerType())]))
+    return spread(held, "text_id").mapInArrow(work, T.StructType([*held.schema.fields, T.StructField("prefix", T.IntegerType())]))
 
 
 def relative_to_prefix(prefixed: DataFrame) -> DataFrame:
@@ -205,7 +207,7 @@ def filed(phrases: DataFrame) -> DataFrame:
     """Settled phrases by the blocks of positions that they touch, for `extract` and what rests on it."""
     last = F.col("dst") + F.col("len") + F.length("ch") - 1
     blocks = F.sequence(F.floor(F.col("dst") / BLOCK), F.floor(last / BLOCK))
-    return settle(phrases.select("text_id", F.explode(blocks).alias("block"), "dst", "src", "len", "ch"), "phrases")
+    return settle_rows(phrases.select("text_id", F.explode(blocks).alias("block"), "dst", "src", "len", "ch"), "phrases")
 
 
 def extract(index: DataFrame, asked: DataFrame) -> DataFrame:
@@ -221,7 +223,7 @@ def extract(index: DataFrame, asked: DataFrame) -> DataFrame:
         met = state.withColumn("block", F.floor(F.col("at") / BLOCK)).join(index, ["text_id", "block"])
         met = met.where((F.col("at") >= F.col("dst")) & (F.col("at") < F.col("dst") + F.col("len") + F.length("ch")))
         literal = F.col("at") == F.col("dst") + F.col("len")
-        moved = settle(met.select("text_id", "pos", (F.col("src") + F.col("at") - F.col("dst")).alias("at"), F.when(literal, F.col("ch")).alias("ch")), "extract")
+        moved = settle_rows(met.select("text_id", "pos", (F.col("src") + F.col("at") - F.col("dst")).alias("at"), F.when(literal, F.col("ch")).alias("ch")), "extract")
         ended = moved.where("ch is not null").select("text_id", "pos", "ch", F.lit(height).alias("height"))
         out = ended if out is None else out.unionByName(ended)
         state = moved.where("ch is null").select("text_id", "pos", "at")
@@ -237,10 +239,10 @@ def display(index: DataFrame, asked: DataFrame) -> DataFrame:
     """
     spans = asked.select("text_id", "start", "end").where(F.col("start") <= F.col("end")).distinct()
     each = spans.select("text_id", "start", "end", F.explode(F.sequence(F.greatest("start", F.lit(0)), F.greatest("end", F.lit(0)))).alias("pos"))
-    each = settle(each.where(F.col("pos") <= F.col("end")), "spans")
+    each = settle_rows(each.where(F.col("pos") <= F.col("end")), "spans")
     letters = each.join(extract(index, each), ["text_id", "pos"]).groupBy("text_id", "start", "end")
     shown = letters.agg(F.sort_array(F.collect_list(F.struct("pos", "ch"))).alias("cs")).select("text_id", "start", "end", F.array_join(F.transform("cs", lambda c: c["ch"]), "").alias("_shown"))
-    met = asked.drop("shown").join(shown, ["text_id", "start", "end"], "left")
+    met = asked.drop("shown").hint("merge").join(shown, ["text_id", "start", "end"], "left")
     return met.withColumn("shown", F.when(F.col("start") <= F.col("end"), F.coalesce("_shown", F.lit("")))).drop("_shown")
 
 
@@ -263,7 +265,7 @@ def agree(index: DataFrame, asked: DataFrame, *, backwards: bool = False, first:
         part = F.substring("pattern", begin, F.col("span"))
         same = common_prefix(F.reverse(part), F.reverse("shown")) if backwards else common_prefix(part, F.col("shown"))
         whole = (F.length("shown") == F.col("span")) if backwards else F.lit(True)  # else t lies behind the text
-        stepped = settle(seen.withColumn("k", F.when((F.col("span") > 0) & whole, same).otherwise(0)).select("id", "text_id", "t", "left", "pattern", "p", (F.col("n") + F.coalesce("k", F.lit(0))).alias("n"), (F.col("k") == width).alias("on")), "agree")
+        stepped = settle_rows(seen.withColumn("k", F.when((F.col("span") > 0) & whole, same).otherwise(0)).select("id", "text_id", "t", "left", "pattern", "p", (F.col("n") + F.coalesce("k", F.lit(0))).alias("n"), (F.col("k") == width).alias("on")), "agree")
         more = F.coalesce("on", F.lit(False)) & (F.col("n") < F.col("left"))
         ended = stepped.where(~more).select("id", "n")
         out = ended if out is None else out.unionByName(ended)
@@ -276,7 +278,7 @@ def agree(index: DataFrame, asked: DataFrame, *, backwards: bool = False, first:
 def lcs_char(index: DataFrame, asked: DataFrame) -> DataFrame:
     """(id, lcs, char): `agree` backwards with the text's character that ends the match, null where a start was reached."""
     found = asked.join(agree(index, asked, backwards=True), "id")
-    stop = settle(found.select("id", "text_id", F.col("n").alias("lcs"), F.when((F.col("n") <= F.col("p")) & (F.col("n") <= F.col("t")), F.col("t") - F.col("n")).cast("int").alias("pos")), "stops")
+    stop = settle_rows(found.select("id", "text_id", F.col("n").alias("lcs"), F.when((F.col("n") <= F.col("p")) & (F.col("n") <= F.col("t")), F.col("t") - F.col("n")).cast("int").alias("pos")), "stops")
     letters = extract(index, stop.where("pos is not null")).select("text_id", "pos", F.col("ch").alias("char"))
     return stop.join(letters, ["text_id", "pos"], "left").select("id", "lcs", "char")
 
@@ -288,15 +290,39 @@ def nesting(phrases: DataFrame) -> DataFrame:
     longer ones first, a chain of nested intervals is a sequence of ends that don't rise.
     """
 
-    def work(table: pa.Table) -> pa.Table:
-        spans = list(zip(table["src"].to_pylist(), table["len"].to_pylist(), strict=True))
+    def depths(spans: list[tuple[int, int]]) -> list[int | None]:
         depth, tails = {}, []
         for src, size in sorted({s for s in spans if s[1]}, key=lambda s: (s[0], -s[1])):
             end = -(src + size)
             depth[src, size] = bisect_right(tails, end)
             tails[depth[src, size] : depth[src, size] + 1] = [end]
-        return table.select(["text_id", "ord"]).append_column("depth", pa.array([depth.get(s) for s in spans], pa.int32()))
+        return [depth.get(s) for s in spans]
+
+    def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        codes = table["text_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        spans, out = list(zip(table["src"].to_pylist(), table["len"].to_pylist(), strict=True)), []
+        borders = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        for first, last in pairwise(borders):
+            out += depths(spans[first:last])
+        yield from table.select(["text_id", "ord"]).append_column("depth", pa.array(out, pa.int32())).combine_chunks().to_batches()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # rows whose last text may go on in the next batch
+        for batch in batches:
+            if held and batch.num_rows and batch.column(0)[0] != held[-1].column(0)[-1]:
+                yield from told(pa.Table.from_batches(held))
+                held = []
+            if batch.num_rows:
+                ids = batch.column(0)
+                codes = ids.dictionary_encode().indices.to_numpy()
+                cut = int(np.flatnonzero(codes != codes[-1])[-1]) + 1 if codes[0] != codes[-1] else 0
+                if cut:
+                    yield from told(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held = []
+                held.append(batch.slice(cut))
+        if held:
+            yield from told(pa.Table.from_batches(held))
 
     own = phrases.select("text_id", "ord", "src", "len")
     schema = T.StructType([own.schema["text_id"], own.schema["ord"], T.StructField("depth", T.IntegerType())])
-    return own.groupBy("text_id").applyInArrow(work, schema)
+    return spread(own, "text_id").sortWithinPartitions("text_id").mapInArrow(work, schema)

@@ -177,3 +177,27 @@ def test_whole_documents(spark):
             prefixes[r["text_id"]] = r["len"]
         else:
             assert r["src"] + r["len"] <= prefixes[r["text_id"]]
+
+
+def test_nesting_across_batches(spark):
+    """Texts that go on from one Arrow batch to the next are told as a whole."""
+    rows = [(t, o, 0, o % 7, o % 5, "x") for t in range(20) for o in range(3 + t)]
+    frame = spark.createDataFrame(rows, "text_id int, ord int, dst int, src int, len int, ch string")
+    want = sorted(map(tuple, phrases.nesting(frame).collect()), key=repr)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "4"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(map(tuple, phrases.nesting(frame).collect()), key=repr) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(want) == len(rows)
+
+
+def test_reading_out_sends_no_positions_to_all(spark, texts):
+    """Positions meet phrases by sort-merge joins, however small their files, and few phrases of a block."""
+    index = phrases.filed(phrases.lz77(texts))
+    assert index.groupBy("text_id", "block").count().agg({"count": "max"}).first()[0] <= 16
+    asked = texts.where("length(text) > 0").selectExpr("text_id", "0 AS start", "length(text) - 1 AS end")
+    plan = phrases.display(index, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
