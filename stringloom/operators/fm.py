@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle_rows
 
 
 def first_column(ordered: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def last_to_first(ordered: DataFrame) -> DataFrame:
     """(text_id, rank, ch, lf): for every rank the rank of the suffix one character longer; null at the whole text."""
     seen = F.row_number().over(Window.partitionBy("text_id", "bwt").orderBy("rank")) - 1
     numbered = ordered.where(F.col("bwt").isNotNull()).select("text_id", "rank", F.col("bwt").alias("ch"), seen.alias("seen"))
-    return numbered.join(first_column(ordered), ["text_id", "ch"]).select("text_id", "rank", "ch", (F.col("before") + F.col("seen")).cast("int").alias("lf"))
+    return numbered.hint("merge").join(first_column(ordered), ["text_id", "ch"]).select("text_id", "rank", "ch", (F.col("before") + F.col("seen")).cast("int").alias("lf"))
 
 
 def first_to_last(ordered: DataFrame) -> DataFrame:
@@ -53,13 +53,13 @@ def locate_all(ranges: DataFrame, ordered: DataFrame) -> DataFrame:
     The last suffix of a range is looked up, phi gives those before it: a round for every
     occurrence of the commonest pattern, for all patterns at once.
     """
-    samples = settle(phi_samples(ordered), "phi-samples")
+    samples = settle_rows(phi_samples(ordered), "phi-samples")
     ends = ranges.where("n > 0").select("pattern_id", "text_id", F.col("n").alias("left"), (F.col("high") - 1).alias("rank"))
-    state = settle(ends.join(ordered.select("text_id", "rank", F.col("sa").alias("pos")), ["text_id", "rank"]).select("pattern_id", "text_id", "left", "pos"), "phi-state")
+    state = settle_rows(ends.join(ordered.select("text_id", "rank", F.col("sa").alias("pos")), ["text_id", "rank"]).select("pattern_id", "text_id", "left", "pos"), "phi-state")
     found = state
     while state.where("left > 1").limit(1).count():
         moved = phi(state.where("left > 1"), samples)
-        state = settle(moved.select("pattern_id", "text_id", (F.col("left") - 1).alias("left"), F.col("phi").alias("pos")), "phi-state")
+        state = settle_rows(moved.select("pattern_id", "text_id", (F.col("left") - 1).alias("left"), F.col("phi").alias("pos")), "phi-state")
         found = found.unionByName(state)
     return found.select("pattern_id", "text_id", "pos")
 
@@ -72,10 +72,10 @@ def backward_count(patterns: DataFrame, ordered: DataFrame) -> DataFrame:
     Patterns that die leave the loop, so it ends after the longest surviving pattern.
     """
     step = Window.partitionBy("text_id", "bwt").orderBy("rank")
-    occ = settle(ordered.where(F.col("bwt").isNotNull()).select("text_id", F.col("bwt").alias("ch"), "rank", F.row_number().over(step).alias("upto")), "occ")
-    first = settle(first_column(ordered), "first")
+    occ = settle_rows(ordered.where(F.col("bwt").isNotNull()).select("text_id", F.col("bwt").alias("ch"), "rank", F.row_number().over(step).alias("upto")), "occ")
+    first = settle_rows(first_column(ordered), "first")
     sizes = ordered.groupBy("text_id").agg((F.max("rank") + 1).alias("size"))
-    state = settle(patterns.where(F.length("seq") > 0).join(sizes, "text_id").select("pattern_id", "text_id", "seq", F.lit(0).cast("long").alias("low"), F.col("size").cast("long").alias("high"), F.length("seq").alias("left")), "fm-state")
+    state = settle_rows(patterns.where(F.length("seq") > 0).join(sizes, "text_id").select("pattern_id", "text_id", "seq", F.lit(0).cast("long").alias("low"), F.col("size").cast("long").alias("high"), F.length("seq").alias("left")), "fm-state")
     done = None
     while state.where("left > 0").limit(1).count():
         open_ = state.where("left > 0").withColumn("ch", F.substring("seq", F.col("left"), F.lit(1)))
@@ -85,7 +85,7 @@ def backward_count(patterns: DataFrame, ordered: DataFrame) -> DataFrame:
             asks = df.select("text_id", "ch", F.col(bound).cast("long").alias("at"), "pattern_id", F.lit(None).cast("int").alias("upto"))
             have = occ.select("text_id", "ch", (F.col("rank") + 1).cast("long").alias("at"), F.lit(None).cast("long").alias("pattern_id"), "upto")
             w = Window.partitionBy("text_id", "ch").orderBy("at", F.col("upto").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-            return have.unionByName(asks).withColumn(name, F.coalesce(F.last("upto", True).over(w), F.lit(0))).where(F.col("upto").isNull()).select("text_id", "pattern_id", name)
+            return have.unionByName(asks).withColumn(name, F.coalesce(F.last("upto", True).over(w), F.lit(0))).where(F.col("upto").isNull()).select("text_id", "pattern_id", name).hint("merge")
 
         keyed = open_.join(first, ["text_id", "ch"], "left")
         moved = keyed.join(rank(open_, "low", "a"), ["text_id", "pattern_id"]).join(rank(open_, "high", "b"), ["text_id", "pattern_id"])
@@ -93,7 +93,7 @@ def backward_count(patterns: DataFrame, ordered: DataFrame) -> DataFrame:
         after = moved.select("pattern_id", "text_id", "seq", low.alias("low"), high.alias("high"), F.when(high > low, F.col("left") - 1).otherwise(0).alias("left"))
         closed = state.where("left = 0")
         done = closed if done is None else done.unionByName(closed)
-        state = settle(after, "fm-state")
+        state = settle_rows(after, "fm-state")
     ended = state if done is None else done.unionByName(state)
     size = F.greatest(F.lit(0), F.col("high") - F.col("low"))
     return ended.select("pattern_id", "text_id", size.alias("n"), "low", "high")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import common_prefix, let
-from ..session import settle
+from ..session import settle_rows
 from .suffix import prefix_array, reversed_texts, suffixes
 from .suffixient import from_suffixes
 
@@ -54,11 +54,11 @@ def build(texts: DataFrame, variant: str = "sA", *, text_id: str = "text_id", te
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}; one of {', '.join(VARIANTS)}")
     own = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("_text"))
-    ordered = settle(suffixes(reversed_texts(texts, text_id, text)), "suffixes")
+    ordered = settle_rows(suffixes(reversed_texts(texts, text_id, text)), "suffixes")
     if variant == "PA":
         entries = prefix_array(ordered).select("text_id", "rank", F.col("end").alias("pos"))
     else:
-        entries = settle(from_suffixes(ordered).select("text_id", "rank", "pos"), "entries")
+        entries = settle_rows(from_suffixes(ordered).select("text_id", "rank", "pos"), "entries")
     if key is None and variant == "opt-sA":
         key = key_length(ordered.count(), entries.count(), variant, extra_percent)
     key = key or KEY
@@ -107,7 +107,7 @@ def nearest(index: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     met = both.withColumn("low", F.last("entry", True).over(up)).withColumn("high", F.last("entry", True).over(down)).where(F.col("entry").isNull())
     sides = met.select("pattern_id", "text_id", "end", "key", "low", "high", *(F.coalesce(common_prefix(F.col("key"), F.col(f"{x}.key")), F.lit(0)).alias(f"n_{x}") for x in ("low", "high")))
     best = sides.select("pattern_id", "text_id", "end", F.when(F.greatest("n_low", "n_high") > 0, F.when(F.col("n_low") >= F.col("n_high"), F.col("low")).otherwise(F.col("high"))).alias("b"), F.greatest("n_low", "n_high").alias("matched"))
-    best = settle(best.select("pattern_id", "text_id", "end", F.coalesce("b.pos", F.lit(-1)).alias("pos"), "b.group", "matched"), "nearest")
+    best = settle_rows(best.select("pattern_id", "text_id", "end", F.coalesce("b.pos", F.lit(-1)).alias("pos"), "b.group", "matched"), "nearest")
     near = best.where(F.col("matched") < width).select("pattern_id", "text_id", "end", "pos", "matched")
     # the whole key agrees: the rest is looked up among the group's members, in their order
     far = best.where(F.col("matched") == width)

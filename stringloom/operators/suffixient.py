@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import common_prefix, let
-from ..session import settle
+from ..session import settle_rows
 from .suffix import reversed_texts, suffixes
 
 #: Names of construction algorithms that all give this set.
@@ -23,7 +23,7 @@ def suffixient_set(texts: DataFrame, text_id: str = "text_id", text: str = "text
     """(text_id, rank, ch, pos, lcp): end positions (0-based) of the set; the extension has lcp + 1 characters."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}; one of {', '.join(ALGORITHMS)}")
-    return from_suffixes(settle(suffixes(reversed_texts(texts, text_id, text)), "suffixes"))
+    return from_suffixes(settle_rows(suffixes(reversed_texts(texts, text_id, text)), "suffixes"))
 
 
 def from_suffixes(ordered: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def from_suffixes(ordered: DataFrame) -> DataFrame:
     sides = F.explode(F.array(F.struct(F.col("bwt_before").alias("ch"), F.col("sa_before").alias("at")), F.struct(F.col("bwt").alias("ch"), F.col("sa").alias("at"))))
     candidates = bounds.select("text_id", "rank", "lcp", "n", sides.alias("c")).where(F.col("c.ch").isNotNull()).select("text_id", "rank", "lcp", "n", "c.ch", "c.at")
     own = Window.partitionBy("text_id", "ch").orderBy("rank")
-    linked = settle(candidates.withColumn("next", F.lead("rank").over(own)).withColumn("next_lcp", F.lead("lcp").over(own)), "candidates")
+    linked = settle_rows(candidates.withColumn("next", F.lead("rank").over(own)).withColumn("next_lcp", F.lead("lcp").over(own)), "candidates")
     gaps = linked.where(F.col("next") > F.col("rank") + 1).select("text_id", "ch", "rank", (F.col("rank") + 1).alias("low"), (F.col("next") - 1).alias("high"))
     # the gaps of one character don't overlap: a text's LCP values are read at most once for each of its characters
     heights = F.transform(F.array_sort(F.collect_list(F.struct("rank", "lcp"))), lambda x: x["lcp"])
