@@ -16,36 +16,66 @@ Null and empty texts give no rows. text_id is a key and is not null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.strings import common_prefix
-from ..session import forget, settle
+from ..session import forget, settle_rows
 from .suffix import WIDTH, positions
 
 #: Rows of a range partition, about.
 ROWS = 2_000_000
 
 
-def _ranges(df: DataFrame, by: list[str]) -> DataFrame:
-    """The rows in range partitions of `by`, settled, with the partition's number in _part."""
+def _changed(columns: list[pa.Array], before: list[pa.Array]) -> np.ndarray:
+    """Where a row differs from the one before it, nulls being alike; `before` is the row before the first, if any."""
+    out = np.zeros(len(columns[0]), bool)
+    for column, last in zip(columns, before or [c.slice(0, 0) for c in columns], strict=True):
+        whole = pa.concat_arrays([last, column])
+        a, b = whole.slice(1), whole.slice(0, len(whole) - 1)
+        out[len(column) - len(a) :] |= pc.coalesce(pc.not_equal(a, b), pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+    if not before:
+        out[:1] = True
+    return out
+
+
+def _ranked(df: DataFrame, order: list[str], names: dict[str, list[str]]) -> DataFrame:
+    """The rows in range partitions of `order`, sorted, with the partition's number in _part and, for every name, the place in it of the first row of the row's key."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(df.count() / ROWS))
-    return settle(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()), "ranges")
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, starts, before = 0, dict.fromkeys(names, 0), {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = seen + np.arange(batch.num_rows)
+            for n, by in names.items():
+                columns = [batch.column(c) for c in by]
+                ranks = np.maximum.accumulate(np.where(_changed(columns, before.get(n, [])), place, starts[n]))
+                before[n], starts[n] = [c.slice(len(c) - 1) for c in columns], int(ranks[-1])
+                batch = batch.append_column(f"_{n}", pa.array(ranks, pa.int64()))
+            seen += batch.num_rows
+            yield batch
+
+    return dealt.mapInArrow(work, T.StructType([*dealt.schema.fields, *(T.StructField(f"_{n}", T.LongType()) for n in names)]))
 
 
-def global_ranks(df: DataFrame, order: list[str], names: dict[str, list[str]]) -> DataFrame:
-    """The rows of a settled table with, for every name, how many rows come before the row's key; the keys are prefixes of `order`.
+def global_ranks(df: DataFrame, order: list[str], names: dict[str, list[str]], kept: list[str]) -> DataFrame:
+    """The kept columns of a settled table, settled, with, for every name, how many rows come before the row's key; the keys are prefixes of `order`.
 
     order must tell all rows apart, or what it leaves tied must not matter.
     """
-    dealt = _ranges(df, order)
-    inside = Window.partitionBy("_part")
     keys = {n: F.struct(*by) for n, by in names.items()}
-    own = {n: F.rank().over(inside.orderBy(*by)) - 1 for n, by in names.items()}
-    ranked = settle(dealt.withColumns({f"_{n}": r for n, r in own.items()}), "ranks")
+    ranked = settle_rows(_ranked(df, order, names), "ranks")
     ends = [F.min(k).alias(f"first_{n}") for n, k in keys.items()] + [F.max(k).alias(f"last_{n}") for n, k in keys.items()] + [F.max(f"_{n}").alias(f"start_{n}") for n in names]
     parts = ranked.groupBy("_part").agg(F.count("*").alias("_n"), *ends)  # a row per partition
     along = Window.orderBy("_part")
@@ -59,38 +89,42 @@ def global_ranks(df: DataFrame, order: list[str], names: dict[str, list[str]]) -
     borders = parts.select("_part", "_before", *(f"{x}_{n}" for n in names for x in ("joined", "carried")))
     met = ranked.join(F.broadcast(borders), "_part")
     final = {n: F.when(F.col(f"joined_{n}") & (F.col(f"_{n}") == 0), F.col(f"carried_{n}")).otherwise(F.col("_before") + F.col(f"_{n}")) for n in names}
-    return met.withColumns(final).select(*df.columns, *names)
+    out = settle_rows(met.withColumns(final).select(*kept, *names), "ranked")
+    forget(ranked)
+    return out
 
 
 def previous(df: DataFrame, rank: str, value: Column, name: str) -> DataFrame:
-    """The rows with the value of the row before, in the order of `rank`, also across partitions; null at the first."""
-    dealt = _ranges(df.withColumn("_value", value), [rank])
-    order = Window.partitionBy("_part").orderBy(rank)
-    lagged = dealt.withColumn("_lag", F.lag("_value").over(order)).withColumn("_head", F.row_number().over(order) == 1)
-    along = Window.orderBy("_part")
-    tails = dealt.groupBy("_part").agg(F.max_by("_value", rank).alias("_tail")).select("_part", F.lag("_tail").over(along).alias("_tail"))  # a row per partition
-    met = lagged.join(F.broadcast(tails), "_part")
-    return met.select(*df.columns, F.when(F.col("_head"), F.col("_tail")).otherwise(F.col("_lag")).alias(name))
+    """The rows with the value of the row before, in the order of `rank`, which counts them all from 0; null at the first.
+
+    Runs of ranks are windows of their own, to which the row before the first is added.
+    """
+    size = min(ROWS, 1 << 16)
+    run, ahead = F.floor(F.col(rank) / size), F.floor((F.col(rank) + 1) / size)
+    each = df.withColumn("_value", value).withColumn("_run", F.explode(F.array_distinct(F.array(run, ahead))))
+    lagged = each.withColumn("_lag", F.lag("_value").over(Window.partitionBy("_run").orderBy(rank)))
+    return lagged.where(F.col("_run") == run).select(*df.columns, F.col("_lag").alias(name))
 
 
 def _levels(texts: DataFrame, text_id: str, text: str, width: int) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
     """(text_id, pos, left, key, before) of all positions, and the ranks (text_id, pos, r) by the next so many characters."""
     size_of = texts.where(F.length(text) > 0).select(F.col(text_id).alias("text_id"), F.length(text).alias("n"))
     chars = positions(texts, text_id, text, width).join(size_of, "text_id").where(F.col("pos") < F.col("n"))
-    chars = settle(chars.select("text_id", "pos", (F.col("n") - F.col("pos")).alias("left"), "key", "before"), "positions")
-    ranks = settle(global_ranks(chars.select("text_id", "pos", "left", "key"), ["key", "text_id", "pos"], {"r": ["key"]}).select("text_id", "pos", "left", "r"), "level")
+    chars = settle_rows(chars.select("text_id", "pos", (F.col("n") - F.col("pos")).alias("left"), "key", "before"), "positions")
+    ranks = global_ranks(chars.select("text_id", "pos", "left", "key"), ["key", "text_id", "pos"], {"r": ["key"]}, ["text_id", "pos", "left"])
     levels, size = [(width, ranks)], width
     while True:
         # ranks that several positions share, of which one goes on beyond what was compared
         shared = ranks.groupBy("r").agg(F.count("*").alias("c"), F.max("left").alias("most")).where((F.col("c") > 1) & (F.col("most") > size)).select("r")
         active = ranks.join(shared, "r", "left_semi")
         ahead = ranks.select("text_id", (F.col("pos") - size).alias("pos"), F.col("r").alias("s"))
-        asked = settle(active.join(ahead, ["text_id", "pos"], "left").select("text_id", "pos", "left", "r", F.coalesce("s", F.lit(-1)).alias("s")), "active")
+        asked = settle_rows(active.join(ahead, ["text_id", "pos"], "left").select("text_id", "pos", "left", "r", F.coalesce("s", F.lit(-1)).alias("s")), "active")
         if not asked.limit(1).count():
             return chars, levels
-        moved = global_ranks(asked, ["r", "s", "text_id", "pos"], {"x": ["r", "s"], "y": ["r"]}).select("text_id", "pos", (F.col("r") + F.col("x") - F.col("y")).alias("new"))
-        ranks = settle(ranks.join(moved, ["text_id", "pos"], "left").select("text_id", "pos", "left", F.coalesce("new", "r").alias("r")), "level")
-        forget(asked)
+        placed = global_ranks(asked, ["r", "s", "text_id", "pos"], {"x": ["r", "s"], "y": ["r"]}, ["text_id", "pos", "r"])
+        moved = placed.select("text_id", "pos", (F.col("r") + F.col("x") - F.col("y")).alias("new"))
+        ranks = settle_rows(ranks.join(moved, ["text_id", "pos"], "left").select("text_id", "pos", "left", F.coalesce("new", "r").alias("r")), "level")
+        forget(asked, placed)
         size *= 2
         levels.append((size, ranks))
 
@@ -99,21 +133,25 @@ def suffix_order(texts: DataFrame, text_id: str = "text_id", text: str = "text",
     """(rank, text_id, pos): all suffixes of all texts in order from 0, equal ones by text."""
     _, levels = _levels(texts, text_id, text, width)
     last = levels[-1][1].select("text_id", "pos", "r")
-    return global_ranks(last, ["r", "text_id", "pos"], {"rank": ["r", "text_id", "pos"]}).select("rank", "text_id", "pos")
+    return global_ranks(last, ["r", "text_id", "pos"], {"rank": ["r", "text_id", "pos"]}, ["text_id", "pos"]).select("rank", "text_id", "pos")
 
 
 def suffixes(texts: DataFrame, text_id: str = "text_id", text: str = "text", *, width: int = WIDTH) -> DataFrame:
     """(rank, text_id, pos, lcp, bwt): with the common prefix with the suffix before, and the character before the suffix, null at a text's start."""
     chars, levels = _levels(texts, text_id, text, width)
     last = levels[-1][1].select("text_id", "pos", "left", "r")
-    order = settle(global_ranks(last, ["r", "text_id", "pos"], {"rank": ["r", "text_id", "pos"]}).select("rank", "text_id", "pos", "left"), "order")
+    order = global_ranks(last, ["r", "text_id", "pos"], {"rank": ["r", "text_id", "pos"]}, ["text_id", "pos", "left"])
     pairs = previous(order, "rank", F.struct("text_id", "pos", "left"), "prev")
     pairs = pairs.select("rank", "text_id", "pos", "left", F.col("prev.text_id").alias("p_text"), F.col("prev.pos").alias("p_pos"), F.least("left", "prev.left").alias("most"), F.lit(0).alias("done"))
+    held = order
     for size, ranks in reversed(levels):
         for t, p, name in (("text_id", "pos", "r_own"), ("p_text", "p_pos", "r_prev")):
             own = ranks.select(F.col("text_id").alias("_t"), F.col("pos").alias("_p"), F.col("r").alias(name))
             pairs = pairs.join(own, (F.col(t) == F.col("_t")) & (F.col(p) + F.col("done") == F.col("_p")), "left").drop("_t", "_p")
         pairs = pairs.withColumn("done", F.col("done") + F.when(F.col("r_own") == F.col("r_prev"), size).otherwise(0)).drop("r_own", "r_prev")
+        pairs = settle_rows(pairs, "pairs")  # the shuffles of one level at a time
+        forget(held, ranks)
+        held = pairs
     for t, p, name in (("text_id", "pos", "k_own"), ("p_text", "p_pos", "k_prev")):
         own = chars.select(F.col("text_id").alias("_t"), F.col("pos").alias("_p"), F.col("key").alias(name))
         pairs = pairs.join(own, (F.col(t) == F.col("_t")) & (F.col(p) + F.col("done") == F.col("_p")), "left").drop("_t", "_p")
@@ -124,6 +162,6 @@ def suffixes(texts: DataFrame, text_id: str = "text_id", text: str = "text", *,
 
 def runs(ordered: DataFrame) -> DataFrame:
     """(ch, runs, length): how many runs of each character the collection's BWT has, and its rows; ch is null for text starts."""
-    settled = settle(ordered.select("rank", F.struct("bwt").alias("own")), "bwt")
+    settled = settle_rows(ordered.select("rank", F.struct("bwt").alias("own")), "bwt")
     changed = previous(settled, "rank", F.col("own"), "prev").select("own.bwt", (F.col("prev").isNull() | ~F.col("own.bwt").eqNullSafe(F.col("prev.bwt"))).alias("new"))
     return changed.groupBy(F.col("bwt").alias("ch")).agg(F.sum(F.col("new").cast("long")).alias("runs"), F.count("*").alias("length"))

@@ -55,7 +55,7 @@ def _order(points: DataFrame, asked: DataFrame, column: str, place: str) -> tupl
     own = points.select(spelled.alias("key"), F.lit(1).alias("kind"), "text_id", "at", F.lit(None).cast("string").alias(column))
     rows = settle(own.unionByName(bounds), "keys")
     by = ["key", "kind", "text_id", "at"]
-    places = settle(global_ranks(rows, by, {"place": by}).drop("key"), "places")
+    places = global_ranks(rows, by, {"place": by}, [c for c in rows.columns if c != "key"])
     forget(rows)
     ranges = places.where("kind != 1").groupBy(column).agg(F.min("place").alias(f"low_{place}"), F.max("place").alias(f"high_{place}"))
     return places.where("kind = 1").select("text_id", "at", F.col("place").alias(place)), ranges
