@@ -27,6 +27,7 @@ class Sorted(NamedTuple):
     lcp: np.ndarray
     bwt: np.ndarray  #: number of the character before, from 1; 0 at the text's start
     letters: pa.Array  #: the characters by number, null for 0
+    lengths: np.ndarray  #: characters of each text
 
     def characters(self, numbers: np.ndarray) -> pa.Array:
         return self.letters.take(pa.array(numbers, pa.int32()))
@@ -109,4 +110,4 @@ def sort(texts: list[str], width: int) -> Sorted:
     sa, row = sa[order], row[order]
     bwt = np.where(sa > 0, numbers[order - 1], 0)
     letters = pa.array([None, *(chr(c) for c in alphabet)], pa.string())
-    return Sorted(row, np.arange(n) - first[row], sa, lcp, bwt, letters)
+    return Sorted(row, np.arange(n) - first[row], sa, lcp, bwt, letters, lengths)

@@ -58,7 +58,7 @@ def positions(texts: DataFrame, text_id: str, text: str, width: int = WIDTH) ->
     return each.select("text_id", (F.col("base") + F.col("i")).alias("pos"), F.substring("run", F.col("i") + 1, F.lit(width)).alias("key"), before.alias("before"))
 
 
-def _by_text(held: DataFrame, width: int, columns: list[T.StructField], work: Callable[[sorting.Sorted], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
+def by_text(held: DataFrame, width: int, columns: list[T.StructField], work: Callable[[sorting.Sorted], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
     """(text_id, columns): what the work makes of the sorted suffixes of some texts, with the text's number for each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,28 +71,28 @@ def _by_text(held: DataFrame, width: int, columns: list[T.StructField], work: Ca
     return spread(held, "text_id").mapInArrow(rows, T.StructType([T.StructField("text_id", held.schema["text_id"].dataType), *columns]))
 
 
-def _held(texts: DataFrame, text_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+def held(texts: DataFrame, text_id: str = "text_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """(text_id, text) of the texts that are sorted in memory, and of the others, if any."""
-    held = texts.where((F.length(text) > 0) & F.col(text_id).isNotNull()).select(F.col(text_id).alias("text_id"), F.col(text).alias("text"))
-    long = held.where(F.length("text") > LONG)
-    return held.where(F.length("text") <= LONG), long if long.limit(1).count() else None
+    own = texts.where((F.length(text) > 0) & F.col(text_id).isNotNull()).select(F.col(text_id).alias("text_id"), F.col(text).alias("text"))
+    long = own.where(F.length("text") > LONG)
+    return own.where(F.length("text") <= LONG), long if long.limit(1).count() else None
 
 
 def suffixes(texts: DataFrame, text_id: str = "text_id", text: str = "text", *, width: int = WIDTH) -> DataFrame:
     """(text_id, rank, sa, lcp, bwt): all suffixes in order; bwt is null where the suffix is the text."""
-    short, long = _held(texts, text_id, text)
+    short, long = held(texts, text_id, text)
 
     def work(s: sorting.Sorted) -> tuple[np.ndarray, list[pa.Array]]:
         return s.row, [*(pa.array(c, pa.int32()) for c in (s.rank, s.sa, s.lcp)), s.characters(s.bwt)]
 
     numbers = [T.StructField(c, T.IntegerType()) for c in ("rank", "sa", "lcp")]
-    out = _by_text(short, width, [*numbers, T.StructField("bwt", T.StringType())], work)
-    return out if long is None else out.unionByName(_joined(long, width))
+    out = by_text(short, width, [*numbers, T.StructField("bwt", T.StringType())], work)
+    return out if long is None else out.unionByName(joined(long, width))
 
 
 def bwt_runs(texts: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
     """(text_id, run, ch, start, length): `runs` of the texts' suffixes, made where they are sorted."""
-    short, long = _held(texts, text_id, text)
+    short, long = held(texts, text_id, text)
 
     def work(s: sorting.Sorted) -> tuple[np.ndarray, list[pa.Array]]:
         at = np.flatnonzero(np.concatenate([[True], (s.bwt[1:] != s.bwt[:-1]) | (s.row[1:] != s.row[:-1])]))
@@ -102,11 +102,11 @@ def bwt_runs(texts: DataFrame, text_id: str = "text_id", text: str = "text") ->
         return row, [pa.array(run, pa.int64()), s.characters(s.bwt[at]), pa.array(s.rank[at], pa.int32()), pa.array(length, pa.int64())]
 
     columns = [T.StructField(c, t) for c, t in (("run", T.LongType()), ("ch", T.StringType()), ("start", T.IntegerType()), ("length", T.LongType()))]
-    out = _by_text(short, WIDTH, columns, work)
-    return out if long is None else out.unionByName(runs(_joined(long, WIDTH)))
+    out = by_text(short, WIDTH, columns, work)
+    return out if long is None else out.unionByName(runs(joined(long, WIDTH)))
 
 
-def _joined(texts: DataFrame, width: int, text_id: str = "text_id", text: str = "text") -> DataFrame:
+def joined(texts: DataFrame, width: int, text_id: str = "text_id", text: str = "text") -> DataFrame:
     """`suffixes` by joins and windows, for texts of any length."""
     per_text = Window.partitionBy("text_id")
     chars = settle_rows(positions(texts, text_id, text, width), "positions")

@@ -3,17 +3,23 @@
 Candidates are the two sides of every BWT run boundary of the reversed text, by character.
 Candidates of one character in rank order are compared with their neighbours only: where
 no smaller LCP lies between, the larger LCP stays; equal ones form a plateau of which the
-first stays. The minimum between neighbours is taken over the text's LCP values in one row.
+first stays. A text that is sorted where its row is gives its set there, so that neither
+suffixes nor candidates are shuffled or written; longer texts take the way by windows, where
+the minimum between neighbours is taken over the text's LCP values in one row.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.strings import common_prefix, let
 from ..session import settle_rows
-from .suffix import reversed_texts, suffixes
+from . import sorting, suffix
+from .suffix import reversed_texts
 
 #: Names of construction algorithms that all give this set.
 ALGORITHMS = ("one-pass", "linear", "fm", "PFP")
@@ -23,7 +29,53 @@ def suffixient_set(texts: DataFrame, text_id: str = "text_id", text: str = "text
     """(text_id, rank, ch, pos, lcp): end positions (0-based) of the set; the extension has lcp + 1 characters."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}; one of {', '.join(ALGORITHMS)}")
-    return from_suffixes(settle_rows(suffixes(reversed_texts(texts, text_id, text)), "suffixes"))
+    short, long = suffix.held(reversed_texts(texts, text_id, text))
+
+    def work(s: sorting.Sorted) -> tuple[np.ndarray, list[pa.Array]]:
+        row, rank, number, pos, lcp = chosen_in(s)
+        return row, [pa.array(rank, pa.int32()), s.characters(number), pa.array(pos, pa.int32()), pa.array(lcp, pa.int32())]
+
+    columns = [T.StructField(c, T.StringType() if c == "ch" else T.IntegerType()) for c in ("rank", "ch", "pos", "lcp")]
+    out = suffix.by_text(short, suffix.WIDTH, columns, work)
+    return out if long is None else out.unionByName(from_suffixes(settle_rows(suffix.joined(long, suffix.WIDTH), "suffixes")))
+
+
+def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of values[low:high] for each range, none of them empty; minima of doubled spans, one length held at a time."""
+    level = np.frexp((high - low).astype(np.float64))[1] - 1
+    out = np.empty(len(low), values.dtype)
+    by = np.argsort(level, kind="stable")
+    ends = np.searchsorted(level[by], np.arange(level.max(initial=-1) + 2))
+    table = values
+    for k, (a, b) in enumerate(zip(ends, ends[1:])):
+        if k:
+            table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
+        own = by[a:b]
+        out[own] = np.minimum(table[low[own]], table[high[own] - (1 << k)])
+    return out
+
+
+def chosen_in(s: sorting.Sorted) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, rank, character's number, pos, lcp) of the sets of sorted reversed texts, by text, character and rank."""
+    lcps = s.lcp.astype(np.int32)
+    bounds = np.flatnonzero((s.row[1:] == s.row[:-1]) & (s.bwt[1:] != s.bwt[:-1])) + 1
+    at, side = np.concatenate([bounds, bounds]), np.concatenate([bounds - 1, bounds])
+    kept = s.bwt[side] > 0
+    at, side = at[kept], side[kept]
+    order = np.lexsort((at, s.bwt[side], s.row[at]))
+    at, side = at[order], side[order]
+    row, number, lcp = s.row[at], s.bwt[side], lcps[at]
+    linked = (row[1:] == row[:-1]) & (number[1:] == number[:-1])  # whether one and the next are of one character of a text
+    gap = np.full(max(len(at) - 1, 0), 1 << 30, np.int32)
+    far = np.flatnonzero(linked & (at[1:] > at[:-1] + 1))
+    gap[far] = _least_between(lcps, at[far] + 1, at[far + 1])
+    seen = linked & (gap >= np.minimum(lcp[1:], lcp[:-1]))  # they see each other at the height of the smaller one
+    beaten = np.zeros(len(at), bool)
+    beaten[1:] |= seen & (lcp[:-1] > lcp[1:])
+    beaten[:-1] |= seen & (lcp[1:] > lcp[:-1])
+    firsts = np.flatnonzero(np.concatenate([np.ones(min(len(at), 1), bool), ~(seen & (lcp[1:] == lcp[:-1]))]))
+    best = firsts[~np.logical_or.reduceat(beaten, firsts)] if len(firsts) else firsts
+    return row[best], s.rank[at[best]], number[best], s.lengths[row[best]] - s.sa[side[best]], lcp[best]
 
 
 def from_suffixes(ordered: DataFrame) -> DataFrame:

@@ -95,6 +95,18 @@ def test_kmer_contexts(texts):
     assert got == {2: (5, 3), 3: (8, 1), 4: (8, 1)}
 
 
+def test_sets_are_made_where_texts_are_sorted(texts, monkeypatch):
+    """Nothing but the texts is shuffled for a set, and the way by windows, for longer texts, gives the same rows."""
+    chosen = suffixient.suffixient_set(texts)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") <= 1
+    want = sorted(map(tuple, chosen.collect()))
+    ordered = settle_rows(suffix.suffixes(suffix.reversed_texts(texts)), "suffixes")
+    assert sorted(map(tuple, suffixient.from_suffixes(ordered).collect())) == want
+    monkeypatch.setattr(suffix, "LONG", 20)
+    assert sorted(map(tuple, suffixient.suffixient_set(texts).collect())) == want
+
+
 def test_no_texts(spark):
     none = spark.createDataFrame([], "text_id long, text string")
     assert suffix.suffixes(none).collect() == []
