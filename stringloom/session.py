@@ -39,11 +39,11 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
 
 
-def settle(df: DataFrame, purpose: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+def settle(df: DataFrame, purpose: str, **options: str) -> DataFrame:
+    """Write to the shared folder, with the writer's options, and read back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, purpose)
     with _shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

@@ -164,3 +164,26 @@ def test_mems_and_longest_prefix_through_the_index(spark, tmp_path, variant, key
         common = next((n for n in range(len(p) + 1) if n == len(p) or n > r["pos"] or t[r["pos"] - n] != p[-1 - n]), len(p))
         assert r["matched"] == common and r["stop"] == (t[r["pos"] - common] if common <= r["pos"] else None)
         assert r["matched"] == stats[-1] or variant != "PA"
+
+
+@pytest.mark.parametrize("variant", index.VARIANTS)
+def test_an_index_lies_in_its_text_s_row(spark, frame, texts, monkeypatch, variant):
+    """Only texts and what is asked of them are shuffled, once; longer texts, by joins, have the same entries."""
+    rows = frame.withColumn("asked", F.array(F.struct(F.lit(0).alias("pattern_id"), F.lit("ATATGA").alias("seq")), F.struct(F.lit(1).alias("pattern_id"), F.lit(None).cast("string").alias("seq"))))
+    found = index.search(index.in_rows(rows, variant, key=3), "statistics")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {r["text_id"]: r["found"] for r in found.collect()}
+    for i, t in enumerate(texts):
+        assert [x["len"] for x in got[i][0]] == plain_stats("ATATGA", t) and got[i][1] is None
+    want = sorted(map(tuple, index.build(frame, variant, key=3).collect()))
+    assert "Window" not in index.build(frame, variant, key=3)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(suffix, "LONG", 15)
+    assert sorted(map(tuple, index.build(frame, variant, key=3).collect())) == want
+
+
+def test_texts_and_patterns_without_characters(spark):
+    rows = spark.createDataFrame([(1, "", ["a", ""]), (2, None, ["a"]), (3, "aa", None), (4, "ba", []), (5, "ba", ["ba", None, "ab"])], "text_id long, text string, seqs array<string>")
+    asked = F.transform("seqs", lambda s, i: F.struct(i.alias("pattern_id"), s.alias("seq")))
+    got = index.answers(index.search(index.in_rows(rows.select("text_id", "text", asked.alias("asked")), "opt-sA"), "whole")).collect()
+    assert sorted((r["text_id"], r["pattern_id"], *r["found"]) for r in got) == [(1, 0, 0, -1), (2, 0, 0, -1), (5, 0, 2, 1), (5, 2, 1, 0)]
