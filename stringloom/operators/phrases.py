@@ -1,8 +1,10 @@
 """LZ phrases as tables: parsing whole texts, and reading characters out of phrases without decoding a text.
 
-A greedy parse runs along its text, so a text is parsed where its row is, by a short scan: a
-match is looked for from the place of the last shorter one on, as the first place of a longer
-match can't come before it. Texts are dealt out over the tasks and nothing is shuffled.
+A greedy parse runs along its text, so a text is parsed where its row is, by a short scan.
+Where strings of up to HEAD characters stand first is known for all positions of many texts
+from one sort. Only a match beyond that is looked for in the text, from the place of the last
+shorter one on, as the first place of a longer match can't come before it. Texts are dealt out
+over the tasks and nothing is shuffled.
 
 Reading out is a join: a phrase is filed under every block of positions that it touches, a
 position asks the phrase of its block and moves to the phrase's source, until it stands on a
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.strings import common_prefix
 from ..session import settle_rows, spread
+from . import sorting
 
 #: Positions under which phrases are filed together: a position meets all phrases of its block, so a few phrases long.
 BLOCK = 16
@@ -38,6 +41,12 @@ ROWS = 100_000
 #: Characters of a prefix by which the phrase ends of an LZ-End parse are kept in order.
 NEAR = 64
 
+#: Characters of the strings whose first places are known from a sort, as far as they fit.
+HEAD = 8
+
+#: Characters of a text that is sorted for that, at some 150 bytes each; longer ones are searched from their first character on.
+LONG = 1 << 22
+
 #: (dst, src, len) of each phrase.
 Phrases = Iterator[tuple[int, int, int]]
 
@@ -52,40 +61,78 @@ def _agree(a: str, i: int, b: str, j: int, most: int) -> int:
     return k
 
 
-def _longest(text: str, i: int, source: str, limit: int) -> tuple[int, int]:
-    """(first place, length) of the longest match of text from i on inside source[:limit]."""
-    n, f, k = len(text), 0, 0
-    at = source.find(text[i], 0, limit)
-    while at >= 0:
-        f, k = at, k + 1
-        most = min(n - i, limit - f)
-        if k < most and source[f + k] == text[i + k]:
-            k += _agree(source, f + k, text, i + k, most - k)
-        at = source.find(text[i : i + k + 1], f + 1, limit) if i + k < n else -1
-    return f, k
+#: (first place, length) of the longest match of a text from a place on, inside what may be copied.
+Longest = Callable[[int], tuple[int, int]]
 
 
-def _lz77(text: str) -> Phrases:
-    i = 0
-    while i < len(text):
-        f, k = _longest(text, i, text, i)
-        yield i, f, k
-        i += k + 1
+def _first_places(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each text begins among the positions of all, and for 1, 2, ... characters from every position the first place in its text where they stand.
 
+    None are known for a text of more than LONG characters, which is a chunk of its own.
+    """
+    if len(texts[0]) > LONG:
+        return np.array([0, len(texts[0]) + 1]), []
+    h = sorting.heads(texts, HEAD)
+    order = np.argsort(h.packed, kind="stable")
+    out, keys = [], h.packed[order]
+    for k in range(1, h.size + 1):
+        key = keys >> (h.bits * (h.size - k))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        least = np.minimum.reduceat(order, starts)
+        places = np.empty(len(order), np.int32)
+        places[order] = np.repeat(h.at[least], np.diff(np.append(starts, len(order))))
+        out.append(places)
+    return h.first, out
+
+
+def _known(places: list[np.ndarray], limits: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """(length, first place) from every position of the longest match before its limit, as far as the sort knows it."""
+    n = len(places[0]) if places else 0
+    size, at = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for k, first in enumerate(places, 1):
+        inside = first <= limits - k
+        size += inside
+        at = np.where(inside, first, at)
+    return size, at
+
+
+def _finder(text: str, known: tuple[list[int], list[int]] | tuple[np.ndarray, np.ndarray], base: int, most: int, limit: int | None) -> Longest:
+    """The longest matches inside text[:limit], or before each place; those of `most` characters may go on. The text begins at `base` of what is known."""
+    sizes, places = known
+    n = len(text)
 
-def _relative(text: str, reference: str, start: int = 0) -> Phrases:
+    def longest(i: int) -> tuple[int, int]:
+        end = i if limit is None else limit
+        if most:
+            k, f = int(sizes[base + i]), int(places[base + i])
+        else:
+            f = text.find(text[i], 0, end)
+            k, f = int(f >= 0), max(f, 0)
+        if k < max(most, 1):
+            return f, k
+        while True:
+            k += _agree(text, f + k, text, i + k, min(n - i, end - f) - k)
+            at = text.find(text[i : i + k + 1], f + 1, end) if i + k < n else -1
+            if at < 0:
+                return f, k
+            f, k = at, k + 1
+
+    return longest
+
+
+def _greedy(longest: Longest, start: int, n: int) -> Phrases:
     i = start
-    while i < len(text):
-        f, k = _longest(text, i, reference, len(reference))
-        yield i, f, k
+    while i < n:
+        f, k = longest(i)
+        yield i - start, f, k
         i += k + 1
 
 
-def _lz_end(text: str) -> Phrases:
-    """As _lz77, but a copy ends where an earlier phrase ended; the ends are in order of what stands before them, read backwards."""
+def _lz_end(text: str, longest: Longest) -> Phrases:
+    """As greedily, but a copy ends where an earlier phrase ended; the ends are in order of what stands before them, read backwards."""
     i, ends = 0, []
     while i < len(text):
-        source, k = 0, _longest(text, i, text, i)[1]
+        source, k = 0, longest(i)[1]
         while k:
             wanted = text[i : i + k][::-1]
             for back, e in ends[bisect_left(ends, (wanted[:NEAR], -1)) :]:
@@ -110,12 +157,28 @@ def _size(n: int, prefix: int, phrases: int, bits: int) -> int:
     return int(prefix * bits + phrases * (2 + log2(n / phrases) + max(prefix - 1, 1).bit_length() + bits))
 
 
-def _prefix_length(text: str, bits: int, growth: float) -> int:
+def _phrase_count(text: str, places: list[np.ndarray], prefix: int) -> int:
+    """How many phrases of the text's prefix follow it."""
+    most = len(places)
+    size, at = _known(places, prefix)
+    longest = _finder(text, (size, at), 0, most, prefix)
+    if not most:
+        return sum(1 for _ in _greedy(longest, prefix, len(text)))
+    # where the next phrase begins; none where the match may go on beyond what is known
+    after = np.where(size < most, np.arange(1, len(size) + 1) + size, 0).tolist()
+    n, i, phrases = len(text), prefix, 0
+    while i < n:
+        i = after[i] or i + longest(i)[1] + 1
+        phrases += 1
+    return phrases
+
+
+def _prefix_length(text: str, places: list[np.ndarray], bits: int, growth: float) -> int:
     """The length of the text's prefix to serve as its reference: grown as long as the estimate falls."""
     n = len(text)
     prefix, best, least = min(1 << 20, n // 1024 + 1), n, float("inf")
     while prefix < n:
-        phrases = sum(1 for _ in _relative(text, text[:prefix], prefix))
+        phrases = _phrase_count(text, places, prefix)
         size = _size(n, prefix, phrases, bits)
         if size > least:
             break
@@ -125,30 +188,38 @@ def _prefix_length(text: str, bits: int, growth: float) -> int:
     return best
 
 
-def _parsed(rows: DataFrame, parse: Callable[..., Phrases]) -> DataFrame:
-    """Phrases of each row's text; the columns are text_id, text and what else the parse takes."""
+def _parsed(rows: DataFrame, *, ends: bool = False) -> DataFrame:
+    """Phrases of each row's text, copied from before, or where there is one, from its reference."""
+    referred = "reference" in rows.columns
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, columns = [], ([], [], [], [], [])
-
-        def full() -> pa.RecordBatch:
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            arrays = [pa.array(ids, id_type)] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=["text_id", "ord", "dst", "src", "len", "ch"])
+    def parsed(texts: list[str], starts: list[int]) -> Iterator[list[tuple[int, int, int]]]:
+        first, places = _first_places(texts)
+        if referred:
+            limits = np.repeat(starts, np.diff(first))
+        else:
+            limits = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+        known = tuple(c.tolist() for c in _known(places, limits))
+        for text, start, base in zip(texts, starts, first.tolist()):
+            longest = _finder(text, known, base, len(places), start if referred else None)
+            yield list(_lz_end(text, longest) if ends else _greedy(longest, start, len(text)))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for row in range(batch.num_rows):
-                text_id, text, *more = (batch.column(c)[row].as_py() for c in range(batch.num_columns))
-                for number, (dst, src, size) in enumerate(parse(text, *more)):
-                    ids.append(text_id)
-                    for column, value in zip(columns, (number, dst, src, size, text[dst + size : dst + size + 1]), strict=True):
-                        column.append(value)
-                    if len(ids) == ROWS:
-                        yield full()
-                        ids, columns = [], ([], [], [], [], [])
-        if ids:
-            yield full()
+            texts, starts = batch.column(1).to_pylist(), [0] * batch.num_rows
+            if referred:
+                references = batch.column(2).to_pylist()
+                texts, starts = [r + t for r, t in zip(references, texts)], [len(r) for r in references]
+            for first, some in sorting.chunks(texts):
+                sizes, triples, letters = [], [], []
+                for text, start, found in zip(some, starts[first:], parsed(some, starts[first : first + len(some)])):
+                    sizes.append(len(found))
+                    triples += found
+                    letters += [text[start + dst + size : start + dst + size + 1] for dst, _, size in found]
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                numbers = (pa.array(c, pa.int32()) for c in (number, *np.array(triples, np.int32).reshape(-1, 3).T))
+                table = pa.table([batch.column(0).take(pa.array(row + first)), *numbers, pa.array(letters, pa.string())], ["text_id", "ord", "dst", "src", "len", "ch"])
+                yield from table.to_batches(max_chunksize=ROWS)
 
     numbers = [T.StructField(n, T.IntegerType()) for n in ("ord", "dst", "src", "len")]
     return spread(rows, "text_id").mapInArrow(work, T.StructType([T.StructField("text_id", rows.schema["text_id"].dataType), *numbers, T.StructField("ch", T.StringType())]))
@@ -160,17 +231,17 @@ def _held(texts: DataFrame, text_id: str, text: str, *more: Column) -> DataFrame
 
 def lz77(texts: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
     """Phrases copied from earlier text, from its first place and not overlapping themselves."""
-    return _parsed(_held(texts, text_id, text), _lz77)
+    return _parsed(_held(texts, text_id, text))
 
 
 def lz_end(texts: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
     """Phrases whose copies end where an earlier phrase ends, its literal included; the longest such copy, from any of its places."""
-    return _parsed(_held(texts, text_id, text), _lz_end)
+    return _parsed(_held(texts, text_id, text), ends=True)
 
 
 def relative(texts: DataFrame, text_id: str = "text_id", text: str = "text", reference: str = "reference") -> DataFrame:
     """Phrases copied from the first place in each row's reference; a null or empty reference gives literals only."""
-    return _parsed(_held(texts, text_id, text, F.coalesce(F.col(reference), F.lit("")).alias("reference")), _relative)
+    return _parsed(_held(texts, text_id, text, F.coalesce(F.col(reference), F.lit("")).alias("reference")))
 
 
 def prefix_lengths(texts: DataFrame, text_id: str = "text_id", text: str = "text", *, bits: int = 8, growth: float = 2.0) -> DataFrame:
@@ -183,8 +254,10 @@ def prefix_lengths(texts: DataFrame, text_id: str = "text_id", text: str = "text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [_prefix_length(batch.column(1)[row].as_py(), bits, growth) for row in range(batch.num_rows)]
-            yield batch.append_column("prefix", pa.array(sizes, pa.int32()))
+            for row, some in sorting.chunks(batch.column(1).to_pylist()):
+                first, places = _first_places(some)
+                sizes = [_prefix_length(text, [p[a:b] for p in places], bits, growth) for text, (a, b) in zip(some, pairwise(first.tolist()))]
+                yield batch.slice(row, len(some)).append_column("prefix", pa.array(sizes, pa.int32()))
 
     return spread(held, "text_id").mapInArrow(work, T.StructType([*held.schema.fields, T.StructField("prefix", T.IntegerType())]))
 

@@ -45,25 +45,45 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, texts[first:]
 
 
-def sort(texts: list[str], width: int) -> Sorted:
-    """The suffixes of texts, none of them empty; the first round compares up to `width` characters."""
+class Heads(NamedTuple):
+    """All positions of some texts, the end of each included, with the characters that follow."""
+
+    first: np.ndarray  #: a text's first position, and where the last one ends
+    row: np.ndarray  #: which text
+    at: np.ndarray  #: the place in it
+    numbers: np.ndarray  #: the character's number, from 1; 0 ends a text
+    alphabet: np.ndarray  #: the characters by number, less 1
+    packed: np.ndarray  #: the text's number, then those of `size` characters of `bits` bits each
+    bits: int
+    size: int
+
+
+def heads(texts: list[str], width: int) -> Heads:
+    """The positions of texts with up to `width` characters, as many as fit."""
     lengths = np.array([len(t) for t in texts], np.int64)
-    first = np.concatenate([[0], np.cumsum(lengths + 1)])  # a text's first position; each ends with one of its own
+    first = np.concatenate([[0], np.cumsum(lengths + 1)])
     n = int(first[-1])
     row = np.repeat(np.arange(len(texts)), lengths + 1)
-    sa = np.arange(n) - first[row]
+    at = np.arange(n) - first[row]
     points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = first[1:] - 1
     alphabet, codes = np.unique(np.delete(points, ends), return_inverse=True)
-    numbers = np.insert(codes + 1, ends - np.arange(len(ends)), 0)  # 0 ends a text
-    bits = len(alphabet).bit_length()
-    head = max(1, min(width, n, (63 - max(1, len(texts) - 1).bit_length()) // bits))
+    numbers = np.insert(codes + 1, ends - np.arange(len(ends)), 0)
+    bits = max(1, len(alphabet).bit_length())
+    size = max(1, min(width, n, (63 - max(1, len(texts) - 1).bit_length()) // bits))
 
-    packed, left = np.zeros(n, np.int64), lengths[row] - sa
-    for k in range(head):
+    packed, left = np.zeros(n, np.int64), lengths[row] - at
+    for k in range(size):
         packed <<= bits
         packed[: n - k] |= np.where(left[: n - k] > k, numbers[k:], 0)
-    packed |= row << (bits * head)
+    packed |= row << (bits * size)
+    return Heads(first, row, at, numbers, alphabet, packed, bits, size)
+
+
+def sort(texts: list[str], width: int) -> Sorted:
+    """The suffixes of texts, none of them empty; the first round compares up to `width` characters."""
+    first, row, sa, numbers, alphabet, packed, bits, head = heads(texts, width)
+    lengths, n = np.diff(first) - 1, len(row)
 
     order = np.argsort(packed, kind="stable")
     moved = np.concatenate([[True], packed[order[1:]] != packed[order[:-1]]])

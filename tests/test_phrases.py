@@ -201,3 +201,31 @@ def test_reading_out_sends_no_positions_to_all(spark, texts):
     asked = texts.where("length(text) > 0").selectExpr("text_id", "0 AS start", "length(text) - 1 AS end")
     plan = phrases.display(index, asked)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_short_matches_are_known_from_one_sort(texts, monkeypatch):
+    """The text is searched for long matches only; texts beyond LONG, searched from their first characters on, have the same phrases."""
+    held = [t for t in odd_texts() if t]
+    first, places = phrases._first_places(held)
+    for k, at in enumerate(places, 1):
+        assert all(at[b + i] == t.find(t[i : i + k]) for t, b in zip(held, first.tolist()) for i in range(len(t) - k + 1))
+
+    class Text(str):
+        finds = 0
+
+        def find(self, *args):
+            Text.finds += 1
+            return str.find(self, *args)
+
+    rng = random.Random(3)
+    text = Text("".join(rng.choice("abcdefghijklmnop") for _ in range(3000)))
+    _, places = phrases._first_places([text])
+    known = phrases._known(places, phrases.np.arange(len(text) + 1))
+    n = len(list(phrases._greedy(phrases._finder(text, known, 0, len(places), None), 0, len(text))))
+    assert n > 500 and Text.finds < 20
+    ways = [(phrases.lz77, texts), (phrases.lz_end, texts), (phrases.relative_to_prefix, phrases.prefix_lengths(texts))]
+    want = [by_text(parse_(t)) for parse_, t in ways]
+    lengths = sorted(map(tuple, phrases.prefix_lengths(texts).select("text_id", "prefix").collect()))
+    monkeypatch.setattr(phrases, "LONG", 0)
+    assert [by_text(parse_(t)) for parse_, t in ways] == want
+    assert sorted(map(tuple, phrases.prefix_lengths(texts).select("text_id", "prefix").collect())) == lengths
