@@ -124,8 +124,7 @@ def sort(texts: list[str], width: int) -> Sorted:
     lcp = done
     for k in range(head):
         lcp = lcp + (differ >> (bits * (head - 1 - k)) == 0)
-    heads = np.concatenate([[0], np.flatnonzero(~same_text)])
-    lcp[heads] = 0
+    lcp[np.concatenate([[0], np.flatnonzero(~same_text)])] = 0
 
     sa, row = sa[order], row[order]
     bwt = np.where(sa > 0, numbers[order - 1], 0)
