@@ -6,9 +6,11 @@ phrase copied, and is the copy of an earlier occurrence.
 Primary: a pattern is split at every character, which may be the first literal that an
 occurrence holds. What comes up to the literal, read backwards, and what follows it are
 prefixes of the two keys of a phrase's border, so that a split is a box in the plane of both
-sort orders and its occurrences are the borders inside. Both orders are made over range
-partitions, and boxes meet borders by cells of their narrower side. Keys hold KEY characters;
-what reaches further is compared piece by piece with runs of the text, never with whole texts.
+sort orders and its occurrences are the borders inside. Borders of equal keys are one point of
+the plane, as repetitive texts have many of them; they are told apart at the end. Both orders
+are made over range partitions, and boxes meet points by cells of their narrower side. Keys hold
+KEY characters; what reaches further is compared piece by piece with runs of the text, never
+with whole texts.
 
 Secondary: an occurrence asks for the sources that hold it. Sources are filed by the power
 of two of their length, under cells of that size, which are three at most; an occurrence asks
@@ -31,6 +33,12 @@ from .suffix import RUN, text_runs
 
 KEY = 32
 
+#: Rows of keys inside boxes that are sent to the tasks; more are joined by a shuffle.
+SENT = 100_000
+
+#: Borders of one key that meet in a task of that shuffle, about.
+HOT = 1_000_000
+
 
 def _run_of(place: Column) -> Column:
     return (F.floor(place / RUN) * RUN).cast("int")
@@ -45,20 +53,30 @@ def borders(phrases: DataFrame, runs: DataFrame, *, key: int = KEY) -> DataFrame
     return met.select("text_id", "dst", "at", F.reverse(F.substring("run", offset + 1, size)).alias("back"), F.substring("run", offset + size + 1, F.lit(key)).alias("ahead"))
 
 
-def _order(points: DataFrame, asked: DataFrame, column: str, place: str) -> tuple[DataFrame, DataFrame]:
-    """The points (text_id, at, place) in the order of a column, and (column, low, high): between which places the keys with a prefix are."""
+def _order(keys: DataFrame, asked: DataFrame, column: str, tie: str, place: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct keys (column, tie) with their place in the order of the column, (column, low, high): between which places those with a prefix are, and the table of both."""
     spelled = F.col(column).cast("binary")
-    prefixes = asked.select(column).distinct()
-    nowhere = (F.lit(None).cast(points.schema["text_id"].dataType).alias("text_id"), F.lit(None).cast("int").alias("at"))
     ends = F.explode(F.array(F.struct(F.lit(0).alias("kind"), spelled.alias("key")), F.struct(F.lit(2).alias("kind"), F.concat(spelled, F.lit(b"\xff")).alias("key"))))
-    bounds = prefixes.select(column, ends.alias("e")).select("e.key", "e.kind", *nowhere, column)
-    own = points.select(spelled.alias("key"), F.lit(1).alias("kind"), "text_id", "at", F.lit(None).cast("string").alias(column))
+    bounds = asked.select(column).distinct().select(column, ends.alias("e")).select("e.key", "e.kind", column, F.lit(None).cast(keys.schema[tie].dataType).alias(tie))
+    own = keys.select(spelled.alias("key"), F.lit(1).alias("kind"), column, tie)
     rows = settle(own.unionByName(bounds), "keys")
-    by = ["key", "kind", "text_id", "at"]
-    places = global_ranks(rows, by, {"place": by}, [c for c in rows.columns if c != "key"])
+    by = ["key", "kind", tie]
+    places = global_ranks(rows, by, {place: by}, ["kind", column, tie])
     forget(rows)
-    ranges = places.where("kind != 1").groupBy(column).agg(F.min("place").alias(f"low_{place}"), F.max("place").alias(f"high_{place}"))
-    return places.where("kind = 1").select("text_id", "at", F.col("place").alias(place)), ranges
+    ranges = places.where("kind != 1").groupBy(column).agg(F.min(place).alias(f"low_{place}"), F.max(place).alias(f"high_{place}"))
+    return places.where("kind = 1").select(column, tie, place), ranges, places
+
+
+def _expanded(points: DataFrame, keys: DataFrame, met: DataFrame) -> DataFrame:
+    """The points (back, ahead, ...) with the settled rows met of their keys (back, ahead, n), of which n points are; a frequent key's points go to several tasks."""
+    both = ["back", "ahead"]
+    if met.count() <= SENT:
+        return points.join(F.broadcast(met), both)
+    hot = F.broadcast(keys.where(F.col("n") > HOT).select(*both, F.ceil(F.col("n") / HOT).alias("shares")))
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = points.join(hot, both, "left").withColumn("share", F.pmod(F.xxhash64("text_id", "at"), shares)).drop("shares")
+    copied = met.join(hot, both, "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("shares")
+    return dealt.join(copied.hint("merge"), [*both, "share"]).drop("share")
 
 
 def _agreeing(candidates: DataFrame, patterns: DataFrame, runs: DataFrame, key: int) -> DataFrame:
@@ -81,14 +99,17 @@ def primary(patterns: DataFrame, phrases: DataFrame, texts: DataFrame, text_id:
     every = asked.withColumn("k", F.explode(F.sequence(F.lit(1), size)))
     back = F.reverse(F.substring("seq", F.greatest(k - key, F.lit(0)) + 1, F.least(k, F.lit(key))))
     splits = settle(every.select("pattern_id", size.alias("len"), "k", back.alias("back"), F.substring("seq", k + 1, F.lit(key)).alias("ahead")), "splits")
-    xs, across = _order(points, splits, "back", "x")
-    ys, along = _order(points, splits, "ahead", "y")
-    placed = settle(points.select("text_id", "at", "dst").join(xs, ["text_id", "at"]).join(ys, ["text_id", "at"]), "points")
+    keys = settle(points.groupBy("back", "ahead").agg(F.count("*").alias("n")), "border-keys")
+    xs, across, x_places = _order(keys, splits, "back", "ahead", "x")
+    ys, along, y_places = _order(xs, splits, "ahead", "x", "y")
     boxes = splits.join(across, "back").join(along, "ahead")
     boxes = boxes.select(F.struct("pattern_id", "len", "k").alias("box_id"), F.col("low_x").alias("x0"), F.col("high_x").alias("x1"), F.col("low_y").alias("y0"), F.col("high_y").alias("y1"))
-    met = points_in(placed.select("x", "y"), boxes).join(placed.select("x", "text_id", "at", "dst"), "x").select("box_id.*", "text_id", "at", "dst")
+    inside = settle(points_in(ys.select("x", "y"), boxes).join(xs, "x").select("box_id.*", "back", "ahead"), "inside")
+    forget(x_places, y_places)
+    met = _expanded(points, keys, inside)
     met = met.where(k <= F.col("at") - F.col("dst") + 1)  # else an earlier literal is the first
     found = settle(met.select("pattern_id", "text_id", (F.col("at") - k + 1).alias("pos"), "len", ((k > key) | (F.col("len") - k > key)).alias("open")), "primary")
+    forget(points, keys, splits, inside)
     return found.where("not open").drop("open").unionByName(_agreeing(found.where("open").drop("open"), asked, runs, key))
 
 

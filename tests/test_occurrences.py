@@ -54,3 +54,30 @@ def test_boxes_of_either_shape(spark):
     got = fm.points_in(spark.createDataFrame(points, "x long, y long"), spark.createDataFrame(boxes, "box_id long, x0 long, x1 long, y0 long, y1 long"))
     want = [(b, x, y) for b, x0, x1, y0, y1 in boxes for x, y in points if x0 <= x <= x1 and y0 <= y <= y1]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_equal_borders_are_sorted_once(spark, monkeypatch):
+    """Copies of texts add no keys to the sorts, and a frequent key's borders are all found, sent to the tasks or by a shuffle."""
+    sizes = {}
+    settle = occurrences.settle
+
+    def counted(df, purpose, **options):
+        out = settle(df, purpose, **options)
+        sizes.setdefault(purpose, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(occurrences, "settle", counted)
+    texts = ["red ring SMALL red ring", "hot bolt LARGE hot bolt", "aé" * 40]
+    asked = spark.createDataFrame([(w, w) for w in ("red", "ring", "hot bolt", "r", "éa", "aé" * 20)], "pattern_id string, seq string")
+    seen = []
+    for copies, sent in ((1, occurrences.SENT), (20, occurrences.SENT), (20, 0)):
+        monkeypatch.setattr(occurrences, "SENT", sent)
+        monkeypatch.setattr(occurrences, "HOT", 3)
+        sizes.clear()
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * copies)], "text_id long, text string")
+        got = occurrences.locate_all(asked, phrases.lz77(docs), docs, key=8).collect()
+        want = sorted((w, i, at, len(w)) for (w,) in asked.select("seq").collect() for i, t in enumerate(texts * copies) for at in plain(w, t))
+        assert sorted(tuple(r)[:4] for r in got) == want
+        seen.append((sizes["borders"][0], sizes["keys"]))
+    assert seen[1][0] == seen[2][0] == 20 * seen[0][0]
+    assert seen[0][1] == seen[1][1] == seen[2][1]
