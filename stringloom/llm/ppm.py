@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .shared import forget, fresh, settle, trim
+from .shared import forget, fresh, settle, settle_dealt, trim
 
 ORDER = 6
 SYMBOLS = 257
@@ -99,23 +99,35 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Tally:
-    """Distinct codes with counts (32 bits: a block has fewer symbols); what came in since is merged in once it is half of them, LEAST at least."""
+    """Distinct codes with counts (32 bits: a block has fewer symbols). RAW codes are sorted together; what came in since is merged in once it is half of them, LEAST at least."""
 
     LEAST = 500_000
+    RAW = 1 << 21
 
     def __init__(self):
         self.parts, self.size, self.merged = [], 0, 0
+        self.raw, self.held = {True: [], False: []}, 0
 
     def add(self, codes: np.ndarray, train: np.ndarray) -> None:
         for own, counted in ((codes[train], True), (codes[~train], False)):
-            if len(own):
-                u, c = _counted(own)
+            self.raw[counted].append(own)
+        self.held += len(codes)
+        if self.held >= self.RAW:
+            self.sort()
+            if self.size - self.merged > max(self.LEAST, self.merged // 2):
+                self.merge()
+
+    def sort(self) -> None:
+        for counted, own in self.raw.items():
+            if sum(map(len, own)):
+                u, c = _counted(np.concatenate(own))
                 self.parts.append((u, c.astype(np.int32) if counted else np.zeros(len(u), np.int32)))
                 self.size += len(u)
-        if self.size - self.merged > max(self.LEAST, self.merged // 2):
-            self.merge()
+            own.clear()
+        self.held = 0
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        self.sort()
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int32)
         codes, counts = [list(x) for x in zip(*self.parts)]
@@ -298,6 +310,29 @@ def unpack(codes: bytes, levels: bytes, places: bytes) -> tuple[np.ndarray, np.n
     return np.cumsum(steps), np.frombuffer(grow(levels), np.float64)[at]
 
 
+def bundle(blocks: DataFrame, number: str) -> DataFrame:
+    """(number, rows): the rows of a block together, compressed, as text takes several times the room in a shuffle."""
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for whole in batches:
+            numbers = whole.column(number).to_numpy()
+            for own in np.unique(numbers):
+                where = np.flatnonzero(numbers == own)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, whole.schema, options=options) as stream:
+                    stream.write_batch(whole.slice(where[0], len(where)))
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[number, "rows"])
+        trim()
+
+    return blocks.mapInArrow(run, T.StructType([T.StructField(number, T.LongType()), T.StructField("rows", T.BinaryType())]))
+
+
+def unbundle(rows: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for one in rows:
+        yield from pa.ipc.open_stream(one.as_buffer())
+
+
 #: The columns that scoring adds.
 RESULTS = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
 
@@ -305,14 +340,15 @@ RESULTS = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.
 def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows with n_tokens, n_known, train_tokens, base_score and score last.
 
-    Every table is written before those that it was made from are deleted, so that no more
-    than two of the large ones are on disk together.
+    The listing is dealt out by code once, so that counting and answering shuffle none of it.
+    Tables are deleted once those made from them are written; the listing and the values stay,
+    as the result is read from them.
     """
     fields = [f for f in docs.schema.fields if f.name.lower() not in RESULTS]
     mark, number = fresh(docs, "in_training"), fresh(docs, "block")
     marked = docs.withColumn(mark, F.coalesce(train, F.lit(False))).select(*(f.name for f in fields), mark)
     blocks = lay_down(marked, text, number, block_bytes)
-    listed = settle(tally(blocks.select(F.col(number).alias("block"), F.col(mark).alias("train"), F.col(text).alias("text")), order), "lm-tally", DELTAS)
+    listed = settle_dealt(tally(blocks.select(F.col(number).alias("block"), F.col(mark).alias("train"), F.col(text).alias("text")), order), "lm-tally", ["kind", "code"], DELTAS)
     counts = settle(listed.groupBy("kind", "code").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "lm-counts")
     n, v = counts.where((F.col("kind") == WORD) & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where((F.col("kind") == WORD) & (F.col("c") > 0) & (F.col("blocks") > 1)).select("kind", "code", F.log10(F.col("c") + F.lit(0.1)).alias("value"))
@@ -320,8 +356,7 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
     symbols, behind = gram_scores(every.select("code", "c"), order)
     values = settle(words.unionByName(symbols.select(F.lit(GRAM).alias("kind"), "code", "value")), "lm-values", DELTAS)
     forget(counts, *behind)
-    answers = settle(listed.select("kind", "code", "block").join(values, ["kind", "code"]).select("kind", "code", "block", "value"), "lm-answers", DELTAS)
-    forget(listed, values)
+    answers = listed.select("kind", "code", "block").join(values.hint("merge"), ["kind", "code"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = float(np.log10(n + 0.1 * (v + 1))) if n or v else float(np.log10(0.1))
     schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in RESULTS.items())])
@@ -329,7 +364,7 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         # words first: what they need is let go before the answers are unpacked
-        batches = [(batch, list(textscan.segments(batch.column(text), textscan.SPACED))) for batch in left.to_batches(max_chunksize=2_000)]
+        batches = [(batch, list(textscan.segments(batch.column(text), textscan.SPACED))) for batch in pa.Table.from_batches(unbundle(left.column("rows"))).to_batches(max_chunksize=2_000)]
         train = [batch.column(mark).to_numpy(zero_copy_only=False) for batch, _ in batches]
         taught = [h[np.repeat(t[a:b], c)] for (_, found), t in zip(batches, train) for a, b, h, c in found]
         taught.append(np.full(sum(map(np.sum, train)), END, np.uint64))
@@ -386,5 +421,5 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
             out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(in_train), pa.array(np.full(m, n)), pa.array(base - tokens * share), pa.array(total)], names=schema.names))
         return pa.Table.from_batches(out)
 
-    asked, told = blocks.repartition(parts, number), pack(answers).withColumnRenamed("block", number).repartition(parts, number)
+    asked, told = bundle(blocks, number).repartition(parts, number), pack(answers).withColumnRenamed("block", number).repartition(parts, number)
     return asked.groupBy(number).cogroup(told.groupBy(number)).applyInArrow(run, schema)

@@ -64,6 +64,19 @@ def settle(df: DataFrame, purpose: str, options: dict[str, str] | None = None) -
     return out
 
 
+def settle_dealt(df: DataFrame, purpose: str, by: list[str], options: dict[str, str] | None = None) -> DataFrame:
+    """As settle, but dealt out by a key into a bucketed table: later groupings and joins by that key read it without a shuffle."""
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    name, parts = f"t_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _shuffles_removed(spark):
+        writer = df.repartition(parts, *by).write.format("parquet").option("compression", "zstd").options(**(options or {}))
+        writer.bucketBy(parts, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._settled_at = path
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete settled tables that no later job reads."""
     for df in tables:

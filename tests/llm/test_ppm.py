@@ -115,3 +115,21 @@ def test_default_looks_six_bytes_back(spark):
     score = lambda **kw: {r["doc_id"]: r["score"] for r in ppm.score(df, F.col("tr"), **kw).collect()}[0]
     assert score() == pytest.approx(score(order=6), abs=1e-6)
     assert score() > score(order=4) + 10
+
+
+def test_listing_is_shuffled_once(spark, monkeypatch):
+    """Answers aren't written, the listing is read as it was dealt out, and rows and texts of all kinds come through their bundles."""
+    written = []
+    settle = ppm.settle
+    monkeypatch.setattr(ppm, "settle", lambda df, purpose, *options: written.append(purpose) or settle(df, purpose, *options))
+    texts = ["the cat sat", None, "", "日本 é the", "sat " * 300] * 3
+    df = spark.createDataFrame([(i, t, i % 3 > 0, [i, None]) for i, t in enumerate(texts)], "doc_id long, text string, tr boolean, more array<int>")
+    scored = ppm.score(df, F.col("tr"), order=3, block_bytes=500)
+    assert "lm-answers" not in written
+    assert "Bucketed: true" in scored._jdf.queryExecution().toString()
+    got = {r["doc_id"]: r for r in scored.collect()}
+    assert [(got[i]["text"], got[i]["tr"], got[i]["more"]) for i in range(len(texts))] == [(t, i % 3 > 0, [i, None]) for i, t in enumerate(texts)]
+    one = {r["doc_id"]: r for r in ppm.score(df, F.col("tr"), order=3).collect()}
+    for i, r in got.items():
+        assert (r["n_tokens"], r["n_known"]) == (one[i]["n_tokens"], one[i]["n_known"])
+        assert abs(r["score"] - one[i]["score"]) < 1e-9 and abs(r["base_score"] - one[i]["base_score"]) < 1e-9
