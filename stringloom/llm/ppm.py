@@ -12,7 +12,8 @@ out once per distinct gram, by joins between the levels, and summed up per docum
 Jobs: the documents are laid down in blocks of about BLOCK_BYTES; every block lists its
 distinct words (as 64-bit hashes) and grams with their counts in training texts; the counts
 are summed over all blocks by a shuffle; the grams' and words' logarithms go back to the
-blocks that asked for them, packed by block, and each block scores its own documents. A word that only one
+blocks that asked for them, packed by block, and each block scores its own documents, piece by
+piece, once its answers are there. A word that only one
 block holds needs no answer: that block's own count is the whole one. So no task and no
 broadcast holds the whole model, and what is gathered grows with the corpus.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .shared import forget, fresh, settle, settle_dealt, trim
+from .shared import forget, fresh, settle, settle_dealt, small_bytes, trim
 
 ORDER = 6
 SYMBOLS = 257
@@ -45,7 +46,8 @@ CHUNK = 1 << 19
 #: A block's codes are in order, so their differences take less room.
 DELTAS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#code": "false"}
 
-WORD, GRAM = 0, 1
+#: What a block gets, in this order: answers for words and for grams, then its rows.
+WORD, GRAM, ROWS = 0, 1, 2
 #: Stands for the end token among the word hashes.
 END = 0x5E0FD0C5
 
@@ -311,7 +313,7 @@ def unpack(codes: bytes, levels: bytes, places: bytes) -> tuple[np.ndarray, np.n
 
 
 def bundle(blocks: DataFrame, number: str) -> DataFrame:
-    """(number, rows): the rows of a block together, compressed, as text takes several times the room in a shuffle."""
+    """(number, rows): some rows of a block together, compressed, as text takes several times the room in a shuffle."""
 
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -328,9 +330,118 @@ def bundle(blocks: DataFrame, number: str) -> DataFrame:
     return blocks.mapInArrow(run, T.StructType([T.StructField(number, T.LongType()), T.StructField("rows", T.BinaryType())]))
 
 
-def unbundle(rows: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    for one in rows:
-        yield from pa.ipc.open_stream(one.as_buffer())
+def unbundle(rows: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(rows).read_next_batch()
+
+
+class _Answers:
+    """Values by code. Pieces in order come in one after the other; they are kept by ranges of codes, each sorted by itself, so that sorting takes no room for all."""
+
+    RANGES = 32
+
+    def __init__(self):
+        self.cuts, self.ranges, self.sorted = None, [], False
+
+    def add(self, codes: np.ndarray, values: np.ndarray) -> None:
+        if not len(codes):
+            return
+        if self.cuts is None:
+            self.cuts = codes[np.arange(1, self.RANGES) * len(codes) // self.RANGES]
+            self.ranges = [[] for _ in range(self.RANGES)]
+        ends = [0, *np.searchsorted(codes, self.cuts).tolist(), len(codes)]
+        for kept, a, b in zip(self.ranges, ends, ends[1:]):
+            if b > a:
+                kept.append((codes[a:b].copy(), values[a:b].copy()))
+
+    def sort(self) -> None:
+        for i, kept in enumerate(self.ranges):
+            codes, values = (np.concatenate([np.empty(0, t), *(x[j] for x in kept)]) for j, t in enumerate((np.int64, np.float64)))
+            kept.clear()
+            order = np.argsort(codes, kind="stable")
+            self.ranges[i] = codes[order], values[order]
+            if i % 8 == 7:
+                del codes, values, order
+                trim()
+        self.sorted = True
+
+    def look(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether there is an answer for each code, and its value; wanted is in order."""
+        if not self.sorted:
+            self.sort()
+        have, value = np.zeros(len(wanted), bool), np.zeros(len(wanted))
+        if self.cuts is not None:
+            ends = [0, *np.searchsorted(wanted, self.cuts).tolist(), len(wanted)]
+            for (keys, values), a, b in zip(self.ranges, ends, ends[1:]):
+                if b > a and len(keys):
+                    at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
+                    have[a:b], value[a:b] = keys[at] == wanted[a:b], values[at]
+        return have, value
+
+
+class _Scores:
+    """Scores of a block's rows. Answers are added first, then rows, which stay compressed until their block is at its end."""
+
+    def __init__(self, text: str, mark: str, order: int):
+        self.text, self.mark, self.order = text, mark, order
+        self.known = {WORD: _Answers(), GRAM: _Answers()}
+        self.rows, self.done, self.count = [], [], 0
+        self.own = []  # words without an answer, and their rows
+
+    def answer(self, kind: int, codes: bytes, levels: bytes, places: bytes) -> None:
+        self.known[kind].add(*unpack(codes, levels, places))
+
+    def add(self, rows: bytes) -> None:
+        batch = unbundle(rows)
+        m, column = batch.num_rows, batch.column(self.text)
+        tokens, in_train, base, total = np.ones(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
+        for first, last, hashes, counted in textscan.segments(column, textscan.SPACED):
+            row_of = np.repeat(np.arange(len(counted)), counted)
+            distinct, at = np.unique(hashes.view(np.int64), return_inverse=True)  # look-ups in order are much faster
+            have, value = (x[at] for x in self.known[WORD].look(distinct))
+            tokens[first:last] += counted
+            in_train[first:last] += np.bincount(row_of, have, len(counted)).astype(np.int64)
+            base[first:last] += np.bincount(row_of, np.where(have, value, 0), len(counted))
+            if not have.all():
+                self.own.append((distinct[at[~have]], (self.count + first + row_of[~have]).astype(np.int32)))
+        for first, wanted, counted in grams(column, self.order):
+            distinct, at = np.unique(wanted, return_inverse=True)
+            have, value = self.known[GRAM].look(distinct)
+            if not have.all():
+                raise ValueError("a gram of this block was not listed")
+            total[first : first + len(counted)] += np.bincount(np.repeat(np.arange(len(counted)), counted), value[at], len(counted))
+        self.rows.append(rows)
+        self.done.append((batch.column(self.mark).to_numpy(zero_copy_only=False), tokens, in_train, base, total))
+        self.count += m
+
+    def out(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows as they came, with tokens, known tokens, sums of log10(c + 0.1) over tokens, and scores."""
+        if not self.rows:
+            return
+        (end_known,), (end_value,) = self.known[WORD].look(np.array([END], np.int64))
+        self.known.clear()
+        trim()
+        train, tokens, in_train, base, total = (np.concatenate(x) for x in zip(*self.done))
+        if not end_known:
+            end_known, end_value = train.any(), np.log10(train.sum() + 0.1)
+        in_train += int(end_known)
+        base += end_value
+        if self.own:
+            words, row_of = (np.concatenate(x) for x in zip(*self.own))
+            self.own.clear()
+            c, taught = np.zeros(len(words), np.int64), words[train[row_of]]
+            if len(taught):
+                taught, times = _counted(taught)
+                at = np.minimum(np.searchsorted(taught, words), len(taught) - 1)
+                c = np.where(taught[at] == words, times[at], 0)
+            in_train += np.bincount(row_of, c > 0, self.count).astype(np.int64)
+            base += np.bincount(row_of, np.log10(c + 0.1), self.count)
+            del words, row_of, taught, c
+        a = 0
+        for rows in self.rows:
+            batch = unbundle(rows)
+            b = a + batch.num_rows
+            yield batch, tokens[a:b], in_train[a:b], base[a:b], total[a:b]
+            a = b
 
 
 #: The columns that scoring adds.
@@ -344,6 +455,7 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
     Tables are deleted once those made from them are written; the listing and the values stay,
     as the result is read from them.
     """
+    small_bytes(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name.lower() not in RESULTS]
     mark, number = fresh(docs, "in_training"), fresh(docs, "block")
     marked = docs.withColumn(mark, F.coalesce(train, F.lit(False))).select(*(f.name for f in fields), mark)
@@ -362,64 +474,27 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", order: int = OR
     schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in RESULTS.items())])
     names = [f.name for f in fields]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        # words first: what they need is let go before the answers are unpacked
-        batches = [(batch, list(textscan.segments(batch.column(text), textscan.SPACED))) for batch in pa.Table.from_batches(unbundle(left.column("rows"))).to_batches(max_chunksize=2_000)]
-        train = [batch.column(mark).to_numpy(zero_copy_only=False) for batch, _ in batches]
-        taught = [h[np.repeat(t[a:b], c)] for (_, found), t in zip(batches, train) for a, b, h, c in found]
-        taught.append(np.full(sum(map(np.sum, train)), END, np.uint64))
-        taught = np.concatenate(taught)
-        own, own_counts = _counted(taught) if len(taught) else (taught, np.empty(0, np.int64))
-        del taught
-        known = {}
-        for kind in (WORD, GRAM):
-            told = [unpack(*x) for k, *x in zip(*(right.column(x).to_pylist() for x in ("kind", "codes", "levels", "places"))) if k == kind]
-            codes = np.concatenate([np.empty(0, np.int64), *(x[0] for x in told)])
-            found = np.concatenate([np.empty(0), *(x[1] for x in told)])
-            del told
-            order_of = np.argsort(codes, kind="stable")
-            codes = codes[order_of]
-            known[kind] = codes, found[order_of]
-            del codes, found, order_of
-
-        def look(kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            keys, values = known[kind]
-            if not len(keys):
-                return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return keys[at] == wanted, values[at]
-
-        def words_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Whether each word is known, and the log10 of its count + 0.1."""
-            have, value = look(WORD, hashes.view(np.int64))
-            if not len(own):
-                return have, np.where(have, value, -1.0)
-            at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
-            here = own[at] == hashes
-            return have | here, np.where(have, value, np.log10(np.where(here, own_counts[at], 0) + 0.1))
+    def run(batches):
+        block, scores = None, _Scores(text, mark, order)
+
+        def out():
+            for batch, tokens, in_train, base, total in scores.out():
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(in_train), pa.array(np.full(batch.num_rows, n)), pa.array(base - tokens * share), pa.array(total)], names=schema.names)
 
+        for batch in batches:
+            for i, (own, kind) in enumerate(zip(batch.column(number).to_pylist(), batch.column("kind").to_pylist())):
+                if own != block:
+                    yield from out()
+                    block, scores = own, _Scores(text, mark, order)
+                    trim()
+                if kind == ROWS:
+                    scores.add(batch.column("rows")[i].as_py())
+                else:
+                    scores.answer(kind, *(batch.column(c)[i].as_py() for c in ("codes", "levels", "places")))
+        yield from out()
+        scores = None
         trim()
-        (end_known,), (end_value,) = words_of(np.array([END], np.uint64))
-        out = []
-        for batch, found in batches:
-            m, column = batch.num_rows, batch.column(text)
-            tokens, in_train, base, total = np.ones(m, np.int64), np.full(m, int(end_known)), np.full(m, end_value), np.zeros(m)
-            for first, last, hashes, counted in found:
-                rows = np.repeat(np.arange(len(counted)), counted)
-                distinct, at = np.unique(hashes, return_inverse=True)  # look-ups in order are much faster
-                have, value = (x[at] for x in words_of(distinct))
-                tokens[first:last] += counted
-                in_train[first:last] += np.bincount(rows, have, len(counted)).astype(np.int64)
-                base[first:last] += np.bincount(rows, value, len(counted))
-            for first, wanted, counted in grams(column, order):
-                distinct, at = np.unique(wanted, return_inverse=True)
-                have, value = look(GRAM, distinct)
-                if not have.all():
-                    raise ValueError("a gram of this block was not listed")
-                value = value[at]
-                total[first : first + len(counted)] += np.bincount(np.repeat(np.arange(len(counted)), counted), value, len(counted))
-            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(tokens), pa.array(in_train), pa.array(np.full(m, n)), pa.array(base - tokens * share), pa.array(total)], names=schema.names))
-        return pa.Table.from_batches(out)
-
-    asked, told = bundle(blocks, number).repartition(parts, number), pack(answers).withColumnRenamed("block", number).repartition(parts, number)
-    return asked.groupBy(number).cogroup(told.groupBy(number)).applyInArrow(run, schema)
+
+    told = pack(answers).withColumnRenamed("block", number)
+    asked = bundle(blocks, number).withColumn("kind", F.lit(ROWS))
+    return told.unionByName(asked, allowMissingColumns=True).repartition(parts, number).sortWithinPartitions(number, "kind").mapInArrow(run, schema)

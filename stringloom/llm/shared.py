@@ -110,6 +110,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
+#: Bytes of an Arrow batch where rows are large and as many as fit would fill a worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_bytes(spark: SparkSession) -> None:
+    """From now on the session sends about BATCH_BYTES at a time to Python workers, at most."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def trim() -> None:
     """Give the system back what this Python worker holds and doesn't use, so that it is small while idle."""
     import pyarrow as pa

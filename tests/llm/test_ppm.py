@@ -133,3 +133,52 @@ def test_listing_is_shuffled_once(spark, monkeypatch):
     for i, r in got.items():
         assert (r["n_tokens"], r["n_known"]) == (one[i]["n_tokens"], one[i]["n_known"])
         assert abs(r["score"] - one[i]["score"]) < 1e-9 and abs(r["base_score"] - one[i]["base_score"]) < 1e-9
+
+
+def test_a_block_is_scored_piece_by_piece(spark):
+    """No task gathers a block's text or its answers as one table, and rows come to Python in small batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    texts = [f"word{i} of {i * i} " * 2_000 for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    scored = ppm.score(df, F.col("doc_id") % 3 > 0, order=3)
+    plan = scored._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    assert int(spark.conf.get(key)) <= 8 << 20
+    spark.conf.set(key, "100k")  # several pieces and batches to a block; a smaller limit is kept
+    few = {r["doc_id"]: r for r in ppm.score(df, F.col("doc_id") % 3 > 0, order=3, block_bytes=300_000).collect()}
+    assert spark.conf.get(key) == "100k"
+    spark.conf.unset(key)
+    got = {r["doc_id"]: r for r in scored.collect()}
+    use = [i % 3 > 0 for i in range(len(texts))]
+    for i, b in enumerate(base(texts, use)):
+        assert got[i]["text"] == few[i]["text"] == texts[i]
+        for r in (got[i], few[i]):
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == b[:3]
+            assert r["base_score"] == pytest.approx(b[3], abs=1e-4)
+        assert got[i]["score"] == pytest.approx(few[i]["score"], abs=1e-6)
+
+
+def test_answers_are_sorted_in_little_room():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    codes = rng.choice(1 << 40, 800_000)
+    codes = rng.permutation(np.unique(codes))
+    values = np.sqrt(codes)
+    tracemalloc.start()
+    answers = ppm._Answers()
+    for a in range(0, len(codes), 20_000):
+        order = np.argsort(codes[a : a + 20_000])
+        answers.add(codes[a : a + 20_000][order], values[a : a + 20_000][order])
+    answers.sort()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * (codes.nbytes + values.nbytes)  # 3 times and more for one table sorted as a whole
+    wanted = np.sort(np.concatenate([codes[::3], codes[::5] + 1, [-5, 1 << 41]]))
+    have, value = answers.look(wanted)
+    assert (have == np.isin(wanted, codes)).all() and have.sum() >= len(codes[::3])
+    assert (value[have] == np.sqrt(wanted[have])).all()
+    assert not ppm._Answers().look(wanted)[0].any()
