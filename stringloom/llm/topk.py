@@ -14,8 +14,8 @@ is out, by proof. Once few vectors are left, or the segments end, those left are
 exactly in 64-bit integers.
 Every block gives its k best, the k best of those are the answer.
 
-Query blocks meet index blocks by an equi-join on a slot number: queries are copied to every
-slot, an index block has one. The copied side is broadcast while it is small.
+Every query block meets every index block. Query blocks are broadcast, once for all index blocks,
+while they are small; else tasks take pairs of partitions of both, and the driver gets neither.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without
 an id, take no part; shorter vectors count as followed by zeros; an id that is repeated asks
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, small_bytes
 
 #: Vectors of an index block, queries of a query block, width of an impact level.
 BLOCK, QUERIES, STEP = 4096, 512, 16
@@ -39,7 +39,7 @@ BLOCK, QUERIES, STEP = 4096, 512, 16
 #: Levels that begin in the same share of the block's postings share a segment.
 SHARE = 0.15
 
-#: Bytes of query blocks, copies counted once, up to which they are broadcast.
+#: Bytes of query blocks up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -171,16 +171,15 @@ class Index:
 
 def search(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows; rank from 1."""
-    spark = vectors.sparkSession
+    small_bytes(vectors.sparkSession)  # each row holds an index block
     valid = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantise(F.col(embedding), scale).alias("v"), is_query.alias("_asks")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
     index = settle(_pack(valid, block, POSTINGS, postings), "vector-blocks")
     asking = valid.where("_asks").groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = settle(_pack(asking, QUERIES), "query-blocks")
-    slots = max(1, index.count())
-    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), *(F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "vectors")))
     volume = asked.agg(F.sum(F.length("ids") + F.length("vectors"))).first()[0] or 0
-    copies = F.broadcast(copies) if volume * slots <= BROADCAST_BYTES else copies
-    pairs = index.withColumn("slot", F.pmod(F.xxhash64("part", "number"), F.lit(slots)).cast("int")).join(copies, "slot")
+    queries = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "vectors")))
+    # told how, as a file's size says little about the rows that Spark would bring to the driver
+    pairs = index.crossJoin(queries.hint("broadcast" if volume <= BROADCAST_BYTES else "shuffle_replicate_nl"))
 
     columns = index.columns
 
@@ -200,6 +199,6 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_i
                     names=["query_id", "vec_id", "score"],
                 )
 
-    best = pairs.drop("slot").mapInArrow(run, "query_id long, vec_id long, score long")
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

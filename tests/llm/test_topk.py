@@ -79,3 +79,20 @@ def test_stops_on_proof_only():
         weights = values[q].astype(float)
         left += len(index.possible(q, weights, float(np.sqrt((weights**2).sum())) * (1 + 1e-9), 5))
     assert left < 20 * 5 * len(some)
+
+
+def test_many_queries_stay_off_the_driver(spark, monkeypatch):
+    """Query blocks beyond the bound are not broadcast, nor are copies of them; answers are the same."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = brute(rows, 5, lambda i: i % 2 == 0)
+    for most in (topk.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(topk, "BROADCAST_BYTES", most)
+        found = topk.search(df, F.col("vec_id") % 2 == 0, 5, block=16)
+        got = {}
+        for r in sorted(found.collect()):
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert got == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("Broadcast" in plan) == (most > 0) and "Generate" not in plan
