@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions.strings import common_prefix
 from ..session import forget, settle_rows
+from . import ranges
 from .suffix import WIDTH, positions
 
 #: Rows of a range partition, about.
@@ -138,6 +139,12 @@ def suffix_order(texts: DataFrame, text_id: str = "text_id", text: str = "text",
 
 def suffixes(texts: DataFrame, text_id: str = "text_id", text: str = "text", *, width: int = WIDTH) -> DataFrame:
     """(rank, text_id, pos, lcp, bwt): with the common prefix with the suffix before, and the character before the suffix, null at a text's start."""
+    told = ranges.suffixes(texts, max(1, ROWS // 4), text_id, text, width)
+    return _by_levels(texts, text_id, text, width) if told is None else told
+
+
+def _by_levels(texts: DataFrame, text_id: str, text: str, width: int) -> DataFrame:
+    """`suffixes` by ranks of all positions at every length, which no frequent key or long repeat makes larger."""
     chars, levels = _levels(texts, text_id, text, width)
     last = levels[-1][1].select("text_id", "pos", "left", "r")
     order = global_ranks(last, ["r", "text_id", "pos"], {"rank": ["r", "text_id", "pos"]}, ["text_id", "pos", "left"])

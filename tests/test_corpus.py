@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from stringloom.operators import corpus
+from stringloom.operators import corpus, ranges
 from stringloom.session import shared_path
 
 
@@ -44,3 +44,27 @@ def test_ranks_leave_one_table(spark):
     assert sorted(map(tuple, got.select("i", "r", "u").collect())) == sorted((i, keys.index(k), u) for u, (k, i) in enumerate(want))
     assert Path(got._settled_at.replace("file:", "")).exists() and set(folder.glob("ranks-*")) == before
     assert "Window" not in corpus._ranked(frame, ["k", "i"], {"r": ["k"]})._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_and_ties_by_pieces(spark, monkeypatch):
+    """Suffixes are dealt out packed and told apart by pieces; no table of all positions but the sorted one is written."""
+    monkeypatch.setattr(corpus, "ROWS", 60)
+    monkeypatch.setattr(ranges, "VOLUME", 100)
+    rng = random.Random(5)
+    letters = ["a", "b", "é", "日", "😀", "\0", " "]
+    long = "".join(rng.choice(letters) for _ in range(700))
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(25)] + [long, long[150:400] + "x", "", None, "a", "a\0", "é"]
+    frame = spark.createDataFrame([(7 * i - 50, t) for i, t in enumerate(texts)], "text_id long, text string").repartition(3)
+    folder = Path(shared_path(spark, "any").replace("file:", "")).parent
+    before = set(folder.glob("*"))
+    ordered = corpus.suffixes(frame, width=16)
+    got = sorted(map(tuple, ordered.collect()))
+    assert {p.name.split("-")[0] for p in set(folder.glob("*")) - before} <= {"suffixes", "tied", "told"}
+    want = sorted((t[p:], 7 * i - 50, p, t[p - 1] if p else None) for i, t in enumerate(texts) for p in range(len(t or "")))
+    common = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    lcps = [0] + [common(a[0], b[0]) for a, b in zip(want, want[1:], strict=False)]
+    assert max(lcps) > 200
+    assert got == [(r, w[1], w[2], n, w[3]) for r, (w, n) in enumerate(zip(want, lcps, strict=True))]
+    runs = [k for k, _ in groupby(w[3] for w in want)]
+    assert {tuple(r) for r in corpus.runs(ordered.repartition(5)).collect()} == {(c, runs.count(c), [w[3] for w in want].count(c)) for c in set(runs)}
+    assert [f.dataType.simpleString() for f in ordered.schema] == ["bigint", "bigint", "int", "int", "string"]
