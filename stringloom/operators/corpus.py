@@ -168,7 +168,35 @@ def _by_levels(texts: DataFrame, text_id: str, text: str, width: int) -> DataFra
 
 
 def runs(ordered: DataFrame) -> DataFrame:
-    """(ch, runs, length): how many runs of each character the collection's BWT has, and its rows; ch is null for text starts."""
-    settled = settle_rows(ordered.select("rank", F.struct("bwt").alias("own")), "bwt")
-    changed = previous(settled, "rank", F.col("own"), "prev").select("own.bwt", (F.col("prev").isNull() | ~F.col("own.bwt").eqNullSafe(F.col("prev.bwt"))).alias("new"))
-    return changed.groupBy(F.col("bwt").alias("ch")).agg(F.sum(F.col("new").cast("long")).alias("runs"), F.count("*").alias("length"))
+    """(ch, runs, length): how many runs of each character the collection's BWT has, and its rows; ch is null for text starts.
+
+    Rows of one batch whose ranks follow each other are a stretch, counted where it is; stretches meet by their ends.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rank, letters = batch.column(0).to_numpy(), batch.column(1).dictionary_encode()
+            order = np.argsort(rank, kind="stable")
+            rank, codes = rank[order], pc.fill_null(letters.indices, -1).to_numpy(zero_copy_only=False)[order]
+            begins = np.concatenate([[True], rank[1:] != rank[:-1] + 1])
+            new = begins.copy()
+            new[1:] |= codes[1:] != codes[:-1]
+            kinds, number = np.unique(codes, return_inverse=True)
+            spelled = letters.dictionary.take(pa.array(kinds, pa.int32(), mask=kinds < 0))
+            counts = [np.bincount(number, new, len(kinds)).astype(np.int64), np.bincount(number, minlength=len(kinds))]
+            first = np.flatnonzero(begins)
+            last = np.append(first[1:], len(rank)) - 1
+            none = pa.nulls(len(kinds), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, spelled, pa.nulls(len(kinds), pa.string()), *map(pa.array, counts)], names)
+            none = pa.nulls(len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rank[first]), pa.array(rank[last]), spelled.take(pa.array(number[first])), spelled.take(pa.array(number[last])), none, none], names)
+
+    names = ["first", "last", "ch", "end", "runs", "length"]
+    found = settle_rows(ordered.select("rank", "bwt").mapInArrow(work, "first long, last long, ch string, end string, runs long, length long"), "stretches")
+    stretches = found.where("first is not null")
+    ahead = stretches.select((F.col("last") + 1).alias("first"), "end")
+    joined = stretches.select("first", "ch").join(ahead.hint("merge"), "first").where(F.col("ch").eqNullSafe(F.col("end")))
+    less = joined.select("ch", F.lit(-1).cast("long").alias("runs"), F.lit(0).cast("long").alias("length"))
+    return found.where("first is null").select("ch", "runs", "length").unionByName(less).groupBy("ch").agg(F.sum("runs").alias("runs"), F.sum("length").alias("length"))
