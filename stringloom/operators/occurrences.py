@@ -17,16 +17,28 @@ of two of their length, under cells of that size, which are three at most; an oc
 one cell of each size from its own length on. A step copies all new occurrences at once, and
 no occurrence comes twice, as it lies in one copy. There are as many steps as copies of copies.
 
+Patterns that fit into a task are looked for where a text is parsed (`locate_in_rows`), in the same
+two ways: primary ones among the starts up to the next literal, by the first characters of all
+positions, and copies from the phrases whose source holds them. Then no phrase leaves its task.
+
 Null and empty patterns and texts give no occurrences; positions are 0-based characters.
 pattern_id and text_id are keys; other columns are dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import forget, settle
+from ..session import forget, settle, small_bytes, spread
+from . import phrases as parsing
+from . import sorting
 from .corpus import global_ranks
 from .fm import points_in
 from .suffix import RUN, text_runs
@@ -36,6 +48,9 @@ KEY = 32
 #: Rows of keys inside boxes that are sent to the tasks; more are joined by a shuffle.
 SENT = 100_000
 
+#: Characters of all patterns that are sent to the tasks that parse the texts.
+HELD = 1 << 20
+
 #: Borders of one key that meet in a task of that shuffle, about.
 HOT = 1_000_000
 
@@ -135,3 +150,89 @@ def locate_all(patterns: DataFrame, phrases: DataFrame, texts: DataFrame, text_i
     """(pattern_id, text_id, pos, len, copies): every occurrence in the texts, whose phrases by any parse of this package are given, settled or not."""
     parsed = settle(phrases, "parsed")
     return secondary(settle(primary(patterns, parsed, texts, text_id, text, key=key), "found"), parsed)
+
+
+def _starts(texts: list[str], first: np.ndarray, literals: np.ndarray, patterns: list[str], by_length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pattern's number, place) of the occurrences that hold a literal; places count through all texts, of which each begins at `first`."""
+    h = sorting.heads(texts, parsing.HEAD)
+    until = np.append(literals, np.iinfo(np.int64).max)[np.searchsorted(literals, np.arange(first[-1]))]
+    number = {c: i + 1 for i, c in enumerate(h.alphabet.tolist())}
+    packed = h.packed & ((1 << (h.bits * h.size)) - 1)
+    out = []
+    for n, same in groupby(by_length, lambda i: len(patterns[i])):
+        head = min(n, h.size)
+        known = [(code, i) for i in same if None not in (letters := [number.get(ord(c)) for c in patterns[i]]) for code in (sum(x << (h.bits * (head - 1 - k)) for k, x in enumerate(letters[:head])),)]
+        if not known:
+            continue
+        codes, ids = (np.array(c, np.int64) for c in zip(*sorted(known)))
+        at = np.flatnonzero(until < np.arange(first[-1]) + n)
+        keys = packed[at] >> (h.bits * (h.size - head))
+        low = np.searchsorted(codes, keys)
+        hit = codes[np.minimum(low, len(codes) - 1)] == keys
+        at, keys, low = at[hit], keys[hit], low[hit]
+        found = np.searchsorted(codes, keys, "right") - low
+        which, at = ids[np.repeat(low - np.cumsum(found) + found, found) + np.arange(found.sum())], np.repeat(at, found)
+        if n > head:
+            row = h.row[at]
+            whole = [texts[r].startswith(patterns[i], p) for r, i, p in zip(row.tolist(), which.tolist(), h.at[at].tolist())]
+            which, at = which[whole], at[whole]
+        out.append((which, at))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _copies(at: np.ndarray, sizes: np.ndarray, src: np.ndarray, dst: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the occurrence, place) of what phrases copied of occurrences that lie in their sources."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        own = own[np.argsort(at[own], kind="stable")]
+        long = np.flatnonzero(held >= n)
+        low = np.searchsorted(at[own], src[long])
+        found = np.searchsorted(at[own], src[long] + held[long] - n, "right") - low
+        which = own[np.repeat(low - np.cumsum(found) + found, found) + np.arange(found.sum())]
+        out.append((which, at[which] + np.repeat((dst - src)[long], found)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def locate_in_rows(patterns: DataFrame, texts: DataFrame, text_id: str = "text_id", text: str = "text") -> DataFrame:
+    """`locate_all` by the LZ77 phrases of the texts, made and searched where a text's row is; patterns beyond HELD characters go by tables of phrases."""
+    asked = patterns.where(F.length("seq") > 0).select("pattern_id", "seq")
+    if (asked.agg(F.sum(F.length("seq"))).first()[0] or 0) > HELD:
+        return locate_all(patterns, parsing.lz77(texts, text_id, text), texts, text_id, text)
+    small_bytes(texts.sparkSession)
+    sent = asked.toArrow().combine_chunks()
+    seqs, ids = sent["seq"].to_pylist(), pa.array(sent["pattern_id"].to_pylist(), sent["pattern_id"].type)
+    lengths = np.array([len(s) for s in seqs], np.int64)
+    by_length = np.argsort(lengths, kind="stable").tolist()
+
+    def located(some: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text's number, pattern's number, place in the text, copies)."""
+        first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in some])])
+        triples, counts = [], []
+        for found in parsing.parses(some):
+            counts.append(len(found))
+            triples += found
+        dst, src, held = np.array(triples, np.int64).reshape(-1, 3).T
+        base = np.repeat(first[:-1], counts)
+        dst, src, ends = dst + base, src + base, np.repeat(first[1:] - 1, counts)
+        literals = (dst + held)[dst + held < ends]
+        which, at = _starts(some, first, literals, seqs, by_length)
+        dst, src, held, copies = dst[held > 0], src[held > 0], held[held > 0], 0
+        while len(at):
+            row = np.searchsorted(first, at, "right") - 1
+            yield row, which, at - first[row], np.full(len(at), copies)
+            old, at = _copies(at, lengths[which], src, dst, held)
+            which, copies = which[old], copies + 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, some in sorting.chunks(batch.column(1).to_pylist()):
+                for row, which, at, copies in located(some):
+                    numbers = (pa.array(c, pa.int32()) for c in (at, lengths[which], copies))
+                    table = pa.table([ids.take(pa.array(which)), batch.column(0).take(pa.array(row + begin)), *numbers], ["pattern_id", "text_id", "pos", "len", "copies"])
+                    yield from table.to_batches(max_chunksize=parsing.ROWS)
+
+    own = texts.where((F.length(text) > 0) & F.col(text_id).isNotNull()).select(F.col(text_id).alias("text_id"), F.col(text).alias("text"))
+    numbers = [T.StructField(n, T.IntegerType()) for n in ("pos", "len", "copies")]
+    schema = T.StructType([asked.schema["pattern_id"], own.schema["text_id"], *numbers])
+    return spread(own, "text_id").mapInArrow(work, schema)

@@ -188,21 +188,20 @@ def _prefix_length(text: str, places: list[np.ndarray], bits: int, growth: float
     return best
 
 
+def parses(texts: list[str], starts: list[int] | None = None, *, ends: bool = False) -> Iterator[list[tuple[int, int, int]]]:
+    """The phrases of each text, copied from before; with starts, those of what follows them, copied from what comes before them."""
+    first, places = _first_places(texts)
+    limits = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first)) if starts is None else np.repeat(starts, np.diff(first))
+    known = tuple(c.tolist() for c in _known(places, limits))
+    for i, (text, base) in enumerate(zip(texts, first.tolist())):
+        longest = _finder(text, known, base, len(places), None if starts is None else starts[i])
+        yield list(_lz_end(text, longest) if ends else _greedy(longest, starts[i] if starts else 0, len(text)))
+
+
 def _parsed(rows: DataFrame, *, ends: bool = False) -> DataFrame:
     """Phrases of each row's text, copied from before, or where there is one, from its reference."""
     referred = "reference" in rows.columns
 
-    def parsed(texts: list[str], starts: list[int]) -> Iterator[list[tuple[int, int, int]]]:
-        first, places = _first_places(texts)
-        if referred:
-            limits = np.repeat(starts, np.diff(first))
-        else:
-            limits = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
-        known = tuple(c.tolist() for c in _known(places, limits))
-        for text, start, base in zip(texts, starts, first.tolist()):
-            longest = _finder(text, known, base, len(places), start if referred else None)
-            yield list(_lz_end(text, longest) if ends else _greedy(longest, start, len(text)))
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, starts = batch.column(1).to_pylist(), [0] * batch.num_rows
@@ -211,7 +210,7 @@ def _parsed(rows: DataFrame, *, ends: bool = False) -> DataFrame:
                 texts, starts = [r + t for r, t in zip(references, texts)], [len(r) for r in references]
             for first, some in sorting.chunks(texts):
                 sizes, triples, letters = [], [], []
-                for text, start, found in zip(some, starts[first:], parsed(some, starts[first : first + len(some)])):
+                for text, start, found in zip(some, starts[first:], parses(some, starts[first : first + len(some)] if referred else None, ends=ends)):
                     sizes.append(len(found))
                     triples += found
                     letters += [text[start + dst + size : start + dst + size + 1] for dst, _, size in found]

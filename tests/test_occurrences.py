@@ -81,3 +81,35 @@ def test_equal_borders_are_sorted_once(spark, monkeypatch):
         seen.append((sizes["borders"][0], sizes["keys"]))
     assert seen[1][0] == seen[2][0] == 20 * seen[0][0]
     assert seen[0][1] == seen[1][1] == seen[2][1]
+
+
+@pytest.mark.parametrize("held", [occurrences.HELD, 0])
+def test_located_where_parsed(spark, monkeypatch, held):
+    """The same occurrences, and as many copies on the way to them, without a table of phrases; too many patterns go by tables."""
+    monkeypatch.setattr(occurrences, "HELD", held)
+    purposes = []
+    settle = occurrences.settle
+    monkeypatch.setattr(occurrences, "settle", lambda df, purpose, **options: purposes.append(purpose) or settle(df, purpose, **options))
+    texts, patterns = made()
+    texts, patterns = (texts, patterns) if held else (texts[:6], patterns[:5])
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "text_id long, text string, PLACE string").repartition(2)
+    asked = spark.createDataFrame([(f"p{i}", p, 1) for i, p in enumerate(patterns)], "pattern_id string, seq string, x int")
+    found = occurrences.locate_in_rows(asked, docs)
+    got = sorted(map(tuple, found.collect()))
+    assert (purposes == []) == (held > 0)
+    assert [r[:4] for r in got] == sorted((f"p{i}", j, at, len(p)) for i, p in enumerate(patterns) if p for j, t in enumerate(texts) if t for at in plain(p, t))
+    monkeypatch.setattr(occurrences, "settle", settle)
+    by_tables = occurrences.locate_all(asked.where("length(seq) < 20"), phrases.lz77(docs), docs) if held else found
+    short = {f"p{i}" for i, p in enumerate(patterns) if p and len(p) < 20} if held else {r[0] for r in got}
+    assert sorted(map(tuple, by_tables.collect())) == [r for r in got if r[0] in short]
+    assert occurrences.locate_in_rows(asked.where("false"), docs).collect() == [] == occurrences.locate_in_rows(asked, docs.where("false")).collect()
+    assert found.schema.simpleString() == by_tables.schema.simpleString()
+
+
+def test_long_words_of_documents_leave_no_tables(spark, monkeypatch, tmp_path):
+    from stringloom.plans import catalog
+
+    spark.createDataFrame([(1, "a benchmark item"), (2, "another BENCHMARK, item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(5, "the benchmark of benchmarks"), (6, None), (7, "BENCHMARK")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(occurrences, "settle", None)
+    assert sorted(map(tuple, catalog.occurrences_documents(spark, str(tmp_path)).collect())) == [("BENCHMARK", 7, 0, 9), ("benchmark", 5, 4, 9), ("benchmark", 5, 17, 9)]
