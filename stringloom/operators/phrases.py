@@ -10,6 +10,9 @@ Reading out is a join: a phrase is filed under every block of positions that it
 position asks the phrase of its block and moves to the phrase's source, until it stands on a
 literal. Blocks bound the rows that meet under one key, however long the text.
 
+Where a text is parsed for what it is asked alone, its phrases stay in the task and positions move
+among them in numpy (`agree_in_rows`): only texts and patterns are shuffled.
+
 Phrases are (text_id, ord, dst, src, len, ch): `len` characters from `src`, written at `dst`,
 and a literal, which is empty where a last phrase reaches the end; src is 0 where len is 0.
 Null and empty texts have no phrases. text_id is a key; other columns are dropped.
@@ -24,12 +27,13 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import common_prefix
-from ..session import settle_rows, spread
+from ..session import settle_rows, small_bytes, spread
 from . import sorting
 
 #: Positions under which phrases are filed together: a position meets all phrases of its block, so a few phrases long.
@@ -355,6 +359,84 @@ def lcs_char(index: DataFrame, asked: DataFrame) -> DataFrame:
     return stop.join(letters, ["text_id", "pos"], "left").select("id", "lcs", "char")
 
 
+class _Read:
+    """Characters read out of the phrases of some texts, whose positions count through all of them."""
+
+    def __init__(self, texts: list[str]):
+        self.first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        triples, counts, letters = [], [], []
+        for text, found in zip(texts, parses(texts), strict=True):
+            counts.append(len(found))
+            triples += found
+            letters += [text[dst + size : dst + size + 1] for dst, _, size in found]
+        base = np.repeat(self.first[:-1], counts)
+        dst, src, self.held = np.array(triples, np.int64).reshape(-1, 3).T
+        self.dst, self.src, self.letters = dst + base, src + base, _points([c or "\0" for c in letters])
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        out, at, left = np.zeros(len(asked), np.uint32), asked, np.arange(len(asked))
+        while len(left):
+            phrase = np.searchsorted(self.dst, at, "right") - 1
+            literal = at == self.dst[phrase] + self.held[phrase]
+            out[left[literal]] = self.letters[phrase[literal]]
+            at, left = (self.src[phrase] + at - self.dst[phrase])[~literal], left[~literal]
+        return out
+
+
+def _points(parts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def agree_in_rows(rows: DataFrame, *, first: int = 16) -> DataFrame:
+    """(text_id, found) of the rows (text_id, text, pattern, asked): for each (t, p, back) of asked, in its order, how far (n) pattern from p and the text from t agree, backwards where back holds, both included, and the text's character (char) that ends the match.
+
+    As `agree` and `lcs_char`, by the LZ77 phrases of the row's own text. The character is null where a side ends, and
+    for positions outside a side, which agree in nothing.
+    """
+    held = rows.where((F.length("text") > 0) & F.col("text_id").isNotNull())
+    held = held.select("text_id", "text", F.coalesce("pattern", F.lit("")).alias("pattern"), *(F.transform(f"asked.{c}", lambda x: F.coalesce(x.cast("int"), F.lit(-1))).alias(c) for c in ("t", "p", "back")))
+
+    def found(texts: list[str], patterns: list[str], row: np.ndarray, t: np.ndarray, p: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        read, points = _Read(texts), _points(patterns)
+        sizes, starts = np.array([len(x) for x in patterns], np.int64), np.diff(read.first) - 1
+        begins, n = (np.cumsum(sizes) - sizes)[row], np.zeros(len(row), np.int64)
+        inside = (p >= 0) & (p < sizes[row]) & (t >= 0) & (t < starts[row])
+        left = np.where(inside, np.where(back, np.minimum(p, t) + 1, np.minimum(sizes[row] - p, starts[row] - t)), 0)
+        step, at, width = np.where(back, -1, 1), read.first[row] + t, first
+        on = np.flatnonzero(left > 0)
+        while len(on):
+            span = np.minimum(left[on] - n[on], width)
+            ends = np.cumsum(span)
+            k = np.arange(ends[-1]) - np.repeat(ends - span, span)
+            own = np.repeat(on, span)
+            far = step[own] * (n[own] + k)
+            same = read(at[own] + far) == points[begins[own] + p[own] + far]
+            matched = np.minimum.reduceat(np.where(same, np.repeat(span, span), k), ends - span)
+            n[on] += matched
+            on = on[(matched == span) & (n[on] < left[on])]
+            width *= 4
+        stopped = np.flatnonzero(n < left)
+        chars = np.full(len(row), None, object)
+        chars[stopped] = [chr(c) for c in read(at[stopped] + step[stopped] * n[stopped])]
+        return n, pa.array(chars, pa.string())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in sorting.chunks(batch.column(1).to_pylist()):
+                some = batch.slice(begin, len(texts))
+                counts = pc.fill_null(pc.list_value_length(some.column(3)), 0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(texts)), counts)
+                t, p, back = (some.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (3, 4, 5))
+                n, chars = found(texts, some.column(2).to_pylist(), row, t, p, back == 1)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                each = pa.StructArray.from_arrays([pa.array(n, pa.int32()), chars], ["n", "char"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(offsets, each)], ["text_id", "found"])
+
+    small_bytes(rows.sparkSession)
+    answers = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("char", T.StringType())]))
+    return spread(held, "text_id").mapInArrow(work, T.StructType([held.schema["text_id"], T.StructField("found", answers)]))
+
+
 def nesting(phrases: DataFrame) -> DataFrame:
     """(text_id, ord, depth): in how many nested sources, at most, each phrase's source lies; from 0, equal sources alike, null without a copy.
 

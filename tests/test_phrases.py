@@ -229,3 +229,34 @@ def test_short_matches_are_known_from_one_sort(texts, monkeypatch):
     monkeypatch.setattr(phrases, "LONG", 0)
     assert [by_text(parse_(t)) for parse_, t in ways] == want
     assert sorted(map(tuple, phrases.prefix_lengths(texts).select("text_id", "prefix").collect())) == lengths
+
+
+def test_agreement_is_read_where_a_text_is_parsed(spark, texts, monkeypatch):
+    """The same as by tables of phrases, and none is written."""
+    rng, rows = random.Random(9), []
+    for i, t in enumerate(odd_texts()):
+        if t:
+            for _ in range(4):
+                cut = rng.randrange(len(t))
+                pattern = t[cut : cut + 200] + rng.choice(["", "Z", "a"]) if rng.random() < 0.7 else rng.choice("aZ") + t[: cut + 1]
+                rows.append((len(rows), i, rng.choice([cut, rng.randrange(len(t))]), pattern, rng.randrange(len(pattern)) if rng.random() < 0.5 else 0, t))
+    asked = spark.createDataFrame(rows, "id long, text_id long, t int, pattern string, p int, text string")
+    filed = phrases.filed(phrases.lz77(texts))
+    forwards = {r["id"]: r["n"] for r in phrases.agree(filed, asked, first=3).collect()}
+    backwards = {r["id"]: (r["lcs"], r["char"]) for r in phrases.lcs_char(filed, asked).collect()}
+    monkeypatch.setattr(phrases, "settle_rows", None)
+    both = F.expr("array(named_struct('t', t, 'p', p, 'back', false), named_struct('t', t, 'p', p, 'back', true))")
+    got = {r["text_id"]: r["found"] for r in phrases.agree_in_rows(asked.select(F.col("id").alias("text_id"), "text", "pattern", both.alias("asked")).repartition(3), first=3).collect()}
+    assert {i: f[0]["n"] for i, f in got.items()} == forwards and {i: tuple(f[1]) for i, f in got.items()} == backwards
+    assert max(forwards.values()) > 48 and all(f[0]["char"] == (rows[i][5][rows[i][2] + f[0]["n"] :][:1] or None) for i, f in got.items() if rows[i][4] + f[0]["n"] < len(rows[i][3]))
+    outside = spark.createDataFrame([(1, "abc", 500, "aaaa", 3), (2, "abc", 0, "a", 5), (3, "abc", -1, "a", 0), (4, "abc", None, None, None)], "text_id long, text string, t int, pattern string, p int")
+    assert all(tuple(x) == (0, None) for r in phrases.agree_in_rows(outside.select("text_id", "text", "pattern", both.alias("asked"))).collect() for x in r["found"])
+
+
+def test_turns_agree_without_tables_of_phrases(spark, monkeypatch, tmp_path):
+    turns = [(1, 0, "one two three"), (1, 1, "one twofold tree"), (1, 2, ""), (2, 0, "aé日"), (2, 1, "bé日"), (2, 2, "bé日"), (3, 0, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(phrases, "settle_rows", None)
+    got = catalog.lz77_agree_turns(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1 << 32, 7, 3, "h"), (2 << 32, 0, 2, "a"), ((2 << 32) + 1, 3, 3, None)]
+    assert got.schema.simpleString() == "struct<text_id:bigint,lcp:int,lcs:int,char:string>"
